@@ -1,0 +1,30 @@
+"""Helpers shared by the operators of this sub-package."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from codeweft.session import cut_lineage
+
+
+def global_positions(df: DataFrame, order: Sequence[Column], within: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """``df`` with ``__pos``, the 0-based position in the total order, without a single-task sort.
+
+    Rows are range-partitioned by (``within``, ``order``) and written to the checkpoint folder; the
+    sizes of the partitions (one number per partition and group) give each its offset, and a window
+    inside the partition does the rest.  Positions start anew for each value of ``within``.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in within]
+    ranged = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part", *within).agg(F.count(F.lit(1)).alias("__size"))
+    # one row per partition and group: at most partitions * groups rows
+    before = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
+    inside = Window.partitionBy("__part", *within).orderBy(*order)
+    local = ranged.withColumn("__row", F.row_number().over(inside) - 1)
+    return local.join(F.broadcast(offsets), ["__part", *within]).withColumn("__pos", F.col("__row") + F.col("__offset")).drop("__part", "__row", "__offset")
