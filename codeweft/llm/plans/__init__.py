@@ -1,5 +1,5 @@
 """Registered queries of the llm sub-package: each module has ``QUERIES`` and ``SQL``."""
 
-from codeweft.llm.plans import code
+from codeweft.llm.plans import code, documents
 
-PLANS = [code]
+PLANS = [code, documents]
