@@ -1,5 +1,5 @@
 """Registered queries of the llm sub-package: each module has ``QUERIES`` and ``SQL``."""
 
-from codeweft.llm.plans import code, documents
+from codeweft.llm.plans import code, documents, files
 
-PLANS = [code, documents]
+PLANS = [code, documents, files]
