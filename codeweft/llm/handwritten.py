@@ -20,7 +20,7 @@ GENERATED_PHRASES = {
     "code generated by": 2, "generated by": 2, "generated with": 2, "generated from": 2, "generated code": 1, "generated file": 1, "file is generated": 2, "file was generated": 2,
     "this is a generated": 2, "created automatically": 2, "automatically created": 2, "machine written": 2, "machine generated": 2, "machine-generated": 2, "produced by": 1,
     "compiled from": 1, "written by a tool": 2, "do not edit": 1, "do not modify": 1, "don't edit": 1, "do not change": 1, "never edit": 1, "edits will be lost": 2, "changes will be lost": 2,
-    "edit is overwritten": 2, "will be overwritten": 2, "are overwritten": 1, "is overwritten": 1, "regenerate": 1, "instead of editing": 1, "erzeugt": 1, "automatisch erzeugt": 2, "automatisch generiert": 2,
+    "edit is overwritten": 2, "will be overwritten": 2, "are overwritten": 1, "is overwritten": 1, "regenerate": 1, "scaffolded by": 1, "to refresh": 1, "instead of editing": 1, "erzeugt": 1, "automatisch erzeugt": 2, "automatisch generiert": 2,
     "nicht bearbeiten": 1, "nicht ändern": 1, "généré automatiquement": 2, "généré par": 2, "ne pas modifier": 1, "generado por": 2, "generado automáticamente": 2, "no editar": 1, "no modificar": 1,
     "gerado automaticamente": 2, "não edite": 1, "自动生成": 2, "請勿編輯": 1, "请勿编辑": 1, "自動生成": 2, "編集しないで": 1,
 }
@@ -45,6 +45,7 @@ MINIFIED_NAME = re.compile(r"[.-]min\.(?:js|mjs|cjs|ts|css)$|\.bundle\.js$|\.chu
 
 _VERSION = re.compile(r"^([a-z][\w]*?)[.-]v?\d+(?:\.\d+)+$", re.I)
 _MEMBER = re.compile(r"\b(?:function|def|func|fn|int|void|string|double|public|long|bool)\s+(?:\([^)]*\)\s*)?([A-Za-z_]+?)_?(\d{2,5})\s*\(|^\s+([A-Za-z_]+?)_?(\d{2,5})\([^)]*\)\s*(?::\s*\w+\s*)?\{", re.M)
+_CALL_NUMBER = re.compile(r"\d\s*\(")
 _DATA_LINE = re.compile(r"^\s*(?:[-+]?(?:0x)?[\da-fA-F][\d.eE_]*[LlUuFf]*\s*,?\s*)+$|^\s*(?:b?[\"'][^\"'\s]{40,}[\"']\s*[.+,\\]?\s*)+[;)]*\s*$|^\s*(?:(?:\\x[\da-fA-F]{2}){8,}|[A-Za-z\d+/=]{60,})[;,\"')]*\s*$")
 _HEAD_LINE = re.compile(r"^\s*(?://|#(?!\[|include|define|if|region)|/\*|\*|\*/|--|<!--|;|%|\"\"\"|'''|<\?php\s*$|#!)")
 
@@ -130,6 +131,8 @@ def path_vendored(path: str) -> str | None:
 
 def numbered_series(text: str) -> bool:
     """At least ten members of one name with consecutive numbers: a tool wrote them."""
+    if len(_CALL_NUMBER.findall(text)) < 10:
+        return False
     series: dict[str, set[int]] = {}
     for m in _MEMBER.finditer(text):
         series.setdefault(m.group(1) or m.group(3), set()).add(int(m.group(2) or m.group(4)))
@@ -147,8 +150,8 @@ def content_kind(text: str) -> str | None:
     total = sum(map(len, lines))
     if not total:
         return None
-    data = sum(len(x) for x in lines if _DATA_LINE.match(x))
-    if data >= 0.8 * total and total >= 400:
+    # blobs open hardly any blocks and call nothing
+    if total >= 400 and text.count("(") + text.count("{") < 0.2 * len(lines) + 3 and sum(len(x) for x in lines if _DATA_LINE.match(x)) >= 0.8 * total:
         return "data"
     long = sum(len(x) for x in lines if len(x) > 400)
     if long >= 0.5 * total:
@@ -169,7 +172,7 @@ def _judge(path: str | None, text: str | None) -> tuple[str | None, str | None,
     if not text or not text.strip():
         return ("vendored path" if project else "minified name" if MINIFIED_NAME.search(path) else None), project, ""
     header = header_of(text)
-    body = re.sub(r"\s+", "", text[len(text) - len(text.lstrip()) :].replace(header, "", 1) if header and header in text else _strip_header(text))
+    body = "".join((_strip_header(text, header) if header else text).split())
     if project:
         return "vendored path", project, body
     if FOREIGN.search(header) and "our own" not in header.lower():
@@ -188,10 +191,10 @@ def _judge(path: str | None, text: str | None) -> tuple[str | None, str | None,
     return None, None, body
 
 
-def _strip_header(text: str) -> str:
+def _strip_header(text: str, header: str) -> str:
     """The text without its leading comments."""
     lines = text.split("\n")
-    n = len(header_of(text).split("\n")) if header_of(text) else 0
+    n = len(header.split("\n"))
     seen = i = 0
     while i < len(lines) and seen < n:
         seen += bool(lines[i].strip())
