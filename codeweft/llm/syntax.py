@@ -42,13 +42,13 @@ _OPERATORS = r"\.\.\.|\.\.=?|->|=>|::|\+\+|--|<=>|===|!==|==|!=|<=(?!>)|>=|&&=?|
 _NAME = r"[^\W\d]\w*"
 #: Tokens by grammar; what matches none of them is one character of class Z.
 _TOKENS = {
-    "java": rf'{_C_COMMENT}|"""[\s\S]*?"""|{_STRING}|(?<=\.)[^\W\d]\w*|[^\W\d$]?[$\w]*[^\W\d]\w*|{_NUMBER}|{_OPERATORS}|\n|[^\S\n]+|.',
-    "cs": rf'{_C_COMMENT}|(?m:^[ \t]*#[ \t]*(?:if|else|elif|endif|region|endregion|pragma|define|undef|nullable|line|error|warning)\b[^\n]*)|"""[\s\S]*?"""|\$?@\$?"(?:""|[^"])*"|\$"(?:\\.|[^"\\\n])*"|{_STRING}|(?<=\.)[^\W\d]\w*|@?[^\W\d]\w*|{_NUMBER}|{_OPERATORS}|\n|[^\S\n]+|.',
-    "php": rf'\?>[\s\S]*?(?:<\?php\b|<\?=|$(?![\s\S]))|{_C_COMMENT}|#(?!\[)[^\n]*|<<<[ \t]*["\']?(\w+)["\']?\n[\s\S]*?\n[ \t]*\1\b|"(?:\\[\s\S]|[^"\\])*"|\'(?:\\[\s\S]|[^\'\\])*\'|(?:(?<=->)|(?<=::))[^\W\d]\w*|\$+[^\W\d]\w*|\\?[^\W\d]\w*(?:\\[^\W\d]\w*)*|{_NUMBER}|{_OPERATORS}|\n|[^\S\n]+|.',
-    "ts": rf'\A#![^\n]*|{_C_COMMENT}|`(?:\\[\s\S]|[^`\\])*`|{_STRING}|(?<=[=(,:!&|?{{}};\[\n])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*|(?<=\.)[^\W\d]\w*|[#@]?[$\w]*[^\W\d][$\w]*|\$+|{_NUMBER}|{_OPERATORS}|\n|[^\S\n]+|.',
-    "go": rf'{_C_COMMENT}|`[^`]*`|{_STRING}|{_NAME}|{_NUMBER}|{_OPERATORS}|\n|[^\S\n]+|.',
-    "rust": rf'{_C_COMMENT}|b?r(#*)"[\s\S]*?"\1|b?"(?:\\[\s\S]|[^"\\])*"|b?\'(?:\\(?:u\{{[^}}]*\}}|x..|.)|[^\'\\\n])\'|\'[^\W\d]\w*|r#\w+|{_NAME}|{_NUMBER}|{_OPERATORS}|\n|[^\S\n]+|.',
-    "python": rf'#[^\n]*|(?i:[rbuf]{{0,2}})(?:"""(?:\\[\s\S]|[^\\])*?"""|\'\'\'(?:\\[\s\S]|[^\\])*?\'\'\')|(?i:[rbuf]{{0,2}})(?:"(?:\\[\s\S]|[^"\\\n])*"|\'(?:\\[\s\S]|[^\'\\\n])*\')|(?<=\.)[^\W\d]\w*|{_NAME}|{_NUMBER}|->|\*\*=?|//=?|:=|<<=?|>>=?|[-+*/%&|^@=!<>]=|\.\.\.|\\\n|\n|[^\S\n]+|.',
+    "java": rf'{_C_COMMENT}|"""[\s\S]*?"""|{_STRING}|[^\W\d][\w$]*|{_NUMBER}|{_OPERATORS}|\n|\S',
+    "cs": rf'{_C_COMMENT}|(?m:^[ \t]*#[ \t]*(?:if|else|elif|endif|region|endregion|pragma|define|undef|nullable|line|error|warning)\b[^\n]*)|"""[\s\S]*?"""|\$?@\$?"(?:""|[^"])*"|\$"(?:\\.|[^"\\\n])*"|{_STRING}|@?[^\W\d]\w*|{_NUMBER}|{_OPERATORS}|\n|\S',
+    "php": rf'\?>[\s\S]*?(?:<\?php\b|<\?=|$(?![\s\S]))|{_C_COMMENT}|#(?!\[)[^\n]*|<<<[ \t]*["\']?\w+["\']?\n(?:[^\n]*\n)*?[ \t]*\w+(?=[;,)\n])(?<=[A-Z])|"(?:\\[\s\S]|[^"\\])*"|\'(?:\\[\s\S]|[^\'\\])*\'|\$+[^\W\d]\w*|\\?[^\W\d]\w*(?:\\[^\W\d]\w*)*|{_NUMBER}|{_OPERATORS}|\n|\S',
+    "ts": rf'\A#![^\n]*|{_C_COMMENT}|`(?:\\[\s\S]|[^`\\])*`|{_STRING}|(?<=[=(,:!&|?{{}};\[\n])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*|[#@]?[$\w]*[^\W\d][$\w]*|\$+|{_NUMBER}|{_OPERATORS}|\n|\S',
+    "go": rf'{_C_COMMENT}|`[^`]*`|{_STRING}|{_NAME}|{_NUMBER}|{_OPERATORS}|\n|\S',
+    "rust": rf'{_C_COMMENT}|b?r"[^"]*"|b?r#"[\s\S]*?"#|b?r##"[\s\S]*?"##|b?"(?:\\[\s\S]|[^"\\])*"|b?\'(?:\\(?:u\{{[^}}]*\}}|x..|.)|[^\'\\\n])\'|\'[^\W\d]\w*|r#\w+|{_NAME}|{_NUMBER}|{_OPERATORS}|\n|\S',
+    "python": rf'(?<=\n)[ \t]+(?=[^\s#])|\A[ \t]+(?=[^\s#])|#[^\n]*|(?i:[rbuf]{{0,2}})(?:"""(?:\\[\s\S]|[^\\])*?"""|\'\'\'(?:\\[\s\S]|[^\\])*?\'\'\')|(?i:[rbuf]{{0,2}})(?:"(?:\\[\s\S]|[^"\\\n])*"|\'(?:\\[\s\S]|[^\'\\\n])*\')|{_NAME}|{_NUMBER}|->|\*\*=?|//=?|:=|<<=?|>>=?|[-+*/%&|^@=!<>]=|\.\.\.|\\\n|\n|\S',
 }
 _CONFLICT = r"(?m:^(?:<{7}|={7}|>{7}|\|{7})(?=[ \r\n]|$)[^\n]*)"
 _SIGNS = {
@@ -65,11 +65,13 @@ _ALIEN = {
 
 
 @lru_cache(maxsize=16)
-def _lexer(grammar: str) -> tuple[re.Pattern, dict[str, str]]:
-    """Token pattern (conflict marks first) and the class of each fixed token."""
+def _lexer(grammar: str, marks: bool) -> tuple[re.Pattern, dict[str, str]]:
+    """Token pattern (conflict marks first, for texts that hold any) and the class of each fixed token."""
     pattern = _TOKENS[grammar]
-    head = r"\A#![^\n]*|" if grammar == "ts" else ""
-    pattern = re.compile(head + _CONFLICT + "|" + pattern)
+    # names are most of all tokens; where no string starts like one, they are tried first
+    first = r"[^\W\d]\w*(?![\w$\\])|" if grammar in ("java", "go", "php", "ts") else ""
+    body = (r"\A#![^\n]*|" if grammar == "ts" else "") + (_CONFLICT + "|" if marks else "") + first + pattern
+    pattern = re.compile(body if grammar == "python" else rf"[^\S\n]*({body})")
     table = dict(_SIGNS)
     for sign in _ALIEN[grammar]:
         table[sign] = "Z"
@@ -116,9 +118,12 @@ def _class_of(token: str, grammar: str) -> str:
     return "Z"
 
 
-def lex(text: str, grammar: str) -> str:
-    """Classes of the tokens of ``text`` as a string; line ends are kept as L."""
-    pattern, table = _lexer(grammar)
+_MEMBER_CODE = re.compile(r"([.ad])[PGRECFIkVMXN](?!\()")
+
+
+def lex(text: str, grammar: str) -> tuple[str, list[str]]:
+    """Classes of the tokens of ``text`` as a string, line ends kept as L, and the tokens themselves."""
+    pattern, table = _lexer(grammar, "<<<<<<<" in text or "=======" in text or ">>>>>>>" in text)
     if text[:1] == "\ufeff":
         text = text[1:]
     text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -126,9 +131,9 @@ def lex(text: str, grammar: str) -> str:
     if grammar == "php":
         at = re.search(r"<\?php\b|<\?=", text)
         if at is None:
-            return "H"
+            return "H", []
         text, lead = text[at.end():], "H"
-    tokens = [m.group(0) for m in pattern.finditer(text)] if pattern.groups else pattern.findall(text)
+    tokens = pattern.findall(text)
     known = table.get
     memo: dict[str, str] = {}
     out = []
@@ -143,7 +148,10 @@ def lex(text: str, grammar: str) -> str:
                 elif c == "s" and "\n" in t and grammar != "python":
                     c = memo[t] = "s" + "\x01" * t.count("\n")  # lines inside a string still count
         out.append(c)
-    return lead + "".join(out)
+    codes = "".join(out)
+    if "." in codes or "a" in codes or "d" in codes:  # keywords are names after a point
+        codes = _MEMBER_CODE.sub(r"\1i", codes)
+    return lead + codes, tokens
 
 
 def _rules(grammar: str) -> set[tuple[str, str]]:
@@ -290,44 +298,58 @@ _BAD_STATEMENTS = {
 }
 
 
+#: Lines whose brackets are reduced together before they become rows.
+CHUNK_LINES = 64
+
+
+def _reduced(brackets: str) -> str:
+    """What a run of brackets leaves open: pairs that meet vanish, in one place after the other."""
+    size = -1
+    while len(brackets) != size:
+        size = len(brackets)
+        brackets = brackets.replace("()", "").replace("[]", "").replace("{}", "")
+    return brackets
+
+
 def rows_of(text: str, grammar: str) -> list[tuple[str, str, str, int]]:
-    """``(kind, a, b, place)`` rows of one file: p pair, s statement, b brackets a line leaves open, i indentation, e error."""
-    codes = lex(text, grammar)
+    """``(kind, a, b, place)`` rows of one file.
+
+    p: its distinct token pairs, two characters each; s: its distinct statements, one a line; b: brackets that
+    a chunk of lines leaves open; i: indentation of a Python line and whether it opens a block; e: an error.
+    """
+    codes, tokens = lex(text, grammar)
     plain = codes.replace("\x01", "")
     out: list[tuple[str, str, str, int]] = []
     if "Z" in plain:
         out.append(("e", "Z", "", plain.index("Z")))
-    brackets = re.sub(r"[^()\[\]{}L\x01]+", "", codes).replace("\x01", "L")
-    if grammar == "python":
-        brackets = brackets.replace("L", "L")
-    size = -1
-    while len(brackets) != size:  # what a line opens and closes itself leaves nothing
-        size = len(brackets)
-        brackets = brackets.replace("()", "").replace("[]", "").replace("{}", "")
-    out += [("b", rest, "", n) for n, rest in enumerate(brackets.split("L")) if rest]
+    lines = re.sub(r"[^()\[\]{}L\x01]+", "", codes).replace("\x01", "L").split("L")
+    for n in range(0, len(lines), CHUNK_LINES):
+        rest = _reduced("".join(lines[n : n + CHUNK_LINES]))
+        if rest:
+            out.append(("b", rest, "", n))
     if grammar in ("go", "ts", "python"):
         stream = _significant(plain, grammar)
     else:
         stream = plain.replace("L", "")
-    framed = "^" + stream.strip("L") + "$" if grammar != "python" else "^" + stream.strip("L") + "$"
-    pairs = set(zip(framed, framed[1:]))
-    out += [("p", a, b, 0) for a, b in pairs]
+    framed = "^" + stream.strip("L") + "$"
+    out.append(("p", "".join(a + b for a, b in set(zip(framed, framed[1:]))), "", 0))
     if grammar == "python":
-        out += [("s", x, "", 0) for x in {x for x in stream.split("L") if x}]
-        out += _indents(text, grammar)
+        statements = {x for x in stream.split("L") if x}
+        out += _indents(tokens)
     else:
         parts = set(re.findall(r"[^;{}L]*[;{}L]" if grammar in ("go", "ts") else r"[^;{}]*[;{}]", stream))
-        out += [("s", x.rstrip("L"), "", 0) for x in parts if len(x) > 1]
+        statements = {x.rstrip("L") for x in parts if len(x) > 1}
+    if statements:
+        out.append(("s", "\n".join(statements), "", 0))
     return out
 
 
 def _significant(codes: str, grammar: str) -> str:
-    """Without line ends inside round and square brackets (Python: all), runs of them made one."""
+    """Runs of line ends made one, and for Python those inside brackets left out."""
     out, depth = [], 0
-    if grammar == "go":  # a line end ends a statement there too, as in import ( ... )
+    if grammar != "python":  # a line end may end a statement there too, as in import ( ... )
         return re.sub("L+", "L", codes)
-    inside = "([{" if grammar == "python" else "(["
-    closing = ")]}" if grammar == "python" else ")]"
+    inside, closing = "([{", ")]}"
     for run in re.split(r"([()\[\]{}])", codes):
         if run in inside and run:
             depth += 1
@@ -339,64 +361,62 @@ def _significant(codes: str, grammar: str) -> str:
     return re.sub("L+", "L", "".join(out))
 
 
-def _indents(text: str, grammar: str) -> list[tuple[str, str, str, int]]:
-    """Logical lines of Python: indentation, and whether the line opens a block."""
-    pattern, table = _lexer(grammar)
+def _indents(tokens: list[str]) -> list[tuple[str, str, str, int]]:
+    """Logical lines of Python at which the indentation changes or must: width, and whether the line opens a block."""
     out, depth, stack = [], 0, [0]
     width, last, start, n = 0, "", True, 0
     previous = False
-    text = text.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
-    for m in pattern.finditer(text):
-        t = m.group(0)
+
+    def close() -> bool:
+        opens = last == ":"
+        if opens or previous or width != stack[-1]:
+            out.append(("i", str(width), "1" if opens else "0", n))
+        if width > stack[-1]:
+            stack.append(width)
+        while width < stack[-1]:
+            stack.pop()
+        if width != stack[-1]:
+            out.append(("e", "dedent", "", n))
+            stack.append(width)
+        return opens
+
+    for t in tokens:
         if t == "\n":
             if depth == 0:
                 if not start:
-                    opens = last == ":"
-                    if opens or previous or width != stack[-1]:
-                        out.append(("i", str(width), "1" if opens else "0", n))
-                    if width > stack[-1]:
-                        stack.append(width)
-                    while width < stack[-1]:
-                        stack.pop()
-                    if width != stack[-1]:
-                        out.append(("e", "dedent", "", n))
-                        stack.append(width)
-                    previous = opens
+                    previous = close()
                     n += 1
                 start, width, last = True, 0, ""
-        elif t[0].isspace() and t != "\\\n":
+        elif t[0] in " \t":
             if start and depth == 0:
                 width = len(t.expandtabs(8))
         elif t[0] == "#" or t == "\\\n":
             continue
         else:
-            start = False
-            last = t
-            if t in "([{" and len(t) == 1:
-                depth += 1
-            elif t in ")]}" and len(t) == 1:
-                depth = max(0, depth - 1)
+            start, last = False, t
+            if len(t) == 1:
+                if t in "([{":
+                    depth += 1
+                elif t in ")]}":
+                    depth = max(0, depth - 1)
     if not start:
-        opens = last == ":"
-        if previous or opens or width > stack[-1]:
-            out.append(("i", str(width), "1" if opens else "0", n))
-        previous = opens
+        close()
         n += 1
     out.append(("i", "0", "0", n))
     return out
 
 
 def permitted_pairs(spark: SparkSession) -> DataFrame:
-    """``(grammar, a, b)`` of all grammars: at most 7 * 45 * 45 rows."""
-    rows = [(g, a, b) for g in _TOKENS for a, b in sorted(_rules(g))]
-    return spark.createDataFrame(rows, "grammar string, a string, b string")
+    """``(grammar, kind, a, ok)`` with the pair in ``a``, of all grammars: at most 7 * 45 * 45 rows."""
+    rows = [(g, "p", a + b, True) for g in _TOKENS for a, b in sorted(_rules(g))]
+    return spark.createDataFrame(rows, "grammar string, kind string, a string, ok boolean")
 
 
 def broken_files(files: DataFrame) -> DataFrame:
     """``(file_id, problem)``: files whose text is not valid in the language of its extension, one row each.
 
-    The scan emits the distinct token pairs and statements of each file, the brackets that lines leave
-    open and the indentation of Python lines.  Pairs outside the permitted ones and statements that
+    The scan emits the distinct token pairs and statements of each file, the brackets that chunks of lines
+    leave open and the indentation of Python lines.  Pairs outside the permitted ones and statements that
     no production allows are found in the same stage; what remains for the shuffle by file are those and
     the brackets, whose nesting windows check: at every depth openings and closings alternate and agree.
 
@@ -421,14 +441,16 @@ def broken_files(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=["file_id", "grammar", "kind", "a", "b", "place"])
 
     rows = texts.mapInArrow(scan, "file_id string, grammar string, kind string, a string, b string, place bigint")
-    permitted = F.broadcast(permitted_pairs(spark).withColumn("kind", F.lit("p")).withColumn("ok", F.lit(True)))
-    marked = rows.join(permitted, ["grammar", "kind", "a", "b"], "left")
+    pairs = F.transform(F.sequence(F.lit(0), F.length("a") / 2 - 1), lambda i: F.substring(F.col("a"), (i * 2 + 1).cast("int"), F.lit(2)))
+    pieces = F.when(F.col("kind") == "p", pairs).when(F.col("kind") == "s", F.split("a", "\n")).when(F.col("kind") == "b", F.split("a", "")).otherwise(F.array("a"))
+    rows = rows.select("file_id", "grammar", "kind", "b", "place", F.posexplode(pieces).alias("nth", "a")).where(F.col("a") != "")
+    permitted = F.broadcast(permitted_pairs(spark))
+    marked = rows.join(permitted, ["grammar", "kind", "a"], "left")
     bad_statement = F.lit(False)
     for grammar, pattern in _BAD_STATEMENTS.items():
         bad_statement = F.when(F.col("grammar") == grammar, F.col("a").rlike(pattern)).otherwise(bad_statement)
     kept = marked.where(F.col("ok").isNull() & ((F.col("kind") != "s") | bad_statement))
-    signs = F.posexplode(F.when(F.col("kind") == "b", F.split("a", "")).otherwise(F.array("a")))
-    events = kept.select("file_id", "kind", "a", "b", "place", signs.alias("nth", "sign")).where("kind <> 'b' or sign <> ''")
+    events = kept.select("file_id", "kind", "a", "b", "place", "nth", F.col("a").alias("sign"))
     is_open = F.col("sign").isin("(", "[", "{")
     delta = F.when(F.col("kind") == "b", F.when(is_open, 1).otherwise(-1)).otherwise(0)
     in_order = Window.partitionBy("file_id", "kind").orderBy("place", "nth")
