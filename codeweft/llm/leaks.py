@@ -113,9 +113,9 @@ class LeakIndex:
             out.append([-math.log2((pairs[a, w] - mine[a, w] + 0.1) / (firsts[a] - heads[a] + 1.0)) if firsts[a] > heads[a] else 6.0 for a, w in zip(["", *ws], ws)])
         return out
 
-    def seeds(self, coded: list[int]) -> dict[int, set[int]]:
-        """Item -> diagonals (place in the text minus place in the item) on which a seed matches."""
-        hits: dict[int, set[int]] = {}
+    def seeds(self, coded: list[int]) -> dict[int, list[tuple[int, int]]]:
+        """Item -> places ``(in the text, in the item)`` at which a seed matches."""
+        hits: dict[int, list[tuple[int, int]]] = {}
         shift, width, buckets = self.shift, self.width, self.buckets
         i, n, skip = SEED - 1, len(coded), SEED - BLOCK + 1
         while i < n:
@@ -134,36 +134,38 @@ class LeakIndex:
                 continue
             start = i - SEED + 1
             for item, q in buckets[block].get(tuple(coded[start : i - 1]), ()):
-                hits.setdefault(item, set()).add(start - q)
+                hits.setdefault(item, []).append((start, q))
             i += 1
         return hits
 
     def passages(self, text: str) -> list[tuple[int, int]]:
         """``(item_id, words)`` of the items of which ``text`` holds a passage, with the length found.
 
-        The item that explains most of the text comes first, and words it explains count for no other:
+        The item with most seeds comes first, and words it explains count for no other:
         two items of one mould would else both be found in a passage of one of them.
         """
         get = self.ids.get
         coded = [get(w, -1) for w in words_of(text)]
-        out, queue = [], []
-        for item, diagonals in self.seeds(coded).items():
-            length, bits, spans = best_passage(coded, self.coded[item], self.shared[item], self.info[item], diagonals)
-            if length >= PASSAGE:
-                queue.append((-bits, item, length, spans, diagonals))
-        used = False
-        for _, item, length, spans, diagonals in sorted(queue):
-            if used:
-                length, _, spans = best_passage(coded, self.coded[item], self.shared[item], self.info[item], diagonals)
+        hits = self.seeds(coded)
+        out = []
+        while hits:
+            item = max(hits, key=lambda i: (len(hits[i]), -i))
+            places = hits.pop(item)
+            if len(places) < 2:  # 17 equal words in at most 5 runs hold two seeds at least
+                break
+            length, _, spans = best_passage(coded, self.coded[item], self.shared[item], self.info[item], {p - q for p, q in places})
             if length >= PASSAGE:
                 out.append((self.items[item][0], length))
-                # the rest of the item beside its passage, such as the part after a second interruption, is explained too
-                more = [(a + d, b + d) for d in diagonals for a, b, _, bits, _ in _windows(coded, self.coded[item], self.shared[item], self.info[item], d) if bits >= PART_BITS * 2]
-                for a, b in [*spans, *more]:
-                    coded[a:b] = [-1] * (b - a)
-                used = True
+                self._explain(coded, item, places, spans)
+                hits = {i: [x for x in ps if coded[x[0]] >= 0 and coded[x[0] + SEED - 1] >= 0] for i, ps in hits.items()}
         return out
 
+    def _explain(self, coded: list[int], item: int, places: list[tuple[int, int]], spans: list[tuple[int, int]]) -> None:
+        """Blank the words of a found item: its passage, and its other parts, such as after a second interruption."""
+        parts = [(a + d, b + d) for d in {p - q for p, q in places} for a, b, _, bits, _ in _windows(coded, self.coded[item], self.shared[item], self.info[item], d) if bits >= PART_BITS * 2]
+        for a, b in [*spans, *parts]:
+            coded[a:b] = [-1] * (b - a)
+
 
 def _windows(text: list[int], item: list[int], shared: list[bool], info: list[float], diagonal: int) -> list[tuple[int, int, int, float, float]]:
     """Windows ``(from, to, replaced, bits matched, bits in all)`` in item places, between runs of equal words."""

@@ -1,5 +1,5 @@
 """Registered queries of the llm sub-package: each module has ``QUERIES`` and ``SQL``."""
 
-from codeweft.llm.plans import code, documents, files
+from codeweft.llm.plans import code, documents, files, people
 
-PLANS = [code, documents, files]
+PLANS = [people, code, documents, files]
