@@ -39,7 +39,7 @@ _SHORT = {e.split()[0]: e.split()[1:] for e in SHORT_FORMS.split(";")}
 GENERIC = frozenset("unknown root admin administrator ubuntu build builder jenkins runner user me your name yourname nobody anonymous none na n/a test ci bot git github gitlab system service deploy deployer ec2-user vagrant default localhost developer guest support info noreply no-reply travis docker".split()) | {"", "-", "your name", "no name", "ci user", "build user", "?", "unknown user"}
 ROLE_MAILBOX = frozenset("dev info support noreply no-reply admin root build builds opensource oss it team git ci contact hello office mail me user users webmaster postmaster help security ops devops engineering developers github bot bots jenkins".split())
 #: Words of organisation names: legal forms, articles, and the kinds with their abbreviations (fixed values).
-LEGAL = frozenset("inc incorporated ltd limited llc gmbh ag ab oy as sa s.a. sarl bv nv plc co corp corporation company kg srl spa the and & pty".split())
+LEGAL = frozenset("inc incorporated ltd limited llc gmbh ag ab oy as sa s.a. sarl bv nv plc co corp corporation company kg srl spa the and & pty aktiebolag osakeyhtio gesellschaft mit beschrankter haftung aktiengesellschaft sociedad societe anonyme anonima aktieselskab besloten vennootschap naamloze".split())
 KINDS = {"labs": "laboratories", "laboratory": "laboratories", "lab": "laboratories", "intl": "international", "int'l": "international", "eng": "engineering", "engg": "engineering", "fdn": "foundation", "fnd": "foundation", "found": "foundation", "ind": "industries", "inds": "industries", "sys": "systems", "system": "systems", "sw": "software", "soft": "software", "cons": "consulting", "consult": "consulting", "tech": "technologies", "technology": "technologies", "univ": "university", "assoc": "association", "grp": "group", "solns": "solutions", "svcs": "services", "mfg": "manufacturing"}
 KIND_WORDS = frozenset(KINDS.values()) | frozenset(("holdings", "partners", "studio", "studios", "institute", "networks", "research"))
 _TITLES = re.compile(r"^(?:dr|prof|mr|mrs|ms|miss|ing|sir|dipl|mx)\.?\s+", re.I)
@@ -183,10 +183,11 @@ def _close(a: str, b: str, limit: int = 1) -> bool:
     return now[-1] <= limit
 
 
-def same_name(form: str, own_mail: bool, other: str, other_mail: bool) -> bool:
+def same_name(form: str, own_mail: bool, role: str | None, other: str, other_mail: bool, other_role: str | None) -> bool:
     """Whether a form may be a misspelling or short form of another.
 
-    Two forms whose surnames both stand in their own addresses, yet differ, are two people.
+    Two forms whose surnames both stand in their own addresses, yet differ, are two people; so are two
+    like names of which one writes from shared mailboxes only (``role``), unless both share one.
     """
     kind, a = form.split("|", 1)
     other_kind, b = other.split("|", 1)
@@ -196,6 +197,8 @@ def same_name(form: str, own_mail: bool, other: str, other_mail: bool) -> bool:
         (ra, _, ka), (rb, _, kb) = a.partition(" "), b.partition(" ")
         return ka == kb and (ra == rb or _close(ra, rb)) and not (own_mail and other_mail and ra != rb)
     (ga, fa), (gb, fb) = a.split("|"), b.split("|")
+    if role != other_role and fa != fb:
+        return False
     if (ga, fa) == (fb, gb):
         return True
     family = fa == fb or _close(fa, fb) and len(fa) > 4 and not (own_mail and other_mail)
@@ -258,7 +261,9 @@ def link_authors(authors: DataFrame, commits: DataFrame | None = None, rounds: i
         F.coalesce(F.split(F.col("mailbox"), "@")[1].contains(F.split(F.substring("form", 3, 200), " ")[0]), F.lit(False))
     )
     forms = formed.groupBy("form").agg(
-        F.sum("freq").alias("freq"), F.max(name_in_mail.cast("int")).alias("own_mail"), F.first("kind").alias("kind"), F.first("given").alias("given"), F.first("family").alias("family")
+        F.sum("freq").alias("freq"), F.max(name_in_mail.cast("int")).alias("own_mail"), F.first("kind").alias("kind"), F.first("given").alias("given"), F.first("family").alias("family"),
+        # set where every row of the form comes from a shared mailbox
+        F.when(F.count(F.when((F.col("kind") == "person") & F.col("mailbox").isNotNull() & F.col("handle").isNull(), 1)) == F.count(F.lit(1)), F.min("mailbox")).alias("role_mailbox"),
     )
     # names of mailboxes link forms of one surname; distinct, so a hot name brings one row
     handles = formed.where(F.col("handle").isNotNull() & (F.col("kind") == "person")).select("form", "family", "handle").distinct()
@@ -282,21 +287,21 @@ def _canonical_forms(forms: DataFrame, handles: DataFrame, rounds: int) -> DataF
     """``(form, freq, root)``: attachment of each form to its maximum posterior, followed to the root."""
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(form, int(freq), int(own), k, role, cost) for form, freq, own, kind, given, family in zip(b["form"], b["freq"], b["own_mail"], b["kind"], b["given"], b["family"]) for k, role, cost in _block_keys(kind, given, family, form, [])]
-            yield pd.DataFrame(out, columns=["form", "freq", "own_mail", "key", "role", "cost"])
+            out = [(form, int(freq), int(own), box, k, role, cost) for form, freq, own, box, kind, given, family in zip(b["form"], b["freq"], b["own_mail"], b["role_mailbox"], b["kind"], b["given"], b["family"]) for k, role, cost in _block_keys(kind, given, family, form, [])]
+            yield pd.DataFrame(out, columns=["form", "freq", "own_mail", "role_mailbox", "key", "role", "cost"])
 
     forms = cut_lineage(forms)
-    keyed = forms.mapInPandas(keys, "form string, freq bigint, own_mail int, key string, role string, cost double")
-    by_handle = handles.join(forms.select("form", "freq", "own_mail"), "form").select(
-        "form", "freq", "own_mail", F.concat_ws("|", F.lit("hf"), "handle", "family").alias("key"), F.lit("b").alias("role"), F.lit(LIKELIHOOD["handle"]).alias("cost")
+    keyed = forms.mapInPandas(keys, "form string, freq bigint, own_mail int, role_mailbox string, key string, role string, cost double")
+    by_handle = handles.join(forms.select("form", "freq", "own_mail", "role_mailbox"), "form").select(
+        "form", "freq", "own_mail", "role_mailbox", F.concat_ws("|", F.lit("hf"), "handle", "family").alias("key"), F.lit("b").alias("role"), F.lit(LIKELIHOOD["handle"]).alias("cost")
     )
     keyed = cut_lineage(keyed.unionByName(by_handle))
-    rank = F.struct("own_mail", "freq", "form")
+    rank = F.struct("own_mail", "freq", "form", "role_mailbox")
     index = keyed.where(F.col("role") == "b").groupBy("key").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("n"))
     asked = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n_asked"))
     index = index.join(asked, "key").where("n_asked > 1").select("key", "best", F.col("n_asked").alias("n"))
     offers = hot_cold_join(keyed, index, ["key"], "n", keyed.count()).where(F.col("best.form") != F.col("form"))
-    offers = offers.select("form", "own_mail", "freq", "role", "cost", F.col("best.form").alias("to"), F.col("best.own_mail").alias("to_mail"), F.col("best.freq").alias("to_freq"))
+    offers = offers.select("form", "own_mail", "role_mailbox", "freq", "role", "cost", F.col("best.form").alias("to"), F.col("best.own_mail").alias("to_mail"), F.col("best.role_mailbox").alias("to_mailbox"), F.col("best.freq").alias("to_freq"))
     # a short form goes to the full name whatever its frequency, every other form only up in rank
     short = F.col("role") == "q"
     up = F.struct(F.col("to_mail"), F.col("to_freq"), F.col("to")) > F.struct(F.col("own_mail"), F.col("freq"), F.col("form"))
@@ -304,7 +309,8 @@ def _canonical_forms(forms: DataFrame, handles: DataFrame, rounds: int) -> DataF
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[[same_name(f, bool(m), t, bool(n)) for f, m, t, n in zip(b["form"], b["own_mail"], b["to"], b["to_mail"])]]
+            text = lambda x: x if isinstance(x, str) else None
+            yield b[[same_name(f, bool(m), text(r), t, bool(n), text(q)) for f, m, r, t, n, q in zip(b["form"], b["own_mail"], b["role_mailbox"], b["to"], b["to_mail"], b["to_mailbox"])]]
 
     offers = offers.mapInPandas(judge, offers.schema)
     posterior = F.col("cost") + F.log(F.col("to_freq").cast("double") + 1)
