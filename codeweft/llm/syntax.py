@@ -118,7 +118,8 @@ def _class_of(token: str, grammar: str) -> str:
     return "Z"
 
 
-_MEMBER_CODE = re.compile(r"([.ad])[PGRECFIkVMXN](?!\()")
+#: Keywords that are names after a point: all in TypeScript and PHP, none in Go and Python.
+_MEMBER_CODE = {g: re.compile(r"([.ad])[PGRECFIkVMXN](?!\()") for g in ("ts", "php")} | {"java": re.compile(r"(\.)[CMN]"), "cs": re.compile(r"(\.)[M]"), "rust": re.compile(r"([.d])[NMI]")}
 
 
 def lex(text: str, grammar: str) -> tuple[str, list[str]]:
@@ -149,8 +150,8 @@ def lex(text: str, grammar: str) -> tuple[str, list[str]]:
                     c = memo[t] = "s" + "\x01" * t.count("\n")  # lines inside a string still count
         out.append(c)
     codes = "".join(out)
-    if "." in codes or "a" in codes or "d" in codes:  # keywords are names after a point
-        codes = _MEMBER_CODE.sub(r"\1i", codes)
+    if grammar in _MEMBER_CODE:
+        codes = _MEMBER_CODE[grammar].sub(r"\1i", codes)
     return lead + codes, tokens
 
 
