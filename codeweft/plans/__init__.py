@@ -1,5 +1,5 @@
 """Registered queries: each module has ``QUERIES`` and ``SQL``."""
 
-from codeweft.plans import scale
+from codeweft.plans import metrics, rollups, scale
 
-PLANS = [scale]
+PLANS = [metrics, rollups, scale]
