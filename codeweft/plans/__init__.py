@@ -1,5 +1,5 @@
 """Registered queries: each module has ``QUERIES`` and ``SQL``."""
 
-from codeweft.plans import metrics, rollups, scale
+from codeweft.plans import graph, metrics, quality, reports, rollups, scale
 
-PLANS = [metrics, rollups, scale]
+PLANS = [metrics, rollups, graph, quality, reports, scale]
