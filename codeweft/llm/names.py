@@ -114,7 +114,7 @@ def parse_author(author: str | None, email: str | None) -> dict:
     dotted = plain.rstrip().endswith(".")
     tokens = [t for t in tokens if t]
     if len(tokens) >= 3:  # middle names and initials carry no weight
-        tokens = [tokens[0], tokens[-1]] if len(tokens[-1]) > 1 else [tokens[1], tokens[0]] if len(tokens[0]) > 1 and False else [tokens[0], tokens[-1]]
+        tokens = [tokens[0], tokens[-1]]
     if len(tokens) == 2:
         a, b = tokens
         if len(a) > 1 and len(b) > 1:
@@ -318,12 +318,13 @@ def _canonical_forms(forms: DataFrame, handles: DataFrame, rounds: int) -> DataF
     tree = cut_lineage(forms.select("form", "freq").join(parent, "form", "left").withColumn("parent", F.coalesce("parent", F.col("form"))))
     # two short forms of each other would be a ring: the smaller name is the root then
     back = tree.select(F.col("form").alias("parent"), F.col("parent").alias("grand"))
+    n_forms = forms.count()
     tree = tree.join(back, "parent", "left").withColumn("parent", F.when((F.col("grand") == F.col("form")) & (F.col("form") < F.col("parent")), F.col("form")).otherwise(F.col("parent"))).drop("grand")
     for _ in range(rounds):
         tree = cut_lineage(tree)
         users = tree.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
         jump = tree.select(F.col("form").alias("parent"), F.col("parent").alias("next")).join(users, "parent")
-        tree = hot_cold_join(tree, jump, ["parent"], "n", 1_000_000_000).select("form", "freq", F.col("next").alias("parent"))
+        tree = hot_cold_join(tree, jump, ["parent"], "n", n_forms).select("form", "freq", F.col("next").alias("parent"))
     return cut_lineage(tree.select("form", "freq", F.col("parent").alias("root")))
 
 

@@ -44,10 +44,10 @@ _NAME = r"[^\W\d]\w*"
 _TOKENS = {
     "java": rf'{_C_COMMENT}|"""[\s\S]*?"""|{_STRING}|[^\W\d][\w$]*|{_NUMBER}|{_OPERATORS}|\n|\S',
     "cs": rf'{_C_COMMENT}|(?m:^[ \t]*#[ \t]*(?:if|else|elif|endif|region|endregion|pragma|define|undef|nullable|line|error|warning)\b[^\n]*)|"""[\s\S]*?"""|\$?@\$?"(?:""|[^"])*"|\$"(?:\\.|[^"\\\n])*"|{_STRING}|@?[^\W\d]\w*|{_NUMBER}|{_OPERATORS}|\n|\S',
-    "php": rf'\?>[\s\S]*?(?:<\?php\b|<\?=|$(?![\s\S]))|{_C_COMMENT}|#(?!\[)[^\n]*|<<<[ \t]*["\']?\w+["\']?\n(?:[^\n]*\n)*?[ \t]*\w+(?=[;,)\n])(?<=[A-Z])|"(?:\\[\s\S]|[^"\\])*"|\'(?:\\[\s\S]|[^\'\\])*\'|\$+[^\W\d]\w*|\\?[^\W\d]\w*(?:\\[^\W\d]\w*)*|{_NUMBER}|{_OPERATORS}|\n|\S',
-    "ts": rf'\A#![^\n]*|{_C_COMMENT}|`(?:\\[\s\S]|[^`\\])*`|{_STRING}|(?<=[=(,:!&|?{{}};\[\n])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*|[#@]?[$\w]*[^\W\d][$\w]*|\$+|{_NUMBER}|{_OPERATORS}|\n|\S',
+    "php": rf'\?>[\s\S]*?(?:<\?php\b|<\?=|$(?![\s\S]))|{_C_COMMENT}|#(?!\[)[^\n]*|<<<[ \t]*["\']?\w+["\']?\n(?:[^\n]*\n)*?[ \t]*\w+(?=[;,)\n])(?<=[A-Z])|"(?:\\[\s\S]|[^"\\])*"|\'(?:\\[\s\S]|[^\'\\])*\'|\$+[^\W\d]\w*|\\?[^\W\d]\w*(?:\\[^\W\d]\w*)*\\?|{_NUMBER}|{_OPERATORS}|\n|\S',
+    "ts": rf'\A#![^\n]*|{_C_COMMENT}|`(?:\\[\s\S]|\$\{{(?:[^{{}}`]|`[^`]*`|\{{[^{{}}]*\}})*\}}|[^`\\])*`|{_STRING}|(?:(?<=[=(,:!&|?{{}};\[\n])|(?<=[=(,:!&|?{{}};\[] ))/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*|[#@]?[$\w]*[^\W\d][$\w]*|\$+|{_NUMBER}|{_OPERATORS}|\n|\S',
     "go": rf'{_C_COMMENT}|`[^`]*`|{_STRING}|{_NAME}|{_NUMBER}|{_OPERATORS}|\n|\S',
-    "rust": rf'{_C_COMMENT}|b?r"[^"]*"|b?r#"[\s\S]*?"#|b?r##"[\s\S]*?"##|b?"(?:\\[\s\S]|[^"\\])*"|b?\'(?:\\(?:u\{{[^}}]*\}}|x..|.)|[^\'\\\n])\'|\'[^\W\d]\w*|r#\w+|{_NAME}|{_NUMBER}|{_OPERATORS}|\n|\S',
+    "rust": rf'{_C_COMMENT}|b?r"[^"]*"|b?r#"[\s\S]*?"#|b?r##"[\s\S]*?"##|b?"(?:\\[\s\S]|[^"\\])*"|b?\'(?:\\(?:u\{{[^}}]*\}}|x..|.)|[^\'\\\n])\'|\'[^\W\d]\w*|r#\w+|{_NAME}|{_NUMBER[3:]}|{_OPERATORS}|\n|\S',
     "python": rf'(?<=\n)[ \t]+(?=[^\s#])|\A[ \t]+(?=[^\s#])|#[^\n]*|(?i:[rbuf]{{0,2}})(?:"""(?:\\[\s\S]|[^\\])*?"""|\'\'\'(?:\\[\s\S]|[^\\])*?\'\'\')|(?i:[rbuf]{{0,2}})(?:"(?:\\[\s\S]|[^"\\\n])*"|\'(?:\\[\s\S]|[^\'\\\n])*\')|{_NAME}|{_NUMBER}|->|\*\*=?|//=?|:=|<<=?|>>=?|[-+*/%&|^@=!<>]=|\.\.\.|\\\n|\n|\S',
 }
 _CONFLICT = r"(?m:^(?:<{7}|={7}|>{7}|\|{7})(?=[ \r\n]|$)[^\n]*)"
@@ -98,7 +98,7 @@ def _class_of(token: str, grammar: str) -> str:
     if len(token) > 6 and token[:7] in ("<<<<<<<", "=======", ">>>>>>>", "|||||||"):
         return "Z"
     if c == "'" and grammar == "rust" and not token.endswith("'"):
-        return "i"  # a lifetime
+        return ""  # a lifetime says nothing on what may stand beside it
     if c in "\"'`" or token[-1] in "\"'`" and len(token) > 1:
         return "s" if len(token) > 1 else "Z"
     if c == "<" and token.startswith("<<<"):
@@ -113,11 +113,16 @@ def _class_of(token: str, grammar: str) -> str:
         return "v" if len(token) > 1 else "Z"
     if c.isdigit() or c == "." and len(token) > 1 and token[1].isdigit():
         return "n"
-    if c.isalpha() or c in "_$@#\\" and len(token) > 1 or c in "_$" and grammar in ("ts", "java"):
+    if c.isalpha() or c in "_$@#\\" and len(token) > 1 or c == "_" or c == "$" and grammar in ("ts", "java"):
         return "i"
     return "Z"
 
 
+#: Words that are keywords only in a construct of theirs; they count where the text holds one.
+_CONTEXTUAL = {
+    "python": [(re.compile(r"(?m)^[ \t]*match\b[^=\n]*:[ \t]*(?:#.*)?$"), {"match": "G", "case": "G"})],
+    "cs": [(re.compile(r"\bfrom\s+(?:\w+\s+)?\w+\s+in\b"), dict.fromkeys("from where orderby select group by into join on equals let ascending descending".split(), "X"))],
+}
 #: Keywords that are names after a point: all in TypeScript and PHP, none in Go and Python.
 _MEMBER_CODE = {g: re.compile(r"([.ad])[PGRECFIkVMXN](?!\()") for g in ("ts", "php")} | {"java": re.compile(r"(\.)[CMN]"), "cs": re.compile(r"(\.)[M]"), "rust": re.compile(r"([.d])[NMI]")}
 
@@ -135,6 +140,9 @@ def lex(text: str, grammar: str) -> tuple[str, list[str]]:
             return "H", []
         text, lead = text[at.end():], "H"
     tokens = pattern.findall(text)
+    for found, words in _CONTEXTUAL.get(grammar, ()):
+        if found.search(text):
+            table = table | words
     known = table.get
     memo: dict[str, str] = {}
     out = []
@@ -165,7 +173,7 @@ def _rules(grammar: str) -> set[tuple[str, str]]:
 
     c_like = grammar in ("java", "cs", "php")
     # an operator needs an operand on its right, an assignment a value
-    ban("b=", "b=)],;:?}$X" + ("L" if grammar == "python" else ""), "" if grammar != "ts" else "")
+    ban("b=", "b=)],;:?}$" + ("" if grammar == "go" else "X") + ("L" if grammar == "python" else ""))
     ban("=", "E" + ("" if grammar == "ts" else "C"), "")
     ban("m", ")]b=" + ("$" if grammar != "python" else "$"), "" if grammar not in ("go", "rust", "python", "ts") else ")]" if grammar != "rust" else ")]}")
     ban("!", ")]}b,;:$" if grammar not in ("rust", "ts", "cs") else "$")
@@ -272,6 +280,11 @@ def _rules(grammar: str) -> set[tuple[str, str]]:
         no.update({(";", ";"), ("^", ";"), ("L", ";")})
         no.update((a, ";") for a in ":,")
         ban("v#H?", CLASSES)
+    # forms of one grammar that the general bans are too strict for
+    no -= {
+        "go": {("V", ")")}, "ts": {("P", "{")}, "cs": {("P", "{"), ("=", "X")}, "php": {("P", "m"), ("P", "e")}, "python": {("E", "n"), ("E", "s"), (",", "b"), ("b", ","), ("R", ")"), ("b", ")")},
+        "rust": {(x, "b") for x in "=(,b"} | {("b", "{"), ("b", "b")}, "java": set(),
+    }[grammar]
     # the end of a file ends a statement
     if grammar in ("java", "cs"):
         no.update((a, "$") for a in CLASSES if a not in ";}^" + ("]" if grammar == "cs" else ""))
@@ -289,10 +302,10 @@ def _rules(grammar: str) -> set[tuple[str, str]]:
 #: Productions that no statement of a grammar has, over classes without line ends (PHP, Java, C#, Rust) or with them.
 _BAD_STATEMENTS = {
     # three names in a row; a return that no semicolon ends; a qualified name after two names
-    "java": r"iii|R[^;{}]*\}$|[^P)=,(]P\([^;]*\)\}$|^I[^;]*[{}]",
-    "cs": r"iii|R[^;{}]*\}$|iid|^I[^;{(]*\}",
-    "php": r"R[^;{}]*\}$",
-    "rust": r"^F[^({<]|^I[^;]*\}$",
+    "java": r"iii|^R[^;{}]*\}$|[^P)=,(]P\([^;]*\)\}$|^I[^;]*[{}]",
+    "cs": r"iii|^R[^;{}]*\}$|iid|^I[^;{(]*\}",
+    "php": r"^R[^;{}]*\}$",
+    "rust": r"^I[^;{]*\}$",
     "ts": r"^I[^s(=.{]*$|^C[^{;]*;",
     "go": r"iii|^I[^(s]*$|^I[^(]*;",
     "python": r"^[GEFC][^:]*$|^(?![GEFCM])[^:\[({N]*:$|^F(?!i\()|^Mi",
@@ -321,6 +334,8 @@ def rows_of(text: str, grammar: str) -> list[tuple[str, str, str, int]]:
     codes, tokens = lex(text, grammar)
     plain = codes.replace("\x01", "")
     out: list[tuple[str, str, str, int]] = []
+    if "\x00" in text:  # no language has such a character in its source, strings and comments included
+        out.append(("e", "NUL", "", 0))
     if "Z" in plain:
         out.append(("e", "Z", "", plain.index("Z")))
     lines = re.sub(r"[^()\[\]{}L\x01]+", "", codes).replace("\x01", "L").split("L")
