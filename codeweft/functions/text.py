@@ -27,10 +27,12 @@ def tokens(text, stop_words: Sequence[str] = ()) -> Column:
 def ngrams(toks, low: int = 1, high: int = 2) -> Column:
     """All runs of ``low`` to ``high`` tokens, joined by a blank, shorter runs first."""
     t = _c(toks)
-    runs = [
-        F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i, n=n: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-        for n in range(low, high + 1)
-    ]
+
+    def run(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(t) - (n - 1))
+        return F.when(F.size(t) >= n, F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    runs = [run(n) for n in range(low, high + 1)]
     return F.concat(*runs)
 
 
