@@ -220,7 +220,7 @@ def _fragment_keys(given: str, family: str) -> list[tuple[str, str]]:
     return list(dict.fromkeys(out))
 
 
-def link_authors(authors: DataFrame, commits: DataFrame | None = None, rounds: int = 4) -> DataFrame:
+def link_authors(authors: DataFrame, commits: DataFrame | None = None, rounds: int = 3) -> DataFrame:
     """``(identity_id, entity)``: every row of ``authors(identity_id, author, email)`` with the id of its person.
 
     1. Parse: full names and organisations give forms; what is left are fragments (initials, handles,
@@ -297,10 +297,9 @@ def _canonical_forms(forms: DataFrame, handles: DataFrame, rounds: int) -> DataF
     )
     keyed = cut_lineage(keyed.unionByName(by_handle))
     rank = F.struct("own_mail", "freq", "form", "role_mailbox")
-    index = keyed.where(F.col("role") == "b").groupBy("key").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("n"))
-    asked = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n_asked"))
-    index = index.join(asked, "key").where("n_asked > 1").select("key", "best", F.col("n_asked").alias("n"))
-    offers = hot_cold_join(keyed, index, ["key"], "n", keyed.count()).where(F.col("best.form") != F.col("form"))
+    index = keyed.where(F.col("role") == "b").groupBy("key").agg(F.max(rank).alias("best"))
+    # forms are distinct names, so no block of like names is hot; a skewed partition is split by the adaptive join
+    offers = keyed.join(index, "key").where(F.col("best.form") != F.col("form"))
     offers = offers.select("form", "own_mail", "role_mailbox", "freq", "role", "cost", F.col("best.form").alias("to"), F.col("best.own_mail").alias("to_mail"), F.col("best.role_mailbox").alias("to_mailbox"), F.col("best.freq").alias("to_freq"))
     # a short form goes to the full name whatever its frequency, every other form only up in rank
     short = F.col("role") == "q"
@@ -318,13 +317,10 @@ def _canonical_forms(forms: DataFrame, handles: DataFrame, rounds: int) -> DataF
     tree = cut_lineage(forms.select("form", "freq").join(parent, "form", "left").withColumn("parent", F.coalesce("parent", F.col("form"))))
     # two short forms of each other would be a ring: the smaller name is the root then
     back = tree.select(F.col("form").alias("parent"), F.col("parent").alias("grand"))
-    n_forms = forms.count()
     tree = tree.join(back, "parent", "left").withColumn("parent", F.when((F.col("grand") == F.col("form")) & (F.col("form") < F.col("parent")), F.col("form")).otherwise(F.col("parent"))).drop("grand")
     for _ in range(rounds):
         tree = cut_lineage(tree)
-        users = tree.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
-        jump = tree.select(F.col("form").alias("parent"), F.col("parent").alias("next")).join(users, "parent")
-        tree = hot_cold_join(tree, jump, ["parent"], "n", n_forms).select("form", "freq", F.col("next").alias("parent"))
+        tree = tree.join(tree.select(F.col("form").alias("parent"), F.col("parent").alias("next")), "parent").select("form", "freq", F.col("next").alias("parent"))
     return cut_lineage(tree.select("form", "freq", F.col("parent").alias("root")))
 
 
