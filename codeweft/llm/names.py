@@ -39,7 +39,7 @@ _SHORT = {e.split()[0]: e.split()[1:] for e in SHORT_FORMS.split(";")}
 GENERIC = frozenset("unknown root admin administrator ubuntu build builder jenkins runner user me your name yourname nobody anonymous none na n/a test ci bot git github gitlab system service deploy deployer ec2-user vagrant default localhost developer guest support info noreply no-reply travis docker".split()) | {"", "-", "your name", "no name", "ci user", "build user", "?", "unknown user"}
 ROLE_MAILBOX = frozenset("dev info support noreply no-reply admin root build builds opensource oss it team git ci contact hello office mail me user users webmaster postmaster help security ops devops engineering developers github bot bots jenkins".split())
 #: Words of organisation names: legal forms, articles, and the kinds with their abbreviations (fixed values).
-LEGAL = frozenset("inc incorporated ltd limited llc gmbh ag ab oy as sa s.a. sarl bv nv plc co corp corporation company kg srl spa the and & pty aktiebolag osakeyhtio gesellschaft mit beschrankter haftung aktiengesellschaft sociedad societe anonyme anonima aktieselskab besloten vennootschap naamloze".split())
+LEGAL = frozenset("inc incorporated ltd limited llc gmbh ag ab oy as sa s.a. sarl bv nv plc co corp corporation company kg srl spa the and & pty aktiebolag osakeyhtio gesellschaft mit mbh beschrankter haftung aktiengesellschaft sociedad societe anonyme anonima aktieselskab besloten vennootschap naamloze".split())
 KINDS = {"labs": "laboratories", "laboratory": "laboratories", "lab": "laboratories", "intl": "international", "int'l": "international", "eng": "engineering", "engg": "engineering", "fdn": "foundation", "fnd": "foundation", "found": "foundation", "ind": "industries", "inds": "industries", "sys": "systems", "system": "systems", "sw": "software", "soft": "software", "cons": "consulting", "consult": "consulting", "tech": "technologies", "technology": "technologies", "univ": "university", "assoc": "association", "grp": "group", "solns": "solutions", "svcs": "services", "mfg": "manufacturing"}
 KIND_WORDS = frozenset(KINDS.values()) | frozenset(("holdings", "partners", "studio", "studios", "institute", "networks", "research"))
 _TITLES = re.compile(r"^(?:dr|prof|mr|mrs|ms|miss|ing|sir|dipl|mx)\.?\s+", re.I)
@@ -141,7 +141,7 @@ def parse_author(author: str | None, email: str | None) -> dict:
 
 
 #: Log likelihoods of the channels: how often a spelling of a person comes about so.
-LIKELIHOOD = {"exact": 0.0, "short": math.log(0.05), "typo": math.log(0.02), "mailbox": math.log(0.2), "name": math.log(0.05), "handle": math.log(0.1), "owner": math.log(0.01)}
+LIKELIHOOD = {"exact": 0.0, "short": math.log(0.01), "typo": math.log(0.01), "mailbox": math.log(0.2), "name": math.log(0.05), "handle": math.log(0.5), "owner": math.log(0.01)}
 #: A spelling stays on its own below this log posterior; what is left is the share of the best candidate.
 LEAST_SHARE = 0.5
 
@@ -213,7 +213,8 @@ def _fragment_keys(given: str, family: str) -> list[tuple[str, str]]:
     """Keys under which a person is found by fragments of the name."""
     shorts = _SHORT.get(given, [])
     names = [given, *shorts, *FORMAL.get(given, ())]
-    out = [("if", f"{n[0]}|{family}") for n in {given, *FORMAL.get(given, ())}]
+    # people write the initial of their full name, hardly that of a short form
+    out = [("if", f"{n[0]}|{family}") for n in FORMAL.get(given, [given])]
     out += [("gi", f"{n}|{family[0]}") for n in names] + [("g", n) for n in names]
     out += [("j", n + family) for n in names] + [("j", family + given), ("j", given[0] + family), ("j", given[:3] + family), ("j", family + given[0])]
     out += [("in", given[0] + family[0])] + [("f", family[:n]) for n in (3, 4, 5)]

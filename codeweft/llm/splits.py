@@ -26,13 +26,13 @@ def path_key(path: Column, prefixes: tuple[str, ...] = ("/builds/",)) -> Column:
 
 
 def class_key(name: Column, language: Column) -> Column:
-    """A class with namespace in a language however written; null for bare names, which connect nothing."""
+    """A class with namespace in a language however written; null for bare names and without a language, which connect nothing."""
     c = F.regexp_replace(F.regexp_replace(F.trim(name), r"\\|::|/", "."), r"\.+", ".")
     c = F.regexp_replace(c, r"^\.|\.$", "")
-    lang = F.lower(F.trim(F.coalesce(language, F.lit(""))))
+    lang = F.lower(F.trim(language))
     alias = F.create_map(*[F.lit(x) for pair in LANGUAGE_ALIASES.items() for x in pair])
     lang = F.coalesce(F.try_element_at(alias, lang), lang)
-    return F.when(c.contains("."), F.concat_ws("|", lang, c))
+    return F.when(c.contains(".") & lang.isNotNull() & (lang != ""), F.concat_ws("|", lang, c))
 
 
 def related_groups(records: DataFrame, key: str, left: Column, right: Column, max_rounds: int = 60) -> DataFrame:
