@@ -227,7 +227,7 @@ def link_authors(authors: DataFrame, commits: DataFrame | None = None, rounds: i
     1. Parse: full names and organisations give forms; what is left are fragments (initials, handles,
        single names) and generic accounts.
     2. Frequency prior: commits of the spelling plus its rows.  Forms ranked by (surname stands in an own
-       address, frequency) are the candidates of each block of like spellings; a form is attached to
+       address, given name is a known full name, frequency) are the candidates of each block of like spellings; a form is attached to
        the block's first form, over the blocks to that of maximum posterior (prior + typo, short-form or
        address likelihood).  Attachments always lead up in rank, so they form trees; their roots are the canonical forms.
     3. Fragments ask for (mailbox or handle, piece of the name), then for the piece alone; the answer of a
@@ -288,13 +288,14 @@ def _canonical_forms(forms: DataFrame, handles: DataFrame, rounds: int) -> DataF
     """``(form, freq, root)``: attachment of each form to its maximum posterior, followed to the root."""
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(form, int(freq), int(own), box, k, role, cost) for form, freq, own, box, kind, given, family in zip(b["form"], b["freq"], b["own_mail"], b["role_mailbox"], b["kind"], b["given"], b["family"]) for k, role, cost in _block_keys(kind, given, family, form, [])]
+            out = [(form, int(freq), 2 * int(own) + (given in _SHORT), box, k, role, cost) for form, freq, own, box, kind, given, family in zip(b["form"], b["freq"], b["own_mail"], b["role_mailbox"], b["kind"], b["given"], b["family"]) for k, role, cost in _block_keys(kind, given, family, form, [])]
             yield pd.DataFrame(out, columns=["form", "freq", "own_mail", "role_mailbox", "key", "role", "cost"])
 
     forms = cut_lineage(forms)
     keyed = forms.mapInPandas(keys, "form string, freq bigint, own_mail int, role_mailbox string, key string, role string, cost double")
-    by_handle = handles.join(forms.select("form", "freq", "own_mail", "role_mailbox"), "form").select(
-        "form", "freq", "own_mail", "role_mailbox", F.concat_ws("|", F.lit("hf"), "handle", "family").alias("key"), F.lit("b").alias("role"), F.lit(LIKELIHOOD["handle"]).alias("cost")
+    full_name = F.coalesce(F.col("given").isin(list(_SHORT)), F.lit(False)).cast("int")
+    by_handle = handles.join(forms.select("form", "freq", "own_mail", "role_mailbox", "given"), "form").select(
+        "form", "freq", (F.col("own_mail") * 2 + full_name).alias("own_mail"), "role_mailbox", F.concat_ws("|", F.lit("hf"), "handle", "family").alias("key"), F.lit("b").alias("role"), F.lit(LIKELIHOOD["handle"]).alias("cost")
     )
     keyed = cut_lineage(keyed.unionByName(by_handle))
     rank = F.struct("own_mail", "freq", "form", "role_mailbox")
@@ -310,7 +311,7 @@ def _canonical_forms(forms: DataFrame, handles: DataFrame, rounds: int) -> DataF
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             text = lambda x: x if isinstance(x, str) else None
-            yield b[[same_name(f, bool(m), text(r), t, bool(n), text(q)) for f, m, r, t, n, q in zip(b["form"], b["own_mail"], b["role_mailbox"], b["to"], b["to_mail"], b["to_mailbox"])]]
+            yield b[[same_name(f, m >= 2, text(r), t, n >= 2, text(q)) for f, m, r, t, n, q in zip(b["form"], b["own_mail"], b["role_mailbox"], b["to"], b["to_mail"], b["to_mailbox"])]]
 
     offers = offers.mapInPandas(judge, offers.schema)
     posterior = F.col("cost") + F.log(F.col("to_freq").cast("double") + 1)
