@@ -221,7 +221,7 @@ def _fragment_keys(given: str, family: str) -> list[tuple[str, str]]:
     return list(dict.fromkeys(out))
 
 
-def link_authors(authors: DataFrame, commits: DataFrame | None = None, rounds: int = 3) -> DataFrame:
+def link_authors(authors: DataFrame, commits: DataFrame | None = None, rounds: int = 20) -> DataFrame:
     """``(identity_id, entity)``: every row of ``authors(identity_id, author, email)`` with the id of its person.
 
     1. Parse: full names and organisations give forms; what is left are fragments (initials, handles,
@@ -273,10 +273,11 @@ def link_authors(authors: DataFrame, commits: DataFrame | None = None, rounds: i
     linked = people.select("identity_id", F.col("root").alias("entity"), "mailbox", "handle", "freq")
     roots = root.groupBy("root").agg(F.sum("freq").alias("freq"))
     names = cut_lineage(root.where(F.col("form").startswith("P|")).select("root", F.split("form", r"\|")[1].alias("given"), F.split("form", r"\|")[2].alias("family")).join(roots, "root"))
+    pieces = cut_lineage(_name_pieces(names))
     fragments = parsed.where(F.col("kind") == "fragment")
     for _ in range(2):
         linked = cut_lineage(linked)
-        best = cut_lineage(_attribute(fragments, linked, names, n_rows))
+        best = cut_lineage(_attribute(fragments, linked, pieces, n_rows))
         linked = linked.unionByName(best.select("identity_id", "entity", "mailbox", "handle", "freq"))
         fragments = cut_lineage(fragments.join(best.select("identity_id"), "identity_id", "left_anti"))
     alone = fragments.select("identity_id", F.concat(F.lit("R|"), F.col("identity_id").cast("string")).alias("entity"))
@@ -320,20 +321,28 @@ def _canonical_forms(forms: DataFrame, handles: DataFrame, rounds: int) -> DataF
     # two short forms of each other would be a ring: the smaller name is the root then
     back = tree.select(F.col("form").alias("parent"), F.col("parent").alias("grand"))
     tree = tree.join(back, "parent", "left").withColumn("parent", F.when((F.col("grand") == F.col("form")) & (F.col("form") < F.col("parent")), F.col("form")).otherwise(F.col("parent"))).drop("grand")
-    for _ in range(rounds):
-        tree = cut_lineage(tree)
-        tree = tree.join(tree.select(F.col("form").alias("parent"), F.col("parent").alias("next")), "parent").select("form", "freq", F.col("next").alias("parent"))
-    return cut_lineage(tree.select("form", "freq", F.col("parent").alias("root")))
-
-
-def _attribute(fragments: DataFrame, linked: DataFrame, names: DataFrame, n_rows: int) -> DataFrame:
-    """Fragments with their person of maximum posterior, as ``linked``."""
+    for _ in range(rounds):  # each round doubles the length of the chains that are followed
+        tree = tree.join(tree.select(F.col("form").alias("parent"), F.col("parent").alias("next")), "parent")
+        tree = cut_lineage(tree.select("form", "freq", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved")))
+        moved = tree.where("moved").limit(1).count()
+        tree = tree.select("form", "freq", "parent")
+        if not moved:
+            break
+    return tree.withColumnRenamed("parent", "root")
+
+
+def _name_pieces(names: DataFrame) -> DataFrame:
+    """``(entity, freq, k, v)``: pieces of each person's names under which fragments may ask."""
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [(r, int(f), k, v) for r, f, g, fam in zip(b["root"], b["freq"], b["given"], b["family"]) for k, v in _fragment_keys(g, fam)]
             yield pd.DataFrame(out, columns=["entity", "freq", "k", "v"])
 
-    pieces = cut_lineage(names.mapInPandas(keys, "entity string, freq bigint, k string, v string").distinct())
+    return names.mapInPandas(keys, "entity string, freq bigint, k string, v string").distinct()
+
+
+def _attribute(fragments: DataFrame, linked: DataFrame, pieces: DataFrame, n_rows: int) -> DataFrame:
+    """Fragments with their person of maximum posterior, as ``linked``."""
     mail = linked.select("entity", F.explode(F.array_compact(F.array(F.concat(F.lit("m:"), "mailbox"), F.concat(F.lit("h:"), "handle")))).alias("mail")).distinct()
     owners = mail.join(linked.groupBy("entity").agg(F.sum("freq").alias("freq")), "entity")
     # a name piece counts with an address: pieces of the people at the address
