@@ -25,6 +25,9 @@ def watch(spark: SparkSession, folder: str, recompute: Callable[[DataFrame], Non
 
 def run_to_end(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Drive a bounded stream to its end through a memory table (tests and demonstrations)."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if shared:  # the cluster's shared folder; Spark's own temporary one only in a local session
+        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/streams/{name}")
+    writer.start().awaitTermination()
     return df.sparkSession.table(name)
