@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.session import spread
+
 #: Comment markers of each language: line comment by slashes, by hash, block comments.
 MARKERS = {"Python": (False, True, False), "PHP": (True, True, True)}
 _DECISIONS = {"n_if": r"(?<!else )\bif\b", "n_elseif": r"\belse if\b|\belseif\b|\belif\b", "n_loop": r"\b(?:for|foreach|while|loop)\b", "n_case": r"\bcase\b", "n_switch": r"\b(?:switch|match)\b"}
@@ -66,7 +68,7 @@ def file_lines(files: DataFrame) -> DataFrame:
             rows = [(f, *(line_counts(t.split("\n"), *MARKERS.get(lang, (True, False, True))) if isinstance(t, str) else (None,) * 4)) for f, lang, t in zip(b["file_id"], b["programming_language"], b["source_text"])]
             yield pd.DataFrame(rows, columns=["file_id", "loc", "lloc", "cloc", "ncloc"]).astype({c: "Int32" for c in ("loc", "lloc", "cloc", "ncloc")})
 
-    return files.select("file_id", "programming_language", "source_text").mapInPandas(run, "file_id string, loc int, lloc int, cloc int, ncloc int")
+    return spread(files.select("file_id", "programming_language", "source_text")).mapInPandas(run, "file_id string, loc int, lloc int, cloc int, ncloc int")
 
 
 def _python_units(text: str) -> list[dict]:
@@ -168,7 +170,7 @@ def extract_units(files: DataFrame) -> DataFrame:
                     rows.append((f, u["kind"], u["name"], u.get("owner"), u.get("start"), u.get("stop"), *(u.get(k) for k in _DECISIONS), len(ops), len(set(ops)), len(opd), len(set(opd)), u.get("n_parameters")))
             yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in names[4:]})
 
-    return files.select("file_id", "programming_language", "source_text").mapInPandas(run, UNIT_SCHEMA)
+    return spread(files.select("file_id", "programming_language", "source_text")).mapInPandas(run, UNIT_SCHEMA)
 
 
 def distinct_units(units: DataFrame, keys: list[str], order: str) -> DataFrame:

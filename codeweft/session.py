@@ -53,3 +53,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for scans that work hard on every row.
+
+    A table that is read in enough splits stays as it is, without a shuffle; only an input of fewer
+    splits than cores (one small file) is dealt out.
+    """
+    sc = df.sparkSession.sparkContext
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= sc.defaultParallelism:
+        return df
+    return df.repartition(sc.defaultParallelism)
