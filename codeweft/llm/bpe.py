@@ -14,6 +14,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from codeweft.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: How byte-level BPE cuts text into pieces before merging (fixed value of the vocabulary).
@@ -182,7 +184,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     """``(doc_id, ids)``, one row per row of ``docs``: whole texts, no special tokens.
 
     The names of special tokens inside a text are ordinary text.  An empty text has the empty list,
-    a null text a null.  No shuffle; ``vocabulary`` must exist under that path on the executors.
+    a null text a null.  No shuffle unless the input has fewer splits than cores; ``vocabulary`` must exist under that path on the executors.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,4 +201,4 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, end - at), pa.array(ids, type=pa.list_(pa.int32()))], names=["doc_id", "ids"])
                 at = end
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id bigint, ids array<int>")
+    return spread(docs.select("doc_id", "text")).mapInArrow(encode, "doc_id bigint, ids array<int>")

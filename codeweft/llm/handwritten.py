@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.operators.skew import hot_cold_join
-from codeweft.session import cut_lineage
+from codeweft.session import cut_lineage, spread
 
 #: Phrases of generation notices with their weight; a header needs a sum of 2 (fixed values).
 GENERATED_PHRASES = {
@@ -232,7 +232,7 @@ def judge_files(files: DataFrame) -> DataFrame:
             yield pd.concat([b[["file_id", "repo", "programming_language"]].reset_index(drop=True), out], axis=1)
 
     schema = "file_id string, repo string, programming_language string, reason string, project string, stem string, digest string"
-    judged = cut_lineage(own.mapInPandas(judge, schema))
+    judged = cut_lineage(spread(own).mapInPandas(judge, schema))
     foreign = F.col("reason").isin("vendored path", "third-party notice")
     rows = judged.count()
     bodies = judged.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(foreign.cast("int")).alias("copied")).where("copied = 1").select("digest", "n", F.lit(True).alias("body_copied"))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.session import spread
+
 #: A passage has at least so many words, of which one in REPLACED may differ.
 PASSAGE = 20
 REPLACED = 6
@@ -240,6 +242,6 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield pd.DataFrame(hits, columns=["doc_id", "item_id", "n_words"]).astype("int64")
 
         texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
-        hits = texts.mapInPandas(search, "doc_id bigint, item_id bigint, n_words bigint")
+        hits = spread(texts).mapInPandas(search, "doc_id bigint, item_id bigint, n_words bigint")
         found = hits if found is None else found.unionByName(hits)
     return found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))

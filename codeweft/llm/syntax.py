@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeweft.session import spread
+
 #: Extension -> grammar.
 GRAMMARS = {"go": "go", "php": "php", "py": "python", "rs": "rust", "ts": "ts", "tsx": "ts", "mts": "ts", "js": "ts", "jsx": "ts", "mjs": "ts", "cjs": "ts", "java": "java", "cs": "cs"}
 
@@ -456,7 +458,7 @@ def broken_files(files: DataFrame) -> DataFrame:
                 types = [pa.string()] * 5 + [pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=["file_id", "grammar", "kind", "a", "b", "place"])
 
-    rows = texts.mapInArrow(scan, "file_id string, grammar string, kind string, a string, b string, place bigint")
+    rows = spread(texts).mapInArrow(scan, "file_id string, grammar string, kind string, a string, b string, place bigint")
     pairs = F.transform(F.sequence(F.lit(0), (F.length("a") / 2).cast("int") - 1), lambda i: F.substring(F.col("a"), i * 2 + 1, F.lit(2)))
     pieces = F.when(F.col("kind") == "p", pairs).when(F.col("kind") == "s", F.split("a", "\n")).when(F.col("kind") == "b", F.split("a", "")).otherwise(F.array("a"))
     rows = rows.select("file_id", "grammar", "kind", "b", "place", F.posexplode(pieces).alias("nth", "a")).where(F.col("a") != "")
