@@ -17,7 +17,6 @@ from codeweft.plans.quality import _REV, g16_test_quality, i04_god_tests, i05_or
 from codeweft.session import load
 
 R = lambda c, n=6: F.round(c, n)
-_SEVERITY = F.create_map(*[F.lit(x) for kv in {"high": 0, "medium": 1, "low": 2}.items() for x in kv])
 
 
 def e23_context_missing(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +115,7 @@ def i10_file_table(spark, sf):
 def i11_findings_order(spark, sf):
     """The 50 first findings by severity, subject and kind (I-11, B-14)."""
     found = m03_function_findings(spark, sf).select("kind", "severity", "subject").unionByName(m06_index_findings(spark, sf).select("kind", "severity", "subject"))
-    return found.withColumn("rank", F.element_at(_SEVERITY, F.col("severity"))).orderBy("rank", "subject", "kind").limit(50)
+    return found.withColumn("rank", F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)).orderBy("rank", "subject", "kind").limit(50)
 
 
 def i13_top_classes(spark, sf):
