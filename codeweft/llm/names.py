@@ -272,14 +272,14 @@ def link_authors(authors: DataFrame, commits: DataFrame | None = None, rounds: i
     people = hot_cold_join(formed.select("identity_id", "form", "freq", "mailbox", "handle", "given", "family", "kind"), root.select("form", "root").join(formed.groupBy("form").agg(F.count(F.lit(1)).alias("n")), "form"), ["form"], "n", n_rows).drop("n")
     linked = people.select("identity_id", F.col("root").alias("entity"), "mailbox", "handle", "freq")
     roots = root.groupBy("root").agg(F.sum("freq").alias("freq"))
-    names = cut_lineage(root.where(F.col("form").startswith("P|")).select("root", F.split("form", r"\|")[1].alias("given"), F.split("form", r"\|")[2].alias("family")).join(roots, "root"))
+    names = root.where(F.col("form").startswith("P|")).select("root", F.split("form", r"\|")[1].alias("given"), F.split("form", r"\|")[2].alias("family")).join(roots, "root")
     pieces = cut_lineage(_name_pieces(names))
     fragments = parsed.where(F.col("kind") == "fragment")
     for _ in range(2):
         linked = cut_lineage(linked)
         best = cut_lineage(_attribute(fragments, linked, pieces, n_rows))
         linked = linked.unionByName(best.select("identity_id", "entity", "mailbox", "handle", "freq"))
-        fragments = cut_lineage(fragments.join(best.select("identity_id"), "identity_id", "left_anti"))
+        fragments = fragments.join(best.select("identity_id"), "identity_id", "left_anti")
     alone = fragments.select("identity_id", F.concat(F.lit("R|"), F.col("identity_id").cast("string")).alias("entity"))
     generic = parsed.where(F.col("kind") == "generic").select("identity_id", F.coalesce("form", F.concat(F.lit("R|"), F.col("identity_id").cast("string"))).alias("entity"))
     return linked.select("identity_id", "entity").unionByName(alone).unionByName(generic)
@@ -370,9 +370,11 @@ def _attribute(fragments: DataFrame, linked: DataFrame, pieces: DataFrame, n_row
 
 
 def same_entity_pairs(links: DataFrame) -> DataFrame:
-    """``(identity_a, identity_b)``: every pair of rows of one entity, the smaller id first."""
-    links = cut_lineage(links)
-    sizes = links.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    several = cut_lineage(hot_cold_join(links, sizes, ["entity"], "n", links.count()).select("identity_id", "entity"))
-    a, b = several.select(F.col("identity_id").alias("identity_a"), "entity"), several.select(F.col("identity_id").alias("identity_b"), "entity")
+    """``(identity_a, identity_b)``: every pair of rows of one entity, the smaller id first.
+
+    The pairs are the result asked for; entities of one row pair with nothing, and a skewed
+    partition is split by the adaptive join.
+    """
+    links = cut_lineage(links.select("identity_id", "entity"))
+    a, b = links.select(F.col("identity_id").alias("identity_a"), "entity"), links.select(F.col("identity_id").alias("identity_b"), "entity")
     return a.join(b, "entity").where(F.col("identity_a") < F.col("identity_b")).select("identity_a", "identity_b")
