@@ -164,13 +164,14 @@ class LeakIndex:
 
     def _explain(self, coded: list[int], item: int, places: list[tuple[int, int]], spans: list[tuple[int, int]]) -> None:
         """Blank the words of a found item: its passage, and its other parts, such as after a second interruption."""
-        parts = [(a + d, b + d) for d in {p - q for p, q in places} for a, b, _, bits, _ in _windows(coded, self.coded[item], self.shared[item], self.info[item], d) if bits >= PART_BITS * 2]
+        parts = [(a + d, b + d) for d in {p - q for p, q in places} for a, b, _, bits, _, _ in _whole_windows(coded, self.coded[item], self.shared[item], self.info[item], d) if bits >= PART_BITS * 2]
         for a, b in [*spans, *parts]:
             coded[a:b] = [-1] * (b - a)
 
 
-def _windows(text: list[int], item: list[int], shared: list[bool], info: list[float], diagonal: int) -> list[tuple[int, int, int, float, float]]:
-    """Windows ``(from, to, replaced, bits matched, bits in all)`` in item places, between runs of equal words."""
+def _windows(text: list[int], item: list[int], shared: list[bool], info: list[float], diagonal: int) -> list[tuple[int, int, int, float, float, int]]:
+    """Windows ``(from, to, replaced, bits matched, bits in all, end of the first run)`` in item places, between runs of
+    equal words.  A window is kept whatever its own share of replaced words; no passage of the item allows more in number."""
     lo, hi = max(0, -diagonal), min(len(item), len(text) - diagonal)
     runs: list[tuple[int, int, float]] = []
     q = lo
@@ -189,33 +190,67 @@ def _windows(text: list[int], item: list[int], shared: list[bool], info: list[fl
         for j in range(i, len(runs)):
             if j > i:
                 gap = range(runs[j - 1][1], runs[j][0])
-                if any(shared[g] for g in gap):
-                    break
                 bad += len(gap)
+                if bad * REPLACED > len(item) or any(shared[g] for g in gap):
+                    break
                 lost += sum(info[g] for g in gap)
             bits += runs[j][2]
-            length = runs[j][1] - runs[i][0]
-            if length >= 3 and bad * REPLACED <= length:
-                out.append((runs[i][0], runs[j][1], bad, bits, bits + lost))
+            if runs[j][1] - runs[i][0] >= 3:
+                out.append((runs[i][0], runs[j][1], bad, bits, bits + lost, runs[i][1]))
     return out
 
 
+def _whole_windows(text: list[int], item: list[int], shared: list[bool], info: list[float], diagonal: int) -> list[tuple[int, int, int, float, float, int]]:
+    """Windows that keep the limit of replaced words by themselves."""
+    return [w for w in _windows(text, item, shared, info, diagonal) if w[2] * REPLACED <= w[1] - w[0]]
+
+
+def _unseeded(text: list[int], item: list[int], shared: list[bool], info: list[float], seeded: set[int]) -> tuple[set[int], float]:
+    """Diagonals without a seed whose equal words carry enough information for a part, and the bits such a part needs:
+    it is the best of as many places as there are diagonals."""
+    need = PART_BITS + math.log2(len(text) + len(item))
+    places: dict[int, list[int]] = defaultdict(list)
+    for q, w in enumerate(item):
+        if not shared[q]:
+            places[w].append(q)
+    bits: dict[int, float] = defaultdict(float)
+    for p, w in enumerate(text):
+        for q in places.get(w, ()):
+            bits[p - q] += info[q]
+    return {d for d, x in bits.items() if x >= need and d not in seeded}, need
+
+
 def best_passage(text: list[int], item: list[int], shared: list[bool], info: list[float], diagonals: set[int]) -> tuple[int, float, list[tuple[int, int]]]:
     """``(words, bits, places in the text)`` of the longest passage of ``item``: one window, or two in order
-    with one interruption between, each of which carries information of its own."""
+    with one interruption between, each of which carries information of its own.
+
+    One part at least lies on a seeded diagonal; the other is searched on all.  Replaced words are judged
+    over both parts and the words lost at the break.
+    """
     windows = [(*w, d) for d in diagonals for w in _windows(text, item, shared, info, d)]
     best: tuple[int, float, list[tuple[int, int]]] = (0, 0.0, [])
-    for a, b, _, bits, whole, d in windows:
-        if bits >= BITS and bits >= INFORMATION * whole:
+    for a, b, bad, bits, whole, _, d in windows:
+        if bad * REPLACED <= b - a and bits >= BITS and bits >= INFORMATION * whole:
             best = max(best, (b - a, bits, [(a + d, b + d)]))
-    parts = [w for w in windows if w[3] >= PART_BITS and w[1] - w[0] >= SEED and w[3] >= INFORMATION * w[4]]
-    for a1, b1, bad1, bits1, all1, d1 in parts:
-        for a2, b2, bad2, bits2, all2, d2 in parts:
+    further, need = _unseeded(text, item, shared, info, diagonals)
+    parts = [(w, PART_BITS) for w in windows if w[3] >= PART_BITS and w[1] - w[0] >= SEED]
+    parts += [((*w, d), need) for d in further for w in _windows(text, item, shared, info, d) if w[3] >= need and w[1] - w[0] >= SEED]
+    for (a1, b1, bad1, bits1, all1, _, d1), need1 in parts:
+        for (a2, b2, bad2, bits2, all2, run2, d2), need2 in parts:
             # the second part goes on in the item about where the first stopped, and later in the text
-            if d2 > d1 and 0 <= a2 - b1 <= 1:
-                length, bits = b2 - a1, bits1 + bits2
-                if length > best[0] and (bad1 + bad2 + a2 - b1) * REPLACED <= length and bits >= PAIR_BITS and bits >= INFORMATION * (all1 + all2 + sum(info[b1:a2])):
-                    best = (length, bits, [(a1 + d1, b1 + d1), (a2 + d2, b2 + d2)])
+            if d2 <= d1 or a2 < a1 or b2 - a1 <= best[0] or (need1 > PART_BITS and need2 > PART_BITS):
+                continue
+            if a2 < b1:  # words behind the break equal by chance count once
+                if run2 <= b1 or b2 - b1 < SEED:
+                    continue
+                twice = sum(info[a2:b1])
+                a2, bits2, all2 = b1, bits2 - twice, all2 - twice
+                if bits2 < need2:
+                    continue
+            lost = range(b1, a2)
+            length, bits = b2 - a1, bits1 + bits2
+            if (bad1 + bad2 + len(lost)) * REPLACED <= length and not any(shared[g] for g in lost) and bits >= PAIR_BITS and bits >= INFORMATION * (all1 + all2 + sum(info[g] for g in lost)):
+                best = (length, bits, [(a1 + d1, b1 + d1), (a2 + d2, b2 + d2)])
     return best
 
 

@@ -325,6 +325,24 @@ def test_p9_seeds_miss_nothing():
         assert {(n, p - q) for n, ps in index.seeds(coded).items() for p, q in ps} == brute
 
 
+def test_p9_interrupted_passages_with_replaced_words():
+    """The limit of replaced words holds for both parts together, and one part needs no seed."""
+    index = leaks.LeakIndex(ITEMS)
+    quote, filler = _quote(1, 20, 24), "zzz yyy xxx".split() * 5
+    missed = []
+    for size, at, replaced in [(24, 11, (4, 9)), (20, 10, (3, 6)), (20, 10, (12, 15)), (24, 12, (3, 6, 9)), (24, 12, (14, 17, 20)), (24, 12, (11, 12)), (21, 10, (9, 10))]:
+        words = [("other" if k in replaced else w) for k, w in enumerate(quote[:size])]
+        if [i for i, n in index.passages(" ".join(words[:at] + filler + words[at:])) if n >= 20] != [1]:
+            missed.append((size, at, replaced))
+    assert missed == []
+    # the inserted text starts with the word at which the passage goes on
+    assert [i for i, _ in index.passages(" ".join(quote[:10] + [quote[10]] + filler + quote[10:20]))] == [1]
+    # over the limit, and a short quote with a few words of the item elsewhere
+    over = [("other" if k in (2, 5, 14, 17) else w) for k, w in enumerate(quote[:20])]
+    assert index.passages(" ".join(over[:10] + filler + over[10:])) == []
+    assert index.passages(" ".join(quote[:15] + filler + ["other", quote[17], "other"])) == []
+
+
 # p10 --------------------------------------------------------------------------------------------------------------
 
 def _texts(seed, n):
