@@ -142,6 +142,8 @@ def parse_author(author: str | None, email: str | None) -> dict:
 
 #: Log likelihoods of the channels: how often a spelling of a person comes about so.
 LIKELIHOOD = {"exact": 0.0, "short": math.log(0.01), "typo": math.log(0.01), "mailbox": math.log(0.2), "name": math.log(0.05), "handle": math.log(0.5), "owner": math.log(0.01)}
+#: Blocks with more forms than this are dealt out over tasks.
+HOT_BLOCK = 1000
 #: A spelling stays on its own below this log posterior; what is left is the share of the best candidate.
 LEAST_SHARE = 0.5
 
@@ -227,14 +229,15 @@ def link_authors(authors: DataFrame, commits: DataFrame | None = None, rounds: i
     1. Parse: full names and organisations give forms; what is left are fragments (initials, handles,
        single names) and generic accounts.
     2. Frequency prior: commits of the spelling plus its rows.  Forms ranked by (surname stands in an own
-       address, given name is a known full name, frequency) are the candidates of each block of like spellings; a form is attached to
-       the block's first form, over the blocks to that of maximum posterior (prior + typo, short-form or
-       address likelihood).  Attachments always lead up in rank, so they form trees; their roots are the canonical forms.
+       address, given name is a known full name, frequency) are ordered; in its blocks of like spellings, handles and personal
+       mailboxes a form is compared with every other form, and of those that pass ``same_name`` it is attached to that of maximum
+       posterior (prior + typo, short-form or address likelihood).  Attachments lead up in rank, but for short forms, so they form
+       trees; their roots are the canonical forms, that of a ring its smallest name.
     3. Fragments ask for (mailbox or handle, piece of the name), then for the piece alone; the answer of a
        key is its most frequent person with the share of the key's weight, and the best posterior wins.
        A second pass uses the addresses that the first one attributed.
 
-    Blocks answer with one candidate, so nothing pairs up the members of a large group.  Generic accounts are
+    Blocks hold distinct forms, not rows, and hot ones are salted; fragments take one answer a key.  Generic accounts are
     linked by equal addresses only.  A null identity_id is left out; rows that link to nothing are their own entity.
     """
     spark = authors.sparkSession
@@ -268,7 +271,8 @@ def link_authors(authors: DataFrame, commits: DataFrame | None = None, rounds: i
     )
     # names of mailboxes link forms of one surname; distinct, so a hot name brings one row
     handles = formed.where(F.col("handle").isNotNull() & (F.col("kind") == "person")).select("form", "family", "handle").distinct()
-    root = _canonical_forms(forms, handles, rounds)
+    mailboxes = formed.where(F.col("personal") & F.col("mailbox").isNotNull() & (F.col("kind") == "person")).select("form", "mailbox").distinct()
+    root = _canonical_forms(forms, handles, mailboxes, rounds)
     people = hot_cold_join(formed.select("identity_id", "form", "freq", "mailbox", "handle", "given", "family", "kind"), root.select("form", "root").join(formed.groupBy("form").agg(F.count(F.lit(1)).alias("n")), "form"), ["form"], "n", n_rows).drop("n")
     linked = people.select("identity_id", F.col("root").alias("entity"), "mailbox", "handle", "freq")
     roots = root.groupBy("root").agg(F.sum("freq").alias("freq"))
@@ -285,7 +289,7 @@ def link_authors(authors: DataFrame, commits: DataFrame | None = None, rounds: i
     return linked.select("identity_id", "entity").unionByName(alone).unionByName(generic)
 
 
-def _canonical_forms(forms: DataFrame, handles: DataFrame, rounds: int) -> DataFrame:
+def _canonical_forms(forms: DataFrame, handles: DataFrame, mailboxes: DataFrame, rounds: int) -> DataFrame:
     """``(form, freq, root)``: attachment of each form to its maximum posterior, followed to the root."""
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -298,16 +302,22 @@ def _canonical_forms(forms: DataFrame, handles: DataFrame, rounds: int) -> DataF
     by_handle = handles.join(forms.select("form", "freq", "own_mail", "role_mailbox", "given"), "form").select(
         "form", "freq", (F.col("own_mail") * 2 + full_name).alias("own_mail"), "role_mailbox", F.concat_ws("|", F.lit("hf"), "handle", "family").alias("key"), F.lit("b").alias("role"), F.lit(LIKELIHOOD["handle"]).alias("cost")
     )
-    keyed = cut_lineage(keyed.unionByName(by_handle))
-    rank = F.struct("own_mail", "freq", "form", "role_mailbox")
-    index = keyed.where(F.col("role") == "b").groupBy("key").agg(F.max(rank).alias("best"))
-    # forms are distinct names, so no block of like names is hot; a skewed partition is split by the adaptive join
-    offers = keyed.join(index, "key").where(F.col("best.form") != F.col("form"))
-    offers = offers.select("form", "own_mail", "role_mailbox", "freq", "role", "cost", F.col("best.form").alias("to"), F.col("best.own_mail").alias("to_mail"), F.col("best.role_mailbox").alias("to_mailbox"), F.col("best.freq").alias("to_freq"))
+    by_mailbox = mailboxes.join(forms.select("form", "freq", "own_mail", "role_mailbox", "given"), "form").select(
+        "form", "freq", (F.col("own_mail") * 2 + full_name).alias("own_mail"), "role_mailbox", F.concat_ws("|", F.lit("pm"), "mailbox").alias("key"), F.lit("b").alias("role"), F.lit(LIKELIHOOD["mailbox"]).alias("cost")
+    )
+    keyed = cut_lineage(keyed.unionByName(by_handle).unionByName(by_mailbox))
+    # every form of a block is offered; a hot block is dealt out over salts, at most 1000 blocks hold so many rows
+    limit = max(HOT_BLOCK, keyed.count() // 1000)
+    hot = F.broadcast(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("key", F.least(F.ceil(F.col("n") / limit), F.lit(64)).cast("int").alias("salts")))
+    salted = keyed.join(hot, "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    asks = salted.withColumn("salt", F.pmod(F.xxhash64("form"), F.col("salts")).cast("int")).drop("salts")
+    held = salted.where(F.col("role") == "b").select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("form").alias("to"), F.col("own_mail").alias("to_mail"), F.col("role_mailbox").alias("to_mailbox"), F.col("freq").alias("to_freq"))
     # a short form goes to the full name whatever its frequency, every other form only up in rank
     short = F.col("role") == "q"
     up = F.struct(F.col("to_mail"), F.col("to_freq"), F.col("to")) > F.struct(F.col("own_mail"), F.col("freq"), F.col("form"))
-    offers = offers.where(short | up).distinct()
+    offers = asks.join(held, ["key", "salt"]).where((F.col("to") != F.col("form")) & (short | up))
+    pair = ["form", "own_mail", "role_mailbox", "to", "to_mail", "to_mailbox", "to_freq"]
+    offers = offers.groupBy(*pair).agg(F.max("cost").alias("cost"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -321,14 +331,17 @@ def _canonical_forms(forms: DataFrame, handles: DataFrame, rounds: int) -> DataF
     # two short forms of each other would be a ring: the smaller name is the root then
     back = tree.select(F.col("form").alias("parent"), F.col("parent").alias("grand"))
     tree = tree.join(back, "parent", "left").withColumn("parent", F.when((F.col("grand") == F.col("form")) & (F.col("form") < F.col("parent")), F.col("form")).otherwise(F.col("parent"))).drop("grand")
+    # a short form that leads down may close a longer ring: its smallest name is the root, kept beside the way
+    tree = tree.withColumn("least", F.least("form", "parent"))
     for _ in range(rounds):  # each round doubles the length of the chains that are followed
-        tree = tree.join(tree.select(F.col("form").alias("parent"), F.col("parent").alias("next")), "parent")
-        tree = cut_lineage(tree.select("form", "freq", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved")))
+        tree = tree.join(tree.select(F.col("form").alias("parent"), F.col("parent").alias("next"), F.col("least").alias("further")), "parent")
+        tree = cut_lineage(tree.select("form", "freq", F.col("next").alias("parent"), F.least("least", "further").alias("least"), (F.col("next") != F.col("parent")).alias("moved")))
         moved = tree.where("moved").limit(1).count()
-        tree = tree.select("form", "freq", "parent")
+        tree = tree.drop("moved")
         if not moved:
-            break
-    return tree.withColumnRenamed("parent", "root")
+            return tree.select("form", "freq", F.col("parent").alias("root"))
+    ring = tree.select(F.col("form").alias("parent"), F.col("least").alias("root"))
+    return tree.join(ring, "parent").select("form", "freq", "root")
 
 
 def _name_pieces(names: DataFrame) -> DataFrame:

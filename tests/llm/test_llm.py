@@ -33,6 +33,20 @@ def test_p1_links_variants(spark):
     assert got == set(itertools.combinations(eleanor, 2)) | {(11, 12)}
 
 
+def test_p1_every_form_of_a_block_is_a_candidate(spark, monkeypatch):
+    rows = [
+        (1, "Alexander Smith", "1+x@users.noreply.forge.example"), (2, "Alexandra Smith", "alexandrasmith@fern.example"), (3, "Alexandr Smith", None),
+        # two typos, so that only the personal mailbox brings them together; a stranger at it stays away
+        (4, "Eleanor Pelvolan", "ep@fern.example"), (5, "Elenor Pelvoln", "ep@fern.example"), (6, "Harold Zulan", "ep@fern.example"),
+    ]
+    df = spark.createDataFrame(rows, "identity_id bigint, author string, email string")
+    commits = spark.createDataFrame([("Alexander Smith", "1+x@users.noreply.forge.example")] * 300, "author string, email string")
+    for hot in (1000, 1):
+        monkeypatch.setattr(names, "HOT_BLOCK", hot)
+        got = {(r.identity_a, r.identity_b) for r in names.same_entity_pairs(names.link_authors(df, commits)).collect()}
+        assert got == {(1, 3), (4, 5)}
+
+
 def test_p1_empty(spark):
     df = spark.createDataFrame([], "identity_id bigint, author string, email string")
     assert names.same_entity_pairs(names.link_authors(df)).count() == 0
