@@ -41,6 +41,12 @@ def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_counts(items, items.count())
 
 
+def p7_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of files of a repo with a common commit, with counts, lift and conviction, whatever its support."""
+    items = cut_lineage(commit_items(load(spark, sf_dir, "commit_log")))
+    return pair_counts(items, items.count(), min_support=1, min_lift=None)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with at least 4 common commits and at least 5 times as many as chance."""
     return p7_pairs(spark, sf_dir).select("repo", "file_a", "file_b")
@@ -59,7 +65,7 @@ _P7 = """
                JOIN n ON n.repo = ab.repo WHERE n_ab * n.n >= 5 * a.k * b.k)
 """
 
-QUERIES = {"p3_ranking": p3_ranking, "p4_found": p4_found, "p4_splits": p4_splits, "p4_split_report": p4_split_report, "p7_found": p7_found, "p7_pairs": p7_pairs}
+QUERIES = {"p3_ranking": p3_ranking, "p4_found": p4_found, "p4_splits": p4_splits, "p4_split_report": p4_split_report, "p7_found": p7_found, "p7_pairs": p7_pairs, "p7_all_pairs": p7_all_pairs}
 
 SQL = {
     "p3_ranking": """
@@ -76,6 +82,16 @@ SQL = {
                    FROM (SELECT DISTINCT item_id FROM metrics WHERE item_id IS NOT NULL) m LEFT JOIN i ON i.item_id = m.item_id)
         SELECT item_id, n_scores, median_rank, mean_rank,
                row_number() OVER (ORDER BY median_rank ASC NULLS LAST, mean_rank ASC NULLS LAST, item_id ASC) AS position FROM e""",
+    "p7_all_pairs": """
+        WITH items AS (SELECT DISTINCT repo, hash, f AS file FROM (SELECT repo, hash, unnest(files) AS f FROM commit_log)
+                       WHERE f IS NOT NULL AND repo IS NOT NULL AND hash IS NOT NULL),
+             n AS (SELECT repo, count(DISTINCT hash) AS n FROM items GROUP BY repo),
+             c AS (SELECT repo, file, count(*) AS k FROM items GROUP BY repo, file),
+             ab AS (SELECT x.repo, x.file AS file_a, y.file AS file_b, count(*) AS n_ab
+                    FROM items x JOIN items y ON x.repo = y.repo AND x.hash = y.hash AND x.file < y.file GROUP BY 1, 2, 3)
+        SELECT ab.repo, file_a, file_b, n_ab, a.k AS n_a, b.k AS n_b, n.n, CAST(n_ab AS DOUBLE) * n.n / (CAST(a.k AS DOUBLE) * b.k) AS lift,
+               CASE WHEN n_ab < a.k THEN (1.0 - CAST(b.k AS DOUBLE) / n.n) / (1.0 - CAST(n_ab AS DOUBLE) / a.k) END AS conviction
+        FROM ab JOIN c a ON a.repo = ab.repo AND a.file = file_a JOIN c b ON b.repo = ab.repo AND b.file = file_b JOIN n ON n.repo = ab.repo""",
     "p7_found": _P7 + "SELECT repo, file_a, file_b FROM s",
     "p7_pairs": _P7 + """
         SELECT repo, file_a, file_b, n_ab, n_a, n_b, n, CAST(n_ab AS DOUBLE) * n / (CAST(n_a AS DOUBLE) * n_b) AS lift,

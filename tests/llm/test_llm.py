@@ -279,6 +279,15 @@ def test_p7_brute_force(spark):
     assert pair_counts(commit_items(log.limit(0)), 0).count() == 0
 
 
+def test_p7_all_pairs_holds_rare_and_hot_pairs(spark, tmp_path):
+    from codeweft.llm.plans.code import p7_all_pairs
+
+    log = [("r", f"h{i}", ["a", "b"]) for i in range(6)] + [("r", "h9", ["a", "c", "c"]), ("r", "h9", ["a", "c"]), ("s", "h9", ["a", None])]
+    spark.createDataFrame(log, "repo string, hash string, files array<string>").write.parquet(str(tmp_path / "commit_log.parquet"))
+    got = {(r.file_a, r.file_b): (r.n_ab, r.n_a, r.n_b, r.n, r.lift) for r in p7_all_pairs(spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): (6, 7, 6, 7, 1.0), ("a", "c"): (1, 7, 1, 7, 1.0)}
+
+
 # p8 ---------------------------------------------------------------------------------------------------------------
 
 def test_p8_equals_public_library(spark):
