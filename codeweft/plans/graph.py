@@ -79,8 +79,10 @@ def k12_betweenness(spark, sf):
 
 
 def k13_levels(spark, sf):
-    """Strongly connected components and longest-path levels of the community graph."""
-    links = k09_community_edges(spark, sf).where("from_community <> to_community and weight > 3").select(F.col("from_community").alias("src"), F.col("to_community").alias("dst"))
+    """Strongly connected components and longest-path levels of all communities, over all edges between them."""
+    links = k09_community_edges(spark, sf).where("from_community <> to_community").select(F.col("from_community").alias("src"), F.col("to_community").alias("dst"))
+    own = _members(spark, sf).select(F.col("community").alias("src"), F.col("community").alias("dst")).distinct()  # a loop changes no component or level
+    links = links.unionByName(own)
     return _whole(links, lambda pdf: pd.DataFrame([(v, c, n) for v, (c, n) in sorted(G.components_and_levels(pdf).items())], columns=["community", "component", "level"]), "community string, component string, level bigint")
 
 

@@ -169,3 +169,13 @@ def test_stream_windows(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
     got = sorted((r.event_type, r.n, r.total) for r in run_to_end(windowed_activity(stream), "t_windows").collect())
     assert got == [("a", 2, 3.0), ("b", 1, 4.0)]
+
+
+def test_levels_take_light_edges_and_lone_communities(spark, tmp_path):
+    from codeweft.plans.graph import k13_levels
+
+    # a heavy way a -> b -> c, closed by one light edge; d is known by an inner edge only
+    rows = [("x.a", "x.b")] * 5 + [("x.b", "x.c")] * 5 + [("x.c", "x.a"), ("x.c", "x.e"), ("p.d", "q.d")]
+    spark.createDataFrame(rows, "src string, dst string").write.parquet(str(tmp_path / "edges.parquet"))
+    got = {r.community: (r.component, r.level) for r in k13_levels(spark, str(tmp_path)).collect()}
+    assert got == {"a": ("a", 0), "b": ("a", 0), "c": ("a", 0), "e": ("e", 1), "d": ("d", 0)}
