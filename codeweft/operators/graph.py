@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.session import cut_lineage
@@ -80,6 +80,37 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def top_paths(links: DataFrame, nodes: DataFrame, depth: int = 8, least: float = 1e-3, keep: int = 5) -> DataFrame:
+    """``(start, path, p, place)``: the ``keep`` most probable simple paths from each of ``nodes(node)`` without an edge to it.
+
+    A path of ``links(src, dst, weight)`` takes an edge with its share of the weight that leaves ``src``.  It ends where no
+    edge leaves, after ``depth`` nodes, or with the edge that takes it below ``least``; one that could only return to
+    itself is none.  At most 1 / ``least`` paths of a start are longer at a step; the frontier is checkpointed, and each
+    step leaves its best ``keep`` ended paths a start.
+    """
+    whole = links.groupBy("src").agg(F.sum("weight").alias("whole"))
+    share = cut_lineage(links.join(whole, "src").select("src", "dst", (F.col("weight") / F.col("whole")).alias("share")))
+    best = Window.partitionBy("start").orderBy(F.round("p", 9).desc(), "path")
+    first = lambda df: df.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep)
+    starts = nodes.select("node").distinct().join(links.select(F.col("dst").alias("node")), "node", "left_anti")
+    frontier = cut_lineage(starts.select(F.col("node").alias("start"), "node", F.array("node").alias("nodes"), F.lit(1.0).alias("p")))
+    text = F.array_join("nodes", ">").alias("path")
+    ended = []
+    for _ in range(1, depth):
+        leaf = frontier.join(share.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+        low = frontier.where(F.col("p") < least).join(share.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+        ended.append(first(leaf.unionByName(low).select("start", text, "p")).drop("place"))
+        step = frontier.where(F.col("p") >= least).join(share, F.col("node") == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
+        frontier = cut_lineage(step.select("start", F.col("dst").alias("node"), F.concat("nodes", F.array("dst")).alias("nodes"), (F.col("p") * F.col("share")).alias("p")))
+        if frontier.isEmpty():
+            break
+    ended.append(first(frontier.select("start", text, "p")).drop("place"))
+    found = ended[0]
+    for e in ended[1:]:
+        found = found.unionByName(e)
+    return first(found).select("start", "path", F.round("p", 9).alias("p"), "place")
+
+
 def _propagate(pdf: pd.DataFrame, most: int = 15) -> dict[str, str]:
     """Asynchronous label propagation in sorted order, a neighbour's vote being 1 / sqrt(its degree)."""
     near: dict[str, set[str]] = defaultdict(set)

@@ -92,7 +92,7 @@ def k14_matrix_order(spark, sf):
 
 
 def k15_top_paths(spark, sf):
-    """The five most probable simple paths of two to three steps from each start, by product of edge shares."""
+    """The five most probable simple paths of two edges of share 0.05 or more from each community (K-15 is ``k15_entry_paths``)."""
     links = k09_community_edges(spark, sf).where("from_community <> to_community")
     out = links.groupBy("from_community").agg(F.sum("weight").alias("whole"))
     p = links.join(out, "from_community").select(F.col("from_community").alias("src"), F.col("to_community").alias("dst"), (F.col("weight") / F.col("whole")).alias("p")).where("p >= 0.05")
@@ -101,6 +101,12 @@ def k15_top_paths(spark, sf):
     return two.where("p >= 0.001").withColumn("place", F.row_number().over(w)).where("place <= 5").select("start", "path", F.round("p", 9).alias("p"), "place")
 
 
+def k15_entry_paths(spark, sf):
+    """The five most probable paths from communities that nothing points to, up to eight communities long (K-15)."""
+    links = k09_community_edges(spark, sf).where("from_community <> to_community").select(F.col("from_community").alias("src"), F.col("to_community").alias("dst"), "weight")
+    return G.top_paths(links, _members(spark, sf).select(F.col("community").alias("node")))
+
+
 def k16_subgraph(spark, sf):
     """Packages within two steps of 'core', and direct users of it."""
     g = _graph(spark, sf)
@@ -134,7 +140,7 @@ def k19_coupling_lookup(spark, sf, name: str = "Ledger"):
 
 
 QUERIES = {f.__name__: f for f in (
-    k01_dependency_graph, k02_external_nodes, k03_communities, k04_undirected, k06_density, k07_modularity, k08_purity, k09_community_edges, k10_boundary_nodes, k11_coupling_ratio, k12_betweenness, k13_levels, k14_matrix_order, k15_top_paths,
+    k01_dependency_graph, k02_external_nodes, k03_communities, k04_undirected, k06_density, k07_modularity, k08_purity, k09_community_edges, k10_boundary_nodes, k11_coupling_ratio, k12_betweenness, k13_levels, k14_matrix_order, k15_top_paths, k15_entry_paths,
     k16_subgraph, k17_bounded_depth, k18_lcom4, k19_coupling_lookup,
 )}
 
@@ -156,6 +162,12 @@ SQL = {
         SELECT from_community AS community, CASE WHEN from_community = to_community THEN n_edges ELSE 0 END AS i, CASE WHEN from_community <> to_community THEN n_edges ELSE 0 END AS o, 0 AS n FROM l
         UNION ALL SELECT to_community, 0, 0, n_edges FROM l WHERE from_community <> to_community) GROUP BY community)
         SELECT *, round(CASE WHEN inside + outgoing + incoming > 0 THEN outgoing / (inside + outgoing + incoming)::DOUBLE ELSE 0.0 END, 6) AS coupling FROM s""",
+    "k15_entry_paths": f"""WITH RECURSIVE {_L}, k AS (SELECT from_community AS src, to_community AS dst, weight FROM l WHERE from_community <> to_community),
+        o AS (SELECT src AS f, sum(weight) AS whole FROM k GROUP BY 1), p AS (SELECT src, dst, weight / whole::DOUBLE AS share FROM k JOIN o ON f = src),
+        r AS (SELECT DISTINCT community AS start, community AS node, [community] AS nodes, CAST(1.0 AS DOUBLE) AS p FROM m WHERE community NOT IN (SELECT dst FROM k)
+            UNION ALL SELECT start, dst, list_append(nodes, dst), r.p * share FROM r JOIN p ON src = node WHERE len(nodes) < 8 AND r.p >= 0.001 AND NOT list_contains(nodes, dst)),
+        e AS (SELECT start, array_to_string(nodes, '>') AS path, round(p, 9) AS p FROM r WHERE len(nodes) = 8 OR p < 0.001 OR node NOT IN (SELECT src FROM p))
+        SELECT * FROM (SELECT start, path, p, row_number() OVER (PARTITION BY start ORDER BY p DESC, path) AS place FROM e) WHERE place <= 5""",
     "k15_top_paths": f"""WITH {_L}, o AS (SELECT from_community AS f, sum(weight) AS whole FROM l WHERE from_community <> to_community GROUP BY 1),
         p AS (SELECT from_community AS src, to_community AS dst, weight / whole::DOUBLE AS p FROM l JOIN o ON f = from_community WHERE from_community <> to_community AND weight / whole::DOUBLE >= 0.05),
         t AS (SELECT x.src AS start, x.src || '>' || x.dst || '>' || y.dst AS path, x.p * y.p AS p FROM p x JOIN p y ON x.dst = y.src AND x.src <> y.dst)

@@ -179,3 +179,12 @@ def test_levels_take_light_edges_and_lone_communities(spark, tmp_path):
     spark.createDataFrame(rows, "src string, dst string").write.parquet(str(tmp_path / "edges.parquet"))
     got = {r.community: (r.component, r.level) for r in k13_levels(spark, str(tmp_path)).collect()}
     assert got == {"a": ("a", 0), "b": ("a", 0), "c": ("a", 0), "e": ("e", 1), "d": ("d", 0)}
+
+
+def test_top_paths_run_to_their_end(spark):
+    chain = [("s", "n1", 1)] + [(f"n{i}", f"n{i + 1}", 1) for i in range(1, 9)] + [("t", f"m{i:02d}", 1) for i in range(25)] + [("u", "v", 999), ("u", "w", 1), ("v", "u2", 1), ("u2", "v", 1)]
+    links = spark.createDataFrame(chain, "src string, dst string, weight bigint")
+    nodes = spark.createDataFrame([(x,) for a, b, _ in chain for x in (a, b)] + [("lone",)], "node string")
+    got = {(r.start, r.path): (r.p, r.place) for r in graph.top_paths(links, nodes).collect()}
+    want = {("s", "s>" + ">".join(f"n{i}" for i in range(1, 8))): (1.0, 1), ("u", "u>w"): (0.001, 1), ("lone", "lone"): (1.0, 1)}
+    assert got == want | {("t", f"t>m{i:02d}"): (0.04, i + 1) for i in range(5)}
