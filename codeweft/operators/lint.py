@@ -98,3 +98,9 @@ def risk_items(files: DataFrame) -> DataFrame:
     resp = F.when((c("n_methods") >= 20) | (c("lcom4") > 1), F.struct(F.lit("too many responsibilities").alias("risk"), F.greatest(wide, F.when(c("lcom4") > 1, 0.7).otherwise(0.0)).alias("severity")))
     coup = F.when(c("efferent") >= 20, F.struct(F.lit("too many efferent couplings").alias("risk"), F.when(c("efferent") >= 40, 0.85).otherwise(0.6).alias("severity")))
     return files.select("file_id", F.explode(F.array_compact(F.array(go, bugs, resp, coup))).alias("r")).select("file_id", "r.risk", F.round("r.severity", 6).alias("severity"))
+
+
+def slice_prealloc(files: DataFrame, loop: str, append: str) -> DataFrame:
+    """``(file_id, n)`` of files with ``n`` > 0 blocks that match ``loop`` and hold a match of ``append``."""
+    blocks = F.filter(F.regexp_extract_all("source_text", F.lit(loop), F.lit(0)), lambda b: F.regexp_like(b, F.lit(append)))
+    return files.select("file_id", F.size(blocks).alias("n")).where("n > 0")

@@ -56,12 +56,23 @@ def e21_package_in_name(spark, sf):
 
 
 def e22_source_patterns(spark, sf):
-    """Go files with an append to a slice declared without room (two-stage patterns over the source)."""
+    """Go files that assign a remainder and hold a for or if (two patterns over the source; E-22 is ``e22_slice_prealloc``)."""
     f = load(spark, sf, "files").where("programming_language = 'Golang'")
     first = F.col("source_text").rlike(r"(?m)^\s*(for|if)\b")
     return f.where(first).where(F.col("source_text").rlike(r":= (\w+) % ")).select("file_id", F.size(F.regexp_extract_all("source_text", F.lit(r"(:= \w+ % )"), F.lit(1))).alias("n"))
 
 
+#: A bounded for loop with its header in parentheses and the block up to the first closing brace, and an append, as the
+#: reference has them; white space is written out, as engines differ in what it holds.
+_BOUNDED_FOR = r"for[ \t\r\n\f]*\([^)]*;[ \t\r\n\f]*[a-zA-Z0-9_]+[ \t\r\n\f]*<[ \t\r\n\f]*(len[ \t\r\n\f]*\([^)]*\)|[a-zA-Z0-9_]+);[^)]*\)[ \t\r\n\f]*\{[^}]*\}"
+_APPEND = r"append[ \t\r\n\f]*\([ \t\r\n\f]*[a-zA-Z0-9_]+[ \t\r\n\f]*,"
+
+
+def e22_slice_prealloc(spark, sf):
+    """Go files with the number of bounded for blocks that append to a slice (E-22: first the block, then the append inside it)."""
+    return L.slice_prealloc(load(spark, sf, "files").where("programming_language = 'Golang'"), _BOUNDED_FOR, _APPEND)
+
+
 def e35_role_violations(spark, sf):
     """Package relations between forbidden layers."""
     roles = spark.createDataFrame([("core", "app:domain:x"), ("app", "app:ui:y"), ("internal", "app:data:z"), ("shared.util", "lib:shared:u"), ("common.model", "lib:domain:m")], "node string, role string")
@@ -236,7 +247,7 @@ def l18_initials(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    e30_lint, e30_severities, b15_lint_report, e20_files_per_package, e21_package_in_name, e22_source_patterns, e35_role_violations, e36_risk_items, e40_suggestions, m03_function_findings, m06_index_findings, m11_gate, m02_file_delta, m09_lint_diff,
+    e30_lint, e30_severities, b15_lint_report, e20_files_per_package, e21_package_in_name, e22_source_patterns, e22_slice_prealloc, e35_role_violations, e36_risk_items, e40_suggestions, m03_function_findings, m06_index_findings, m11_gate, m02_file_delta, m09_lint_diff,
     g16_test_quality, i04_god_tests, i05_orphans, l01_tokens, l03_murmur, l04_hashing_tfidf, l05_tfidf, l06_centroid_ranking, l08_fallback_names, l09_one_hot, l12_ambiguities, l16_checksums, l18_initials,
 )}
 
@@ -268,6 +279,7 @@ SQL = {
     "b15_lint_report": f"WITH {_LINT} SELECT file_id, count(*) AS n, string_agg(rule || ' ' || subject, '; ' ORDER BY rule || ' ' || subject) AS messages FROM v GROUP BY file_id",
     "e20_files_per_package": "SELECT repo, regexp_replace(short_path, '/?[^/]*$', '') AS folder, count(*) AS n FROM files WHERE NOT regexp_matches(short_path, '_test\\.go$|(^|/)doc\\.go$') GROUP BY 1, 2 HAVING count(*) > 5",
     "e21_package_in_name": "SELECT item_id, split_part(item_name, '.', -1) AS name, lower(split_part(path, '/', -2)) AS package FROM metrics WHERE kind = 'function' AND item_name IS NOT NULL AND length(split_part(path, '/', -2)) > 2 AND contains(lower(split_part(item_name, '.', -1)), lower(split_part(path, '/', -2)))",
+    "e22_slice_prealloc": f"SELECT file_id, CAST(n AS INTEGER) AS n FROM (SELECT file_id, len(list_filter(regexp_extract_all(source_text, '{_BOUNDED_FOR}'), lambda b: regexp_matches(b, '{_APPEND}'))) AS n FROM files WHERE programming_language = 'Golang') WHERE n > 0",
     "e22_source_patterns": "SELECT file_id, CAST(len(regexp_extract_all(source_text, ':= \\w+ % ')) AS INTEGER) AS n FROM files WHERE programming_language = 'Golang' AND regexp_matches(source_text, '(?m)^\\s*(for|if)\\b') AND regexp_matches(source_text, ':= (\\w+) % ')",
     "e35_role_violations": """WITH r AS (SELECT * FROM (VALUES ('core', 'domain'), ('app', 'ui'), ('internal', 'data'), ('shared.util', 'shared'), ('common.model', 'domain')) v(node, layer)),
         e AS (SELECT src, CASE WHEN ends_with(dst, 'ledger') THEN 'app' WHEN ends_with(dst, 'token') THEN 'internal' ELSE 'core' END AS dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL)

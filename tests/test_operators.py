@@ -188,3 +188,12 @@ def test_top_paths_run_to_their_end(spark):
     got = {(r.start, r.path): (r.p, r.place) for r in graph.top_paths(links, nodes).collect()}
     want = {("s", "s>" + ">".join(f"n{i}" for i in range(1, 8))): (1.0, 1), ("u", "u>w"): (0.001, 1), ("lone", "lone"): (1.0, 1)}
     assert got == want | {("t", f"t>m{i:02d}"): (0.04, i + 1) for i in range(5)}
+
+
+def test_slice_prealloc_needs_an_append_in_a_bounded_loop(spark):
+    from codeweft.plans.quality import _APPEND, _BOUNDED_FOR
+
+    loop = "for (i := 0; i < len(items); i++) {\n\t\tresult = append(result, items[i])\n\t}"
+    rows = [(1, f"package main\n\nfunc main() {{\n\tvar result []int\n\t{loop}\n\t{loop}\n}}"), (2, "for (i := 0; i < n; i++) {\n\tx += i\n}\ny = append(y, 1)"), (3, "for {\n\tk := a % b\n}"), (4, None), (5, "")]
+    got = lint.slice_prealloc(spark.createDataFrame(rows, "file_id int, source_text string"), _BOUNDED_FOR, _APPEND).collect()
+    assert [(r.file_id, r.n) for r in got] == [(1, 2)]
