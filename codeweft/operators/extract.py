@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.session import spread
+from codeweft.session import cut_lineage, spread
 
 #: Comment markers of each language: line comment by slashes, by hash, block comments.
 MARKERS = {"Python": (False, True, False), "PHP": (True, True, True)}
@@ -173,6 +173,22 @@ def extract_units(files: DataFrame) -> DataFrame:
     return spread(files.select("file_id", "programming_language", "source_text")).mapInPandas(run, UNIT_SCHEMA)
 
 
+def file_dependencies(units: DataFrame, files: DataFrame) -> DataFrame:
+    """``(file_id, other, direction)``: the file that owns the class a dependency names, and the relation inverted.
+
+    A dependency is looked up by its whole name, then by its last part, among the classes of its repo, as
+    ``files(file_id, repo)`` has it; of several owners the smallest file_id counts.  A file's own classes are dropped.
+    """
+    u = cut_lineage(units.where(F.col("name").isNotNull() & F.col("kind").isin("class", "dependency")).select("file_id", "kind", "name").distinct().join(files, "file_id"))  # read four times
+    owners = u.where("kind = 'class'").groupBy("repo", "name").agg(F.min("file_id").alias("owner"))
+    asked = u.where("kind = 'dependency'").select("file_id", "repo", "name", F.element_at(F.split(F.regexp_replace("name", r"[^\w*]+$", ""), r"[^\w*]+"), -1).alias("short")).distinct()
+    whole = owners.withColumnRenamed("owner", "by_name")
+    last = owners.select("repo", F.col("name").alias("short"), F.col("owner").alias("by_short"))
+    found = asked.join(whole, ["repo", "name"], "left").join(last, ["repo", "short"], "left").select("file_id", F.coalesce("by_name", "by_short").alias("other"))
+    found = found.where("other is not null and other <> file_id").distinct()
+    return found.withColumn("direction", F.lit("efferent")).unionByName(found.select(F.col("other").alias("file_id"), F.col("file_id").alias("other"), F.lit("afferent").alias("direction")))
+
+
 def distinct_units(units: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first unit of each key in each file: units attached twice count once."""
     from pyspark.sql import Window

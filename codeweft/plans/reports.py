@@ -131,7 +131,7 @@ def b04_sarif(spark, sf):
 
 
 def b07_file_dependencies(spark, sf):
-    """Files that share commits, both directions, at least 4 common commits within small commits (file-level relations)."""
+    """Files that share commits, both directions, at least 4 common commits within commits of 2 to 6 files (co-change; B-07 is ``b07_dependencies``)."""
     c = load(spark, sf, "commits").where("file_id is not null").select("repo", "hash", "file_id").distinct()
     small = c.groupBy("repo", "hash").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 6").select("repo", "hash")
     s = c.join(small, ["repo", "hash"])
@@ -139,6 +139,12 @@ def b07_file_dependencies(spark, sf):
     return pair.groupBy("file", "other").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
 
 
+def b07_dependencies(spark, sf):
+    """Files that each file's extracted dependencies lead to, and the relation inverted (B-07)."""
+    f = load(spark, sf, "files")
+    return X.file_dependencies(X.extract_units(f), f.select("file_id", "repo"))
+
+
 def b08_folder_dependencies(spark, sf):
     """Package relations rolled up to the last name part of either side, with the number of packages."""
     e = load(spark, sf, "edges").where("src is not null and dst is not null")
@@ -176,7 +182,7 @@ def o01_stream_windows(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     a03_languages, a04_not_excluded, a07_parse_errors, a08_git_log, a15_modules, c01_units, c01_function_metrics, c06_file_lines, c08_line_count, c10_distinct_units, c12_functions_outside, c13_dependencies, c14_reduced_namespaces, c17_test_files, c21_file_loc,
-    b02_json, b03_open_metrics, b04_sarif, b07_file_dependencies, b08_folder_dependencies, b09_scopes, b12_chart, b13_ml_dataset, o01_stream_windows,
+    b02_json, b03_open_metrics, b04_sarif, b07_file_dependencies, b07_dependencies, b08_folder_dependencies, b09_scopes, b12_chart, b13_ml_dataset, o01_stream_windows,
 )}
 
 _EXT = "CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'php' THEN 'PHP' WHEN 'go' THEN 'Golang' WHEN 'py' THEN 'Python' WHEN 'rs' THEN 'Rust' WHEN 'ts' THEN 'TypeScript' WHEN 'js' THEN 'TypeScript' WHEN 'java' THEN 'Java' WHEN 'cs' THEN 'C#' END"

@@ -197,3 +197,13 @@ def test_slice_prealloc_needs_an_append_in_a_bounded_loop(spark):
     rows = [(1, f"package main\n\nfunc main() {{\n\tvar result []int\n\t{loop}\n\t{loop}\n}}"), (2, "for (i := 0; i < n; i++) {\n\tx += i\n}\ny = append(y, 1)"), (3, "for {\n\tk := a % b\n}"), (4, None), (5, "")]
     got = lint.slice_prealloc(spark.createDataFrame(rows, "file_id int, source_text string"), _BOUNDED_FOR, _APPEND).collect()
     assert [(r.file_id, r.n) for r in got] == [(1, 2)]
+
+
+def test_file_dependencies_resolve_by_name_then_last_part(spark):
+    units = spark.createDataFrame([
+        ("f1", "class", "Ledger"), ("f2", "class", "Token"), ("f3", "class", "Ledger"), ("g1", "class", "Other"),
+        ("f2", "dependency", "App\\Model\\Ledger"), ("f2", "dependency", "x.y.Token"), ("f1", "dependency", "Token"), ("f1", "dependency", "x.y.Token"), ("f1", "dependency", "a.Other"),
+    ], "file_id string, kind string, name string")
+    files = spark.createDataFrame([("f1", "r"), ("f2", "r"), ("f3", "r"), ("g1", "s")], "file_id string, repo string")
+    got = sorted(map(tuple, extract.file_dependencies(units, files).select("file_id", "other", "direction").collect()))
+    assert got == [("f1", "f2", "afferent"), ("f1", "f2", "efferent"), ("f2", "f1", "afferent"), ("f2", "f1", "efferent")]
