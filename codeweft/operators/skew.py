@@ -63,19 +63,37 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.03, rows: int | None =
     return counts.where(F.col("key_value").isNotNull() & (F.col("key_value") != "") & (F.col("n_rows") >= F.lit(share) * F.lit(rows)))
 
 
+#: Keys with at least so many rows are hot whatever their share, so that no task of a join holds more rows of one key.
+HOT_ROWS = 1_000_000
+
+
 def hot_cold_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, rows: int, share: float = 0.001, how: str = "inner") -> DataFrame:
     """Join ``left`` to ``right`` (unique on ``keys``), where a few keys may hold most rows of ``left``.
 
     ``weight`` is the column of ``right`` with the number of ``left`` rows of the key, ``rows`` an upper
-    bound of ``left``'s rows.  Keys with at least ``share`` of the rows number at most ``1 / share``
-    by construction, so they are broadcast; all other keys meet in a shuffled join whose groups are
-    below that share.  Keys must not be null on ``right``; ``how`` is ``inner`` or ``left``.
+    bound of ``left``'s rows.  Keys with at least ``share`` of the rows, or ``HOT_ROWS`` of them, number at most
+    ``1 / share + rows / HOT_ROWS`` by construction, so they are broadcast; all other keys meet in a shuffled
+    join whose groups are below that.  Keys must not be null on ``right``; ``how`` is ``inner`` or ``left``.
     """
     keys = list(keys)
-    limit = max(1, math.ceil(rows * share))
+    limit = max(1, min(math.ceil(rows * share), HOT_ROWS))
     hot = right.where(F.col(weight) >= limit)
     cold = right.where(F.col(weight) < limit)
     marked = left.join(F.broadcast(hot.select(*keys, F.lit(True).alias("__hot"))), keys, "left")
     on_hot = marked.where(F.col("__hot")).drop("__hot").join(F.broadcast(hot), keys, "inner")
     rest = marked.where(F.col("__hot").isNull()).drop("__hot").join(cold, keys, how)
     return on_hot.unionByName(rest)
+
+
+#: A lookup table of at most so many rows is broadcast whole.
+LOOKUP_ROWS = 100_000
+
+
+def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, rows: int, how: str = "inner", most: int = LOOKUP_ROWS) -> DataFrame:
+    """``hot_cold_join`` that first counts ``right``: up to ``most`` rows are broadcast whole, which leaves ``left`` where it is.
+
+    ``right`` is counted, so it should be a table or a checkpoint.  The rows are the same either way.
+    """
+    if right.limit(most + 1).count() <= most:
+        return left.join(F.broadcast(right), list(keys), how)
+    return hot_cold_join(left, right, keys, weight, rows, how=how)
