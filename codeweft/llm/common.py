@@ -10,21 +10,24 @@ from pyspark.sql import functions as F
 from codeweft.session import cut_lineage
 
 
-def global_positions(df: DataFrame, order: Sequence[Column], within: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
-    """``df`` with ``__pos``, the 0-based position in the total order, without a single-task sort.
+def running_totals(df: DataFrame, order: Sequence[Column], amount: Column, within: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """``df`` with ``__ahead``, the sum of ``amount`` over all rows before it in the total order, and ``__all``, the sum over all.
 
-    Rows are range-partitioned by (``within``, ``order``) and written to the checkpoint folder; the
-    sizes of the partitions (one number per partition and group) give each its offset, and a window
-    inside the partition does the rest.  Positions start anew for each value of ``within``.
+    Rows are range-partitioned by (``within``, ``order``) and written to the checkpoint folder once; the sums
+    of the partitions (one row per partition and group) give each partition its offset, and a window inside the
+    partition does the rest, so no task sorts the whole.  Sums start anew for each value of ``within``.
+    With ``amount`` 1, ``__ahead`` is the 0-based position.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in within]
-    ranged = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()))
-    sizes = ranged.groupBy("__part", *within).agg(F.count(F.lit(1)).alias("__size"))
-    # one row per partition and group: at most partitions * groups rows
-    before = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
-    inside = Window.partitionBy("__part", *within).orderBy(*order)
-    local = ranged.withColumn("__row", F.row_number().over(inside) - 1)
-    return local.join(F.broadcast(offsets), ["__part", *within]).withColumn("__pos", F.col("__row") + F.col("__offset")).drop("__part", "__row", "__offset")
+    ranged = cut_lineage(df.withColumn("__amount", amount).repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy("__part", *within).agg(F.sum("__amount").alias("__sum"))
+    # one row per partition and group: at most partitions * groups rows, of which the groups are the caller's few
+    group = Window.partitionBy(*within)
+    before = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__part", *within, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"), F.sum("__sum").over(group).alias("__all"))
+    inside = Window.partitionBy("__part", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("__local", F.coalesce(F.sum("__amount").over(inside), F.lit(0)))
+    joined = local.join(F.broadcast(offsets), ["__part", *within])
+    return joined.withColumn("__ahead", F.col("__offset") + F.col("__local")).drop("__part", "__amount", "__local", "__offset")

@@ -76,11 +76,11 @@ SQL = {
                 UNION ALL SELECT item_id, 'loc', max(CAST(loc AS DOUBLE)) FROM metrics GROUP BY item_id) WHERE x IS NOT NULL AND item_id IS NOT NULL),
              r AS (SELECT item_id, s, (rank() OVER (PARTITION BY s ORDER BY x DESC) - 1
                         + (count(*) OVER (PARTITION BY s, x) + 1) / 2.0) / count(*) OVER (PARTITION BY s) AS rk FROM v),
-             i AS (SELECT item_id, count(*) AS n_scores, round(CAST(median(rk) AS DOUBLE), 9) AS median_rank,
-                          round(CAST(list_sum(list_sort(list(rk))) / count(*) AS DOUBLE), 9) AS mean_rank FROM r GROUP BY item_id),
+             l AS (SELECT item_id, count(*) AS n_scores, list_sort(list(CAST(rk AS DOUBLE))) AS rs FROM r GROUP BY item_id),
+             i AS (SELECT item_id, n_scores, (rs[(n_scores + 1) // 2] + rs[n_scores // 2 + 1]) / 2 AS median_rank, list_sum(rs) / n_scores AS mean_rank FROM l),
              e AS (SELECT m.item_id, CAST(coalesce(n_scores, 0) AS INTEGER) AS n_scores, median_rank, mean_rank
                    FROM (SELECT DISTINCT item_id FROM metrics WHERE item_id IS NOT NULL) m LEFT JOIN i ON i.item_id = m.item_id)
-        SELECT item_id, n_scores, median_rank, mean_rank,
+        SELECT item_id, n_scores, round(median_rank, 9) AS median_rank, round(mean_rank, 9) AS mean_rank,
                row_number() OVER (ORDER BY median_rank ASC NULLS LAST, mean_rank ASC NULLS LAST, item_id ASC) AS position FROM e""",
     "p7_all_pairs": """
         WITH items AS (SELECT DISTINCT repo, hash, f AS file FROM (SELECT repo, hash, unnest(files) AS f FROM commit_log)

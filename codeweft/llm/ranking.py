@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import global_positions
+from codeweft.llm.common import running_totals
 from codeweft.operators.skew import hot_cold_join
 from codeweft.session import cut_lineage
 
@@ -13,67 +13,55 @@ from codeweft.session import cut_lineage
 METRIC_SCORES = {"risk_score": (1, 1.0), "cyclomatic_complexity": (1, 1.0), "maintainability_index": (-1, 1.0), "loc": (1, 1.0)}
 
 
-def score_ranks(items: DataFrame, key: str, scores: dict[str, tuple[int, float]], rows: int) -> DataFrame:
-    """``(key, score, rank, weight)``: the share of a score's values that are worse, ties at their middle.
+def score_entries(items: DataFrame, key: str, scores: dict[str, tuple[int, float]]) -> DataFrame:
+    """``(key, score, value, weight)``, one row per present score, and one with null score for an item without any.
 
-    Ranks lie in (0, 1], so that a score with more missing values weighs no less; null and NaN have
-    no rank.  The ranks are made on distinct values with counts: a value that a third of the
-    items share is one row there, and is looked up by broadcast as are all values of at least 0.1 %.
+    An item given more than once keeps its worst value of each score; NaN is missing; 0.0 and -0.0 are one value.
     """
-    # an item given more than once keeps its worst value of each score
     worst = items.where(F.col(key).isNotNull()).select(
-        key, *[(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) * F.lit(float(d))).alias(c) for c, (d, _) in scores.items()]
+        key, *[(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) * F.lit(float(d)) + F.lit(0.0)).alias(c) for c, (d, _) in scores.items()]
     ).groupBy(key).agg(*[F.max(c).alias(c) for c in scores])
     entries = F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).alias("value"), F.lit(float(w)).alias("weight")) for c, (_, w) in scores.items()])
-    long = worst.select(key, F.explode(entries).alias("e")).select(key, "e.*").where(F.col("value").isNotNull())
-    # 0.0 and -0.0 are one value
-    long = cut_lineage(long.withColumn("value", F.col("value") + F.lit(0.0)))
-    values = long.groupBy("score", "value").agg(F.count(F.lit(1)).alias("n_equal"))
-    placed = global_positions(values, [F.col("value").desc()], within=["score"])
-    ranks = _cumulative(placed)
-    return hot_cold_join(long, ranks, ["score", "value"], "n_equal", rows * len(scores)).select(key, "score", "rank", "weight")
+    present = F.filter(entries, lambda e: e["value"].isNotNull())
+    return worst.select(key, F.explode_outer(present).alias("e")).select(key, "e.*")
 
 
-def _cumulative(placed: DataFrame) -> DataFrame:
-    """Ranks of distinct values from their order and counts; blocks of positions keep every window small."""
-    block = 50_000
-    blocked = placed.withColumn("__block", F.floor(F.col("__pos") / block))
-    totals = blocked.groupBy("score", "__block").agg(F.sum("n_equal").alias("__sum"))
-    ahead = Window.partitionBy("score").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("score")
-    totals = totals.select("score", "__block", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__ahead"), F.sum("__sum").over(whole).alias("__all"))
-    inside = Window.partitionBy("score", "__block").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
-    local = blocked.withColumn("__local", F.coalesce(F.sum("n_equal").over(inside), F.lit(0)))
-    joined = local.join(totals, ["score", "__block"])
-    rank = (F.col("__ahead") + F.col("__local") + (F.col("n_equal") + F.lit(1)) / F.lit(2.0)) / F.col("__all")
-    return joined.select("score", "value", "n_equal", rank.alias("rank"))
+def score_ranks(entries: DataFrame, key: str) -> DataFrame:
+    """``(key, rank, weight)`` of ``score_entries``: the share of a score's values that are worse, ties at their middle.
+
+    Ranks lie in (0, 1], so that a score with more missing values weighs no less; an entry without a score has a
+    null rank.  The ranks are made on distinct values with counts: a value that a third of the items share is one
+    row there, and is looked up by broadcast as are all values of at least 0.1 %.
+    """
+    entries = cut_lineage(entries)
+    known = entries.where(F.col("score").isNotNull())
+    values = known.groupBy("score", "value").agg(F.count(F.lit(1)).alias("n_equal"))
+    placed = running_totals(values, [F.col("value").desc()], F.col("n_equal"), within=["score"])
+    rank = (F.col("__ahead") + (F.col("n_equal") + F.lit(1)) / F.lit(2.0)) / F.col("__all")
+    ranks = placed.select("score", "value", "n_equal", rank.alias("rank"))
+    ranked = hot_cold_join(known, ranks, ["score", "value"], "n_equal", entries.count()).select(key, "rank", "weight")
+    return ranked.unionByName(entries.where(F.col("score").isNull()).select(key, F.lit(None).cast("double").alias("rank"), "weight"))
 
 
 def median_rank(items: DataFrame, key: str = "item_id", scores: dict[str, tuple[int, float]] | None = None) -> DataFrame:
     """``(key, n_scores, median_rank, mean_rank, position)``, worst item first at position 1.
 
     Order: weighted median of the item's ranks (the lower and upper middle averaged where the
-    weight splits evenly), then weighted mean rank, then key.  Items of which every score is missing
-    come last, with null ranks.  Rows without a key are no items; an empty table gives no rows.
+    weight splits evenly), then weighted mean rank, then key.  The order uses the ranks as they are; only the
+    output is rounded.  Items of which every score is missing come last, with null ranks.  Rows without a key are
+    no items; an empty table gives no rows.
     """
-    scores = scores or METRIC_SCORES
-    rows = items.count()
-    ranked = score_ranks(items, key, scores, rows)
-    sorted_ranks = F.array_sort(F.collect_list(F.struct("rank", "weight")))  # as many entries as scores
-    per_item = ranked.groupBy(key).agg(sorted_ranks.alias("r"))
+    ranked = score_ranks(score_entries(items, key, scores or METRIC_SCORES), key)
+    entry = F.when(F.col("rank").isNotNull(), F.struct("rank", "weight"))
+    per_item = ranked.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("r"))  # as many entries as scores
     half = F.aggregate("r", F.lit(0.0), lambda a, x: a + x["weight"]) / 2
     # running weight before each entry; the lower middle reaches half, the upper one passes it
-    running = F.transform(
-        F.sequence(F.lit(1), F.size("r")),
-        lambda i: F.struct(F.element_at("r", i)["rank"].alias("rank"), F.aggregate(F.slice("r", F.lit(1), i), F.lit(0.0), lambda a, x: a + x["weight"]).alias("upto")),
-    )
+    running = F.transform("r", lambda x, i: F.struct(x["rank"].alias("rank"), F.aggregate(F.slice("r", F.lit(1), i + 1), F.lit(0.0), lambda a, y: a + y["weight"]).alias("upto")))
     per_item = per_item.withColumn("half", half).withColumn("run", running)
-    low = F.filter("run", lambda x: x["upto"] >= F.col("half"))[0]["rank"]
-    high = F.filter("run", lambda x: x["upto"] > F.col("half"))[0]["rank"]
-    mean = F.aggregate("r", F.lit(0.0), lambda a, x: a + x["rank"] * x["weight"]) / (F.col("half") * 2)
-    per_item = per_item.select(key, F.size("r").alias("n_scores"), F.round((low + high) / 2, 9).alias("median_rank"), F.round(mean, 9).alias("mean_rank"))
-    everyone = items.where(F.col(key).isNotNull()).select(key).distinct().join(per_item, key, "left")
-    everyone = everyone.withColumn("n_scores", F.coalesce("n_scores", F.lit(0)))
+    low = F.get(F.filter("run", lambda x: x["upto"] >= F.col("half")), F.lit(0))["rank"]
+    high = F.get(F.filter("run", lambda x: x["upto"] > F.col("half")), F.lit(0))["rank"]
+    mean = F.aggregate("r", F.lit(0.0), lambda a, x: a + x["rank"] * x["weight"]) / F.when(F.col("half") > 0, F.col("half") * 2)
+    per_item = per_item.select(key, F.size("r").alias("n_scores"), ((low + high) / 2).alias("median_rank"), mean.alias("mean_rank"))
     order = [F.col("median_rank").asc_nulls_last(), F.col("mean_rank").asc_nulls_last(), F.col(key).asc()]
-    placed = global_positions(everyone, order)
-    return placed.select(key, "n_scores", "median_rank", "mean_rank", (F.col("__pos") + 1).alias("position"))
+    placed = running_totals(per_item, order, F.lit(1).cast("bigint"))
+    return placed.select(key, "n_scores", F.round("median_rank", 9).alias("median_rank"), F.round("mean_rank", 9).alias("mean_rank"), (F.col("__ahead") + 1).alias("position"))

@@ -36,68 +36,96 @@ def class_key(name: Column, language: Column) -> Column:
 
 
 def related_groups(records: DataFrame, key: str, left: Column, right: Column, max_rounds: int = 60) -> DataFrame:
-    """``(key, group_id)``: records joined by equal ``left`` or equal ``right`` entity, also through others.
+    """``(key, group_id, last_id)``: records joined by equal ``left`` or equal ``right`` entity, also through others.
 
-    Iterative minimum-label propagation over the bipartite graph of records and entities: a label
-    is the smallest key seen; in each round every entity takes the minimum of its records, every
-    record the minimum of its entities, and labels are followed one step (pointer jumping), which
-    keeps the number of rounds logarithmic in the length of chains.
+    ``group_id`` and ``last_id`` are the smallest and the largest key of the group, which differ where it has two
+    members.  Iterative minimum-label propagation over the bipartite graph of left and right entities, whose edges are
+    the distinct (left, right) pairs of records:
 
-    Copies (equal entities on both sides) are collapsed to one node first.  Entities with at least
-    0.1 % of the nodes, of which there can be at most 1000, exchange labels by broadcast; all others by a
-    window over groups below that share.  Every round is checkpointed.  A null entity connects nothing,
-    a record without entities is its own group; null keys are left out.
+    1. A left entity is labelled by its smallest key.  A right entity with one left entity joins nothing and follows it.
+    2. In each round every remaining right entity takes the minimum label of its left entities, every left entity the
+       minimum of its right ones, and labels are followed to their roots by pointer jumping.  Left entities of one
+       root become one, repeated edges fall together and right entities with one edge drop out, so only what can
+       still change goes on, at most half as many labels as before.
+
+    Minima are combined before the shuffle, and keys with many rows are looked up by broadcast (``hot_cold_join``), so a
+    hot entity is no straggler.  Rounds are checkpointed.  A null entity connects nothing, a record without entities
+    is its own group; rows with a null key are left out; a key given twice with different entities is two records.
     """
-    recs = records.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), left.alias("l"), right.alias("r"))
-    pair = F.concat_ws("\u0001", F.coalesce("l", F.lit("\u0002")), F.coalesce("r", F.lit("\u0002")))
-    linked = cut_lineage(recs.where(F.col("l").isNotNull() | F.col("r").isNotNull()).withColumn("pair", pair))
-    alone = recs.where(F.col("l").isNull() & F.col("r").isNull()).select(F.col("id").alias(key), F.col("id").alias("group_id"))
-    nodes = linked.groupBy("pair").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("l").alias("l"), F.first("r").alias("r"))
-    nodes = cut_lineage(nodes)
-    n_rows = linked.count()
-    n_nodes = nodes.count()
-    limit = max(2, -(-n_nodes // 1000))
-    for side in ("l", "r"):
-        hot = nodes.where(F.col(side).isNotNull()).groupBy(side).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-        nodes = nodes.join(F.broadcast(hot.select(side, F.lit(True).alias(f"{side}_hot"))), side, "left")
-        is_hot = F.coalesce(f"{side}_hot", F.lit(False))
-        nodes = nodes.withColumn(f"{side}_key", F.when(is_hot, F.col(side))).withColumn(
-            # null and hot entities get a key of their own, so that they don't meet in one task
-            f"{side}_cold", F.when(is_hot | F.col(side).isNull(), F.concat(F.lit("\u0003"), F.col("node").cast("string"))).otherwise(F.col(side))
-        )
-    state = cut_lineage(nodes.select("pair", "copies", "node", "l_key", "l_cold", "r_key", "r_cold", F.col("node").alias("label")))
+    recs = cut_lineage(records.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), left.alias("l"), right.alias("r")))
+    rows = recs.count()
+    ends = [F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")]
+    lefts = cut_lineage(recs.where(F.col("l").isNotNull()).groupBy("l").agg(*ends))
+    alone = F.col("l").isNull()
+    # a right entity by all its records, and by those that have no left entity and follow it
+    own = [F.min(F.when(alone, F.col("id"))).alias("own_lo"), F.max(F.when(alone, F.col("id"))).alias("own_hi"), F.count_if(alone).alias("n_own")]
+    edges = recs.where(F.col("l").isNotNull() & F.col("r").isNotNull()).groupBy("l", "r").agg(F.count(F.lit(1)).alias("n_edge"))
+    edges = cut_lineage(hot_cold_join(edges.select("l", "r"), lefts.select("l", F.col("lo").alias("a"), "n"), ["l"], "n", rows).select("a", "r"))
+    by_right = edges.groupBy("r").agg(F.min("a").alias("first"), F.count(F.lit(1)).alias("n_left"))
+    rights = recs.where(F.col("r").isNotNull()).groupBy("r").agg(F.min("id").alias("b"), *own)
+    rights = cut_lineage(rights.join(by_right, "r", "left").withColumn("n_left", F.coalesce("n_left", F.lit(0))))
+    shared = rights.where(F.col("n_left") > 1).select("r", "b", "n_left")
+    core = cut_lineage(hot_cold_join(edges, shared, ["r"], "n_left", rows).select("a", "b"))
+    steps: list[DataFrame] = []
     for _ in range(max_rounds):
-        step = state.withColumn("old", F.col("label"))
-        for side in ("l", "r"):
-            hot = step.where(F.col(f"{side}_key").isNotNull()).groupBy(f"{side}_key").agg(F.min("label").alias("hot_min"))
-            step = step.withColumn("cold_min", F.min("label").over(Window.partitionBy(f"{side}_cold")))
-            step = step.join(F.broadcast(hot), f"{side}_key", "left").withColumn("label", F.least("label", "cold_min", "hot_min")).drop("cold_min", "hot_min")
-        step = cut_lineage(step)
-        users = step.groupBy("label").agg(F.count(F.lit(1)).alias("n_users"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("next")).join(users, "label")
-        jumped = hot_cold_join(step, jump, ["label"], "n_users", n_nodes)
-        state = cut_lineage(jumped.select("pair", "copies", "node", "l_key", "l_cold", "r_key", "r_cold", F.least("label", "next").alias("label"), "old"))
-        changed = state.where(F.col("label") < F.col("old")).limit(1).count()
-        state = state.drop("old")
-        if not changed:
+        n_core = core.count()
+        if not n_core:
             break
+        least = core.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
+        parents = hot_cold_join(core, least, ["b"], "n", n_core).groupBy("a").agg(F.min("m").alias("root"), F.count(F.lit(1)).alias("n_edges"))
+        step = _roots(cut_lineage(parents), max_rounds)
+        steps.append(step)
+        merged = hot_cold_join(core, step, ["a"], "n_edges", n_core).select(F.col("root").alias("a"), "b").distinct()
+        merged = cut_lineage(merged)
+        still = merged.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        core = cut_lineage(hot_cold_join(merged, still, ["b"], "n", n_core).select("a", "b"))
     else:
         raise RuntimeError(f"labels still change after {max_rounds} rounds")
-    labels = state.select("pair", "copies", F.col("label").alias("group_id"))
-    joined = hot_cold_join(linked.select("id", "pair"), labels, ["pair"], "copies", n_rows)
-    return joined.select(F.col("id").alias(key), "group_id").unionByName(alone)
+    # the root of every label that ever had one to follow, later rounds applied to earlier ones
+    roots = None
+    for step in reversed(steps):
+        step = step.select("a", "root")
+        if roots is None:
+            roots = step
+        else:
+            later = roots.select(F.col("a").alias("root"), F.col("root").alias("further"))
+            roots = cut_lineage(step.join(later, "root", "left").select("a", F.coalesce("further", "root").alias("root")).unionByName(roots.join(step.select("a"), "a", "left_anti")))
+    def rooted(df: DataFrame, label: str) -> DataFrame:
+        if roots is None:
+            return df.withColumn("root", F.col(label))
+        return df.join(roots.withColumnRenamed("a", label), label, "left").withColumn("root", F.coalesce("root", F.col(label)))
+
+    left_roots = rooted(lefts.withColumnRenamed("lo", "label").withColumn("lo", F.col("label")), "label").select("l", "root", "lo", "hi", "n")
+    right_roots = rooted(rights.withColumn("label", F.coalesce("first", "b")), "label").select("r", "root", "own_lo", "own_hi", "n_own")
+    members = cut_lineage(left_roots.select(F.lit("l").alias("side"), F.col("l").alias("entity"), "root", "lo", "hi", "n").unionByName(
+        right_roots.select(F.lit("r").alias("side"), F.col("r").alias("entity"), "root", F.col("own_lo").alias("lo"), F.col("own_hi").alias("hi"), F.col("n_own").alias("n"))))
+    groups = members.groupBy("root").agg(F.min("lo").alias("group_id"), F.max("hi").alias("last_id"), F.count(F.lit(1)).alias("n_entities"))
+    placed = cut_lineage(hot_cold_join(members.where("n > 0"), groups, ["root"], "n_entities", rows).select("side", "entity", "group_id", "last_id", "n"))
+    asked = recs.select("id", F.when(F.col("l").isNotNull(), "l").otherwise("r").alias("side"), F.coalesce("l", "r").alias("entity"))
+    found = hot_cold_join(asked.where(F.col("entity").isNotNull()), placed, ["side", "entity"], "n", rows).select(F.col("id").alias(key), "group_id", "last_id")
+    single = asked.where(F.col("entity").isNull()).select(F.col("id").alias(key), F.col("id").alias("group_id"), F.col("id").alias("last_id"))
+    return found.unionByName(single)
+
+
+def _roots(tree: DataFrame, max_rounds: int) -> DataFrame:
+    """``tree(a, root, ...)``, in which ``root`` <= ``a`` is a parent, with parents followed to where they end."""
+    for _ in range(max_rounds):  # each jump doubles the length of the chains that are followed
+        users = tree.where("root < a").groupBy("root").agg(F.count(F.lit(1)).alias("n_users"))
+        further = tree.where("root < a").select(F.col("a").alias("root"), F.col("root").alias("next")).join(users, "root")
+        if further.isEmpty():
+            return tree
+        tree = cut_lineage(hot_cold_join(tree, further, ["root"], "n_users", tree.count(), how="left").withColumn("root", F.coalesce("next", "root")).drop("next", "n_users"))
+    raise RuntimeError(f"labels still change after {max_rounds} jumps")
 
 
 def sample_groups(samples: DataFrame) -> DataFrame:
-    """``(sample_id, group_id)`` of classifier records: same file, or same class in the same language."""
+    """``(sample_id, group_id, last_id)`` of classifier records: same file, or same class in the same language."""
     return related_groups(samples, "sample_id", path_key(F.col("file_path")), class_key(F.col("class_name"), F.col("programming_language")))
 
 
 def members_of_groups(groups: DataFrame, key: str) -> DataFrame:
-    """The rows of groups with at least two different keys."""
-    groups = cut_lineage(groups.distinct())
-    sizes = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    return hot_cold_join(groups, sizes, ["group_id"], "n", groups.count()).where(F.col("n") > 1).select(key, "group_id")
+    """The rows of groups with at least two different keys, each once."""
+    return groups.where(F.col("group_id") < F.col("last_id")).select(key, "group_id").distinct()
 
 
 def assign_splits(samples: DataFrame, groups: DataFrame, key: str, label: Column, splits=SPLITS) -> DataFrame:
@@ -109,7 +137,7 @@ def assign_splits(samples: DataFrame, groups: DataFrame, key: str, label: Column
     still lack, in blocks of about 10,000 groups so that no task holds a stratum.  A null label is a
     stratum like any other.
     """
-    labelled = cut_lineage(samples.where(F.col(key).isNotNull()).select(key, F.coalesce(label, F.lit("")).alias("label")).join(groups, key))
+    labelled = cut_lineage(samples.where(F.col(key).isNotNull()).select(key, F.coalesce(label, F.lit("")).alias("label")).join(groups.select(key, "group_id"), key))
     per_label = labelled.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
     group = cut_lineage(per_label.groupBy("group_id").agg(
         F.sum("n").alias("size"), F.max(F.struct(F.col("n"), F.col("label"))).getField("label").alias("main"),
