@@ -6,6 +6,7 @@ import html
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -13,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.session import spread
+from codeweft.operators.skew import hot_cold_join
+from codeweft.session import cut_lineage, spread
 
 #: A passage has at least so many words, of which one in REPLACED may differ.
 PASSAGE = 20
@@ -22,7 +24,8 @@ REPLACED = 6
 #: interruption keeps a run of 4 words.
 SEED = 4
 BLOCK = 2
-#: Wording of so many words that at least so many items hold is shared and no passage of any.
+#: Wording of so many words that at least so many items hold is shared and no passage of any; wording of fewer items is
+#: a passage of each of them.
 SHARED, SHARED_BY = 12, 4
 #: Of the information in a passage so much must be matched, and so many bits at least.  A word's information is
 #: how little the word before it predicts it in the other items: words of a common mould carry next to none, so
@@ -30,8 +33,8 @@ SHARED, SHARED_BY = 12, 4
 INFORMATION, BITS = 0.67, 14.0
 #: Bits of each part of an interrupted passage, and of both.
 PART_BITS, PAIR_BITS = 4.0, 20.0
-#: Items that one pass over the documents takes at most.
-ITEMS_PER_PASS = 20_000
+#: Bytes of item text that one pass over the documents takes, about.
+PASS_BYTES = 64 << 20
 
 #: Letters of other scripts that look like Latin ones (fixed values).
 CONFUSABLES = str.maketrans(
@@ -58,15 +61,42 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def local_statistics(items: list[tuple[int, str]]) -> list[tuple[int, list[str], list[bool], list[float]]]:
+    """``(item_id, words, shared, bits)`` of a few items in plain Python, as ``item_statistics`` makes them of a table."""
+    known = [(i, words_of(t)) for i, t in items if t and t.strip()]
+    holders: dict[tuple[str, ...], set[int]] = defaultdict(set)
+    pairs: Counter[tuple[str, str]] = Counter()
+    firsts: Counter[str] = Counter()
+    for n, (_, ws) in enumerate(known):
+        pairs.update(zip(["", *ws], ws))
+        firsts.update(["", *ws][: len(ws)])
+        for q in range(len(ws) - SHARED + 1):
+            holders[tuple(ws[q : q + SHARED])].add(n)
+    out = []
+    for i, ws in known:
+        flags = [False] * len(ws)
+        for q in range(len(ws) - SHARED + 1):
+            if len(holders[tuple(ws[q : q + SHARED])]) >= SHARED_BY:
+                flags[q : q + SHARED] = [True] * SHARED
+        mine, heads = Counter(zip(["", *ws], ws)), Counter(["", *ws][: len(ws)])
+        out.append((i, ws, flags, [bits_of(pairs[a, w] - mine[a, w], firsts[a] - heads[a]) for a, w in zip(["", *ws], ws)]))
+    return out
+
+
+def bits_of(pair: int, first: int) -> float:
+    """Information of a word that follows its predecessor ``pair`` of ``first`` times in the other items."""
+    return -math.log2((pair + 0.1) / (first + 1.0)) if first > 0 else 6.0
+
+
 class LeakIndex:
-    """Items as word lists, their shared wording, and the shift and suffix tables of all seeds."""
+    """The shift and suffix tables of all seeds of items ``(item_id, words, shared, bits)``."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, words_of(t)) for i, t in items if t and t.strip()]
-        self.shared = self._shared()
-        self.info = self._information()
+    def __init__(self, items: list[tuple[int, list[str], list[bool], list[float]]]):
+        self.items = [i for i, *_ in items]
+        self.shared = [s for _, _, s, _ in items]
+        self.info = [x for *_, x in items]
         self.ids: dict[str, int] = {}
-        self.coded = [[self.ids.setdefault(w, len(self.ids)) for w in ws] for _, ws in self.items]
+        self.coded = [[self.ids.setdefault(w, len(self.ids)) for w in ws] for _, ws, _, _ in items]
         self.width = len(self.ids) + 1
         self.shift: dict[int, int] = {}
         self.buckets: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
@@ -81,40 +111,6 @@ class LeakIndex:
                 self.buckets[seed[-2] * self.width + seed[-1]][tuple(seed[:-BLOCK])].append((n, q))
         self.buckets = {k: dict(v) for k, v in self.buckets.items()}
 
-    def _shared(self) -> list[list[bool]]:
-        """For each word of each item: stands in a run of SHARED words that another item holds too."""
-        holders: dict[tuple[str, ...], set[int]] = defaultdict(set)
-        for n, (_, ws) in enumerate(self.items):
-            for q in range(len(ws) - SHARED + 1):
-                holders[tuple(ws[q : q + SHARED])].add(n)
-        out = []
-        for _, ws in self.items:
-            flags = [False] * len(ws)
-            for q in range(len(ws) - SHARED + 1):
-                if len(holders[tuple(ws[q : q + SHARED])]) >= SHARED_BY:
-                    flags[q : q + SHARED] = [True] * SHARED
-            out.append(flags)
-        return out
-
-    def _information(self) -> list[list[float]]:
-        """Bits of each word of each item, given the word before it, by the counts of all other items."""
-        pairs: Counter[tuple[str, str]] = Counter()
-        firsts: Counter[str] = Counter()
-        own: list[Counter] = []
-        for _, ws in self.items:
-            mine = Counter(zip(["", *ws], ws))
-            own.append(mine)
-            pairs.update(mine)
-            for (a, _), n in mine.items():
-                firsts[a] += n
-        out = []
-        for (_, ws), mine in zip(self.items, own):
-            heads: Counter[str] = Counter()
-            for (a, _), n in mine.items():
-                heads[a] += n
-            out.append([-math.log2((pairs[a, w] - mine[a, w] + 0.1) / (firsts[a] - heads[a] + 1.0)) if firsts[a] > heads[a] else 6.0 for a, w in zip(["", *ws], ws)])
-        return out
-
     def seeds(self, coded: list[int]) -> dict[int, list[tuple[int, int]]]:
         """Item -> places ``(in the text, in the item)`` at which a seed matches."""
         hits: dict[int, list[tuple[int, int]]] = {}
@@ -140,25 +136,41 @@ class LeakIndex:
             i += 1
         return hits
 
+    def _coded(self, text: str) -> list[int]:
+        get = self.ids.get
+        return [get(w, -1) for w in words_of(text)]
+
+    def _passage(self, coded: list[int], item: int, places: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
+        length, _, spans = best_passage(coded, self.coded[item], self.shared[item], self.info[item], {p - q for p, q in places})
+        return length, spans
+
+    def candidates(self, text: str) -> list[int]:
+        """Ids of the items of which ``text`` holds a passage, each judged as if it were the only item."""
+        coded = self._coded(text)
+        return [self.items[i] for i, ps in self.seeds(coded).items() if len(ps) >= 2 and self._passage(coded, i, ps)[0] >= PASSAGE]
+
     def passages(self, text: str) -> list[tuple[int, int]]:
         """``(item_id, words)`` of the items of which ``text`` holds a passage, with the length found.
 
-        The item with most seeds comes first, and words it explains count for no other:
-        two items of one mould would else both be found in a passage of one of them.
+        A place in a text is a passage of the items that match it best: the item with most seeds comes first, with it
+        every other item that has all of its seeds, and the words they explain count for no item that matches less.
+        Two items of one mould would else both be found in a passage of one of them.
         """
-        get = self.ids.get
-        coded = [get(w, -1) for w in words_of(text)]
+        coded = self._coded(text)
         hits = self.seeds(coded)
         out = []
         while hits:
-            item = max(hits, key=lambda i: (len(hits[i]), -i))
-            places = hits.pop(item)
-            if len(places) < 2:  # 17 equal words in at most 5 runs hold two seeds at least
+            first = max(hits, key=lambda i: (len(hits[i]), -self.items[i]))
+            if len(hits[first]) < 2:  # 17 equal words in at most 5 runs hold two seeds at least
                 break
-            length, _, spans = best_passage(coded, self.coded[item], self.shared[item], self.info[item], {p - q for p, q in places})
-            if length >= PASSAGE:
-                out.append((self.items[item][0], length))
+            reached = {p for p, _ in hits[first]}
+            equal = [i for i, ps in hits.items() if i == first or len(ps) >= len(reached) and reached <= {p for p, _ in ps}]
+            found = [(i, places, *self._passage(coded, i, places)) for i, places in ((i, hits.pop(i)) for i in equal)]
+            found = [f for f in found if f[2] >= PASSAGE]
+            for item, places, length, spans in found:
+                out.append((self.items[item], length))
                 self._explain(coded, item, places, spans)
+            if found:
                 hits = {i: [x for x in ps if coded[x[0]] >= 0 and coded[x[0] + SEED - 1] >= 0] for i, ps in hits.items()}
         return out
 
@@ -254,29 +266,105 @@ def best_passage(text: list[int], item: list[int], shared: list[bool], info: lis
     return best
 
 
-def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def item_statistics(items: DataFrame) -> DataFrame:
+    """``(item_id, words, shared, bits, n_bytes)`` of every item with words, by counts over all items.
+
+    ``shared`` marks words in runs of SHARED words that at least SHARED_BY items hold; ``bits`` is a word's information
+    given the word before it, by the counts of all other items.  Null ids and null or blank texts are left out.
+    """
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"item_id": b["item_id"], "words": [words_of(t) for t in b["text"]]})
+
+    known = items.where(F.col("item_id").isNotNull() & (F.length(F.trim("text")) > 0)).select("item_id", "text").distinct()
+    worded = cut_lineage(known.mapInPandas(split, "item_id bigint, words array<string>").where(F.size("words") > 0).withColumn("key", F.monotonically_increasing_id()))
+    tokens = worded.select("key", F.posexplode("words").alias("at", "word"), "words").select("key", "at", "word", F.when(F.col("at") > 0, F.element_at("words", F.col("at"))).otherwise("").alias("prev"))
+    # a word and its predecessor in one item, then over all items
+    mine = cut_lineage(tokens.groupBy("key", "prev", "word").agg(F.count(F.lit(1)).alias("m")))
+    pairs = mine.groupBy("prev", "word").agg(F.sum("m").alias("p"), F.count(F.lit(1)).alias("n_uses"))
+    heads = mine.groupBy("key", "prev").agg(F.sum("m").alias("h"))
+    firsts = heads.groupBy("prev").agg(F.sum("h").alias("f"), F.count(F.lit(1)).alias("n_uses"))
+    rows = mine.count()
+    by_pair = hot_cold_join(mine, pairs, ["prev", "word"], "n_uses", rows).drop("n_uses")
+    by_head = hot_cold_join(heads, firsts, ["prev"], "n_uses", rows).drop("n_uses")
+    known_bits = by_pair.join(by_head, ["key", "prev"])
+    rest = F.col("f") - F.col("h")
+    bits = F.when(rest > 0, -F.log2((F.col("p") - F.col("m") + 0.1) / (rest + 1.0))).otherwise(6.0)
+    table = known_bits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "prev", "word"), bits))).alias("table"))
+    # places at which a shared run starts; a run is compared by 128 bits of hash
+    starts = worded.where(F.size("words") >= SHARED).select("key", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - SHARED + 1), lambda i: F.slice("words", i, F.lit(SHARED)))).alias("at", "run"))
+    starts = starts.select("key", "at", F.xxhash64("run").alias("x"), F.xxhash64(F.lit(1), "run").alias("y"))
+    held = starts.select("key", "x", "y").distinct().groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_items")).where(F.col("n_items") >= SHARED_BY)
+    runs = hot_cold_join(starts, held, ["x", "y"], "n_items", rows).groupBy("key").agg(F.collect_set("at").alias("runs"))
+    joined = worded.join(table, "key").join(runs, "key", "left")
+    before = lambda i: F.when(i > 0, F.element_at("words", i)).otherwise("")
+    flags = F.transform("words", lambda w, i: F.coalesce(F.exists("runs", lambda r: (r <= i) & (i < r + SHARED)), F.lit(False)))
+    return joined.select(
+        "item_id", "words", flags.alias("shared"), F.transform("words", lambda w, i: F.element_at("table", F.concat_ws(" ", before(i), w))).alias("bits"),
+        F.octet_length(F.array_join("words", " ")).alias("n_bytes"),
+    )
+
+
+#: The index of the pass a process works on, by the pass's token.
+_INDEX: dict[str, LeakIndex] = {}
+
+
+def _index_of(token: str, shared) -> LeakIndex:
+    """The index of the items in a broadcast, built once in each process."""
+    if token not in _INDEX:
+        _INDEX.clear()
+        _INDEX[token] = LeakIndex(shared.value)
+    return _INDEX[token]
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """``(doc_id, item_id, n_words)``: every document that holds a passage of an item, once per item.
 
-    The items are the query set: they are taken in passes of at most ``ITEMS_PER_PASS`` and each
-    pass streams over all documents without a shuffle.  Shared wording is judged over the items of a
-    pass.  Null and empty texts hold nothing; repeated documents with one doc_id give one row.
+    The items are the query set.  Shared wording and the information of words are counted over all of them; then
+    they are searched in passes of about ``pass_bytes``, each of which streams over all documents without a shuffle.
+    Where there is one pass, the items of a document are judged against each other at once; of several
+    passes, the documents with candidates are judged once more with the candidates of all passes, so the rows
+    don't depend on the number of passes.  Null and empty texts hold nothing; repeated documents with one
+    doc_id give one row.
     """
-    known = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct()
-    n = known.count()
-    passes = max(1, -(-n // ITEMS_PER_PASS))
+    spark = docs.sparkSession
+    known = cut_lineage(item_statistics(items))
+    size = known.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()["b"]
+    passes = max(1, -(-size // pass_bytes))
+    texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    texts = spread(texts)
+    schema = "doc_id bigint, item_id bigint, n_words bigint"
     found = None
     for k in range(passes):
         part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        rows = [(r["item_id"], r["text"]) for r in part.orderBy("item_id").collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
+        rows = [(r["item_id"], r["words"], r["shared"], r["bits"]) for r in part.orderBy("item_id").collect()]
+        shared = spark.sparkContext.broadcast(rows)
 
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = LeakIndex(shared.value)
+        def search(batches: Iterator[pd.DataFrame], token=uuid.uuid4().hex, shared=shared, whole=passes == 1) -> Iterator[pd.DataFrame]:
+            index = _index_of(token, shared)
             for b in batches:
-                hits = [(d, i, n) for d, t in zip(b["doc_id"], b["text"]) if t for i, n in index.passages(t)]
+                if whole:
+                    hits = [(d, i, n) for d, t in zip(b["doc_id"], b["text"]) if t for i, n in index.passages(t)]
+                else:
+                    hits = [(d, i, 0) for d, t in zip(b["doc_id"], b["text"]) if t for i in index.candidates(t)]
                 yield pd.DataFrame(hits, columns=["doc_id", "item_id", "n_words"]).astype("int64")
 
-        texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
-        hits = spread(texts).mapInPandas(search, "doc_id bigint, item_id bigint, n_words bigint")
+        hits = texts.mapInPandas(search, schema)
         found = hits if found is None else found.unionByName(hits)
+    if passes > 1:
+        asked = cut_lineage(found.select("doc_id", "item_id").distinct())
+        uses = asked.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+        item = known.join(uses, "item_id").select("item_id", "n", F.struct("item_id", "words", "shared", "bits").alias("item"))
+        # the items of one document: as many as it holds passages of, or nearly
+        full = hot_cold_join(asked, item, ["item_id"], "n", asked.count()).groupBy("doc_id").agg(F.collect_list("item").alias("items"))
+
+        def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                hits = []
+                for d, t, own in zip(b["doc_id"], b["text"], b["items"]):
+                    rows = sorted((int(x["item_id"]), list(x["words"]), list(x["shared"]), list(x["bits"])) for x in own)
+                    hits += [(d, i, n) for i, n in LeakIndex(rows).passages(t)]
+                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "n_words"]).astype("int64")
+
+        found = texts.join(full, "doc_id").mapInPandas(judge, schema)
     return found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))

@@ -13,11 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.session import spread
+from codeweft.operators.skew import lookup_join
+from codeweft.session import cut_lineage, spread
 
-#: Feature space, and the most rows that the training sample may have.
+#: Feature space, and the most rows and bytes that the training sample may have; a text of more than 1 / 64 of the
+#: bytes is not drawn.
 BITS = 14
 SAMPLE_ROWS = 16_000
+SAMPLE_BYTES = 64 << 20
 #: Log odds from which a text counts as cut; the training set holds about two cuts for each intact text.
 THRESHOLD = -1.0
 
@@ -102,11 +105,12 @@ def features(text: str, gap: int | None, vocabulary: frozenset[str]) -> list[str
     if marked:  # judge what stands before the mark, as the mark says nothing on "and so on..."
         body = body[: len(body) - len(marked.group(0))].rstrip() or body
         text = body
-    tail = body[-160:]
     last_line = body.rsplit("\n", 1)[-1]
-    words = _WORD.findall(last_line[-80:])
-    classes = "".join(_char_class(c) for c in tail[-3:])
-    out = ["c3=" + classes, "c2=" + classes[-2:], "c1=" + classes[-1:], "tail4=" + tail[-4:].lower(), "tail8=" + tail[-8:].lower()]
+    pieces = body.rsplit(None, 1)
+    tail = pieces[-1] if pieces else ""  # up to the last blank
+    words = _WORD.findall(last_line)
+    classes = "".join(_char_class(c) for c in body[-3:])
+    out = ["c3=" + classes, "c2=" + classes[-2:], "c1=" + classes[-1:], "tail4=" + body[-4:].lower(), "tail8=" + body[-8:].lower()]
     ends_alpha = bool(tail) and (tail[-1].isalnum() or tail[-1] in "_$")
     if words:
         w = words[-1].lower()
@@ -131,7 +135,7 @@ def features(text: str, gap: int | None, vocabulary: frozenset[str]) -> list[str
     if _TAG_END.search(tail):
         out.append("partial-tag")
     stack = []
-    for c in last_line[-400:]:
+    for c in last_line:
         if c in _OPEN:
             stack.append(c)
         elif stack and c == _OPEN[stack[-1]]:
@@ -207,23 +211,31 @@ class TruncationModel:
         return cls(weights, bias, vocabulary)
 
     @staticmethod
-    def _train(negative: list[np.ndarray], positive: list[np.ndarray], seed: int, epochs: int) -> tuple[np.ndarray, float]:
-        """Adagrad over the logistic loss, one row a step, with light L2."""
+    def _train(negative: list[np.ndarray], positive: list[np.ndarray], seed: int, epochs: int, batch: int = 16) -> tuple[np.ndarray, float]:
+        """Adagrad over the logistic loss in small batches of rows, with light L2."""
         rows = negative + positive
         y = np.array([0.0] * len(negative) + [1.0] * len(positive))
+        sizes = np.array([len(r) for r in rows])
+        flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
+        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1] if rows else sizes
         w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1.0)
         bias, b2 = 0.0, 1.0
         order = np.random.default_rng(seed)
         for _ in range(epochs):
-            for i in order.permutation(len(rows)):
-                r = rows[i]
-                z = w[r].sum() + bias
-                d = 1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z)))) - y[i]
-                grad = d + 1e-5 * w[r]
-                g2[r] += grad * grad
-                w[r] -= 0.3 * grad / np.sqrt(g2[r])
-                b2 += d * d
-                bias -= 0.3 * d / np.sqrt(b2)
+            mixed = order.permutation(len(rows))
+            for at in range(0, len(mixed), batch):
+                part = mixed[at : at + batch]
+                n = sizes[part]
+                owner = np.repeat(np.arange(len(part)), n)
+                used = flat[np.repeat(starts[part] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())]
+                z = np.bincount(owner, weights=w[used], minlength=len(part)) + bias
+                d = 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0))) - y[part]
+                cells, where = np.unique(used, return_inverse=True)
+                grad = np.bincount(where, weights=d[owner]) + 1e-5 * w[cells]
+                g2[cells] += np.bincount(where, weights=d[owner] ** 2)
+                w[cells] -= 0.3 * grad / np.sqrt(g2[cells])
+                b2 += float((d * d).sum())
+                bias -= 0.3 * float(d.sum()) / np.sqrt(b2)
         return w, bias
 
     def score(self, text: str, gap: int | None) -> float:
@@ -231,41 +243,44 @@ class TruncationModel:
         return float(self.weights[_indices(features(text, gap, self.vocabulary))].sum() + self.bias)
 
 
-def source_limits(docs: DataFrame, rows: int, min_pile: int = 4) -> DataFrame:
-    """``(source, char_limit, byte_limit)`` of sources whose long texts pile up at one length, over all documents.
-
-    A limit is the most frequent length (in characters, and in bytes) within 2 % of the source's
-    longest text, if at least ``min_pile`` texts and 0.5 % of the source's have it.  Only sources with at
-    least 0.1 % of the documents can have a limit, so at most 1000 rows come back.
-    """
+def text_sizes(docs: DataFrame) -> DataFrame:
+    """``(source, unit, size, n)``: how many texts of a source have a length, in characters (char) and in bytes (byte)."""
     units = F.array(F.struct(F.lit("char").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("byte").alias("unit"), F.octet_length("text").alias("size")))
     sized = docs.where(F.col("text").isNotNull()).select(F.coalesce("source", F.lit("")).alias("source"), F.explode(units).alias("u")).select("source", "u.*")
-    by_size = sized.groupBy("source", "unit", "size").agg(F.count(F.lit(1)).alias("n"))
-    whole = by_size.groupBy("source", "unit").agg(F.sum("n").alias("total"), F.max("size").alias("longest"))
-    big = whole.where((F.col("total") >= max(1, rows // 1000)) & (F.col("longest") > 40))
-    piles = by_size.join(F.broadcast(big), ["source", "unit"]).where(
-        (F.col("size") >= 0.98 * F.col("longest")) & (F.col("n") >= min_pile) & (F.col("n") >= 0.005 * F.col("total"))
+    return sized.groupBy("source", "unit", "size").agg(F.count(F.lit(1)).alias("n"))
+
+
+def source_limits(sizes: DataFrame, min_pile: int = 4, share: float = 0.005) -> DataFrame:
+    """``(source, char_limit, byte_limit, n_texts)`` of every source whose long texts pile up at one length.
+
+    A limit is the most frequent length (in characters, and in bytes) within 2 % of the source's longest text, if at
+    least ``min_pile`` texts and ``share`` of the source's have it.  It depends on the source's own texts only.
+    """
+    whole = sizes.groupBy("source", "unit").agg(F.sum("n").alias("total"), F.max("size").alias("longest"))
+    piles = sizes.join(whole.where("longest > 40"), ["source", "unit"]).where(
+        (F.col("size") >= 0.98 * F.col("longest")) & (F.col("n") >= min_pile) & (F.col("n") >= share * F.col("total"))
     )
     limit = lambda unit: F.max(F.when(F.col("unit") == unit, F.struct("n", "size"))).getField("size")
-    return piles.groupBy("source").agg(limit("char").alias("char_limit"), limit("byte").alias("byte_limit"))
+    return piles.groupBy("source").agg(limit("char").alias("char_limit"), limit("byte").alias("byte_limit"), F.max("total").alias("n_texts"))
 
 
-def truncation_scores(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def truncation_scores(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """``(doc_id, source, log_odds, truncated)`` of every document.
 
-    The model is fitted on a sample of at most ``sample_rows`` documents drawn by a hash of doc_id; limits
-    and scores cover all documents and whole texts.  Null, empty and blank texts are not truncated
-    and have null odds; a null source counts as a source of its own, ''.
+    The model is fitted on a sample of at most ``sample_rows`` documents and about ``sample_bytes`` bytes drawn by a
+    hash of doc_id; limits (of every source, however small) and scores cover all documents and whole texts.  Null,
+    empty and blank texts are not truncated and have null odds; a null source counts as a source of its own, ''.
     """
-    docs = spread(docs.select("doc_id", "text", "source"))
-    rows = docs.count()
-    limits = source_limits(docs, rows)
-    marked = docs.withColumn("source", F.coalesce("source", F.lit(""))).join(F.broadcast(limits), "source", "left")
+    docs = spread(docs.select("doc_id", "text", "source")).withColumn("source", F.coalesce("source", F.lit("")))
+    sizes = cut_lineage(text_sizes(docs))  # one row a source and length
+    known = sizes.where("unit = 'byte'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") * F.col("size")), F.lit(0)).alias("bytes")).first()
+    limits = cut_lineage(source_limits(sizes))
+    marked = lookup_join(docs, limits, ["source"], "n_texts", known["rows"], how="left")
     gap = F.least(F.abs(F.col("char_limit") - F.length("text")), F.abs(F.col("byte_limit") - F.octet_length("text")))
-    marked = marked.withColumn("gap", gap)
+    marked = marked.select("doc_id", "source", "text", gap.alias("gap"))
     # a little less than allowed, so that the limit below is a bound and hardly ever cuts
-    share = min(1.0, 0.95 * sample_rows / max(rows, 1))
-    drawn = marked.where(F.length(F.trim(F.col("text"))) > 0).where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
+    share = min(1.0, 0.95 * sample_rows / max(known["rows"], 1), 0.95 * sample_bytes / max(known["bytes"], 1))
+    drawn = marked.where((F.length(F.trim(F.col("text"))) > 0) & (F.octet_length("text") <= sample_bytes // 64)).where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
     sample = drawn.select("doc_id", "text", "gap").limit(sample_rows).collect()
     sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
     if sample:
@@ -281,5 +296,4 @@ def truncation_scores(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFr
             odds = [own.score(t, g) if t is not None and t.strip() else None for t, g in zip(b["text"], gaps)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "log_odds": pd.array(odds, dtype="Float64"), "truncated": [o is not None and o > THRESHOLD for o in odds]})
 
-    scored = marked.select("doc_id", "source", "text", "gap")
-    return scored.mapInPandas(score, "doc_id bigint, source string, log_odds double, truncated boolean")
+    return marked.mapInPandas(score, "doc_id bigint, source string, log_odds double, truncated boolean")

@@ -338,7 +338,7 @@ def test_p9_passages(spark):
 
 
 def test_p9_seeds_miss_nothing():
-    index = leaks.LeakIndex(ITEMS)
+    index = leaks.LeakIndex(leaks.local_statistics(ITEMS))
     rng = random.Random(2)
     for _ in range(50):
         i = rng.randint(1, 8)
@@ -350,7 +350,7 @@ def test_p9_seeds_miss_nothing():
 
 def test_p9_interrupted_passages_with_replaced_words():
     """The limit of replaced words holds for both parts together, and one part needs no seed."""
-    index = leaks.LeakIndex(ITEMS)
+    index = leaks.LeakIndex(leaks.local_statistics(ITEMS))
     quote, filler = _quote(1, 20, 24), "zzz yyy xxx".split() * 5
     missed = []
     for size, at, replaced in [(24, 11, (4, 9)), (20, 10, (3, 6)), (20, 10, (12, 15)), (24, 12, (3, 6, 9)), (24, 12, (14, 17, 20)), (24, 12, (11, 12)), (21, 10, (9, 10))]:
@@ -390,7 +390,7 @@ def test_p10_limits_and_odd_rows(spark):
     long = [(" ".join(_texts(i, 12)))[:200] for i in range(40)]
     rows = [(i, t, "a") for i, t in enumerate(texts)] + [(1000 + i, t, "lim") for i, t in enumerate(long)] + [(2000, None, "a"), (2001, "", None), (2002, "  \n", "a"), (None, "Fine.", None), (2003, "Word. " * 30000, "a")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("gap", F.lit(1)).withColumn("limit", F.lit(2))
-    limits = {r.source: (r.char_limit, r.byte_limit) for r in truncation.source_limits(df, len(rows)).collect()}
+    limits = {r.source: (r.char_limit, r.byte_limit) for r in truncation.source_limits(truncation.text_sizes(df)).collect()}
     assert limits.get("lim") == (200, 200)
     got = truncation.truncation_scores(df).collect()
     assert len(got) == len(rows)
@@ -421,3 +421,32 @@ def test_llm_sql(spark, data):
         assert sorted(cols) == sorted(df.columns)
         mine = Counter(tuple(round(r[c], 8) if isinstance(r[c], float) else r[c] for c in cols) for r in df.collect())
         assert mine == Counter(tuple(round(v, 8) if isinstance(v, float) else v for v in r) for r in res.fetchall()), name
+
+
+def test_p9_statistics_equal_those_of_plain_python(spark):
+    opening = "please read the text below and choose the one statement that follows from all of it"
+    rows = [*ITEMS, *[(100 + i, f"{opening} number{i} lies behind the hill near river{i}") for i in range(5)], (200, None), (201, " ")]
+    got = {r.item_id: r for r in leaks.item_statistics(spark.createDataFrame(rows, "item_id bigint, text string")).collect()}
+    want = leaks.local_statistics(rows)
+    assert set(got) == {i for i, *_ in want}
+    for i, words, shared, bits in want:
+        assert list(got[i].words) == words and list(got[i].shared) == shared
+        assert list(got[i].bits) == pytest.approx(bits)
+    assert sum(got[100].shared) == 16
+
+
+def test_p9_equal_items_and_passes(spark):
+    words = _quote(ITEMS[0][0], 20, 30)
+    twins = [*ITEMS, (900, ITEMS[0][1]), (901, "an own opening " + " ".join(words[:26]) + " and another end of it")]
+    docs = spark.createDataFrame([(1, "well " + " ".join(words[:25]) + " so"), (2, "nothing here"), (3, None), (4, "")], "doc_id bigint, text string")
+    items = spark.createDataFrame(twins, "item_id bigint, text string")
+    one = {tuple(r) for r in leaks.find_leaks(docs, items).collect()}
+    assert {(d, i) for d, i, _ in one} == {(1, ITEMS[0][0]), (1, 900), (1, 901)}
+    assert {tuple(r) for r in leaks.find_leaks(docs, items, pass_bytes=200).collect()} == one
+
+
+def test_p10_limits_of_many_small_sources(spark):
+    rows = [(s * 10 + i, ("word " * 40)[: 120 if i < 5 else 60 + i], f"s{s}") for s in range(2000) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    limits = truncation.source_limits(truncation.text_sizes(df))
+    assert limits.where("char_limit = 120 and byte_limit = 120").count() == 2000
