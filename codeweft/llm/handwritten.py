@@ -11,10 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.operators.skew import hot_cold_join
+from codeweft.operators.skew import hot_cold_join, lookup_join
 from codeweft.session import cut_lineage, spread
 
-#: Phrases of generation notices with their weight; a header needs a sum of 2 (fixed values).
+#: Phrases of generation notices (fixed values): 2 where a phrase says by itself that a tool wrote the file, 1 where it does
+#: so only beside another; a comment needs a sum of 2.
 GENERATED_PHRASES = {
     "auto-generated": 2, "autogenerated": 2, "auto generated": 2, "<auto-generated": 2, "@generated": 2, "automatically generated": 2, "generated automatically": 2,
     "code generated by": 2, "generated by": 2, "generated with": 2, "generated from": 2, "generated code": 1, "generated file": 1, "file is generated": 2, "file was generated": 2,
@@ -24,17 +25,25 @@ GENERATED_PHRASES = {
     "nicht bearbeiten": 1, "nicht ändern": 1, "généré automatiquement": 2, "généré par": 2, "ne pas modifier": 1, "generado por": 2, "generado automáticamente": 2, "no editar": 1, "no modificar": 1,
     "gerado automaticamente": 2, "não edite": 1, "自动生成": 2, "請勿編輯": 1, "请勿编辑": 1, "自動生成": 2, "編集しないで": 1,
 }
-#: Words that show that a comment speaks about such notices instead of being one (fixed values).
-SPEAKING_OF = ("header '", 'header "', "writes the", "reads generated", "reads the generated", "emits", "every file it", "it emits", "checks", "detects", "looks for", "hand-tuned", "hand tuned", "our own team", "not generated", "never generated", "hand-written", "handwritten", "unlike the generated", "ids are not")
+#: What makes a phrase a mention and no notice: quotes around it, a denial before it, a clause about other files.
+_QUOTED = re.compile(r"'[^'\n]*'|\"[^\"\n]*\"|`[^`\n]*`|‘[^’\n]*’|“[^”\n]*”|«[^»\n]*»")
+_DENIED = re.compile(r"\b(?:not|never|no|isn't|wasn't|aren't|without|nothing|hand|un|kein\w*|nicht)\b[\s-]*(?:\w+[\s-]+){0,2}$")
+_CLAUSE = re.compile(r"\b(?:if|whether|that|which|when|where|unless|like|than)\b")
+_WORDY = re.compile(r"[^\W\d_][\w'-]*")
+_BE = frozenset("is was were are be been being wurde wird werden".split())
 #: Phrases of notices of another project (fixed values).
 FOREIGN = re.compile(
-    r"\(c\) the (?!our )([\w.-]+) (?:contributors|authors|project|developers)|upstream copy|part of ([\w.-]+) \(v?\d+(?:\.\d+)+\)|see license\.[\w-]+ for terms|^[\W_]*([\w.-]+) v?\d+\.\d+\.\d+ (?:-|\|) (?:https?://|\(c\))"
+    r"\(c\) the ([\w.-]+) (?:contributors|authors|project|developers)|upstream copy|part of ([\w.-]+) \(v?\d+(?:\.\d+)+\)|see license\.[\w-]+ for terms|^[\W_]*([\w.-]+) v?\d+\.\d+\.\d+ (?:-|\|) (?:https?://|\(c\))"
     r"|copyright \(c\) the [\w.-]+ project|imported from upstream|vendored from|copied from https?://|/\*!\s*[\w.-]+(?: v?\d[\w.]*)? (?:bundle|v?\d)",
     re.I | re.M,
 )
-#: Folders that hold other projects whatever lies in them, and folders that do so if a project's name or version follows.
-VENDOR_DIRS = frozenset(("node_modules", "bower_components", ".venv", "venv", "site-packages", "pods", "carthage", ".cargo", ".yarn", ".bundle"))
-WEAK_VENDOR_DIRS = frozenset(("vendor", "third_party", "third-party", "thirdparty", "deps", "external", "extern", "packages", "lib", "libs", "contrib", "_vendor", "godeps", "3rdparty"))
+#: Folders that hold other projects whatever lies in them, and folders that do so only with evidence of another project.
+VENDOR_DIRS = frozenset(("node_modules", "bower_components", ".venv", "venv", "site-packages", "pods", "carthage", ".cargo", ".yarn", ".bundle", "third_party", "third-party", "thirdparty", "3rdparty", "_vendor", "godeps"))
+WEAK_VENDOR_DIRS = frozenset(("vendor", "deps", "external", "extern", "packages", "lib", "libs", "contrib", "Packages"))
+#: Files by which package managers and projects mark a folder as a project of its own (fixed values).
+MANIFEST = re.compile(r"^(?:modules\.txt|autoload\.php|installed\.(?:json|php)|composer\.json|package\.json|bower\.json|cargo\.toml|go\.mod|setup\.(?:py|cfg)|pyproject\.toml|pom\.xml|[\w.-]+\.(?:nuspec|gemspec)|(?:un)?licen[cs]e(?:[.-][\w.-]+)?|copying(?:\.\w+)?|notice(?:\.\w+)?)$", re.I)
+#: A folder named like the host of a module path, such as github.com.
+_HOST = re.compile(r"^[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|org|net|io|in|dev|cn|de|edu|sh|me|ai)$")
 #: File names of build output, and of lock files (fixed patterns).
 GENERATED_NAME = re.compile(
     r"(?:_pb2(?:_grpc)?\.pyi?|\.pb(?:\.gw)?\.(?:go|cc|h)|_pb\.(?:d\.ts|js|ts|rb)|grpc\.(?:java|cs|php)|outerclass\.java|gpbmetadata\.php|\.g\.(?:i\.)?cs|\.designer\.cs|\.generated\.\w+|_generated\.\w+|\.gen\.\w+|_gen\.(?:go|rs|ts|py)|_string\.go|zz_generated\.\w+|\.g\.dart|_mock\.gen\.go)$",
@@ -54,9 +63,7 @@ _HEAD_LINE = re.compile(r"^\s*(?://|#(?!\[|include|define|if|region)|/\*|\*|\*/|
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for phrase, weight in GENERATED_PHRASES.items():
-        a.add_word(phrase, (phrase, weight, 0))
-    for phrase in SPEAKING_OF:
-        a.add_word(phrase, (phrase, 0, 1))
+        a.add_word(phrase, (phrase, weight))
     a.make_automaton()
     return a
 
@@ -84,51 +91,83 @@ def header_of(text: str) -> str:
     return "\n".join(out)
 
 
+def _speaks_of(before: str) -> bool:
+    """Whether a sentence that starts with ``before`` speaks about notices or other files where the phrase then stands.
+
+    "Detects files generated by ..." and "checks that they are not generated from ..." do; "classes generated from ..." and
+    "this file was generated by ..." are about the file itself.
+    """
+    if _DENIED.search(before) or _CLAUSE.search(before):
+        return True
+    words = _WORDY.findall(before)
+    if not words or words[-1] in _BE:
+        return False
+    verb = words[0].endswith("s") and len(words[0]) > 3 and words[0] not in ("this", "does")
+    return verb and len(words) >= 2
+
+
 def header_generated(header: str) -> bool:
-    """A notice that says that a tool wrote the file: matched phrases of one comment weigh 2 or more.
+    """A notice that says that a tool wrote the file: phrases of one comment weigh 2 or more.
 
-    A comment that speaks about notices ("writes the header 'do not edit' into ...") is none.
+    Phrases in quotes, after a denial, or in a sentence about other files are mentions and count for nothing.
     """
     low = header.lower()
     for part in re.split(r"\n\s*\n|(?<=\*/)\n", low):
-        weights, about = {}, 0
-        for _, (phrase, weight, speaking) in _automaton().iter(part):
-            weights[phrase] = weight
-            about += speaking
-        longest = [w for p, w in weights.items() if w and not any(p != q and p in q for q in weights)]
-        if sum(longest) >= 2 and not about:
+        part = _QUOTED.sub(lambda m: " " * len(m.group(0)), part)
+        weights: dict[str, int] = {}
+        for end, (phrase, weight) in _automaton().iter(part):
+            at = end - len(phrase) + 1
+            start = max(part.rfind(". ", 0, at), part.rfind("! ", 0, at), part.rfind("; ", 0, at), part.rfind("\n", 0, at)) + 1
+            if not _speaks_of(part[start:at]):
+                weights[phrase] = weight
+        if sum(w for p, w in weights.items() if not any(p != q and p in q for q in weights)) >= 2:
             return True
-        if about and sum(longest) >= 2:  # several comments may stand without a gap: judge line by line
-            for line in part.split("\n"):
-                hits = [v for _, v in _automaton().iter(line)]
-                if sum(w for _, w, _ in hits) >= 2 and not any(sp for _, _, sp in hits):
-                    return True
     return False
 
 
 def path_vendored(path: str) -> str | None:
     """Name of the other project a path lies in, or None.
 
-    ``vendor``, ``lib`` and the like count only where the next folder carries a version or the
-    file's name starts with that folder's: a folder's word alone makes no case.
+    ``vendor``, ``lib`` and the like are words that a project may use for its own folders, so they count only with
+    evidence in the path: a module path with a host, a version, a file named like its folder, the layout
+    owner/package below a ``vendor`` at the root, or a package manager's file.  ``judge_files`` adds evidence from other files.
     """
     parts = [p for p in path.split("/") if p]
     stem = parts[-1].split(".")[0].lower() if parts else ""
     for i, p in enumerate(parts[:-1]):
         low = p.lower()
-        if low in VENDOR_DIRS:
-            rest = [x for x in parts[i + 1 : -1] if x.lower() not in ("lib", "site-packages", "src", "dist")]
+        below = parts[i + 1 : -1]
+        if low in VENDOR_DIRS and (low not in ("third_party", "third-party", "thirdparty", "3rdparty") or below):
+            rest = [x for x in below if x.lower() not in ("lib", "site-packages", "src", "dist")]
             return rest[0].lower() if rest else stem
-        if p in WEAK_VENDOR_DIRS or p == "Packages":
-            if i + 1 < len(parts) - 1:
-                follow = parts[i + 1]
-                if (m := _VERSION.match(follow)) is not None:
-                    return m.group(1).lower()
-                if low not in ("lib", "libs", "packages") and (stem == follow.lower() or stem.startswith(follow.lower() + "_") or stem.startswith(follow.lower() + "-")):
-                    return follow.lower()
+        if p in WEAK_VENDOR_DIRS:
+            if p == "vendor" and (not below or below == ["composer"]) and MANIFEST.match(parts[-1]):
+                return stem
+            if not below:
+                continue
+            if _HOST.match(below[0].lower()):
+                return "/".join(below[:3]).lower()
+            if (m := _VERSION.match(below[0])) is not None:
+                return m.group(1).lower()
+            if low not in ("lib", "libs", "packages") and (stem == below[0].lower() or stem.startswith((below[0].lower() + "_", below[0].lower() + "-"))):
+                return below[0].lower()
+            if p == "vendor" and i == 0 and len(below) >= 2 and below[1].lower() not in ("src", "lib", "test", "tests"):
+                return "/".join(below[:2]).lower()
     return None
 
 
+def vendor_root(path: str) -> tuple[str | None, str | None]:
+    """``(root, tail)``: the project's folder below a folder that may hold other projects, and the path from there on.
+
+    Where a path lies below no such folder, or directly in it, both are None.
+    """
+    parts = [p for p in path.split("/") if p]
+    for i, p in enumerate(parts[:-2]):
+        if p in WEAK_VENDOR_DIRS and p not in ("lib", "libs"):
+            return "/".join(parts[: i + 2]), "/".join(parts[i + 1 :])
+    return None, None
+
+
 def numbered_series(text: str) -> bool:
     """At least ten members of one name with consecutive numbers: a tool wrote them."""
     if len(_CALL_NUMBER.findall(text)) < 10:
@@ -175,7 +214,7 @@ def _judge(path: str | None, text: str | None) -> tuple[str | None, str | None,
     body = "".join((_strip_header(text, header) if header else text).split())
     if project:
         return "vendored path", project, body
-    if FOREIGN.search(header) and "our own" not in header.lower():
+    if FOREIGN.search(header):
         return "third-party notice", None, body
     if header_generated(header):
         return "generation notice", None, body
@@ -207,10 +246,13 @@ def judge_files(files: DataFrame) -> DataFrame:
 
     1. Each file by itself: path rules (vendored folders, lock files, minified and build-output
        suffixes), generation and third-party notices in the leading comments by one Aho-Corasick pass,
-       and the shape of the lines (minified code, blobs of numbers or encoded strings, numbered members).
-    2. Copies of other projects among a repo's own folders: files with the body (header and blanks
-       aside) of a file that step 1 takes for another project's, or with its file name there and its body's
-       declared name.  Hot bodies and names are looked up by broadcast (at most 1000), others by a join.
+       and, beyond the method named, the shape of the lines (minified code, blobs of numbers or encoded strings) and
+       numbered members.
+    2. Evidence in other files: a folder below ``vendor``, ``deps`` and the like that holds a manifest or licence of its own,
+       or a file whose path from there on and body stand in another repo too, is another project's.
+    3. Copies of other projects among a repo's own folders: files with the body (header and blanks
+       aside) of a file that 1 or 2 take for another project's, or with its file name there and its body's
+       declared name.  Hot bodies and names are looked up by broadcast (``hot_cold_join``), others by a join.
 
     is_test does not matter: a vendored test is still vendored.  Null paths and null or empty texts are judged
     by what is there; rows with a null file_id are kept.
@@ -224,25 +266,39 @@ def judge_files(files: DataFrame) -> DataFrame:
             rows = []
             for path, short, text in zip(b["path"], b["short_path"], b["source_text"]):
                 where = short if isinstance(short, str) and short else path
-                reason, project, body = _judge(where, text)
-                stem = re.sub(r"\d+$", "", (where or "").rsplit("/", 1)[-1].split(".")[0]).lower()
+                where = where if isinstance(where, str) else None
+                reason, project, body = _judge(where, text if isinstance(text, str) else None)
+                name = (where or "").rsplit("/", 1)[-1]
+                stem = re.sub(r"\d+$", "", name.split(".")[0]).lower()
                 digest = hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if len(body) >= 80 else None
-                rows.append((reason, project, stem or None, digest))
-            out = pd.DataFrame(rows, columns=["reason", "project", "stem", "digest"], dtype=object)
+                root, tail = vendor_root(where or "") if reason is None or project is None else (None, None)
+                # a manifest marks the folder it lies in, not folders further down
+                marks = root is not None and MANIFEST.match(name) is not None and tail.count("/") == 1
+                rows.append((reason, project, stem or None, digest, root, tail, marks))
+            out = pd.DataFrame(rows, columns=["reason", "project", "stem", "digest", "root", "tail", "marks"], dtype=object)
             yield pd.concat([b[["file_id", "repo", "programming_language"]].reset_index(drop=True), out], axis=1)
 
-    schema = "file_id string, repo string, programming_language string, reason string, project string, stem string, digest string"
+    schema = "file_id string, repo string, programming_language string, reason string, project string, stem string, digest string, root string, tail string, marks boolean"
     judged = cut_lineage(spread(own).mapInPandas(judge, schema))
-    foreign = F.col("reason").isin("vendored path", "third-party notice")
     rows = judged.count()
+    # evidence in other files, over the few files that lie in such folders
+    doubtful = judged.where(F.col("root").isNotNull() & F.col("project").isNull()).select("file_id", "repo", "root", "tail", "digest", "marks")
+    marked = doubtful.where("marks").select("repo", "root").distinct().withColumn("has_manifest", F.lit(True))
+    repeated = doubtful.where("digest is not null").groupBy("tail", "digest").agg(F.min("repo").alias("x"), F.max("repo").alias("y")).where("x <> y").select("tail", "digest", F.lit(True).alias("elsewhere"))
+    foreign_root = doubtful.join(repeated, ["tail", "digest"], "left").groupBy("repo", "root").agg(F.max(F.coalesce("elsewhere", F.lit(False))).alias("found"), F.count(F.lit(1)).alias("n"))
+    foreign_root = cut_lineage(foreign_root.join(marked, ["repo", "root"], "left").where(F.col("found") | F.col("has_manifest")).select("repo", "root", "n", F.lit("third-party folder").alias("folder")))
+    # a null root must not gather in one task
+    keyed = lambda c: F.coalesce(c, F.concat(F.lit("~"), F.coalesce("file_id", F.lit(""))))
+    judged = lookup_join(judged.withColumn("root", keyed("root")), foreign_root, ["repo", "root"], "n", rows, how="left").drop("n")
+    judged = cut_lineage(judged.withColumn("reason", F.coalesce("reason", "folder")).drop("folder", "root", "tail", "marks"))
+    foreign = F.col("reason").isin("vendored path", "third-party notice", "third-party folder")
     bodies = judged.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(foreign.cast("int")).alias("copied")).where("copied = 1").select("digest", "n", F.lit(True).alias("body_copied"))
     # names such as mosslex_util that only vendored folders of that project gave rise to
     names = judged.where(F.col("stem").isNotNull()).groupBy("stem").agg(
         F.count(F.lit(1)).alias("n"), F.max((F.col("project").isNotNull() & F.col("stem").contains(F.concat(F.col("project"), F.lit("_")))).cast("int")).alias("known")
     ).where("known = 1").select("stem", "n", F.lit(True).alias("name_known"))
-    # a null digest must not gather in one task
-    keyed = judged.withColumn("digest", F.coalesce("digest", F.concat(F.lit("~"), F.coalesce("file_id", F.lit(""))))).withColumn("stem", F.coalesce("stem", F.concat(F.lit("~"), F.coalesce("file_id", F.lit("")))))
-    marked = hot_cold_join(keyed, bodies, ["digest"], "n", rows, how="left").drop("n")
-    marked = hot_cold_join(marked, names, ["stem"], "n", rows, how="left")
+    both = judged.withColumn("digest", keyed("digest")).withColumn("stem", keyed("stem"))
+    both = hot_cold_join(both, bodies, ["digest"], "n", rows, how="left").drop("n")
+    both = hot_cold_join(both, names, ["stem"], "n", rows, how="left")
     reason = F.coalesce(F.col("reason"), F.when(F.col("body_copied"), F.lit("copy of a third-party file")), F.when(F.col("name_known"), F.lit("third-party name")))
-    return marked.select("file_id", "repo", "programming_language", reason.alias("reason"))
+    return both.select("file_id", "repo", "programming_language", reason.alias("reason"))

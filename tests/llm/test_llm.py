@@ -450,3 +450,31 @@ def test_p10_limits_of_many_small_sources(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     limits = truncation.source_limits(truncation.text_sizes(df))
     assert limits.where("char_limit = 120 and byte_limit = 120").count() == 2000
+
+
+@pytest.mark.parametrize("path, vendored", [
+    ("vendor/github.com/pkg/errors/errors.go", True), ("vendor/symfony/console/Application.php", True), ("third_party/zlib/inflate.c", True), ("third_party/abseil/base.h", True), ("vendor/autoload.php", True),
+    ("app/Vendor/TicketService.cs", False), ("vendor_portal/core/a.go", False), ("lib/parcel/Handler.java", False), ("packages/web/src/app.ts", False), ("docs/third_party.py", False), ("app/vendor/list.go", False),
+])
+def test_p6_paths(path, vendored):
+    assert (handwritten.path_vendored(path) is not None) == vendored
+
+
+@pytest.mark.parametrize("header, generated", [
+    ("// Code generated by protoc. DO NOT EDIT.", True), ("# This file was automatically generated", True), ("// Classes generated from a.xsd, do not modify", True),
+    ("// Detects files generated by protoc.", False), ("// Writes 'code generated by' and \"do not edit\" into its output", False), ("# This is not generated by a tool", False), ("// Checks whether a file was automatically generated", False),
+])
+def test_p6_notices_and_mentions(header, generated):
+    assert handwritten.header_generated(header) == generated
+
+
+def test_p6_evidence_in_other_files(spark):
+    body = "func f{}() int {{\n\tx := {}\n\treturn x * 3 // some text that makes the body long enough to be compared with others\n}}\n"
+    rows = [
+        ("m1", "r1", "deps/alpha/LICENSE", "MIT licence text " * 8), ("m2", "r1", "deps/alpha/src/run.go", body.format(1, 1)), ("o1", "r1", "deps/beta/run.go", body.format(2, 2)),
+        ("s1", "r1", "external/gamma/io/run.go", body.format(3, 3)), ("s2", "r2", "external/gamma/io/run.go", body.format(3, 3)), ("c1", "r3", "core/run.go", body.format(3, 3)), ("n1", "r3", None, None),
+    ]
+    df = spark.createDataFrame([(i, r, "Golang", p, p, t) for i, r, p, t in rows], "file_id string, repo string, programming_language string, path string, short_path string, source_text string")
+    got = {r.file_id: r.reason for r in handwritten.judge_files(df).collect()}
+    assert got["m2"] == "third-party folder" and got["s1"] == got["s2"] == "third-party folder" and got["c1"] == "copy of a third-party file"
+    assert got["o1"] is None and got["n1"] is None and len(got) == len(rows)
