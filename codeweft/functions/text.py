@@ -47,9 +47,56 @@ def slug(text) -> Column:
 
 
 def initials(name) -> Column:
-    """First letters of the first two words, upper-case."""
-    words = F.filter(F.split(F.trim(_c(name)), r"\s+"), lambda w: w != "")
-    return F.upper(F.array_join(F.transform(F.slice(words, 1, 2), lambda w: F.substring(w, 1, 1)), ""))
+    """First letters of up to three words, upper-case; else the first character; '?' without a name."""
+    n = _c(name)
+    words = F.filter(F.split(F.trim(n), r"\s+"), lambda w: w != "")
+    letters = F.filter(F.transform(words, lambda w: F.upper(F.regexp_extract(w, r"(\p{L})", 1))), lambda x: x != "")
+    shown = F.substring(F.array_join(letters, ""), 1, 3)
+    return F.when(n.isNull() | (n == ""), "?").when(shown != "", shown).otherwise(F.upper(F.substring(F.trim(n), 1, 1)))
+
+
+def avatar(email, size: int = 80) -> Column:
+    """Address of the picture of an e-mail address; '' without one."""
+    e = F.lower(F.trim(_c(email)))
+    url = F.concat(F.lit("https://www.gravatar.com/avatar/"), F.md5(e), F.lit(f"?s={size}&d=404"))
+    return F.when(e.contains("@"), url).otherwise("")
+
+
+#: Colours of contributors, that of a missing name last (fixed values).
+COLOURS = "#3b82f6 #8b5cf6 #ec4899 #06b6d4 #6366f1 #14b8a6 #a855f7 #0ea5e9 #d946ef #64748b #7c3aed #0891b2".split()
+NO_COLOUR = "#9ca3af"
+
+
+def fnv32a(data: bytes) -> int:
+    """FNV-1a of 32 bits (public algorithm)."""
+    h = 0x811C9DC5
+    for x in data:
+        h = ((h ^ x) * 0x01000193) & 0xFFFFFFFF
+    return h
+
+
+@F.pandas_udf(T.StringType())
+def contributor_colour(name: pd.Series) -> pd.Series:
+    """One of COLOURS by the FNV-1a hash of a name; NO_COLOUR for null and ''."""
+    return name.map(lambda n: COLOURS[fnv32a(n.encode()) % len(COLOURS)] if n else NO_COLOUR)
+
+
+def cache_key(changed, size) -> Column:
+    """Key under which a file's result is cached: time of the last change in nanoseconds, and size."""
+    return F.concat((F.unix_micros(_c(changed).cast("timestamp")) * 1000).cast("string"), F.lit("_"), _c(size).cast("string"))
+
+
+def one_hot(value, categories: Sequence[str], weight: float = 1.0) -> tuple[Column, dict[str, Column]]:
+    """The code of a category (-1 where it is none) and a column of ``weight`` or 0 for each."""
+    v = _c(value)
+    code = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in categories]), v) - 1, F.lit(-1)).cast("bigint")
+    return code, {f"is_{x.lower().replace('#', 'sharp')}": F.when(v == x, float(weight)).otherwise(0.0) for x in categories}
+
+
+def read_stop_words(path: str) -> list[str]:
+    """Stop words of a text file, blank or line separated, for ``tokens``."""
+    with open(path, encoding="utf-8") as f:
+        return sorted(set(f.read().split()))
 
 
 def lint_message_key(message, root: str = "") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -67,8 +67,29 @@ def evaluate(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    first = F.row_number().over(Window.partitionBy("rule", "file_id").orderBy("subject"))
-    return found.withColumn("nth", first).where("not first_only or nth = 1").select("rule", "ruleset", "severity", "file_id", "subject", "value")
+    cols = ["rule", "ruleset", "severity", "file_id", "subject", "value"]
+    # only the rules that report one hit a file are grouped; all others pass on without a shuffle
+    once = found.where("first_only").groupBy("rule", "ruleset", "severity", "file_id").agg(F.min(F.struct("subject", "value")).alias("s")).select("rule", "ruleset", "severity", "file_id", "s.*")
+    return found.where("not first_only").select(*cols).unionByName(once.select(*cols))
+
+
+def outcomes(tables: dict[str, DataFrame], rules: list[Rule], excluded: dict[str, str] | None = None) -> DataFrame:
+    """``(rule, file_id, n_errors, succeeded)`` of every file and rule: a file without an error of a rule succeeded in it.
+
+    ``excluded`` maps rules to patterns of file ids that the rule leaves out.
+    """
+    errors = evaluate(tables, rules).groupBy("rule", "file_id").agg(F.count(F.lit(1)).alias("n_errors"))
+    own = None
+    for scope, df in tables.items():
+        keys = [r.key for r in rules if r.scope == scope]
+        if keys:
+            part = df.select("file_id").distinct().select("file_id", F.explode(F.array(*[F.lit(k) for k in keys])).alias("rule"))
+            own = part if own is None else own.unionByName(part)
+    checked = own.distinct()
+    for rule, pattern in (excluded or {}).items():
+        checked = checked.where(~((F.col("rule") == rule) & F.col("file_id").rlike(pattern)))
+    j = checked.join(errors, ["rule", "file_id"], "left")
+    return j.select("rule", "file_id", F.coalesce("n_errors", F.lit(0)).alias("n_errors"), F.col("n_errors").isNull().alias("succeeded"))
 
 
 def severity_counts(violations: DataFrame) -> DataFrame:
@@ -81,12 +102,25 @@ def parse_severity(message: str) -> tuple[str, str]:
     return (m.group(1).lower(), m.group(2)) if m else ("unknown", message)
 
 
-def forbidden_roles(edges: DataFrame, roles: DataFrame, forbidden: list[tuple[str, str]]) -> DataFrame:
-    """Edges whose layers (second part of ``a:b:c``) form a forbidden pair; ``roles(node, role)``, few pairs broadcast."""
-    pairs = edges.sparkSession.createDataFrame(forbidden, "from_layer string, to_layer string")
-    layer = lambda r: F.element_at(F.split(r, ":"), 2)
-    a, b = roles.select(F.col("node").alias("src"), layer("role").alias("from_layer")), roles.select(F.col("node").alias("dst"), layer("role").alias("to_layer"))
-    return edges.join(a, "src").join(b, "dst").join(F.broadcast(pairs), ["from_layer", "to_layer"])
+def valid_dependency(source: Column, target: Column) -> Column:
+    """Whether a role ``kind:category:layer`` may depend on another, by the four rules between roles.
+
+    Controllers of the interface use no infrastructure, the domain no application, data access no interface, and rules of
+    the domain only its entities and value objects.  A role without a category is free.
+    """
+    part = lambda c, i: F.coalesce(F.try_element_at(F.split(c, ":"), F.lit(i)), F.lit(""))
+    c1, l1, c2, l2 = part(source, 2), part(source, 3), part(target, 2), part(target, 3)
+    bad = (
+        ((l1 == "controller") & (c1 == "interface") & target.startswith("infrastructure:")) | ((c1 == "domain") & (c2 == "app"))
+        | ((c1 == "data_access") & (l2 == "interface")) | ((l1 == "rule") & (c1 == "domain") & ~((c2 == "domain") & l2.isin("entity", "value_object")))
+    )
+    return (c1 == "") | (c2 == "") | ~bad
+
+
+def forbidden_roles(edges: DataFrame, roles: DataFrame) -> DataFrame:
+    """Edges ``(src, dst, ...)`` that ``valid_dependency`` forbids, with both roles; ``roles(node, role)``."""
+    a, b = roles.select(F.col("node").alias("src"), F.col("role").alias("from_role")), roles.select(F.col("node").alias("dst"), F.col("role").alias("to_role"))
+    return edges.join(a, "src").join(b, "dst").where(~valid_dependency(F.col("from_role"), F.col("to_role")))
 
 
 def risk_items(files: DataFrame) -> DataFrame:

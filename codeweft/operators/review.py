@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Version of the method of comparison, which reports state.
+METHODOLOGY = "1.0"
 #: Thresholds of the review, by name.
 DEFAULTS = {"ccn": 10, "ccn_high": 25, "ccn_jump": 10, "ccn_drop": 3, "mi": 85, "mi_high": 65, "mi_change": 5, "coupling": 3}
 
@@ -55,3 +57,38 @@ def gate(findings: DataFrame, level: str) -> DataFrame:
     bad = F.col("severity").isin(ranks) & ~F.col("kind").endswith("improvement") if ranks else F.lit(False)
     n = F.count_if(bad)
     return findings.agg((n > 0).alias("failed"), n.alias("n"))
+
+
+def suggestions(files: DataFrame, hard: DataFrame, risk: float, commits: int, complexity: int, enough: int) -> DataFrame:
+    """``(file_id, kind, location)``: hotspots, hard classes and complex busy files, each location once, files in order of their id
+    until ``enough`` suggestions are found (those of the last file are kept whole).
+
+    ``files(file_id, n, risk, ccn)`` with their commits, ``hard(file_id, location)`` classes below the index.  The first
+    ``enough`` files with suggestions hold all that can be kept, so the order is a top-k and no sort of the whole.
+    """
+    busy = F.col("n") >= commits
+    hot = files.where((F.col("risk") >= risk) & busy).select("file_id", F.lit("hotspot").alias("kind"), F.col("file_id").alias("location"))
+    big = files.where((F.col("ccn") > complexity) & busy).select("file_id", F.lit("complex and busy").alias("kind"), F.col("file_id").alias("location"))
+    found = hot.unionByName(hard.select("file_id", F.lit("low maintainability").alias("kind"), "location")).unionByName(big)
+    once = found.groupBy("kind", "location").agg(F.min("file_id").alias("file_id"))
+    first = once.groupBy("file_id").agg(F.count(F.lit(1)).alias("k")).orderBy("file_id").limit(enough)
+    ahead = F.sum("k").over(Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1))  # at most ``enough`` rows
+    kept = first.withColumn("ahead", F.coalesce(ahead, F.lit(0))).where(F.col("ahead") < enough)
+    return once.join(F.broadcast(kept.select("file_id")), "file_id").select("file_id", "kind", "location")
+
+
+def measure_deltas(head: DataFrame, base: DataFrame, measures: list[str], key: str = "scope") -> DataFrame:
+    """``(key, delta_<measure>...)``: current minus compared of every measure of two aggregates; a scope that one lacks counts as 0 there."""
+    h = head.select(key, *[F.col(m).alias(f"h_{m}") for m in measures])
+    b = base.select(key, *[F.col(m).alias(f"b_{m}") for m in measures])
+    j = h.join(b, key, "full_outer")
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    return j.select(key, *[F.round(zero(f"h_{m}") - zero(f"b_{m}"), 6).alias(f"delta_{m}") for m in measures])
+
+
+def negligible(changes: DataFrame, measures: list[str]) -> DataFrame:
+    """``changes`` with ``negligible``: a changed file none of whose measures moved."""
+    same = F.lit(True)
+    for m in measures:
+        same = same & (F.coalesce(F.col(f"head_{m}").cast("double"), F.lit(0.0)) == F.coalesce(F.col(f"base_{m}").cast("double"), F.lit(0.0)))
+    return changes.withColumn("negligible", (F.col("status") == "changed") & same)

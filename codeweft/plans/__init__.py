@@ -1,5 +1,5 @@
 """Registered queries: each module has ``QUERIES`` and ``SQL``."""
 
-from codeweft.plans import graph, metrics, project, quality, reports, rollups, scale
+from codeweft.plans import graph, metrics, project, quality, reports, source, rollups, scale
 
-PLANS = [metrics, rollups, graph, quality, reports, project, scale]
+PLANS = [metrics, rollups, graph, quality, reports, source, project, scale]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import metrics as M
 from codeweft.functions.text import identifier_words
+from codeweft.operators.code import LIFECYCLE, LIFECYCLE_ANY, is_lifecycle
 from codeweft.plans.adapters import CCN, MEASURED, UNITS, measured, units
 from codeweft.session import load
 
@@ -55,11 +56,16 @@ def d07_maintainability(spark, sf):
     return h.select("unit_id", *[R(e).alias(k) for k, e in m.items()])
 
 
+def _methods(spark, sf):
+    """Measured functions with the class and method of their name and the language of their file."""
+    lang = load(spark, sf, "files").select("file_id", F.col("programming_language").alias("language"))
+    f = measured(spark, sf).where("kind = 'function' and item_name is not null").join(lang, "file_id", "left")
+    return f.withColumn("class_name", F.split("item_name", r"\.")[0]).withColumn("method", F.element_at(F.split("item_name", r"\."), -1))
+
+
 def d09_lifecycle(spark, sf):
-    """Methods of classes that are no lifecycle methods of their language and have code (D-09, D-10)."""
-    u = units(spark, sf)
-    banned = spark.createDataFrame([("1-URGENT", 0), ("2-HIGH", 1), ("5-LOW", 2)], "language string, kind int")
-    return u.withColumn("kind", (F.col("unit_id") % 5).cast("int")).join(F.broadcast(banned), ["language", "kind"], "left_anti").where("lloc > 0").select("unit_id", "class_id")
+    """Methods that count for cohesion: no constructor or destructor of their language, and not empty (D-09, D-10)."""
+    return _methods(spark, sf).where(~is_lifecycle("language", "method", "class_name") & (F.coalesce("loc", F.lit(1)) > 0)).select("item_id", "class_name", "method")
 
 
 def d11_lcom_hs(spark, sf):
@@ -71,10 +77,10 @@ def d11_lcom_hs(spark, sf):
 
 
 def d12_class_loc(spark, sf):
-    """Class lines consolidated: the larger of own and summed loc; own lloc if any, else summed."""
-    c = units(spark, sf).groupBy("class_id").agg(F.sum("loc").alias("s_loc"), F.sum("lloc").alias("s_lloc"), F.sum("cloc").alias("s_cloc"))
-    own_lloc = (F.col("class_id") % 3).cast("bigint")
-    return c.select("class_id", F.greatest("s_loc", F.col("class_id") % 100).alias("loc"), F.when(own_lloc > 0, own_lloc).otherwise(F.col("s_lloc")).alias("lloc"), F.coalesce(F.nullif(F.col("class_id") % 2, F.lit(0)), "s_cloc").alias("cloc"))
+    """Class lines consolidated: the larger of the class's own lines and those of its functions (D-12)."""
+    own = measured(spark, sf).where("kind = 'class' and item_name is not null").groupBy("file_id", F.col("item_name").alias("class_name")).agg(F.max("loc").alias("own"))
+    sums = _methods(spark, sf).groupBy("file_id", "class_name").agg(F.sum("loc").alias("total"))
+    return own.join(sums, ["file_id", "class_name"], "left").select("file_id", "class_name", F.greatest(F.coalesce("own", F.lit(0)), F.coalesce("total", F.lit(0))).alias("loc"))
 
 
 def d13_risk(spark, sf):
@@ -123,13 +129,6 @@ def d19_nesting(spark, sf):
     return events.withColumn("depth", F.sum("delta").over(w)).groupBy("o_custkey").agg(F.max("depth").alias("max_depth"))
 
 
-def d20_depth_estimate(spark, sf):
-    """Deepest chain of scopes: region, nation, customer, order; orders add no depth."""
-    nation, customer, orders = load(spark, sf, "nation"), load(spark, sf, "customer"), load(spark, sf, "orders")
-    d = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(orders.select("o_custkey").distinct(), F.col("o_custkey") == F.col("c_custkey"), "left")
-    return d.groupBy("n_regionkey").agg(F.max(F.when(F.col("o_custkey").isNotNull(), 3).otherwise(2)).alias("depth"))
-
-
 def d21_ratios(spark, sf):
     """Derived ratios of the classifier's features, denominators of 0 taken as 1, clamped."""
     s = load(spark, sf, "class_samples")
@@ -140,7 +139,7 @@ def d22_accessors(spark, sf):
     """Getters and setters of each class by the prefix of the method's name, whatever the case."""
     name = F.lower(F.element_at(F.split("item_name", r"\."), -1))
     f = measured(spark, sf).where("kind = 'function' and item_name is not null").select("file_id", F.split("item_name", r"\.")[0].alias("class_name"), name.alias("name"))
-    return f.groupBy("file_id", "class_name").agg(F.count_if(F.col("name").rlike("^(get|is|has|load|collect)")).alias("getters"), F.count_if(F.col("name").rlike("^(set|settle|apply)")).alias("setters"))
+    return f.groupBy("file_id", "class_name").agg(F.count_if(F.col("name").rlike("^(get|is|has)")).alias("getters"), F.count_if(F.col("name").rlike("^set")).alias("setters"))
 
 
 def d23_bands(spark, sf):
@@ -166,7 +165,7 @@ _RISK = "greatest(0.0, least(1.0, 1 - sqrt(pow(CASE WHEN {tc} > 0 THEN greatest(
 
 QUERIES = {f.__name__: f for f in (
     d01_cyclomatic, d03_file_ccn, d04_halstead, d05_class_halstead, d06_file_halstead, d07_maintainability, d09_lifecycle, d11_lcom_hs, d12_class_loc, d13_risk, d14_file_risk, d15_instability,
-    d17_isolation, d19_nesting, d20_depth_estimate, d21_ratios, d22_accessors, d23_bands, l07_identifier_words,
+    d17_isolation, d19_nesting, d21_ratios, d22_accessors, d23_bands, l07_identifier_words,
 )}
 
 SQL = {
@@ -178,11 +177,14 @@ SQL = {
     "d07_maintainability": f"""WITH {UNITS}, {_H}, w AS (SELECT unit_id, greatest(0.0, (171 - 5.2 * ln(CASE WHEN h_volume > 0 THEN h_volume END) - 0.23 * {CCN} - 16.2 * ln(CASE WHEN lloc > 0 THEN lloc END)) * 100 / 171) AS woc,
         CASE WHEN loc > 0 THEN 50 * sin(sqrt(2.4 * cloc / loc)) ELSE 0.0 END AS cw, h_volume FROM h)
         SELECT unit_id, round(CASE WHEN h_volume > 0 THEN coalesce(woc, 0.0) + cw END, 6) AS mi, round(CASE WHEN h_volume > 0 THEN coalesce(woc, 0.0) END, 6) AS mi_woc, round(CASE WHEN h_volume > 0 THEN cw END, 6) AS comment_weight FROM w""",
-    "d09_lifecycle": f"WITH {UNITS} SELECT unit_id, class_id FROM units WHERE lloc > 0 AND NOT (language = '1-URGENT' AND unit_id % 5 = 0) AND NOT (language = '2-HIGH' AND unit_id % 5 = 1) AND NOT (language = '5-LOW' AND unit_id % 5 = 2)",
+    "d09_lifecycle": f"""WITH {MEASURED}, f AS (SELECT m.*, programming_language AS lang, split_part(item_name, '.', 1) AS class_name, split_part(item_name, '.', -1) AS method FROM measured m LEFT JOIN files f ON f.file_id = m.file_id WHERE kind = 'function' AND item_name IS NOT NULL)
+        SELECT item_id, class_name, method FROM f WHERE coalesce(loc, 1) > 0 AND NOT (CASE WHEN lang IN ({', '.join(f"'{x}'" for x in LIFECYCLE)}) THEN {' OR '.join(f"(lang = '{k}' AND method IN ({', '.join(repr(x) for x in v)}))" for k, v in LIFECYCLE.items() if v)} OR (lang IN ('Java', 'C#', 'PHP') AND method = class_name)
+            ELSE method IN ({', '.join(repr(x) for x in LIFECYCLE_ANY)}) OR method = class_name END)""",
     "d11_lcom_hs": """WITH t AS (SELECT DISTINCT o_custkey AS class_id, o_orderkey AS m, l_suppkey % 7 AS a FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
         g AS (SELECT class_id, count(DISTINCT m) AS m, count(DISTINCT a) AS a, count(*) AS mu FROM t GROUP BY class_id)
         SELECT class_id, round(CASE WHEN m > 1 THEN greatest(0.0, least(1.0, (m - mu / a::DOUBLE) / (m - 1))) ELSE 0.0 END, 6) AS lcom_hs FROM g""",
-    "d12_class_loc": f"WITH {UNITS}, c AS (SELECT class_id, CAST(sum(loc) AS BIGINT) AS a, CAST(sum(lloc) AS BIGINT) AS b, CAST(sum(cloc) AS BIGINT) AS d FROM units GROUP BY class_id) SELECT class_id, greatest(a, class_id % 100) AS loc, CASE WHEN class_id % 3 > 0 THEN class_id % 3 ELSE b END AS lloc, coalesce(nullif(class_id % 2, 0), d) AS cloc FROM c",
+    "d12_class_loc": """WITH o AS (SELECT file_id, item_name AS class_name, max(loc) AS own FROM metrics WHERE kind = 'class' AND item_name IS NOT NULL GROUP BY 1, 2), t AS (SELECT file_id, split_part(item_name, '.', 1) AS class_name, sum(loc) AS total FROM metrics WHERE kind = 'function' AND item_name IS NOT NULL GROUP BY 1, 2)
+        SELECT o.file_id, o.class_name, CAST(greatest(coalesce(own, 0), coalesce(total, 0)) AS BIGINT) AS loc FROM o LEFT JOIN t ON t.file_id = o.file_id AND t.class_name = o.class_name""",
     "d13_risk": f"WITH {_FR}, t AS (SELECT max(n_commits) AS tc, max(ccn) AS tv FROM f) SELECT file_id, round({_RISK.format(tc='tc', c='n_commits', tv='tv', v='coalesce(ccn, 0)')}, 6) AS risk FROM f, t",
     "d14_file_risk": f"""WITH {_FR}, {MEASURED}, c AS (SELECT m.file_id, n_commits, CAST(trunc(128 - maintainability_index) AS INTEGER) AS bad FROM measured m JOIN f ON f.file_id = m.file_id WHERE kind = 'class' AND maintainability_index IS NOT NULL),
         t AS (SELECT max(n_commits) AS tc, max(ccn) AS tv, (SELECT max(bad) FROM c) AS tb FROM f)
@@ -193,9 +195,8 @@ SQL = {
     "d19_nesting": """WITH o AS (SELECT o_custkey, o_orderdate AS a, greatest(z, o_orderdate) AS z FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS z FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey),
         e AS (SELECT o_custkey, a AS tp, 1 AS d FROM o UNION ALL SELECT o_custkey, z, -1 FROM o)
         SELECT o_custkey, CAST(max(depth) AS BIGINT) AS max_depth FROM (SELECT o_custkey, sum(d) OVER (PARTITION BY o_custkey ORDER BY tp, d ROWS UNBOUNDED PRECEDING) AS depth FROM e) GROUP BY o_custkey""",
-    "d20_depth_estimate": "SELECT n_regionkey, max(CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 3 ELSE 2 END) AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey",
     "d21_ratios": "SELECT sample_id, round(least(100.0, greatest(0.0, class_loc / CASE WHEN nb_methods = 0 THEN 1.0::DOUBLE ELSE nb_methods END)), 6) AS loc_per_method, round(least(100.0, greatest(0.0, cyclomatic_complexity / CASE WHEN nb_methods = 0 THEN 1.0::DOUBLE ELSE nb_methods END)), 6) AS ccn_per_method FROM class_samples",
-    "d22_accessors": "SELECT file_id, split_part(item_name, '.', 1) AS class_name, count(*) FILTER (regexp_matches(lower(split_part(item_name, '.', -1)), '^(get|is|has|load|collect)')) AS getters, count(*) FILTER (regexp_matches(lower(split_part(item_name, '.', -1)), '^(set|settle|apply)')) AS setters FROM metrics WHERE kind = 'function' AND item_name IS NOT NULL GROUP BY 1, 2",
+    "d22_accessors": "SELECT file_id, split_part(item_name, '.', 1) AS class_name, count(*) FILTER (regexp_matches(lower(split_part(item_name, '.', -1)), '^(get|is|has)')) AS getters, count(*) FILTER (regexp_matches(lower(split_part(item_name, '.', -1)), '^set')) AS setters FROM metrics WHERE kind = 'function' AND item_name IS NOT NULL GROUP BY 1, 2",
     "d23_bands": f"WITH {MEASURED} SELECT item_id, CASE WHEN floor(maintainability_index) < 65 THEN 'red' WHEN floor(maintainability_index) < 85 THEN 'yellow' ELSE 'green' END AS band, CASE WHEN loc * 100 >= 1000000 THEN CAST(loc * 100 // 1000000 AS VARCHAR) || ' M' WHEN loc * 100 >= 1000 THEN CAST(loc * 100 // 1000 AS VARCHAR) || ' K' ELSE CAST(loc * 100 AS VARCHAR) END AS loc_text, split_part(item_name, '.', -1) AS short_name FROM measured",
     "l07_identifier_words": r"SELECT DISTINCT item_name, trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(item_name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))) AS words FROM metrics WHERE item_name IS NOT NULL",
 }

@@ -19,14 +19,6 @@ from codeweft.session import load
 R = lambda c, n=6: F.round(c, n)
 
 
-def e23_context_missing(spark: SparkSession, sf: str) -> DataFrame:
-    """Exported Go functions with a loop whose file logs, the first parameter being no context (E-23), and Background calls (E-24)."""
-    f = load(spark, sf, "files").where("programming_language = 'Golang' and source_text is not null")
-    heads = F.regexp_extract_all("source_text", F.lit(r"(?m)^func (?:\([^)]*\) )?([A-Z]\w*\([^)]*\))"), F.lit(1))
-    h = f.where(F.col("source_text").contains("log.Println")).select("file_id", F.explode(heads).alias("head"))
-    return h.where(~F.col("head").contains("context.Context")).select("file_id", F.split("head", r"\(")[0].alias("name")).distinct()
-
-
 def e25_project_rules(spark, sf):
     """Project rules: traceability and isolation below their limits, wide tests, heavy orphans (E-25 to E-28)."""
     isolation = measured(spark, sf).where("kind = 'class'").groupBy("repo").agg(F.avg(M.isolation_score("efferent", F.col("afferent") % 4)).alias("isolation"))
@@ -155,15 +147,6 @@ def n07_communities(spark, sf):
     return sizes.join(G.community_coupling(k09_community_edges(spark, sf)), "community")
 
 
-def l11_features(spark, sf):
-    """Feature row of each class: own numbers, ratios, lengths of its name and path (L-11)."""
-    s = load(spark, sf, "class_samples")
-    return s.select(
-        "sample_id", F.coalesce("class_loc", F.lit(0)).alias("loc"), F.coalesce("nb_methods", F.lit(0)).alias("methods"), R(M.ratio("class_loc", "nb_methods")).alias("loc_per_method"),
-        F.size(F.coalesce(X.identifier_words(M.short_name(F.trim("class_name"))), F.array().cast("array<string>"))).alias("name_words"), F.coalesce(F.length("file_path"), F.lit(0)).alias("path_length"),
-    )
-
-
 def l14_nearest_centroid(spark, sf):
     """A trained baseline classifier: nearest class centroid over standardised numbers, and its confusion counts."""
     cols = ["class_loc", "nb_methods", "cyclomatic_complexity"]
@@ -178,15 +161,9 @@ def l14_nearest_centroid(spark, sf):
     return best.groupBy("label", "guess").agg(F.count(F.lit(1)).alias("n"))
 
 
-def c01_dependencies(spark, sf):
-    """Distinct dependencies of each file from its source text, and how many files use each (C-13 on sources)."""
-    d = extract_units(load(spark, sf, "files")).where("kind = 'dependency'").select("file_id", "name").distinct()
-    return d.groupBy("name").agg(F.count(F.lit(1)).alias("n_files"))
-
-
 QUERIES = {f.__name__: f for f in (
-    e23_context_missing, e25_project_rules, e32_search, e34_production, e41_community_suggestions, g24_role_flows, f13_file_community, c16_method_calls, c18_test_references, c19_first_statement, i03_overview_top, i10_file_table, i11_findings_order,
-    i13_top_classes, j04_shared_attributes, k20_community_sizes, k21_community_names, n07_communities, l11_features, l14_nearest_centroid, c01_dependencies,
+    e25_project_rules, e32_search, e34_production, e41_community_suggestions, g24_role_flows, f13_file_community, c16_method_calls, c18_test_references, c19_first_statement, i03_overview_top, i10_file_table, i11_findings_order,
+    i13_top_classes, j04_shared_attributes, k20_community_sizes, k21_community_names, n07_communities, l14_nearest_centroid,
 )}
 
 _COUPLING = _L + """, sz AS (SELECT community, count(*) AS size FROM m GROUP BY 1), s AS (SELECT community, CAST(sum(i) AS BIGINT) AS inside, CAST(sum(o) AS BIGINT) AS outgoing, CAST(sum(n) AS BIGINT) AS incoming FROM (
@@ -195,7 +172,6 @@ _COUPLING = _L + """, sz AS (SELECT community, count(*) AS size FROM m GROUP BY
     cc AS (SELECT s.*, size, round(CASE WHEN inside + outgoing + incoming > 0 THEN outgoing / (inside + outgoing + incoming)::DOUBLE ELSE 0.0 END, 6) AS coupling FROM s JOIN sz ON sz.community = s.community)"""
 
 SQL = {
-    "e23_context_missing": "WITH h AS (SELECT file_id, unnest(regexp_extract_all(source_text, '(?m)^func (?:\\([^)]*\\) )?([A-Z]\\w*\\([^)]*\\))', 1)) AS head FROM files WHERE programming_language = 'Golang' AND contains(source_text, 'log.Println')) SELECT DISTINCT file_id, split_part(head, '(', 1) AS name FROM h WHERE NOT contains(head, 'context.Context')",
     "e32_search": "SELECT item_id FROM metrics WHERE coalesce(regexp_matches(path, '(?i)ledger.*gateway'), false) OR coalesce(regexp_matches(item_name, '(?i)ledger.*gateway'), false)",
     "e34_production": "SELECT programming_language, count(*) AS n_files, CAST(sum(loc) AS BIGINT) AS loc FROM files WHERE NOT coalesce(is_test, false) AND (errors IS NULL OR len(errors) = 0) GROUP BY 1",
     "e41_community_suggestions": f"WITH {_COUPLING} SELECT community, 'high coupling' AS suggestion FROM cc WHERE coupling > 0.5 UNION ALL SELECT community, 'large' FROM cc WHERE size > 15 UNION ALL SELECT community, 'much used' FROM cc WHERE incoming > outgoing * 2",

@@ -9,8 +9,10 @@ from codeweft.functions import metrics as M
 from codeweft.functions import text as X
 from codeweft.operators import lint as L
 from codeweft.operators import review as V
+from codeweft.operators import testquality as Q
+from codeweft.operators import text as T
 from codeweft.plans.adapters import MEASURED, measured
-from codeweft.session import load
+from codeweft.session import cut_lineage, load
 
 #: Limits of the registered lint run.
 LIMITS = {
@@ -19,6 +21,10 @@ LIMITS = {
 }
 
 
+#: Languages in the order of their codes.
+LANGUAGE_CODES = ["C#", "Golang", "Java", "PHP", "Python", "Rust", "TypeScript"]
+
+
 def _scopes(spark, sf) -> dict[str, DataFrame]:
     m = measured(spark, sf)
     mi, ccn = F.col("maintainability_index").alias("mi"), F.col("cyclomatic_complexity").alias("ccn")
@@ -55,13 +61,6 @@ def e21_package_in_name(spark, sf):
     return f.where((F.length(package) > 2) & F.lower(name).contains(package)).select("item_id", name.alias("name"), package.alias("package"))
 
 
-def e22_source_patterns(spark, sf):
-    """Go files that assign a remainder and hold a for or if (two patterns over the source; E-22 is ``e22_slice_prealloc``)."""
-    f = load(spark, sf, "files").where("programming_language = 'Golang'")
-    first = F.col("source_text").rlike(r"(?m)^\s*(for|if)\b")
-    return f.where(first).where(F.col("source_text").rlike(r":= (\w+) % ")).select("file_id", F.size(F.regexp_extract_all("source_text", F.lit(r"(:= \w+ % )"), F.lit(1))).alias("n"))
-
-
 #: A bounded for loop with its header in parentheses and the block up to the first closing brace, and an append, as the
 #: reference has them; white space is written out, as engines differ in what it holds.
 _BOUNDED_FOR = r"for[ \t\r\n\f]*\([^)]*;[ \t\r\n\f]*[a-zA-Z0-9_]+[ \t\r\n\f]*<[ \t\r\n\f]*(len[ \t\r\n\f]*\([^)]*\)|[a-zA-Z0-9_]+);[^)]*\)[ \t\r\n\f]*\{[^}]*\}"
@@ -73,12 +72,23 @@ def e22_slice_prealloc(spark, sf):
     return L.slice_prealloc(load(spark, sf, "files").where("programming_language = 'Golang'"), _BOUNDED_FOR, _APPEND)
 
 
+#: Roles (kind:category:layer) that the registered role queries give the packages by the last part of their name, with the layer by
+#: the part before it (parameters of the query; a classifier's labels take their place).
+ROLE_OF = {"ledger": "component:domain:rule", "token": "component:app:service", "parcel": "component:interface:controller", "quota": "infrastructure:storage:database", "beacon": "component:data_access:repository", "window": "component:view:interface", "core": "component:domain:entity"}
+
+
+def package_roles(spark, sf):
+    """``(node, role)`` of every package, by ``ROLE_OF``; others are components of the domain's values."""
+    e = load(spark, sf, "edges").where("src is not null and dst is not null")
+    nodes = e.select(F.col("src").alias("node")).unionAll(e.select("dst")).distinct()
+    role = F.try_element_at(F.create_map(*[F.lit(x) for kv in ROLE_OF.items() for x in kv]), F.element_at(F.split("node", r"\."), -1))
+    return nodes.select("node", F.coalesce(role, F.lit("component:domain:value_object")).alias("role"))
+
+
 def e35_role_violations(spark, sf):
-    """Package relations between forbidden layers."""
-    roles = spark.createDataFrame([("core", "app:domain:x"), ("app", "app:ui:y"), ("internal", "app:data:z"), ("shared.util", "lib:shared:u"), ("common.model", "lib:domain:m")], "node string, role string")
-    e = load(spark, sf, "edges").where("src is not null and dst is not null").select("repo", "src", F.concat_ws(".", F.element_at(F.split("dst", r"\."), 1)).alias("dst_root"), "dst")
-    mapped = e.select("repo", "src", F.when(F.col("dst").endswith("ledger"), "app").when(F.col("dst").endswith("token"), "internal").otherwise("core").alias("dst"))
-    return L.forbidden_roles(mapped, roles, [("domain", "ui"), ("ui", "data"), ("shared", "ui")]).groupBy("from_layer", "to_layer").agg(F.count(F.lit(1)).alias("n"))
+    """Package relations that one of the four rules between roles forbids, with their number (E-35)."""
+    e = load(spark, sf, "edges").where("src is not null and dst is not null").select("repo", "src", "dst")
+    return L.forbidden_roles(e, package_roles(spark, sf)).groupBy("from_role", "to_role").agg(F.count(F.lit(1)).alias("n"))
 
 
 def e36_risk_items(spark, sf):
@@ -89,15 +99,13 @@ def e36_risk_items(spark, sf):
     return L.risk_items(f.withColumn("lcom4", F.col("lcom4") - 4))
 
 
-def e40_suggestions(spark, sf):
-    """Hotspots, hard classes and complex files worth a suggestion, duplicates dropped."""
+def e40_suggestions(spark, sf, risk: float = 0.7, commits: int = 3, index: float = 65, complexity: int = 50, enough: int = 10):
+    """Hotspots, hard classes and complex busy files, each once, file by file until ``enough`` are found (E-40)."""
     m = measured(spark, sf)
-    commits = load(spark, sf, "commits").where("file_id is not null").groupBy("file_id").agg(F.count_distinct("repo", "hash").alias("n"))
-    f = m.where("kind = 'file'").join(commits, "file_id")
-    hot = f.where("risk_score >= 0.1 and n >= 3").select("file_id", F.lit("hotspot").alias("kind"))
-    hard = m.where("kind = 'class' and maintainability_index < 85").select("file_id", F.lit("low maintainability").alias("kind"))
-    complex_ = f.where("cyclomatic_complexity > 20 and n >= 3").select("file_id", F.lit("complex and busy").alias("kind"))
-    return hot.unionByName(hard).unionByName(complex_).distinct()
+    counts = load(spark, sf, "commits").where("file_id is not null").groupBy("file_id").agg(F.count_distinct("repo", "hash").alias("n"))
+    f = m.where("kind = 'file'").groupBy("file_id").agg(F.max("risk_score").alias("risk"), F.max("cyclomatic_complexity").alias("ccn")).join(counts, "file_id")
+    hard = m.where((F.col("kind") == "class") & (F.col("maintainability_index") < index)).select("file_id", F.coalesce("item_name", F.lit("")).alias("location"))
+    return V.suggestions(f, hard, risk, commits, complexity, enough)
 
 
 def _revisions(spark, sf):
@@ -143,31 +151,68 @@ def m09_lint_diff(spark, sf):
     return V.lint_diff(head, base, X.lint_message_key("message"))
 
 
-def _tests(spark, sf):
-    """Test files and the packages they touch; production packages with complexity and coupling."""
-    f = load(spark, sf, "files").select("file_id", "repo", F.coalesce("is_test", F.lit(False)).alias("is_test"), F.element_at(F.split("short_path", "/"), 2).alias("package"))
-    return f
+def quality_tables(spark, sf):
+    """Production classes, dependencies on classes, and test files, from the measurements.
+
+    A function is named ``Class.method``: a file that measures it depends on the class.  The first class of a production file
+    stands for the file's own in the links between classes.
+    """
+    flag = load(spark, sf, "files").select("file_id", F.coalesce("is_test", F.lit(False)).alias("is_test"))
+    m = measured(spark, sf).where("item_name is not null").join(flag, "file_id").withColumnRenamed("repo", "scope")
+    c = m.where("kind = 'class'")
+    classes = c.where("not is_test").groupBy("scope", F.col("item_name").alias("class_name")).agg(F.min("file_id").alias("file_id"), F.max("cyclomatic_complexity").alias("ccn"), F.max("efferent").alias("efferent"), F.max("afferent").alias("afferent"))
+    dependencies = m.where("kind = 'function'").select("scope", "file_id", "is_test", F.split("item_name", r"\.")[0].alias("class_name"), F.lit(None).cast("string").alias("namespace")).distinct()
+    own = c.groupBy("file_id").agg(F.min("item_name").alias("src"))
+    known = classes.select("scope", "class_name")
+    links = dependencies.where("not is_test").join(own, "file_id").select("scope", "src", F.col("class_name").alias("dst")).where("src <> dst").distinct()
+    links = links.join(known.withColumnRenamed("class_name", "src"), ["scope", "src"], "left_semi").join(known.withColumnRenamed("class_name", "dst"), ["scope", "dst"], "left_semi")
+    tests = load(spark, sf, "files").where("is_test").select(F.col("repo").alias("scope"), "file_id")
+    return classes, dependencies, links, tests
+
+
+def _test_files(spark, sf):
+    classes, dependencies, links, tests = quality_tables(spark, sf)
+    touched = cut_lineage(Q.touched_classes(classes, dependencies))
+    return classes, touched, Q.test_files(tests, touched, Q.chain_depth(touched, cut_lineage(links)))
+
+
+def f04_touched_classes(spark, sf):
+    """Production classes that each test file touches (F-04)."""
+    classes, dependencies, _, _ = quality_tables(spark, sf)
+    return Q.touched_classes(classes, dependencies)
+
+
+def f05_untested_classes(spark, sf):
+    """Production classes that no test touches (F-05)."""
+    classes, dependencies, _, _ = quality_tables(spark, sf)
+    return Q.untested_classes(classes, Q.touched_classes(classes, dependencies)).select("scope", "class_name", "weight")
+
+
+def d17_test_isolation(spark, sf):
+    """Fan-out, depth through production classes, isolation score and label of each test file (D-17, K-17)."""
+    return _test_files(spark, sf)[2]
+
+
+def g17_test_histogram(spark, sf):
+    """Test files by isolation score in five bins of 20 (G-17)."""
+    t = _test_files(spark, sf)[2]
+    return t.groupBy(F.least(F.floor(F.col("score") / 20), F.lit(4)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def g16_test_quality(spark, sf):
-    """Traceability of each repo: production packages that a test file of the same package name touches (F-04, G-16)."""
-    f = _tests(spark, sf).where("package is not null")
-    prod = f.where("not is_test").select("repo", "package").distinct()
-    test = f.where("is_test").select("repo", "package").distinct()
-    return prod.join(test.withColumn("t", F.lit(1)), ["repo", "package"], "left").groupBy("repo").agg(F.count(F.lit(1)).alias("n_packages"), F.count("t").alias("n_tested"), F.round(F.count("t") * 100 / F.count(F.lit(1)), 6).alias("traceability"))
+    """Classes, tested classes, traceability, test files and mean isolation of each repo (G-16, N-08)."""
+    return Q.totals(*_test_files(spark, sf))
 
 
-def i04_god_tests(spark, sf):
-    """Suppliers with the widest fan-out of customers, top 20 (god tests: fan-out >= 5)."""
-    t = load(spark, sf, "lineitem").join(load(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_suppkey").alias("test_id")).agg(F.count_distinct("o_custkey").alias("fan_out"))
-    return t.where("fan_out >= 5").orderBy(F.col("fan_out").desc(), "test_id").limit(20)
+def i04_god_tests(spark, sf, least: int = 5, limit: int = 20):
+    """Test files that touch at least ``least`` production classes, the widest first (I-04)."""
+    t = _test_files(spark, sf)[2]
+    return t.where(F.col("fan_out") >= least).select("file_id", "fan_out", "label").orderBy(F.col("fan_out").desc(), "file_id").limit(limit)
 
 
-def i05_orphans(spark, sf):
-    """Classes of files that the merge account never touched, by orphan weight, top 20."""
-    touched = load(spark, sf, "commits").where("file_id is not null and author = 'mergekeeper[bot]'").select("file_id").distinct()
-    c = measured(spark, sf).where("kind = 'class'").join(touched, "file_id", "left_anti")
-    return c.select("item_id", M.orphan_weight(F.coalesce("cyclomatic_complexity", F.lit(0)), "efferent", "afferent").alias("weight")).orderBy(F.col("weight").desc(), "item_id").limit(20)
+def i05_orphans(spark, sf, limit: int = 20):
+    """Untested production classes by orphan weight, the heaviest first (I-05)."""
+    return f05_untested_classes(spark, sf).orderBy(F.col("weight").desc(), "scope", "class_name").limit(limit)
 
 
 def l01_tokens(spark, sf):
@@ -177,30 +222,24 @@ def l01_tokens(spark, sf):
 
 
 def l03_murmur(spark, sf):
-    """Murmur3 and hash bin of each distinct source token."""
-    w = load(spark, sf, "eval_items").select(F.explode(X.tokens("text")).alias("token")).distinct()
+    """Murmur3 and hash bin of each distinct token of all documents."""
+    w = load(spark, sf, "documents").select(F.explode(X.tokens("text")).alias("token")).distinct()
     return w.withColumn("hash", X.murmur3("token")).withColumn("bin", X.hash_bin("hash", 32768))
 
 
 def l04_hashing_tfidf(spark, sf):
-    """L2-normalised hashing TF-IDF of each evaluation item: 1 + ln(tf) times smoothed idf."""
-    t = load(spark, sf, "eval_items").select("item_id", F.explode(X.tokens("text")).alias("token"))
-    tf = t.groupBy("item_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    hashed = tf.select("item_id", X.hash_bin(X.murmur3("token"), 32768).alias("bin"), "tf").groupBy("item_id", "bin").agg(F.sum("tf").alias("tf"))
-    df = hashed.groupBy("bin").agg(F.count(F.lit(1)).alias("df"))
-    n = load(spark, sf, "eval_items").count()
-    w = hashed.join(df, "bin").withColumn("w", (1 + F.ln("tf")) * (F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
-    norm = w.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "item_id").select("item_id", "bin", F.round(F.col("w") / F.col("norm"), 9).alias("weight"))
+    """L2-normalised hashing TF-IDF of each document: 1 + ln(tf) times smoothed idf."""
+    return T.hashing_tfidf(load(spark, sf, "documents").select("doc_id", X.tokens("text").alias("tokens")), "doc_id")
+
+
+def l01_frequent_words(spark, sf, share: float = 0.3):
+    """Stop words by rule: tokens that at least ``share`` of all documents hold."""
+    return T.frequent_words(load(spark, sf, "documents").select("doc_id", X.tokens("text").alias("tokens")), "doc_id", share)
 
 
 def l05_tfidf(spark, sf):
-    """Vocabulary TF-IDF of each evaluation item's tokens."""
-    t = load(spark, sf, "eval_items").select("item_id", F.explode(X.tokens("text")).alias("token"))
-    tf = t.groupBy("item_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = load(spark, sf, "eval_items").count()
-    return tf.join(df, "token").select("item_id", "token", F.round((1 + F.ln("tf")) * (F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1), 9).alias("weight"))
+    """Vocabulary TF-IDF of each document's tokens."""
+    return T.tfidf(load(spark, sf, "documents").select("doc_id", X.tokens("text").alias("tokens")), "doc_id")
 
 
 def l06_centroid_ranking(spark, sf):
@@ -221,34 +260,45 @@ def l08_fallback_names(spark, sf):
     return counts.withColumn("r", F.row_number().over(w)).where("r = 1").select("repo", "part", "n")
 
 
-def l09_one_hot(spark, sf):
-    """Label encoding and one-hot columns of languages."""
-    langs = ["Golang", "Java", "PHP"]
+def l09_one_hot(spark, sf, weight: float = 2.5):
+    """Label encoding of each file's language, and one weighted column a language (L-09); unknown languages are -1 and all 0."""
     f = load(spark, sf, "files")
-    return f.select("file_id", F.coalesce(F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("programming_language")) - 1, F.lit(-1)).cast("bigint").alias("code"), *[F.when(F.col("programming_language") == x, 1.0).otherwise(0.0).alias(f"is_{x.lower()}") for x in langs])
+    code, hot = X.one_hot("programming_language", LANGUAGE_CODES, weight)
+    return f.select("file_id", code.alias("code"), *[h.alias(n) for n, h in hot.items()])
+
+
+def predictions(spark, sf):
+    """``(file, class, predictions)`` of a stand-in classifier: the shares of each label among the records of a class's language and size."""
+    s = load(spark, sf, "class_samples").where("label is not null").withColumn("cell", F.concat_ws("|", F.lower(F.trim("programming_language")), F.least(F.floor(F.coalesce("class_loc", F.lit(0)) / 40), F.lit(5))))
+    n = s.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n"))
+    shares = n.groupBy("cell").agg(F.sum("n").alias("whole"), F.collect_list(F.struct("n", "label")).alias("ls"))  # as many entries as labels
+    ranked = F.transform(F.array_sort(F.transform("ls", lambda x: F.struct((-x["n"]).alias("minus"), x["label"].alias("label")))), lambda x: F.struct(x["label"].alias("label"), F.round(-x["minus"] / F.col("whole"), 9).alias("probability")))
+    return s.select("sample_id", "cell").join(shares.select("cell", ranked.alias("predictions")), "cell").select("sample_id", "predictions")
 
 
 def l12_ambiguities(spark, sf):
-    """Vectors whose two best of four scores lie within 0.1 of each other (probabilities from the embedding)."""
-    e = load(spark, sf, "embeddings")
-    p = F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double")))
-    s = F.sort_array(p, asc=False)
-    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-    return e.select("vec_id", F.round((s[0] - s[1]) / F.when(total > 0, total), 6).alias("gap")).where("gap < 0.1")
+    """Records whose two best labels lie within 0.1, with the three best and the pattern's name, the closest first (L-12, I-12)."""
+    return T.ambiguities(predictions(spark, sf), "sample_id").select("sample_id", "gap", "labels", "pattern")
 
 
 def l16_checksums(spark, sf):
-    """SHA-256 of each file's text, slug of its language and initials (L-16 to L-18)."""
-    return load(spark, sf, "files").select("file_id", F.sha2("source_text", 256).alias("sha"), X.slug(F.regexp_replace("programming_language", "#", "-sharp")).alias("slug"))
+    """SHA-256 of each file's text, slug of its language, and the cache key of time and size (L-16 to L-18)."""
+    return load(spark, sf, "files").select("file_id", F.sha2("source_text", 256).alias("sha"), X.slug(F.regexp_replace("programming_language", "#", "-sharp")).alias("slug"), X.cache_key("scanned_at", F.octet_length("source_text")).alias("cache_key"))
 
 
 def l18_initials(spark, sf):
-    return load(spark, sf, "authors").where(F.col("author").rlike("^[A-Za-z]+ [A-Za-z]+$")).select("identity_id", X.initials("author").alias("initials"))
+    """Initials and avatar address of every author (L-18)."""
+    return load(spark, sf, "authors").select("identity_id", X.initials("author").alias("initials"), X.avatar("email").alias("avatar"))
+
+
+def l18_colours(spark, sf):
+    """Colour of every author, by a hash of the name."""
+    return load(spark, sf, "authors").select("identity_id", X.contributor_colour("author").alias("colour"))
 
 
 QUERIES = {f.__name__: f for f in (
-    e30_lint, e30_severities, b15_lint_report, e20_files_per_package, e21_package_in_name, e22_source_patterns, e22_slice_prealloc, e35_role_violations, e36_risk_items, e40_suggestions, m03_function_findings, m06_index_findings, m11_gate, m02_file_delta, m09_lint_diff,
-    g16_test_quality, i04_god_tests, i05_orphans, l01_tokens, l03_murmur, l04_hashing_tfidf, l05_tfidf, l06_centroid_ranking, l08_fallback_names, l09_one_hot, l12_ambiguities, l16_checksums, l18_initials,
+    e30_lint, e30_severities, b15_lint_report, e20_files_per_package, e21_package_in_name, e22_slice_prealloc, e35_role_violations, e36_risk_items, e40_suggestions, m03_function_findings, m06_index_findings, m11_gate, m02_file_delta, m09_lint_diff,
+    f04_touched_classes, f05_untested_classes, d17_test_isolation, g17_test_histogram, g16_test_quality, i04_god_tests, i05_orphans, l01_tokens, l03_murmur, l01_frequent_words, l04_hashing_tfidf, l05_tfidf, l06_centroid_ranking, l08_fallback_names, l09_one_hot, l12_ambiguities, l16_checksums, l18_initials, l18_colours,
 )}
 
 _RULES = [  # (rule, ruleset, severity, kind, condition, value, first hit only)
@@ -271,7 +321,20 @@ _REV = f"""{MEASURED}, m0 AS (SELECT CAST(item_id AS VARCHAR) AS subject, cyclom
     ix AS (SELECT subject, 'maintainability-regression' AS kind, CASE WHEN mi1 < 65 THEN 'high' ELSE 'medium' END AS severity, round(mi0, 6) AS before, round(mi1, 6) AS after FROM j WHERE known AND mi0 - mi1 >= 5 AND mi1 < 85
         UNION ALL SELECT subject, 'maintainability-improvement', 'low', round(mi0, 6), round(mi1, 6) FROM j WHERE known AND mi1 - mi0 >= 5 AND mi0 < 85
         UNION ALL SELECT subject, 'coupling-regression', 'medium', CAST(ce0 AS DOUBLE), CAST(ce1 AS DOUBLE) FROM j WHERE known AND ce1 - ce0 >= 3)"""
-_TOK = "tok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS token FROM eval_items)"
+_TOK = "tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS token FROM documents)"
+_ROLES = "ro AS (SELECT node, CASE split_part(node, '.', -1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ROLE_OF.items()) + " ELSE 'component:domain:value_object' END AS role FROM (SELECT src AS node FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL UNION SELECT dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL))"
+_WEIGHT = "greatest(1, coalesce(ccn, 0) * (1 + efferent + afferent))"
+_TESTS = f"""{MEASURED}, mt AS (SELECT m.*, coalesce(f.is_test, false) AS is_test FROM measured m JOIN files f ON f.file_id = m.file_id WHERE item_name IS NOT NULL),
+    cl AS (SELECT repo AS scope, item_name AS class_name, min(file_id) AS file_id, max(cyclomatic_complexity) AS ccn, max(efferent) AS efferent, max(afferent) AS afferent FROM mt WHERE kind = 'class' AND NOT is_test GROUP BY 1, 2),
+    dp AS (SELECT DISTINCT repo AS scope, file_id, is_test, split_part(item_name, '.', 1) AS class_name FROM mt WHERE kind = 'function'), ow AS (SELECT file_id, min(item_name) AS src FROM mt WHERE kind = 'class' GROUP BY 1),
+    ln AS (SELECT DISTINCT dp.scope, src, dp.class_name AS dst FROM dp JOIN ow ON ow.file_id = dp.file_id WHERE NOT is_test AND src <> class_name AND (dp.scope, src) IN (SELECT (scope, class_name) FROM cl) AND (dp.scope, dp.class_name) IN (SELECT (scope, class_name) FROM cl)),
+    tc AS (SELECT DISTINCT dp.scope, dp.file_id, dp.class_name FROM dp JOIN cl ON cl.scope = dp.scope AND cl.class_name = dp.class_name WHERE is_test),
+    wk AS (SELECT scope, file_id, class_name AS node, 0 AS depth FROM tc UNION SELECT wk.scope, wk.file_id, dst, depth + 1 FROM wk JOIN ln ON ln.scope = wk.scope AND ln.src = wk.node WHERE depth < 4),
+    dd AS (SELECT scope, file_id, max(d) AS depth FROM (SELECT scope, file_id, node, min(depth) AS d FROM wk GROUP BY 1, 2, 3) GROUP BY 1, 2), fo AS (SELECT scope, file_id, count(*) AS fan_out FROM tc GROUP BY 1, 2),
+    tf0 AS (SELECT DISTINCT f.repo AS scope, f.file_id, coalesce(fan_out, 0) AS fan_out, coalesce(depth, 0) AS depth FROM files f LEFT JOIN fo ON fo.scope = f.repo AND fo.file_id = f.file_id LEFT JOIN dd ON dd.scope = f.repo AND dd.file_id = f.file_id WHERE is_test),
+    tf AS (SELECT *, greatest(0, least(100, 100 - 10 * fan_out - 5 * depth)) AS score, CASE WHEN 100 - 10 * fan_out - 5 * depth >= 80 THEN 'Isolated' WHEN 100 - 10 * fan_out - 5 * depth >= 50 THEN 'Semi-isolated' ELSE 'Coupled' END AS label FROM tf0)"""
+
+_PREDICTED = "WITH s AS (SELECT sample_id, label, lower(trim(programming_language)) || '|' || least(coalesce(class_loc, 0) // 40, 5) AS cell0, CASE WHEN programming_language IS NULL THEN CAST(least(coalesce(class_loc, 0) // 40, 5) AS VARCHAR) ELSE lower(trim(programming_language)) || '|' || least(coalesce(class_loc, 0) // 40, 5) END AS cell FROM class_samples WHERE label IS NOT NULL), n AS (SELECT cell, label, count(*) AS n FROM s GROUP BY 1, 2), w AS (SELECT *, round(n / sum(n) OVER (PARTITION BY cell)::DOUBLE, 9) AS p, row_number() OVER (PARTITION BY cell ORDER BY n DESC, label) AS r FROM n)"
 
 SQL = {
     "e30_lint": f"WITH {_LINT} SELECT * FROM v",
@@ -280,29 +343,42 @@ SQL = {
     "e20_files_per_package": "SELECT repo, regexp_replace(short_path, '/?[^/]*$', '') AS folder, count(*) AS n FROM files WHERE NOT regexp_matches(short_path, '_test\\.go$|(^|/)doc\\.go$') GROUP BY 1, 2 HAVING count(*) > 5",
     "e21_package_in_name": "SELECT item_id, split_part(item_name, '.', -1) AS name, lower(split_part(path, '/', -2)) AS package FROM metrics WHERE kind = 'function' AND item_name IS NOT NULL AND length(split_part(path, '/', -2)) > 2 AND contains(lower(split_part(item_name, '.', -1)), lower(split_part(path, '/', -2)))",
     "e22_slice_prealloc": f"SELECT file_id, CAST(n AS INTEGER) AS n FROM (SELECT file_id, len(list_filter(regexp_extract_all(source_text, '{_BOUNDED_FOR}'), lambda b: regexp_matches(b, '{_APPEND}'))) AS n FROM files WHERE programming_language = 'Golang') WHERE n > 0",
-    "e22_source_patterns": "SELECT file_id, CAST(len(regexp_extract_all(source_text, ':= \\w+ % ')) AS INTEGER) AS n FROM files WHERE programming_language = 'Golang' AND regexp_matches(source_text, '(?m)^\\s*(for|if)\\b') AND regexp_matches(source_text, ':= (\\w+) % ')",
-    "e35_role_violations": """WITH r AS (SELECT * FROM (VALUES ('core', 'domain'), ('app', 'ui'), ('internal', 'data'), ('shared.util', 'shared'), ('common.model', 'domain')) v(node, layer)),
-        e AS (SELECT src, CASE WHEN ends_with(dst, 'ledger') THEN 'app' WHEN ends_with(dst, 'token') THEN 'internal' ELSE 'core' END AS dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL)
-        SELECT a.layer AS from_layer, b.layer AS to_layer, count(*) AS n FROM e JOIN r a ON a.node = src JOIN r b ON b.node = dst WHERE (a.layer, b.layer) IN (('domain', 'ui'), ('ui', 'data'), ('shared', 'ui')) GROUP BY 1, 2""",
+    "e35_role_violations": f"""WITH {_ROLES} SELECT a.role AS from_role, b.role AS to_role, count(*) AS n FROM edges e JOIN ro a ON a.node = e.src JOIN ro b ON b.node = e.dst
+        WHERE (a.role LIKE 'component:interface:controller' AND b.role LIKE 'infrastructure:%') OR (split_part(a.role, ':', 2) = 'domain' AND split_part(b.role, ':', 2) = 'app') OR (split_part(a.role, ':', 2) = 'data_access' AND split_part(b.role, ':', 3) = 'interface')
+           OR (split_part(a.role, ':', 2) = 'domain' AND split_part(a.role, ':', 3) = 'rule' AND NOT (split_part(b.role, ':', 2) = 'domain' AND split_part(b.role, ':', 3) IN ('entity', 'value_object'))) GROUP BY 1, 2""",
     "e36_risk_items": f"""WITH {MEASURED}, f AS (SELECT m.file_id, any_value(programming_language) AS language, count(*) FILTER (kind = 'class') AS nc, count(*) FILTER (kind = 'function') AS nm, sum(h_volume / 3000) FILTER (kind = 'file') AS bugs, max(afferent) - 4 AS lcom4, max(efferent) AS ce FROM measured m JOIN files f ON f.file_id = m.file_id GROUP BY m.file_id)
         SELECT file_id, 'too many classes' AS risk, round(least(1.0, 0.6 + 0.05 * (nc - 3)), 6) AS severity FROM f WHERE language = 'Golang' AND nc > 3 UNION ALL SELECT file_id, 'too bugged', round(least(1.0, bugs / 2 + 0.3), 6) FROM f WHERE bugs >= 0.5
         UNION ALL SELECT file_id, 'too many responsibilities', greatest(CASE WHEN nm >= 30 THEN 0.8 WHEN nm >= 20 THEN 0.5 ELSE 0.0 END, CASE WHEN lcom4 > 1 THEN 0.7 ELSE 0.0 END) FROM f WHERE nm >= 20 OR lcom4 > 1 UNION ALL SELECT file_id, 'too many efferent couplings', CASE WHEN ce >= 40 THEN 0.85 ELSE 0.6 END FROM f WHERE ce >= 20""",
-    "e40_suggestions": f"WITH {MEASURED}, k AS (SELECT file_id, count(DISTINCT repo || ' ' || hash) AS n FROM commits WHERE file_id IS NOT NULL GROUP BY file_id) SELECT m.file_id, 'hotspot' AS kind FROM measured m JOIN k ON k.file_id = m.file_id WHERE kind = 'file' AND risk_score >= 0.1 AND n >= 3 UNION SELECT file_id, 'low maintainability' FROM measured WHERE kind = 'class' AND maintainability_index < 85 UNION SELECT m.file_id, 'complex and busy' FROM measured m JOIN k ON k.file_id = m.file_id WHERE kind = 'file' AND cyclomatic_complexity > 20 AND n >= 3",
+    "e40_suggestions": f"""WITH {MEASURED}, k AS (SELECT file_id, count(DISTINCT repo || ' ' || hash) AS n FROM commits WHERE file_id IS NOT NULL GROUP BY file_id), f AS (SELECT m.file_id, n, max(risk_score) AS risk, max(cyclomatic_complexity) AS ccn FROM measured m JOIN k ON k.file_id = m.file_id WHERE kind = 'file' GROUP BY 1, 2),
+        s0 AS (SELECT file_id, 'hotspot' AS kind, file_id AS location FROM f WHERE risk >= 0.7 AND n >= 3 UNION ALL SELECT file_id, 'low maintainability', coalesce(item_name, '') FROM measured WHERE kind = 'class' AND maintainability_index < 65 UNION ALL SELECT file_id, 'complex and busy', file_id FROM f WHERE ccn > 50 AND n >= 3),
+        s AS (SELECT kind, location, min(file_id) AS file_id FROM s0 GROUP BY 1, 2), c AS (SELECT file_id, count(*) AS k, sum(count(*)) OVER (ORDER BY file_id) - count(*) AS ahead FROM s GROUP BY 1)
+        SELECT s.file_id, kind, location FROM s JOIN c ON c.file_id = s.file_id WHERE ahead < 10""",
     "m03_function_findings": f"WITH {_REV} SELECT * FROM fn WHERE kind IS NOT NULL",
     "m06_index_findings": f"WITH {_REV} SELECT * FROM ix",
     "m11_gate": f"WITH {_REV}, a AS (SELECT kind, severity FROM fn WHERE kind IS NOT NULL UNION ALL SELECT kind, severity FROM ix), l AS (SELECT * FROM (VALUES ('high', 1), ('medium', 2), ('any', 3), ('never', 0)) v(level, k)), n AS (SELECT level, count(kind) AS n FROM l LEFT JOIN a ON NOT ends_with(kind, 'improvement') AND CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END <= k GROUP BY level) SELECT level, n > 0 AS failed, n FROM n",
     "m02_file_delta": "WITH o AS (SELECT o_custkey || '/' || o_orderstatus AS path, month(o_orderdate) > 6 AS late, count(*) AS checksum, round(sum(o_totalprice), 2) AS size FROM orders GROUP BY 1, 2), j AS (SELECT coalesce(h.path, b.path) AS path, h.checksum AS hc, b.checksum AS bc, h.size AS hs, b.size AS bs FROM (SELECT * FROM o WHERE late) h FULL JOIN (SELECT * FROM o WHERE NOT late) b ON b.path = h.path) SELECT path, CASE WHEN bc IS NULL THEN 'added' WHEN hc IS NULL THEN 'deleted' ELSE 'changed' END AS status, round(coalesce(hs, 0.0) - coalesce(bs, 0.0), 2) AS delta FROM j WHERE bc IS NULL OR hc IS NULL OR bc <> hc",
     "m09_lint_diff": f"WITH {_LINT}, w AS (SELECT rule, file_id AS file, subject || ' has ' || CAST(trunc(value) AS INTEGER) AS message FROM v), k AS (SELECT *, regexp_replace(message, '[0-9]+', '#', 'g') AS kk, CAST(substr(file, 2) AS BIGINT) AS i FROM w) SELECT rule, file, message FROM k h WHERE i % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM k b WHERE b.i % 2 = 0 AND b.rule = h.rule AND b.file = h.file AND b.kk = h.kk)",
-    "g16_test_quality": "WITH f AS (SELECT repo, coalesce(is_test, false) AS t, split_part(short_path, '/', 2) AS package FROM files WHERE contains(short_path, '/')), p AS (SELECT DISTINCT repo, package FROM f WHERE NOT t), q AS (SELECT DISTINCT repo, package FROM f WHERE t) SELECT p.repo, count(*) AS n_packages, count(q.package) AS n_tested, round(count(q.package) * 100 / count(*)::DOUBLE, 6) AS traceability FROM p LEFT JOIN q ON q.repo = p.repo AND q.package = p.package GROUP BY p.repo",
-    "i04_god_tests": "SELECT l_suppkey AS test_id, count(DISTINCT o_custkey) AS fan_out FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT o_custkey) >= 5 ORDER BY 2 DESC, 1 LIMIT 20",
-    "i05_orphans": "SELECT item_id, greatest(1, coalesce(cyclomatic_complexity, 0) * (1 + efferent + afferent)) AS weight FROM metrics WHERE kind = 'class' AND file_id NOT IN (SELECT file_id FROM commits WHERE file_id IS NOT NULL AND author = 'mergekeeper[bot]') ORDER BY 2 DESC, 1 LIMIT 20",
+    "g16_test_quality": f"""WITH RECURSIVE {_TESTS}, c AS (SELECT cl.scope, count(*) AS n_classes, count(*) FILTER ((cl.scope, cl.class_name) IN (SELECT (scope, class_name) FROM tc)) AS n_tested FROM cl GROUP BY 1), t AS (SELECT scope, count(*) AS n_test_files, avg(score) AS iso FROM tf GROUP BY 1),
+        j AS (SELECT coalesce(c.scope, t.scope) AS scope, coalesce(n_classes, 0) AS n_classes, coalesce(n_tested, 0) AS n_tested, coalesce(n_test_files, 0) AS n_test_files, round(coalesce(iso, 0.0), 6) AS isolation FROM c FULL JOIN t ON t.scope = c.scope)
+        SELECT scope, n_classes, n_tested, CASE WHEN n_classes > 0 THEN round(n_tested * 100 / n_classes::DOUBLE, 6) ELSE 0.0 END AS traceability, n_test_files, isolation, CASE WHEN isolation >= 80 THEN 'Isolated' WHEN isolation >= 50 THEN 'Semi-isolated' ELSE 'Coupled' END AS label FROM j""",
+    "i04_god_tests": f"WITH RECURSIVE {_TESTS} SELECT file_id, fan_out, label FROM tf WHERE fan_out >= 5 ORDER BY fan_out DESC, file_id LIMIT 20",
+    "i05_orphans": f"WITH RECURSIVE {_TESTS} SELECT scope, class_name, {_WEIGHT} AS weight FROM cl WHERE (scope, class_name) NOT IN (SELECT (scope, class_name) FROM tc) ORDER BY weight DESC, scope, class_name LIMIT 20",
     "l01_tokens": "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS t FROM documents) SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct, CAST(greatest(len(t) - 1, 0) AS INTEGER) AS n_bigrams FROM t",
-    "l05_tfidf": f"WITH {_TOK}, tf AS (SELECT item_id, token, count(*) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1) SELECT item_id, tf.token, round((1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM eval_items))::DOUBLE / (1 + df)) + 1), 9) AS weight FROM tf JOIN df ON df.token = tf.token",
+    "l05_tfidf": f"WITH {_TOK}, tf AS (SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1) SELECT doc_id, tf.token, round((1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)) + 1), 9) AS weight FROM tf JOIN df ON df.token = tf.token",
     "l06_centroid_ranking": """WITH d AS (SELECT label, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), c AS (SELECT label, d, avg(CAST(x AS DOUBLE)) AS x FROM d GROUP BY 1, 2),
         s AS (SELECT d.label, vec_id, round(sum(CAST(d.x AS DOUBLE) * c.x) / (sqrt(sum(CAST(d.x AS DOUBLE) * d.x)) * sqrt(sum(c.x * c.x))), 6) AS cosine FROM d JOIN c ON c.label = d.label AND c.d = d.d GROUP BY 1, 2)
         SELECT label, vec_id, cosine, place FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) AS place FROM s) WHERE place <= 3""",
     "l08_fallback_names": "WITH p AS (SELECT repo, unnest(string_split(src, '.')) AS part FROM edges WHERE src IS NOT NULL), c AS (SELECT repo, part, count(*) AS n FROM p WHERE part NOT IN ('core', 'app', 'internal', 'shared', 'util', 'common', 'model') GROUP BY 1, 2) SELECT repo, part, n FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, part) AS r FROM c) WHERE r = 1",
-    "l09_one_hot": "SELECT file_id, CASE programming_language WHEN 'Golang' THEN 0 WHEN 'Java' THEN 1 WHEN 'PHP' THEN 2 ELSE CASE WHEN programming_language IS NULL THEN -1 ELSE -1 END END AS code, CASE WHEN programming_language = 'Golang' THEN 1.0::DOUBLE ELSE 0.0 END AS is_golang, CASE WHEN programming_language = 'Java' THEN 1.0::DOUBLE ELSE 0.0 END AS is_java, CASE WHEN programming_language = 'PHP' THEN 1.0::DOUBLE ELSE 0.0 END AS is_php FROM files",
-    "l16_checksums": "SELECT file_id, sha256(source_text) AS sha, regexp_replace(regexp_replace(lower(trim(replace(programming_language, '#', '-sharp'))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM files",
-    "l18_initials": "SELECT identity_id, upper(substr(author, 1, 1) || substr(split_part(author, ' ', 2), 1, 1)) AS initials FROM authors WHERE regexp_matches(author, '^[A-Za-z]+ [A-Za-z]+$')",
+    "l09_one_hot": "SELECT file_id, CASE programming_language " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(LANGUAGE_CODES)) + " ELSE -1 END::BIGINT AS code, " + ", ".join(f"CASE WHEN programming_language = '{x}' THEN 2.5::DOUBLE ELSE 0.0 END AS is_{x.lower().replace('#', 'sharp')}" for x in LANGUAGE_CODES) + " FROM files",
+    "l16_checksums": "SELECT file_id, sha256(source_text) AS sha, regexp_replace(regexp_replace(lower(trim(replace(programming_language, '#', '-sharp'))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, CAST(epoch_us(scanned_at) * 1000 AS VARCHAR) || '_' || octet_length(encode(source_text)) AS cache_key FROM files",
+    "f04_touched_classes": f"WITH RECURSIVE {_TESTS} SELECT scope, file_id, class_name FROM tc",
+    "f05_untested_classes": f"WITH RECURSIVE {_TESTS} SELECT scope, class_name, {_WEIGHT} AS weight FROM cl WHERE (scope, class_name) NOT IN (SELECT (scope, class_name) FROM tc)",
+    "d17_test_isolation": f"WITH RECURSIVE {_TESTS} SELECT scope, file_id, fan_out, depth, score, label FROM tf",
+    "g17_test_histogram": f"WITH RECURSIVE {_TESTS} SELECT CAST(least(score // 20, 4) AS INTEGER) AS bin, count(*) AS n FROM tf GROUP BY 1",
+    "l01_frequent_words": f"WITH {_TOK} SELECT token, count(DISTINCT doc_id) AS n_documents FROM tok GROUP BY 1 HAVING count(DISTINCT doc_id) >= 0.3 * (SELECT count(*) FROM documents)",
+    "l12_ambiguities": _PREDICTED + """, a AS (SELECT cell, max(p) FILTER (r = 1) AS p1, max(p) FILTER (r = 2) AS p2, max(label) FILTER (r = 1) AS l1, max(label) FILTER (r = 2) AS l2, string_agg(label, ';' ORDER BY r) FILTER (r <= 3) AS labels FROM w GROUP BY 1)
+        SELECT sample_id, round(p1 - p2, 6) AS gap, labels, l1 || ' + ' || l2 AS pattern FROM s JOIN a ON a.cell = s.cell WHERE p1 - p2 < 0.1""",
+    "l18_initials": """WITH a AS (SELECT identity_id, author, lower(trim(email)) AS e, list_filter(list_transform(regexp_split_to_array(trim(author), '\\s+'), lambda w: upper(regexp_extract(w, '(\\p{L})', 1))), lambda x: x <> '') AS ls FROM authors)
+        SELECT identity_id, CASE WHEN author IS NULL OR author = '' THEN '?' WHEN len(ls) > 0 THEN substr(array_to_string(ls, ''), 1, 3) ELSE upper(substr(trim(author), 1, 1)) END AS initials,
+               CASE WHEN contains(e, '@') THEN 'https://www.gravatar.com/avatar/' || md5(e) || '?s=80&d=404' ELSE '' END AS avatar FROM a""",
 }

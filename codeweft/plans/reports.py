@@ -61,18 +61,6 @@ def c08_line_count(spark, sf):
     return load(spark, sf, "files").where("source_text is not null").select("file_id", F.size(F.split("source_text", "\n", -1)).alias("loc"))
 
 
-def c01_units(spark, sf):
-    """Classes, functions, dependencies and parse errors of every file (C-01 to C-05, C-13, C-15)."""
-    return X.extract_units(load(spark, sf, "files"))
-
-
-def c01_function_metrics(spark, sf):
-    """Complexity and Halstead volume of every extracted function, from source text to metric in one plan."""
-    u = X.extract_units(load(spark, sf, "files")).where("kind = 'function'")
-    h = M.halstead("n_distinct_operators", "n_distinct_operands", "n_operators", "n_operands")
-    return u.select("file_id", "owner", "name", "start_line", M.cyclomatic().alias("ccn"), R(h["h_volume"]).alias("h_volume"), (F.col("stop_line") - F.col("start_line") + 1).alias("loc"))
-
-
 def c10_distinct_units(spark, sf):
     """First measurement of each class of a file, duplicates dropped (C-10, C-11), and functions outside classes (C-12)."""
     m = measured(spark, sf).where("kind = 'class' and item_name is not null").select("file_id", "item_name", "item_id")
@@ -130,21 +118,6 @@ def b04_sarif(spark, sf):
     return B.sarif_results(v)
 
 
-def b07_file_dependencies(spark, sf):
-    """Files that share commits, both directions, at least 4 common commits within commits of 2 to 6 files (co-change; B-07 is ``b07_dependencies``)."""
-    c = load(spark, sf, "commits").where("file_id is not null").select("repo", "hash", "file_id").distinct()
-    small = c.groupBy("repo", "hash").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 6").select("repo", "hash")
-    s = c.join(small, ["repo", "hash"])
-    pair = s.alias("a").join(s.alias("b"), ["repo", "hash"]).where("a.file_id <> b.file_id").select(F.col("a.file_id").alias("file"), F.col("b.file_id").alias("other"))
-    return pair.groupBy("file", "other").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
-
-
-def b07_dependencies(spark, sf):
-    """Files that each file's extracted dependencies lead to, and the relation inverted (B-07)."""
-    f = load(spark, sf, "files")
-    return X.file_dependencies(X.extract_units(f), f.select("file_id", "repo"))
-
-
 def b08_folder_dependencies(spark, sf):
     """Package relations rolled up to the last name part of either side, with the number of packages."""
     e = load(spark, sf, "edges").where("src is not null and dst is not null")
@@ -165,13 +138,6 @@ def b12_chart(spark, sf):
     return e.groupBy("src").agg(F.to_json(F.array_sort(F.collect_list(F.struct("dst", "n")))).alias("json")).select("src", F.get_json_object("json", "$[0].dst").alias("first_dst"), F.json_array_length("json").cast("bigint").alias("n_relations"))
 
 
-def b13_ml_dataset(spark, sf):
-    """Rows of the classifier's data set without errored files."""
-    f = load(spark, sf, "files").where("errors is null or size(errors) = 0").select("file_id", "programming_language")
-    m = measured(spark, sf).where("kind = 'class'")
-    return m.join(f, "file_id").select("item_id", "item_name", "programming_language", "cyclomatic_complexity", "loc", R(F.col("maintainability_index")).alias("mi"), "afferent", "efferent")
-
-
 def o01_stream_windows(spark, sf):
     """Events by hour and type through a stream read to its end."""
     schema = load(spark, sf, "events").schema
@@ -181,8 +147,8 @@ def o01_stream_windows(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    a03_languages, a04_not_excluded, a07_parse_errors, a08_git_log, a15_modules, c01_units, c01_function_metrics, c06_file_lines, c08_line_count, c10_distinct_units, c12_functions_outside, c13_dependencies, c14_reduced_namespaces, c17_test_files, c21_file_loc,
-    b02_json, b03_open_metrics, b04_sarif, b07_file_dependencies, b07_dependencies, b08_folder_dependencies, b09_scopes, b12_chart, b13_ml_dataset, o01_stream_windows,
+    a03_languages, a04_not_excluded, a07_parse_errors, a08_git_log, a15_modules, c06_file_lines, c08_line_count, c10_distinct_units, c12_functions_outside, c13_dependencies, c14_reduced_namespaces, c17_test_files, c21_file_loc,
+    b02_json, b03_open_metrics, b04_sarif, b08_folder_dependencies, b09_scopes, b12_chart, o01_stream_windows,
 )}
 
 _EXT = "CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'php' THEN 'PHP' WHEN 'go' THEN 'Golang' WHEN 'py' THEN 'Python' WHEN 'rs' THEN 'Rust' WHEN 'ts' THEN 'TypeScript' WHEN 'js' THEN 'TypeScript' WHEN 'java' THEN 'Java' WHEN 'cs' THEN 'C#' END"
@@ -203,10 +169,8 @@ SQL = {
     "b02_json": "SELECT item_id, path, cyclomatic_complexity, round(CASE WHEN isnan(maintainability_index) THEN 0.0 ELSE maintainability_index END, 6) AS mi, loc FROM metrics WHERE kind = 'file'",
     "b03_open_metrics": "WITH m AS (SELECT repo, CAST(sum(loc) AS DOUBLE) AS loc, CAST(max(cyclomatic_complexity) AS DOUBLE) AS max_ccn FROM metrics WHERE kind = 'file' GROUP BY repo) SELECT 'code_loc{path=\"' || repo || '\"} ' || CASE WHEN loc >= 10000000 THEN CAST(loc / 10000000 AS VARCHAR) || 'E7' ELSE CAST(loc AS VARCHAR) END AS line FROM m UNION ALL SELECT 'code_max_ccn{path=\"' || repo || '\"} ' || max_ccn FROM m",
     "b04_sarif": f"WITH {_LINT}, r AS (SELECT rule, row_number() OVER (ORDER BY rule) - 1 AS rule_index FROM (SELECT DISTINCT rule FROM v)) SELECT v.rule, CAST(rule_index AS INTEGER) AS rule_index, CASE severity WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' WHEN 'low' THEN 'note' ELSE 'warning' END AS level, file_id AS file, greatest(CAST(trunc(value) AS INTEGER), 1) AS line, sha256(v.rule || chr(0) || file_id || chr(0) || CAST(CAST(trunc(value) AS INTEGER) AS VARCHAR)) AS fingerprint FROM v JOIN r ON r.rule = v.rule",
-    "b07_file_dependencies": "WITH c AS (SELECT DISTINCT repo, hash, file_id FROM commits WHERE file_id IS NOT NULL), s AS (SELECT repo, hash FROM c GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 6), d AS (SELECT c.* FROM c JOIN s ON s.repo = c.repo AND s.hash = c.hash) SELECT a.file_id AS file, b.file_id AS other, count(*) AS n FROM d a JOIN d b ON b.repo = a.repo AND b.hash = a.hash AND a.file_id <> b.file_id GROUP BY 1, 2 HAVING count(*) >= 4",
     "b08_folder_dependencies": "SELECT split_part(src, '.', -1) AS src_folder, split_part(dst, '.', -1) AS dst_folder, count(*) AS n, count(DISTINCT src) AS n_packages FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2",
     "b09_scopes": "SELECT '1-all' AS kind, 'all' AS name, count(*) AS n FROM files UNION ALL SELECT '2-language', coalesce(programming_language, ''), count(*) FROM files GROUP BY programming_language UNION ALL SELECT '3-directory', split_part(short_path, '/', 1), count(*) FROM files GROUP BY 2",
     "b12_chart": "SELECT src, min(dst) AS first_dst, count(DISTINCT dst) AS n_relations FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src",
-    "b13_ml_dataset": f"WITH {MEASURED} SELECT item_id, item_name, f.programming_language, cyclomatic_complexity, m.loc, round(maintainability_index, 6) AS mi, afferent, efferent FROM measured m JOIN files f ON f.file_id = m.file_id WHERE kind = 'class' AND (errors IS NULL OR len(errors) = 0)",
     "o01_stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import metrics as M
 from codeweft.operators.activity import author_touches, bus_factor, commits_per_month, top_committers
-from codeweft.operators.rollups import histogram, rollup
+from codeweft.operators import review as V
+from codeweft.operators.rollups import MEANS, SUMS, histogram, project_measures, rollup
 from codeweft.plans.adapters import CCN, MEASURED, UNITS, measured, units
-from codeweft.plans.metrics import _FR, _RISK, _file_risk
+from codeweft.plans.metrics import _FR, _H, _RISK, _file_risk
 from codeweft.session import load
 
 R = lambda c, n=6: F.round(c, n)
@@ -65,12 +66,52 @@ def g08_afferent(spark, sf):
 
 
 def g10_package_relations(spark, sf):
-    """Packages reduced to depth 2 with the number of relations; self relations dropped (G-10, G-23)."""
+    """Packages reduced to depth 2 with the number of relations; self relations dropped (G-10)."""
     e = load(spark, sf, "edges").select(M.reduce_namespace("src", 2).alias("src"), M.reduce_namespace("dst", 2).alias("dst"), "weight")
     return e.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight"))
 
 
+def g10_file_relations(spark, sf):
+    """Package relations by file: of the dependencies of one class of a file the last counts (G-10, last wins)."""
+    m = measured(spark, sf).where("kind = 'function' and item_name is not null")
+    last = m.groupBy("file_id", F.split("item_name", r"\.")[0].alias("src")).agg(F.max_by(F.split("item_name", r"\.")[1], "item_id").alias("dst"))
+    return last.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+def g23_dependency_weights(spark, sf):
+    """Packages reduced to depth 3: weight of each relation and its share of the source's whole (G-23, K-01)."""
+    e = load(spark, sf, "edges").select(M.reduce_namespace("src", 3).alias("src"), M.reduce_namespace("dst", 3).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    whole = e.groupBy("src").agg(F.sum("n").alias("n_src"))
+    return e.join(whole, "src").select("src", "dst", "n", "n_src", R(F.col("n") / F.col("n_src")).alias("share"))
+
+
+def _measure_tables(spark, sf, months: str = "true"):
+    """Functions and classes of the contract tables with all measures, for ``project_measures``; ``months`` picks a revision."""
+    u = units(spark, sf).join(load(spark, sf, "orders").where(months).select(F.col("o_orderkey").alias("unit_id")), "unit_id", "left_semi").withColumn("ccn", M.cyclomatic()).withColumnRenamed("language", "scope")
+    for name, value in M.halstead("n_distinct_operators", "n_distinct_operands", "n_operators", "n_operands").items():
+        u = u.withColumn(name, value)
+    index = M.maintainability("loc", "lloc", "cloc", "ccn", "h_volume")
+    f = u.select("*", *[v.alias(k) for k, v in index.items()])
+    c = u.groupBy("scope", "class_id").agg(F.count(F.lit(1)).alias("n_methods"), *[F.sum(x).alias(x) for x in ("loc", "lloc", "cloc", "ccn")], *[F.avg(x).alias(x) for x in ("h_difficulty", "h_effort", "h_volume", "h_time", "h_bugs")])
+    used = _deps(spark, sf).groupBy(F.col("owner").alias("class_id")).agg(F.count_distinct("namespace").alias("efferent"))
+    c = c.join(used, "class_id", "left").withColumn("afferent", F.lit(0)).withColumn("efferent", F.coalesce("efferent", F.lit(0))).withColumn("instability", M.class_instability("efferent", "afferent"))
+    return f, c.select("*", *[v.alias(k) for k, v in index.items()])
+
+
+def g03_measures(spark, sf):
+    """Means of all measures, sums, extremes and counts by language (G-03)."""
+    m = project_measures(*_measure_tables(spark, sf))
+    return m.select("scope", *[R(F.col(c).cast("double")).alias(c) for c in m.columns if c != "scope"])
+
+
+def m01_aggregate_delta(spark, sf):
+    """Current minus compared of all measures by language, the halves of the year as revisions (M-01)."""
+    head, base = (project_measures(*_measure_tables(spark, sf, w)) for w in ("month(o_orderdate) > 6", "month(o_orderdate) <= 6"))
+    return V.measure_deltas(head, base, [c for c in head.columns if c != "scope"])
+
+
 def g11_project_instability(spark, sf):
+    """Efferent over all coupling of each repo's classes."""
     m = measured(spark, sf).where("kind = 'class'")
     ce, ca = F.sum("efferent"), F.sum("afferent")
     return m.groupBy("repo").agg(R(F.when(ce + ca > 0, ce / (ce + ca)).otherwise(0.0)).alias("instability"))
@@ -120,13 +161,11 @@ def g19_loc_histogram(spark, sf):
 
 
 def g20_mi_histogram(spark, sf):
-    return histogram(measured(spark, sf).where("kind = 'class'"), F.col("maintainability_index"), [("<64", 64), ("<85", 85), (">=85", None)])
-
-
-def g21_lcom_histogram(spark, sf):
-    """Classes by number of distinct supplier groups (LCOM stand-in), 0 left out."""
-    t = load(spark, sf, "orders").join(load(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg((F.count_distinct("l_suppkey") % 6).alias("lcom")).where("lcom > 0")
-    return histogram(t, F.col("lcom"), [("1", 2), ("<4", 4), (">=4", None)])
+    """Classes, and files without any, by maintainability index (G-20)."""
+    m = measured(spark, sf)
+    classes = m.where("kind = 'class'")
+    alone = m.where("kind = 'file'").join(classes.select("file_id").distinct(), "file_id", "left_anti").select("maintainability_index")
+    return histogram(classes.select("maintainability_index").unionByName(alone), F.col("maintainability_index"), [("<64", 64), ("<85", 85), (">=85", None)])
 
 
 def g22_commits_per_month(spark, sf):
@@ -152,18 +191,26 @@ def g28_balanced_sample(spark, sf):
     return s.withColumn("r", F.row_number().over(w)).where("r <= 50").select("sample_id", "label")
 
 
+def _class_names(spark, sf):
+    """Classes and the dependencies on classes by qualified name: folders of the path, then the class (a function is named ``Class.method``)."""
+    m = measured(spark, sf).where("item_name is not null")
+    full = F.concat_ws(".", F.replace(F.regexp_replace("path", "/?[^/]*$", ""), F.lit("/"), F.lit(".")), F.split("item_name", r"\.")[0])
+    classes = m.where("kind = 'class'").groupBy("repo", full.alias("qualified")).agg(F.min("file_id").alias("owner"))
+    return classes, m.where("kind = 'function'").groupBy("repo", full.alias("qualified")).agg(F.count(F.lit(1)).alias("n_uses"))
+
+
 def f02_resolved_dependencies(spark, sf):
-    """Dependencies with the class they resolve to, unresolved ones kept (left join)."""
-    e = load(spark, sf, "edges").where("dst is not null").select("dst").distinct()
-    names = load(spark, sf, "edges").where("src is not null").groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    return e.join(names, e["dst"] == names["src"], "left").select("dst", F.col("n").isNotNull().alias("resolved"), F.coalesce("n", F.lit(0)).alias("n"))
+    """Dependencies with the class they resolve to by qualified name, unresolved ones kept (F-02, left join)."""
+    classes, uses = _class_names(spark, sf)
+    return uses.join(classes, ["repo", "qualified"], "left").select("repo", "qualified", "n_uses", "owner")
 
 
-def f05_untested_packages(spark, sf):
-    """Packages on which no other package depends (anti join), and external ones (K-02) by their lack of sources."""
-    e = load(spark, sf, "edges").where("src is not null and dst is not null")
-    sources = e.select(F.col("src").alias("package")).distinct()
-    return sources.join(e.select(F.col("dst").alias("package")).distinct(), "package", "left_anti")
+def f03_dependency_files(spark, sf):
+    """Dependencies with the files of their reduced path: both sides cut to two parts, unresolved ones kept (F-03, left join)."""
+    e = load(spark, sf, "edges").where("dst is not null").select("repo", M.reduce_namespace("dst", 2).alias("reduced")).groupBy("repo", "reduced").agg(F.count(F.lit(1)).alias("n_uses"))
+    folder = F.replace(F.regexp_replace("short_path", "/?[^/]*$", ""), F.lit("/"), F.lit("."))
+    f = load(spark, sf, "files").select("repo", M.reduce_namespace(F.regexp_replace(folder, r"^[^.]*\.", ""), 2).alias("reduced"), "file_id").groupBy("repo", "reduced").agg(F.min("file_id").alias("file_id"), F.count(F.lit(1)).alias("n_files"))
+    return e.join(f, ["repo", "reduced"], "left").select("repo", "reduced", "n_uses", "file_id", F.coalesce("n_files", F.lit(0)).alias("n_files"))
 
 
 def f10_longest_prefix(spark, sf):
@@ -196,10 +243,10 @@ def f18_labels(spark, sf):
     return s.select("sample_id", "class_name", "file_path").join(labels, ["class_name", "file_path"]).select("sample_id", "label")
 
 
-def i06_lowest_maintainability(spark, sf):
-    """Ten classes of lowest index within [1, 65]... of non-test files."""
-    m = _measured_files(spark, sf).where("kind = 'class' and not coalesce(is_test, false) and maintainability_index between 1 and 165")
-    return m.select("item_id", R(F.col("maintainability_index")).alias("mi")).orderBy("mi", "item_id").limit(10)
+def i06_lowest_maintainability(spark, sf, low: float = 1, high: float = 65, limit: int = 10):
+    """Classes of lowest index within [``low``, ``high``] of non-test files (I-06)."""
+    m = _measured_files(spark, sf).where((F.col("kind") == "class") & ~F.coalesce("is_test", F.lit(False)) & F.col("maintainability_index").between(low, high))
+    return m.select("item_id", R(F.col("maintainability_index")).alias("mi")).orderBy("mi", "item_id").limit(limit)
 
 
 def i09_class_table(spark, sf):
@@ -270,14 +317,38 @@ def _hist(source: str, value: str, buckets: list[tuple[str, str]]) -> str:
 _NAMED = "(SELECT * FROM commits WHERE author IS NOT NULL AND author NOT IN ('', 'noreply@github.com'))"
 
 QUERIES = {f.__name__: f for f in (
-    g04_rollup, g05_counts, g06_mixed_means, g07_coupling, g08_afferent, g10_package_relations, g11_project_instability, g12_commit_counts, g12_file_commits, g13_bus_factor, g14_top_committers, g15_community_bus_factor,
-    g17_isolation_histogram, g18_ccn_histogram, g19_loc_histogram, g20_mi_histogram, g21_lcom_histogram, g22_commits_per_month, g25_labels, g27_distinct_lists, g28_balanced_sample, f02_resolved_dependencies, f05_untested_packages,
+    g04_rollup, g05_counts, g06_mixed_means, g07_coupling, g08_afferent, g10_package_relations, g10_file_relations, g23_dependency_weights, g03_measures, m01_aggregate_delta, g11_project_instability, g12_commit_counts, g12_file_commits, g13_bus_factor, g14_top_committers, g15_community_bus_factor,
+    g17_isolation_histogram, g18_ccn_histogram, g19_loc_histogram, g20_mi_histogram, g22_commits_per_month, g25_labels, g27_distinct_lists, g28_balanced_sample, f02_resolved_dependencies, f03_dependency_files,
     f10_longest_prefix, f14_author_mail, f17_forbidden, f18_labels, i06_lowest_maintainability, i09_class_table, i14_top_edges, j03_added_deleted, n01_overview, n02_file_metrics, n03_find_risky_code, n04_find_complex_code, n09_list_components,
 )}
 
 _AGG = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}_sum, min(nullif({m}, 0)) AS {m}_min, max({m}) AS {m}_max, count({m}) AS {m}_count" for m in ("cyclomatic_complexity", "loc"))
 _REDUCE = "CASE WHEN len(string_split_regex({c}, '[^A-Za-z0-9]+')) <= 2 THEN {c} ELSE string_split_regex({c}, '[^A-Za-z0-9]+')[1] || regexp_extract({c}, '[^A-Za-z0-9]+') || string_split_regex({c}, '[^A-Za-z0-9]+')[2] END"
 
+def _reduced(c: str, depth: int) -> str:
+    parts = f"string_split_regex({c}, '[^A-Za-z0-9]+')"
+    sep = f"regexp_extract({c}, '[^A-Za-z0-9]+')"
+    return f"CASE WHEN len({parts}) <= {depth} THEN {c} ELSE " + f" || {sep} || ".join(f"{parts}[{i + 1}]" for i in range(depth)) + " END"
+
+
+def _measures(name: str, where: str = "true") -> str:
+    """CTE ``name`` with the columns of ``project_measures`` over the units of the orders that ``where`` picks."""
+    mi = "CASE WHEN h_volume > 0 THEN CASE WHEN lloc > 0 THEN greatest(0.0, (171 - 5.2 * ln(h_volume) - 0.23 * ccn - 16.2 * ln(lloc)) * 100 / 171) ELSE 0.0 END END"
+    cw = "CASE WHEN h_volume > 0 THEN CASE WHEN loc > 0 THEN 50 * sin(sqrt(2.4 * cloc / loc)) ELSE 0.0 END END"
+    pick = {"f": "FILTER (kind = 'f')", "c": "FILTER (kind = 'c')", "b": ""}
+    aggs = [f"avg({x}) {pick[k]} AS avg_{m}" for m, (k, x) in MEANS.items()] + [f"sum({x}) AS sum_{x}" for x in SUMS]
+    aggs += ["min(nullif(ccn, 0)) FILTER (kind = 'f') AS min_ccn", "max(ccn) FILTER (kind = 'f') AS max_ccn", "count(*) FILTER (kind = 'f') AS n_methods", "count(*) FILTER (kind = 'c') AS n_classes", "count(*) FILTER (kind = 'c' AND loc > 0) AS n_classes_with_code"]
+    own = ["loc", "lloc", "cloc", "ccn", "h_difficulty", "h_effort", "h_volume", "h_time", "h_bugs"]
+    return f"""{name}_u AS (SELECT language AS scope, class_id, {CCN} AS ccn, loc, lloc, cloc, h_difficulty, h_difficulty * h_volume AS h_effort, h_volume, h_difficulty * h_volume / 18 AS h_time, CASE WHEN h_volume > 0 THEN h_volume / 3000 END AS h_bugs FROM h WHERE unit_id IN (SELECT o_orderkey FROM orders WHERE {where})),
+        {name}_c AS (SELECT scope, u.class_id, count(*) AS n_methods, {', '.join(f'CAST(sum({x}) AS DOUBLE) AS {x}' for x in own[:4])}, {', '.join(f'avg({x}) AS {x}' for x in own[4:])}, any_value(coalesce(ce, 0)) AS efferent FROM {name}_u u LEFT JOIN eff ON eff.owner = u.class_id GROUP BY 1, 2),
+        {name}_b AS (SELECT scope, 'f' AS kind, {', '.join(f'CAST({x} AS DOUBLE) AS {x}' for x in own)}, NULL::DOUBLE AS n_methods, NULL::DOUBLE AS afferent, NULL::DOUBLE AS efferent, NULL::DOUBLE AS instability FROM {name}_u
+            UNION ALL SELECT scope, 'c', {', '.join(own)}, n_methods, 0, efferent, 0.0 FROM {name}_c),
+        {name}_m AS (SELECT *, {mi} AS mi_woc, {cw} AS comment_weight, {mi} + {cw} AS mi FROM {name}_b), {name} AS (SELECT scope, {', '.join(aggs)} FROM {name}_m GROUP BY scope)"""
+
+
+_MEASURES = [f"avg_{m}" for m in MEANS] + [f"sum_{x}" for x in SUMS] + ["min_ccn", "max_ccn", "n_methods", "n_classes", "n_classes_with_code"]
+_EFF = f"{_DEPS}, eff AS (SELECT owner, count(DISTINCT namespace) AS ce FROM deps GROUP BY 1)"
+
 SQL = {
     "g04_rollup": f"WITH {_MF} SELECT programming_language, root, CAST(grouping(programming_language) AS TINYINT) AS all_programming_language, CAST(grouping(root) AS TINYINT) AS all_root, count(*) AS n, {_AGG}, round(avg(cyclomatic_complexity), 6) AS ccn_avg, round(avg(loc), 6) AS loc_avg FROM mf GROUP BY GROUPING SETS ((), (programming_language), (root))",
     "g05_counts": f"WITH {_MF} SELECT repo, count(*) FILTER (kind = 'file') AS n_files, count(*) FILTER (kind = 'file' AND is_test) AS n_test_files, count(*) FILTER (kind = 'class') AS n_classes, count(*) FILTER (kind = 'function') AS n_functions, count(*) FILTER (kind = 'class' AND loc > 0) AS n_classes_with_code FROM mf GROUP BY repo",
@@ -294,20 +365,19 @@ SQL = {
     "g17_isolation_histogram": "SELECT CAST(least(greatest(0, least(100, 100 - 10 * efferent - 5 * (afferent % 4))) // 20, 4) AS INTEGER) AS bin, count(*) AS n FROM metrics WHERE kind = 'class' GROUP BY 1",
     "g18_ccn_histogram": _hist("metrics WHERE kind = 'function' AND cyclomatic_complexity IS NOT NULL", "cyclomatic_complexity", [("<5", "< 5"), ("<20", "< 20"), (">=20", ">= 20")]),
     "g19_loc_histogram": _hist("metrics WHERE kind = 'function' AND loc IS NOT NULL", "loc", [("<15", "< 15"), ("<35", "< 35"), ("<50", "< 50"), (">=50", ">= 50")]),
-    "g20_mi_histogram": _hist("metrics WHERE kind = 'class' AND maintainability_index IS NOT NULL AND NOT isnan(maintainability_index)", "maintainability_index", [("<64", "< 64"), ("<85", "< 85"), (">=85", ">= 85")]),
-    "g21_lcom_histogram": _hist("(SELECT count(DISTINCT l_suppkey) % 6 AS lcom FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey) WHERE lcom > 0", "lcom", [("1", "< 2"), ("<4", "< 4"), (">=4", ">= 4")]),
+    "g20_mi_histogram": _hist("(SELECT maintainability_index FROM metrics m WHERE kind = 'class' OR (kind = 'file' AND file_id NOT IN (SELECT file_id FROM metrics WHERE kind = 'class'))) WHERE maintainability_index IS NOT NULL AND NOT isnan(maintainability_index)", "maintainability_index", [("<64", "< 64"), ("<85", "< 85"), (">=85", ">= 85")]),
     "g22_commits_per_month": "SELECT m AS month, ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'][m] AS label, coalesce(n, 0) AS n_commits FROM (SELECT CAST(range AS INTEGER) AS m FROM range(1, 13)) s LEFT JOIN (SELECT month(to_timestamp(ts) AT TIME ZONE 'UTC') AS k, count(DISTINCT repo || ' ' || hash) AS n FROM commits WHERE ts > 0 AND ts < 4102444800 AND year(to_timestamp(ts) AT TIME ZONE 'UTC') = 2024 GROUP BY 1) c ON c.k = s.m",
     "g25_labels": "SELECT split_part(label, ':', 1) AS family, label, count(*) AS n FROM class_samples WHERE label IS NOT NULL GROUP BY 1, 2",
     "g27_distinct_lists": "SELECT repo, src, count(*) AS n, string_agg(dst, ';' ORDER BY dst) AS uses FROM (SELECT DISTINCT repo, src, dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL) GROUP BY repo, src",
-    "f02_resolved_dependencies": "SELECT dst, n IS NOT NULL AS resolved, coalesce(n, 0) AS n FROM (SELECT DISTINCT dst FROM edges WHERE dst IS NOT NULL) e LEFT JOIN (SELECT src, count(*) AS n FROM edges WHERE src IS NOT NULL GROUP BY src) s ON s.src = e.dst",
-    "f05_untested_packages": "SELECT DISTINCT src AS package FROM edges WHERE dst IS NOT NULL AND src IS NOT NULL AND src NOT IN (SELECT dst FROM edges WHERE dst IS NOT NULL AND src IS NOT NULL)",
+    "f02_resolved_dependencies": f"""WITH {MEASURED}, q AS (SELECT *, replace(regexp_replace(path, '/?[^/]*$', ''), '/', '.') || '.' || split_part(item_name, '.', 1) AS qualified FROM measured WHERE item_name IS NOT NULL), c AS (SELECT repo, qualified, min(file_id) AS owner FROM q WHERE kind = 'class' GROUP BY 1, 2),
+        u AS (SELECT repo, qualified, count(*) AS n_uses FROM q WHERE kind = 'function' GROUP BY 1, 2) SELECT u.repo, u.qualified, n_uses, owner FROM u LEFT JOIN c ON c.repo = u.repo AND c.qualified = u.qualified""",
     "f10_longest_prefix": """WITH p AS (SELECT file_id, repo, short_path, array_to_string(string_split(short_path, '/')[1:2], '/') AS d2 FROM files),
         d AS (SELECT repo, d2 AS dir FROM p WHERE contains(d2, '/') GROUP BY repo, d2 HAVING count(*) >= 2)
         SELECT file_id, arg_max(dir, length(dir)) AS dir FROM p JOIN d ON d.repo = p.repo AND starts_with(short_path, dir || '/') GROUP BY file_id""",
     "f14_author_mail": "SELECT author, first(email ORDER BY ts, email) AS email FROM commits WHERE author IS NOT NULL AND author <> '' AND email IS NOT NULL AND email <> '' AND ts > 0 GROUP BY author",
     "f17_forbidden": "SELECT DISTINCT repo, src, dst, a AS from_pattern, b AS to_pattern FROM edges JOIN (VALUES ('^core', 'shared|common'), ('\\.ledger$', '\\.token$'), ('INTERNAL', '^common')) r(a, b) ON regexp_matches(src, '(?i)' || a) AND regexp_matches(dst, '(?i)' || b)",
     "f18_labels": "SELECT sample_id, l.label FROM class_samples s JOIN (SELECT DISTINCT class_name, file_path, label FROM class_samples WHERE label IS NOT NULL) l ON l.class_name = s.class_name AND l.file_path = s.file_path",
-    "i06_lowest_maintainability": f"WITH {_MF} SELECT item_id, round(maintainability_index, 6) AS mi FROM mf WHERE kind = 'class' AND NOT coalesce(is_test, false) AND maintainability_index BETWEEN 1 AND 165 ORDER BY 2, 1 LIMIT 10",
+    "i06_lowest_maintainability": f"WITH {_MF} SELECT item_id, round(maintainability_index, 6) AS mi FROM mf WHERE kind = 'class' AND NOT coalesce(is_test, false) AND maintainability_index BETWEEN 1 AND 65 ORDER BY 2, 1 LIMIT 10",
     "i09_class_table": "SELECT item_id, item_name, loc, cyclomatic_complexity, dense_rank() OVER (PARTITION BY repo ORDER BY item_name NULLS FIRST) AS place FROM metrics WHERE kind = 'class'",
     "i14_top_edges": "SELECT * FROM (SELECT repo, src, dst, CAST(coalesce(sum(weight), 0) AS BIGINT) AS weight, row_number() OVER (PARTITION BY repo, src ORDER BY coalesce(sum(weight), 0) DESC, dst) AS place FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY repo, src, dst) WHERE place <= 5",
     "j03_added_deleted": """WITH r AS (SELECT DISTINCT repo FROM files ORDER BY repo LIMIT 2), a AS (SELECT DISTINCT short_path FROM files WHERE repo = (SELECT min(repo) FROM r)), b AS (SELECT DISTINCT short_path FROM files WHERE repo = (SELECT max(repo) FROM r))
@@ -317,4 +387,10 @@ SQL = {
     "n03_find_risky_code": f"WITH {_FR}, t AS (SELECT max(n_commits) AS tc, max(ccn) AS tv FROM f) SELECT file_id, round({_RISK.format(tc='tc', c='n_commits', tv='tv', v='coalesce(ccn, 0)')}, 6) AS risk FROM f, t WHERE {_RISK.format(tc='tc', c='n_commits', tv='tv', v='coalesce(ccn, 0)')} >= 0.1 ORDER BY 2 DESC, 1 LIMIT 20",
     "n04_find_complex_code": f"WITH {UNITS} SELECT * FROM (SELECT 'function' AS kind, unit_id AS id, CAST({CCN} AS BIGINT) AS ccn FROM units UNION ALL SELECT 'class', class_id, CAST(sum({CCN}) AS BIGINT) FROM units GROUP BY class_id) WHERE ccn >= 10 ORDER BY ccn DESC, kind, id LIMIT 20",
     "n09_list_components": f"WITH {_MF} SELECT repo, root, count(*) FILTER (kind = 'file') AS n_files, count(*) FILTER (kind = 'class') AS n_classes, CAST(sum(loc) FILTER (kind = 'file') AS BIGINT) AS loc FROM mf GROUP BY repo, root",
+    "f03_dependency_files": f"""WITH e AS (SELECT repo, {_REDUCE.format(c='dst')} AS reduced, count(*) AS n_uses FROM edges WHERE dst IS NOT NULL GROUP BY 1, 2), p AS (SELECT repo, file_id, regexp_replace(replace(regexp_replace(short_path, '/?[^/]*$', ''), '/', '.'), '^[^.]*\\.', '') AS d FROM files),
+        f AS (SELECT repo, {_REDUCE.format(c='d')} AS reduced, min(file_id) AS file_id, count(*) AS n_files FROM p GROUP BY 1, 2) SELECT e.repo, e.reduced, n_uses, file_id, coalesce(n_files, 0) AS n_files FROM e LEFT JOIN f ON f.repo = e.repo AND f.reduced = e.reduced""",
+    "g10_file_relations": "WITH l AS (SELECT file_id, split_part(item_name, '.', 1) AS src, arg_max(split_part(item_name, '.', 2), item_id) AS dst FROM metrics WHERE kind = 'function' AND item_name IS NOT NULL GROUP BY 1, 2) SELECT src, dst, count(*) AS n FROM l GROUP BY 1, 2",
+    "g23_dependency_weights": f"WITH e AS (SELECT {_reduced('src', 3)} AS src, {_reduced('dst', 3)} AS dst FROM edges), g AS (SELECT src, dst, count(*) AS n FROM e WHERE src <> dst GROUP BY 1, 2) SELECT src, dst, n, CAST(sum(n) OVER (PARTITION BY src) AS BIGINT) AS n_src, round(n / sum(n) OVER (PARTITION BY src)::DOUBLE, 6) AS share FROM g",
+    "g03_measures": f"WITH {UNITS}, {_H}, {_EFF}, {_measures('r')} SELECT scope, {', '.join(f'round(CAST({x} AS DOUBLE), 6) AS {x}' for x in _MEASURES)} FROM r",
+    "m01_aggregate_delta": f"WITH {UNITS}, {_H}, {_EFF}, {_measures('a', 'month(o_orderdate) > 6')}, {_measures('b', 'month(o_orderdate) <= 6')} SELECT coalesce(a.scope, b.scope) AS scope, {', '.join(f'round(coalesce(CAST(a.{x} AS DOUBLE), 0) - coalesce(CAST(b.{x} AS DOUBLE), 0), 6) AS delta_{x}' for x in _MEASURES)} FROM a FULL JOIN b ON b.scope = a.scope",
 }
