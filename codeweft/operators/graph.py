@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -57,6 +58,14 @@ def community_coupling(links: DataFrame) -> DataFrame:
     return s.withColumn("coupling", F.when(whole > 0, F.round(F.col("outgoing") / whole, 6)).otherwise(0.0))
 
 
+def purity(members: DataFrame) -> DataFrame:
+    """``(community, size, top_namespace, purity)``: the most frequent first part of the members' names and its share."""
+    m = members.withColumn("ns", F.split(F.regexp_replace("node", "^.*:", ""), r"\.")[0])
+    counts = m.groupBy("community", "ns").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("community").agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("minus"), "ns")).alias("b"))
+    return best.select("community", "size", F.col("b.ns").alias("top_namespace"), F.round(-F.col("b.minus") / F.col("size"), 6).alias("purity"))
+
+
 def boundary_nodes(edges: DataFrame, members: DataFrame, least: int = 2) -> DataFrame:
     """Nodes whose targets lie in at least ``least`` foreign communities."""
     a = members.select(F.col("node").alias("src"), F.col("community").alias("own"))
@@ -147,37 +156,101 @@ def label_communities(edges: DataFrame, scope: str = "scope") -> DataFrame:
     return scoped.groupBy("scope").applyInPandas(run, "scope string, node string, community string")
 
 
-def betweenness(pdf: pd.DataFrame) -> dict[str, float]:
-    """Brandes on an undirected graph, scaled by 1 / ((n - 1)(n - 2)) for n > 2."""
+def _neighbours(pairs) -> dict[str, set[str]]:
     near: dict[str, set[str]] = defaultdict(set)
-    for a, b in zip(pdf["src"], pdf["dst"]):
+    for a, b in pairs:
         if a != b:
             near[a].add(b)
             near[b].add(a)
+    return near
+
+
+def _dependence(near: dict[str, set[str]], s: str) -> dict[str, float]:
+    """Brandes' share of every node in the shortest paths from ``s``."""
+    order, parents, count, dist = [], defaultdict(list), {s: 1.0}, {s: 0}
+    queue = deque([s])
+    while queue:
+        v = queue.popleft()
+        order.append(v)
+        for w in near[v]:
+            if w not in dist:
+                dist[w] = dist[v] + 1
+                queue.append(w)
+            if dist[w] == dist[v] + 1:
+                count[w] = count.get(w, 0.0) + count[v]
+                parents[w].append(v)
+    share: dict[str, float] = defaultdict(float)
+    for w in reversed(order):
+        for v in parents[w]:
+            share[v] += count[v] / count[w] * (1 + share[w])
+    share.pop(s, None)
+    return share
+
+
+#: Edges that are sent to every task at most; a graph of more is worked on in one task.
+SHARED_EDGES = 2_000_000
+
+
+def betweenness_of(edges: DataFrame) -> DataFrame:
+    """``(node, betweenness)`` of an undirected graph, scaled by 1 / ((n - 1)(n - 2)) for n > 2.
+
+    Brandes' algorithm, dealt out by source node: every task holds the edges, of which up to ``SHARED_EDGES`` are sent, and
+    adds up the shares of its sources, which are combined by node.
+    """
+    u = cut_lineage(undirected(edges))
+    nodes = u.select(F.col("a").alias("node")).unionAll(u.select("b")).distinct()
+    n = nodes.count()
+    scale = float((n - 1) * (n - 2)) if n > 2 else 1.0
+    if u.limit(SHARED_EDGES + 1).count() > SHARED_EDGES:
+        return u.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda pdf: pd.DataFrame([(v, x) for v, x in betweenness(pdf.rename(columns={"a": "src", "b": "dst"})).items()], columns=["node", "betweenness"]), "node string, betweenness double")
+    shared = edges.sparkSession.sparkContext.broadcast([(r["a"], r["b"]) for r in u.collect()])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near = _neighbours(shared.value)
+        total: dict[str, float] = defaultdict(float)
+        for b in batches:
+            for s in b["node"]:
+                total[s] += 0.0
+                for v, x in _dependence(near, s).items():
+                    total[v] += x
+        yield pd.DataFrame(sorted(total.items()), columns=["node", "share"])
+
+    dealt = nodes.repartition(edges.sparkSession.sparkContext.defaultParallelism, "node").mapInPandas(run, "node string, share double")
+    return dealt.groupBy("node").agg(F.round(F.sum("share") / scale, 12).alias("betweenness"))
+
+
+def betweenness(pdf: pd.DataFrame) -> dict[str, float]:
+    """Brandes on a small undirected graph in one place, scaled by 1 / ((n - 1)(n - 2)) for n > 2."""
+    near = _neighbours(zip(pdf["src"], pdf["dst"]))
     score = dict.fromkeys(near, 0.0)
-    for s in near:
-        order, parents, count, dist = [], defaultdict(list), {s: 1.0}, {s: 0}
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in near[v]:
-                if w not in dist:
-                    dist[w] = dist[v] + 1
-                    queue.append(w)
-                if dist[w] == dist[v] + 1:
-                    count[w] = count.get(w, 0.0) + count[v]
-                    parents[w].append(v)
-        share = dict.fromkeys(near, 0.0)
-        for w in reversed(order):
-            for v in parents[w]:
-                share[v] += count[v] / count[w] * (1 + share[w])
-            if w != s:
-                score[w] += share[w]
+    for s in list(near):
+        for v, x in _dependence(near, s).items():
+            score[v] += x
     n = len(near)
     return {v: x / ((n - 1) * (n - 2)) if n > 2 else x for v, x in score.items()}
 
 
+def merge_small(members: DataFrame, edges: DataFrame, least: int) -> DataFrame:
+    """``members(node, community)`` with communities of fewer than ``least`` nodes merged into the neighbour of most edges in both
+    directions (the smallest name on a tie); chains of merges end at the first community that stays, rings at their smallest name."""
+    sizes = members.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    links = community_edges(edges, members).where("from_community <> to_community")
+    both = links.select(F.col("from_community").alias("community"), F.col("to_community").alias("other"), "n_edges").unionByName(links.select(F.col("to_community").alias("community"), F.col("from_community").alias("other"), "n_edges"))
+    weight = both.groupBy("community", "other").agg(F.sum("n_edges").alias("w"))
+    best = weight.groupBy("community").agg(F.min(F.struct((-F.col("w")).alias("minus"), "other")).getField("other").alias("best"))
+    tree = cut_lineage(sizes.join(best, "community", "left").select("community", F.when((F.col("size") < least) & F.col("best").isNotNull(), F.col("best")).otherwise(F.col("community")).alias("to")))
+    tree = tree.withColumn("least", F.least("community", "to"))
+    for _ in range(20):
+        step = tree.join(tree.select(F.col("community").alias("to"), F.col("to").alias("next"), F.col("least").alias("further")), "to")
+        moved = cut_lineage(step.select("community", F.col("next").alias("to"), F.least("least", "further").alias("least"), (F.col("next") != F.col("to")).alias("moved")))
+        tree = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            break
+    ends = tree.select(F.col("community").alias("to"), F.col("to").alias("end"), F.col("least").alias("ring"))
+    final = tree.join(ends, "to").select("community", F.when(F.col("end") == F.col("to"), F.col("to")).otherwise(F.col("ring")).alias("merged"))
+    return members.join(final, "community").select("node", F.col("merged").alias("community"))
+
+
 def components_and_levels(pdf: pd.DataFrame) -> dict[str, tuple[str, int]]:
     """Strongly connected component (by its smallest node) and longest-path level of its condensation."""
     out: dict[str, list[str]] = defaultdict(list)

@@ -50,3 +50,9 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MEASURED = "measured AS (SELECT * REPLACE (CASE WHEN isnan(maintainability_index) THEN NULL ELSE maintainability_index END AS maintainability_index) FROM metrics)"
+
+
+def reduced_sql(c: str, depth: int) -> str:
+    """SQL of ``reduce_namespace`` for names without a host."""
+    parts, sep = f"string_split_regex({c}, '[^A-Za-z0-9]+')", f"regexp_extract({c}, '[^A-Za-z0-9]+')"
+    return f"CASE WHEN len({parts}) <= {depth} THEN {c} ELSE " + f" || {sep} || ".join(f"{parts}[{i + 1}]" for i in range(depth)) + " END"

@@ -3,21 +3,39 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweft.functions import metrics as M
 from codeweft.operators import graph as G
-from codeweft.session import load
+from codeweft.plans.adapters import reduced_sql
+from codeweft.session import cut_lineage, load
+
+
+def _reduced_edges(spark, sf, depth: int = 3):
+    """Relations with both names reduced to ``depth`` parts."""
+    return load(spark, sf, "edges").select("repo", M.reduce_namespace("src", depth).alias("src"), M.reduce_namespace("dst", depth).alias("dst"), "weight")
 
 
 def _graph(spark, sf):
-    return G.dependency_graph(load(spark, sf, "edges"))
+    return G.dependency_graph(_reduced_edges(spark, sf))
+
+
+def detected(spark, sf):
+    """Graph and communities of all repos by label propagation, one repo at a time; nodes are named ``repo:package``.
+
+    Returns ``(graph, members)``, both written once.
+    """
+    e = _reduced_edges(spark, sf).where("src is not null and dst is not null and src <> dst")
+    named = lambda c: F.concat_ws(":", "repo", c)
+    members = cut_lineage(G.label_communities(e, "repo").select(F.concat_ws(":", "scope", "node").alias("node"), F.concat_ws(":", "scope", "community").alias("community")))
+    return cut_lineage(G.dependency_graph(e.select(named("src").alias("src"), named("dst").alias("dst")))), members
 
 
 def _members(spark, sf):
-    """Communities by the first part of the package name (SQL-able stand-in for detected ones)."""
-    e = load(spark, sf, "edges").where("src is not null and dst is not null and src <> dst")
-    return e.select(F.col("src").alias("node")).unionAll(e.select("dst")).distinct().select("node", F.element_at(F.split("node", r"\."), -1).alias("community"))
+    """Given communities, by the last part of the name, over which SQL can repeat the measures; ``detected`` finds communities."""
+    g = _reduced_edges(spark, sf).where("src is not null and dst is not null and src <> dst")
+    return g.select(F.col("src").alias("node")).unionAll(g.select("dst")).distinct().select("node", F.element_at(F.split("node", r"\."), -1).alias("community"))
 
 
 def k01_dependency_graph(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,10 +67,7 @@ def k07_modularity(spark, sf):
 
 def k08_purity(spark, sf):
     """Most frequent first name part of each community, its share and the size (K-08, K-20)."""
-    m = _members(spark, sf).withColumn("ns", F.split("node", r"\.")[0])
-    counts = m.groupBy("community", "ns").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("community").agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("minus"), "ns")).alias("b"))
-    return best.select("community", "size", F.col("b.ns").alias("top_namespace"), F.round(-F.col("b.minus") / F.col("size"), 6).alias("purity"))
+    return G.purity(_members(spark, sf))
 
 
 def k09_community_edges(spark, sf):
@@ -75,7 +90,7 @@ def _whole(df, run, schema):
 def k12_betweenness(spark, sf):
     """Betweenness of communities in the undirected graph between them."""
     links = k09_community_edges(spark, sf).where("from_community <> to_community").select(F.col("from_community").alias("src"), F.col("to_community").alias("dst"))
-    return _whole(links, lambda pdf: pd.DataFrame(sorted(G.betweenness(pdf).items()), columns=["community", "betweenness"]), "community string, betweenness double")
+    return G.betweenness_of(links).select(F.col("node").alias("community"), "betweenness")
 
 
 def k13_levels(spark, sf):
@@ -92,28 +107,25 @@ def k14_matrix_order(spark, sf):
 
 
 def k15_top_paths(spark, sf):
-    """The five most probable simple paths of two edges of share 0.05 or more from each community (K-15 is ``k15_entry_paths``)."""
-    links = k09_community_edges(spark, sf).where("from_community <> to_community")
-    out = links.groupBy("from_community").agg(F.sum("weight").alias("whole"))
-    p = links.join(out, "from_community").select(F.col("from_community").alias("src"), F.col("to_community").alias("dst"), (F.col("weight") / F.col("whole")).alias("p")).where("p >= 0.05")
-    two = p.alias("x").join(p.alias("y"), F.expr("x.dst = y.src and x.src <> y.dst")).select(F.col("x.src").alias("start"), F.concat_ws(">", "x.src", "x.dst", "y.dst").alias("path"), (F.col("x.p") * F.col("y.p")).alias("p"))
-    w = Window.partitionBy("start").orderBy(F.round("p", 9).desc(), "path")
-    return two.where("p >= 0.001").withColumn("place", F.row_number().over(w)).where("place <= 5").select("start", "path", F.round("p", 9).alias("p"), "place")
-
-
-def k15_entry_paths(spark, sf):
     """The five most probable paths from communities that nothing points to, up to eight communities long (K-15)."""
     links = k09_community_edges(spark, sf).where("from_community <> to_community").select(F.col("from_community").alias("src"), F.col("to_community").alias("dst"), "weight")
     return G.top_paths(links, _members(spark, sf).select(F.col("community").alias("node")))
 
 
-def k16_subgraph(spark, sf):
-    """Packages within two steps of 'core', and direct users of it."""
+def k16_subgraph(spark, sf, name: str = "core", depth: int = 2):
+    """Packages within ``depth`` steps of ``name``, and direct users of it (K-16, N-05)."""
     g = _graph(spark, sf)
-    start = spark.createDataFrame([("core",)], "start string")
-    near = G.reach(g, start, 2).select("node", "depth")
-    users = g.where("dst = 'core'").select(F.col("src").alias("node"), F.lit(-1).alias("depth"))
-    return near.unionByName(users)
+    near = G.reach(g, spark.createDataFrame([(name,)], "start string"), depth).select("node", "depth")
+    return near.unionByName(g.where(F.col("dst") == name).select(F.col("src").alias("node"), F.lit(-1).alias("depth")))
+
+
+def n05_get_dependencies(spark, sf, name: str = "ledger", depth: int = 2):
+    """Edges of the packages within ``depth`` steps of every package whose name holds ``name``, and edges to it (N-05)."""
+    g = cut_lineage(_graph(spark, sf))
+    starts = g.select(F.col("src").alias("start")).where(F.lower("start").contains(name.lower())).distinct()
+    near = G.reach(g, starts, depth - 1).select("start", F.col("node").alias("src")).distinct()
+    out = g.join(near, "src").select("start", "src", "dst", "n")
+    return out.unionByName(g.join(starts, g["dst"] == starts["start"], "inner").select("start", "src", "dst", "n")).distinct()
 
 
 def k17_bounded_depth(spark, sf):
@@ -123,6 +135,12 @@ def k17_bounded_depth(spark, sf):
     return G.reach(g, starts, 4).groupBy("start").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("n_reached"))
 
 
+def k05_merged_communities(spark, sf, least: int = 3):
+    """Detected communities, those of fewer than ``least`` packages merged into their strongest neighbour (K-05)."""
+    graph, members = detected(spark, sf)
+    return G.merge_small(members, graph, least)
+
+
 def k18_lcom4(spark, sf):
     """LCOM4 of customers: orders as methods, supplier groups as attributes (D-08)."""
     o, l = load(spark, sf, "orders"), load(spark, sf, "lineitem")
@@ -140,11 +158,11 @@ def k19_coupling_lookup(spark, sf, name: str = "Ledger"):
 
 
 QUERIES = {f.__name__: f for f in (
-    k01_dependency_graph, k02_external_nodes, k03_communities, k04_undirected, k06_density, k07_modularity, k08_purity, k09_community_edges, k10_boundary_nodes, k11_coupling_ratio, k12_betweenness, k13_levels, k14_matrix_order, k15_top_paths, k15_entry_paths,
-    k16_subgraph, k17_bounded_depth, k18_lcom4, k19_coupling_lookup,
+    k01_dependency_graph, k02_external_nodes, k03_communities, k04_undirected, k06_density, k07_modularity, k08_purity, k09_community_edges, k10_boundary_nodes, k11_coupling_ratio, k12_betweenness, k13_levels, k14_matrix_order, k15_top_paths,
+    k16_subgraph, n05_get_dependencies, k05_merged_communities, k17_bounded_depth, k18_lcom4, k19_coupling_lookup,
 )}
 
-_G = """g AS (SELECT src, dst, count(*) AS n FROM edges WHERE src <> dst GROUP BY src, dst),
+_G = f"""e3 AS (SELECT repo, {reduced_sql('src', 3)} AS src, {reduced_sql('dst', 3)} AS dst FROM edges), g AS (SELECT src, dst, count(*) AS n FROM e3 WHERE src <> dst GROUP BY src, dst),
     m AS (SELECT node, split_part(node, '.', -1) AS community FROM (SELECT src AS node FROM g UNION SELECT dst FROM g)),
     u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM g)"""
 _L = _G + ", l AS (SELECT x.community AS from_community, y.community AS to_community, count(*) AS n_edges, CAST(sum(n) AS BIGINT) AS weight FROM g JOIN m x ON x.node = src JOIN m y ON y.node = dst GROUP BY 1, 2)"
@@ -162,20 +180,17 @@ SQL = {
         SELECT from_community AS community, CASE WHEN from_community = to_community THEN n_edges ELSE 0 END AS i, CASE WHEN from_community <> to_community THEN n_edges ELSE 0 END AS o, 0 AS n FROM l
         UNION ALL SELECT to_community, 0, 0, n_edges FROM l WHERE from_community <> to_community) GROUP BY community)
         SELECT *, round(CASE WHEN inside + outgoing + incoming > 0 THEN outgoing / (inside + outgoing + incoming)::DOUBLE ELSE 0.0 END, 6) AS coupling FROM s""",
-    "k15_entry_paths": f"""WITH RECURSIVE {_L}, k AS (SELECT from_community AS src, to_community AS dst, weight FROM l WHERE from_community <> to_community),
+    "k15_top_paths": f"""WITH RECURSIVE {_L}, k AS (SELECT from_community AS src, to_community AS dst, weight FROM l WHERE from_community <> to_community),
         o AS (SELECT src AS f, sum(weight) AS whole FROM k GROUP BY 1), p AS (SELECT src, dst, weight / whole::DOUBLE AS share FROM k JOIN o ON f = src),
         r AS (SELECT DISTINCT community AS start, community AS node, [community] AS nodes, CAST(1.0 AS DOUBLE) AS p FROM m WHERE community NOT IN (SELECT dst FROM k)
             UNION ALL SELECT start, dst, list_append(nodes, dst), r.p * share FROM r JOIN p ON src = node WHERE len(nodes) < 8 AND r.p >= 0.001 AND NOT list_contains(nodes, dst)),
         e AS (SELECT start, array_to_string(nodes, '>') AS path, round(p, 9) AS p FROM r WHERE len(nodes) = 8 OR p < 0.001 OR node NOT IN (SELECT src FROM p))
         SELECT * FROM (SELECT start, path, p, row_number() OVER (PARTITION BY start ORDER BY p DESC, path) AS place FROM e) WHERE place <= 5""",
-    "k15_top_paths": f"""WITH {_L}, o AS (SELECT from_community AS f, sum(weight) AS whole FROM l WHERE from_community <> to_community GROUP BY 1),
-        p AS (SELECT from_community AS src, to_community AS dst, weight / whole::DOUBLE AS p FROM l JOIN o ON f = from_community WHERE from_community <> to_community AND weight / whole::DOUBLE >= 0.05),
-        t AS (SELECT x.src AS start, x.src || '>' || x.dst || '>' || y.dst AS path, x.p * y.p AS p FROM p x JOIN p y ON x.dst = y.src AND x.src <> y.dst)
-        SELECT start, path, p, place FROM (SELECT start, path, round(p, 9) AS p, row_number() OVER (PARTITION BY start ORDER BY round(p, 9) DESC, path) AS place FROM t WHERE p >= 0.001) WHERE place <= 5""",
     "k16_subgraph": f"""WITH {_G}, a AS (SELECT DISTINCT dst AS node FROM g WHERE src = 'core' AND dst <> 'core'), b AS (SELECT DISTINCT dst AS node FROM g JOIN a ON src = node WHERE dst <> 'core' AND dst NOT IN (SELECT node FROM a))
         SELECT 'core' AS node, 0 AS depth UNION ALL SELECT node, 1 FROM a UNION ALL SELECT node, 2 FROM b UNION ALL SELECT src, -1 FROM g WHERE dst = 'core'""",
     "k17_bounded_depth": f"""WITH RECURSIVE {_G}, r AS (SELECT s AS start, s AS node, 0 AS depth FROM (VALUES ('core'), ('app'), ('internal'), ('shared.util'), ('common.model')) v(s)
         UNION SELECT start, dst, depth + 1 FROM r JOIN g ON src = node WHERE depth < 4), f AS (SELECT start, node, min(depth) AS depth FROM r GROUP BY 1, 2)
         SELECT start, max(depth) AS depth, count(*) AS n_reached FROM f GROUP BY start""",
     "k19_coupling_lookup": f"WITH {_G} SELECT src AS package, dst AS other, 'depends_on' AS direction, n FROM g WHERE contains(lower(src), 'ledger') UNION ALL SELECT dst, src, 'depended_by', n FROM g WHERE contains(lower(dst), 'ledger')",
+    "n05_get_dependencies": f"""WITH {_G}, st AS (SELECT DISTINCT src AS s FROM g WHERE contains(lower(src), 'ledger')), r AS (SELECT s, s AS node FROM st UNION SELECT s, dst FROM g JOIN st ON src = s) SELECT s AS start, src, dst, n FROM g JOIN r ON r.node = g.src UNION SELECT s, src, dst, n FROM g JOIN st ON st.s = g.dst""",
 }

@@ -139,9 +139,15 @@ def m11_gate(spark, sf):
 
 
 def m02_file_delta(spark, sf):
-    """Changed, added and deleted orders between the two halves of the year by customer and status (M-01, M-02, F-06, F-08, M-10)."""
-    o = load(spark, sf, "orders").groupBy(F.concat_ws("/", "o_custkey", "o_orderstatus").alias("path"), (F.month("o_orderdate") > 6).alias("late")).agg(F.count(F.lit(1)).alias("checksum"), F.round(F.sum("o_totalprice"), 2).alias("size"))
-    return V.file_changes(o.where("late").drop("late"), o.where("not late").drop("late")).select("path", "status", F.round(F.coalesce("head_size", F.lit(0.0)) - F.coalesce("base_size", F.lit(0.0)), 2).alias("delta"))
+    """Changed, added and deleted orders between the two halves of the year by customer and status, with negligible ones flagged (M-02, F-06, F-08, M-10)."""
+    o = load(spark, sf, "orders").groupBy(F.concat_ws("/", "o_custkey", "o_orderstatus").alias("path"), (F.month("o_orderdate") > 6).alias("late")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("size"), F.max("o_orderkey").alias("checksum"))
+    changes = V.negligible(V.file_changes(o.where("late").drop("late"), o.where("not late").drop("late")), ["n"])
+    return changes.select("path", "status", "negligible", F.round(F.coalesce("head_size", F.lit(0.0)) - F.coalesce("base_size", F.lit(0.0)), 2).alias("delta"))
+
+
+def e30_outcomes(spark, sf):
+    """Every file and rule with its errors, and whether the rule succeeded there (E-30)."""
+    return L.outcomes(_scopes(spark, sf), L.threshold_rules(LIMITS))
 
 
 def m09_lint_diff(spark, sf):
@@ -297,7 +303,7 @@ def l18_colours(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    e30_lint, e30_severities, b15_lint_report, e20_files_per_package, e21_package_in_name, e22_slice_prealloc, e35_role_violations, e36_risk_items, e40_suggestions, m03_function_findings, m06_index_findings, m11_gate, m02_file_delta, m09_lint_diff,
+    e30_lint, e30_outcomes, e30_severities, b15_lint_report, e20_files_per_package, e21_package_in_name, e22_slice_prealloc, e35_role_violations, e36_risk_items, e40_suggestions, m03_function_findings, m06_index_findings, m11_gate, m02_file_delta, m09_lint_diff,
     f04_touched_classes, f05_untested_classes, d17_test_isolation, g17_test_histogram, g16_test_quality, i04_god_tests, i05_orphans, l01_tokens, l03_murmur, l01_frequent_words, l04_hashing_tfidf, l05_tfidf, l06_centroid_ranking, l08_fallback_names, l09_one_hot, l12_ambiguities, l16_checksums, l18_initials, l18_colours,
 )}
 
@@ -356,7 +362,9 @@ SQL = {
     "m03_function_findings": f"WITH {_REV} SELECT * FROM fn WHERE kind IS NOT NULL",
     "m06_index_findings": f"WITH {_REV} SELECT * FROM ix",
     "m11_gate": f"WITH {_REV}, a AS (SELECT kind, severity FROM fn WHERE kind IS NOT NULL UNION ALL SELECT kind, severity FROM ix), l AS (SELECT * FROM (VALUES ('high', 1), ('medium', 2), ('any', 3), ('never', 0)) v(level, k)), n AS (SELECT level, count(kind) AS n FROM l LEFT JOIN a ON NOT ends_with(kind, 'improvement') AND CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END <= k GROUP BY level) SELECT level, n > 0 AS failed, n FROM n",
-    "m02_file_delta": "WITH o AS (SELECT o_custkey || '/' || o_orderstatus AS path, month(o_orderdate) > 6 AS late, count(*) AS checksum, round(sum(o_totalprice), 2) AS size FROM orders GROUP BY 1, 2), j AS (SELECT coalesce(h.path, b.path) AS path, h.checksum AS hc, b.checksum AS bc, h.size AS hs, b.size AS bs FROM (SELECT * FROM o WHERE late) h FULL JOIN (SELECT * FROM o WHERE NOT late) b ON b.path = h.path) SELECT path, CASE WHEN bc IS NULL THEN 'added' WHEN hc IS NULL THEN 'deleted' ELSE 'changed' END AS status, round(coalesce(hs, 0.0) - coalesce(bs, 0.0), 2) AS delta FROM j WHERE bc IS NULL OR hc IS NULL OR bc <> hc",
+    "m02_file_delta": """WITH o AS (SELECT o_custkey || '/' || o_orderstatus AS path, month(o_orderdate) > 6 AS late, count(*) AS n, round(sum(o_totalprice), 2) AS size, max(o_orderkey) AS ck FROM orders GROUP BY 1, 2),
+        j AS (SELECT coalesce(h.path, b.path) AS path, h.ck AS hc, b.ck AS bc, h.n AS hn, b.n AS bn, h.size AS hs, b.size AS bs FROM (SELECT * FROM o WHERE late) h FULL JOIN (SELECT * FROM o WHERE NOT late) b ON b.path = h.path)
+        SELECT path, CASE WHEN bc IS NULL THEN 'added' WHEN hc IS NULL THEN 'deleted' ELSE 'changed' END AS status, hc IS NOT NULL AND bc IS NOT NULL AND hn = bn AS negligible, round(coalesce(hs, 0.0) - coalesce(bs, 0.0), 2) AS delta FROM j WHERE bc IS NULL OR hc IS NULL OR hc <> bc""",
     "m09_lint_diff": f"WITH {_LINT}, w AS (SELECT rule, file_id AS file, subject || ' has ' || CAST(trunc(value) AS INTEGER) AS message FROM v), k AS (SELECT *, regexp_replace(message, '[0-9]+', '#', 'g') AS kk, CAST(substr(file, 2) AS BIGINT) AS i FROM w) SELECT rule, file, message FROM k h WHERE i % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM k b WHERE b.i % 2 = 0 AND b.rule = h.rule AND b.file = h.file AND b.kk = h.kk)",
     "g16_test_quality": f"""WITH RECURSIVE {_TESTS}, c AS (SELECT cl.scope, count(*) AS n_classes, count(*) FILTER ((cl.scope, cl.class_name) IN (SELECT (scope, class_name) FROM tc)) AS n_tested FROM cl GROUP BY 1), t AS (SELECT scope, count(*) AS n_test_files, avg(score) AS iso FROM tf GROUP BY 1),
         j AS (SELECT coalesce(c.scope, t.scope) AS scope, coalesce(n_classes, 0) AS n_classes, coalesce(n_tested, 0) AS n_tested, coalesce(n_test_files, 0) AS n_test_files, round(coalesce(iso, 0.0), 6) AS isolation FROM c FULL JOIN t ON t.scope = c.scope)
@@ -381,4 +389,6 @@ SQL = {
     "l18_initials": """WITH a AS (SELECT identity_id, author, lower(trim(email)) AS e, list_filter(list_transform(regexp_split_to_array(trim(author), '\\s+'), lambda w: upper(regexp_extract(w, '(\\p{L})', 1))), lambda x: x <> '') AS ls FROM authors)
         SELECT identity_id, CASE WHEN author IS NULL OR author = '' THEN '?' WHEN len(ls) > 0 THEN substr(array_to_string(ls, ''), 1, 3) ELSE upper(substr(trim(author), 1, 1)) END AS initials,
                CASE WHEN contains(e, '@') THEN 'https://www.gravatar.com/avatar/' || md5(e) || '?s=80&d=404' ELSE '' END AS avatar FROM a""",
+    "e30_outcomes": f"""WITH {_LINT}, ru AS (SELECT * FROM (VALUES {', '.join(f"('{r[0]}', '{r[3]}')" for r in _RULES)}, ('no_god_class', 'class')) t(rule, kind)), ch AS (SELECT DISTINCT rule, file_id FROM q JOIN ru ON ru.kind = q.kind), er AS (SELECT rule, file_id, count(*) AS n FROM v GROUP BY 1, 2)
+        SELECT ch.rule, ch.file_id, coalesce(n, 0) AS n_errors, n IS NULL AS succeeded FROM ch LEFT JOIN er ON er.rule = ch.rule AND er.file_id = ch.file_id""",
 }

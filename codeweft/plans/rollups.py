@@ -9,7 +9,7 @@ from codeweft.functions import metrics as M
 from codeweft.operators.activity import author_touches, bus_factor, commits_per_month, top_committers
 from codeweft.operators import review as V
 from codeweft.operators.rollups import MEANS, SUMS, histogram, project_measures, rollup
-from codeweft.plans.adapters import CCN, MEASURED, UNITS, measured, units
+from codeweft.plans.adapters import CCN, MEASURED, UNITS, measured, reduced_sql, units
 from codeweft.plans.metrics import _FR, _H, _RISK, _file_risk
 from codeweft.session import load
 
@@ -249,9 +249,14 @@ def i06_lowest_maintainability(spark, sf, low: float = 1, high: float = 65, limi
     return m.select("item_id", R(F.col("maintainability_index")).alias("mi")).orderBy("mi", "item_id").limit(limit)
 
 
-def i09_class_table(spark, sf):
-    """Classes by name, as the class table sorts them; the sort is the caller's, so that the result is a set."""
-    return measured(spark, sf).where("kind = 'class'").select("item_id", "item_name", "loc", "cyclomatic_complexity", F.dense_rank().over(Window.partitionBy("repo").orderBy(F.col("item_name"))).cast("bigint").alias("place"))
+#: Orders of the class table and of the file table: names and the maintainability index ascending, all other numbers descending.
+CLASS_ORDERS = {"name": lambda: F.col("item_name").asc_nulls_last(), "mi": lambda: F.col("maintainability_index").asc_nulls_last(), **{k: (lambda c=c: F.col(c).desc_nulls_last()) for k, c in (("loc", "loc"), ("ccn", "cyclomatic_complexity"), ("afferent", "afferent"), ("efferent", "efferent"))}}
+
+
+def i09_class_table(spark, sf, by: str = "name"):
+    """Classes in the order ``by`` of the class table (I-09); ties by id."""
+    c = measured(spark, sf).where("kind = 'class'").select("item_id", "item_name", "loc", "cyclomatic_complexity", R(F.col("maintainability_index")).alias("maintainability_index"), "afferent", "efferent")
+    return c.orderBy(CLASS_ORDERS[by](), "item_id")
 
 
 def i14_top_edges(spark, sf):
@@ -262,12 +267,14 @@ def i14_top_edges(spark, sf):
 
 
 def j03_added_deleted(spark, sf):
-    """Paths of the second repo that the first lacks and the reverse (both anti joins)."""
-    f = load(spark, sf, "files").select("repo", "short_path")
-    repos = f.groupBy("repo").count().select("repo").orderBy("repo").limit(2)
-    first, second = repos.agg(F.min("repo").alias("repo")), repos.agg(F.max("repo").alias("repo"))
-    a, b = f.join(F.broadcast(first), "repo").select("short_path").distinct(), f.join(F.broadcast(second), "repo").select("short_path").distinct()
-    return b.join(a, "short_path", "left_anti").select("short_path", F.lit("added").alias("status")).unionByName(a.join(b, "short_path", "left_anti").select("short_path", F.lit("deleted").alias("status")))
+    """Paths of each repo that the repo before it by name lacks, and the reverse: the repos in order as revisions (anti joins)."""
+    f = load(spark, sf, "files").select("repo", "short_path").distinct()
+    repos = f.select("repo").distinct()  # a window over the few names of repos
+    pairs = repos.select("repo", F.lag("repo").over(Window.orderBy("repo")).alias("before")).where("before is not null")
+    head = f.join(F.broadcast(pairs), "repo").select("repo", "before", "short_path")
+    base = f.withColumnRenamed("repo", "before").join(F.broadcast(pairs), "before").select("repo", "before", "short_path")
+    keys = ["repo", "before", "short_path"]
+    return head.join(base, keys, "left_anti").withColumn("status", F.lit("added")).unionByName(base.join(head, keys, "left_anti").withColumn("status", F.lit("deleted")))
 
 
 def n01_overview(spark, sf):
@@ -325,12 +332,6 @@ QUERIES = {f.__name__: f for f in (
 _AGG = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}_sum, min(nullif({m}, 0)) AS {m}_min, max({m}) AS {m}_max, count({m}) AS {m}_count" for m in ("cyclomatic_complexity", "loc"))
 _REDUCE = "CASE WHEN len(string_split_regex({c}, '[^A-Za-z0-9]+')) <= 2 THEN {c} ELSE string_split_regex({c}, '[^A-Za-z0-9]+')[1] || regexp_extract({c}, '[^A-Za-z0-9]+') || string_split_regex({c}, '[^A-Za-z0-9]+')[2] END"
 
-def _reduced(c: str, depth: int) -> str:
-    parts = f"string_split_regex({c}, '[^A-Za-z0-9]+')"
-    sep = f"regexp_extract({c}, '[^A-Za-z0-9]+')"
-    return f"CASE WHEN len({parts}) <= {depth} THEN {c} ELSE " + f" || {sep} || ".join(f"{parts}[{i + 1}]" for i in range(depth)) + " END"
-
-
 def _measures(name: str, where: str = "true") -> str:
     """CTE ``name`` with the columns of ``project_measures`` over the units of the orders that ``where`` picks."""
     mi = "CASE WHEN h_volume > 0 THEN CASE WHEN lloc > 0 THEN greatest(0.0, (171 - 5.2 * ln(h_volume) - 0.23 * ccn - 16.2 * ln(lloc)) * 100 / 171) ELSE 0.0 END END"
@@ -378,10 +379,10 @@ SQL = {
     "f17_forbidden": "SELECT DISTINCT repo, src, dst, a AS from_pattern, b AS to_pattern FROM edges JOIN (VALUES ('^core', 'shared|common'), ('\\.ledger$', '\\.token$'), ('INTERNAL', '^common')) r(a, b) ON regexp_matches(src, '(?i)' || a) AND regexp_matches(dst, '(?i)' || b)",
     "f18_labels": "SELECT sample_id, l.label FROM class_samples s JOIN (SELECT DISTINCT class_name, file_path, label FROM class_samples WHERE label IS NOT NULL) l ON l.class_name = s.class_name AND l.file_path = s.file_path",
     "i06_lowest_maintainability": f"WITH {_MF} SELECT item_id, round(maintainability_index, 6) AS mi FROM mf WHERE kind = 'class' AND NOT coalesce(is_test, false) AND maintainability_index BETWEEN 1 AND 65 ORDER BY 2, 1 LIMIT 10",
-    "i09_class_table": "SELECT item_id, item_name, loc, cyclomatic_complexity, dense_rank() OVER (PARTITION BY repo ORDER BY item_name NULLS FIRST) AS place FROM metrics WHERE kind = 'class'",
+    "i09_class_table": f"WITH {MEASURED} SELECT item_id, item_name, loc, cyclomatic_complexity, round(maintainability_index, 6) AS maintainability_index, afferent, efferent FROM measured WHERE kind = 'class'",
     "i14_top_edges": "SELECT * FROM (SELECT repo, src, dst, CAST(coalesce(sum(weight), 0) AS BIGINT) AS weight, row_number() OVER (PARTITION BY repo, src ORDER BY coalesce(sum(weight), 0) DESC, dst) AS place FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY repo, src, dst) WHERE place <= 5",
-    "j03_added_deleted": """WITH r AS (SELECT DISTINCT repo FROM files ORDER BY repo LIMIT 2), a AS (SELECT DISTINCT short_path FROM files WHERE repo = (SELECT min(repo) FROM r)), b AS (SELECT DISTINCT short_path FROM files WHERE repo = (SELECT max(repo) FROM r))
-        SELECT short_path, 'added' AS status FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT short_path, 'deleted' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""",
+    "j03_added_deleted": """WITH f AS (SELECT DISTINCT repo, short_path FROM files), p AS (SELECT * FROM (SELECT repo, lag(repo) OVER (ORDER BY repo) AS before FROM (SELECT DISTINCT repo FROM f)) WHERE before IS NOT NULL), h AS (SELECT p.repo, p.before, short_path FROM f JOIN p ON p.repo = f.repo), b AS (SELECT p.repo, p.before, short_path FROM f JOIN p ON p.before = f.repo)
+        SELECT *, 'added' AS status FROM (SELECT * FROM h EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'deleted' FROM (SELECT * FROM b EXCEPT SELECT * FROM h)""",
     "n01_overview": f"WITH {_MF} SELECT repo, count(DISTINCT file_id) AS n_files, count(DISTINCT programming_language) AS n_languages, round(avg(cyclomatic_complexity), 6) AS avg_ccn, round(avg(maintainability_index), 6) AS avg_mi, CAST(sum(loc) AS BIGINT) AS loc FROM mf WHERE kind = 'file' GROUP BY repo",
     "n02_file_metrics": f"WITH {MEASURED} SELECT file_id, path, cyclomatic_complexity, loc, round(maintainability_index, 6) AS mi FROM measured WHERE kind = 'file' AND ends_with(path, 'go')",
     "n03_find_risky_code": f"WITH {_FR}, t AS (SELECT max(n_commits) AS tc, max(ccn) AS tv FROM f) SELECT file_id, round({_RISK.format(tc='tc', c='n_commits', tv='tv', v='coalesce(ccn, 0)')}, 6) AS risk FROM f, t WHERE {_RISK.format(tc='tc', c='n_commits', tv='tv', v='coalesce(ccn, 0)')} >= 0.1 ORDER BY 2 DESC, 1 LIMIT 20",
@@ -390,7 +391,7 @@ SQL = {
     "f03_dependency_files": f"""WITH e AS (SELECT repo, {_REDUCE.format(c='dst')} AS reduced, count(*) AS n_uses FROM edges WHERE dst IS NOT NULL GROUP BY 1, 2), p AS (SELECT repo, file_id, regexp_replace(replace(regexp_replace(short_path, '/?[^/]*$', ''), '/', '.'), '^[^.]*\\.', '') AS d FROM files),
         f AS (SELECT repo, {_REDUCE.format(c='d')} AS reduced, min(file_id) AS file_id, count(*) AS n_files FROM p GROUP BY 1, 2) SELECT e.repo, e.reduced, n_uses, file_id, coalesce(n_files, 0) AS n_files FROM e LEFT JOIN f ON f.repo = e.repo AND f.reduced = e.reduced""",
     "g10_file_relations": "WITH l AS (SELECT file_id, split_part(item_name, '.', 1) AS src, arg_max(split_part(item_name, '.', 2), item_id) AS dst FROM metrics WHERE kind = 'function' AND item_name IS NOT NULL GROUP BY 1, 2) SELECT src, dst, count(*) AS n FROM l GROUP BY 1, 2",
-    "g23_dependency_weights": f"WITH e AS (SELECT {_reduced('src', 3)} AS src, {_reduced('dst', 3)} AS dst FROM edges), g AS (SELECT src, dst, count(*) AS n FROM e WHERE src <> dst GROUP BY 1, 2) SELECT src, dst, n, CAST(sum(n) OVER (PARTITION BY src) AS BIGINT) AS n_src, round(n / sum(n) OVER (PARTITION BY src)::DOUBLE, 6) AS share FROM g",
+    "g23_dependency_weights": f"WITH e AS (SELECT {reduced_sql('src', 3)} AS src, {reduced_sql('dst', 3)} AS dst FROM edges), g AS (SELECT src, dst, count(*) AS n FROM e WHERE src <> dst GROUP BY 1, 2) SELECT src, dst, n, CAST(sum(n) OVER (PARTITION BY src) AS BIGINT) AS n_src, round(n / sum(n) OVER (PARTITION BY src)::DOUBLE, 6) AS share FROM g",
     "g03_measures": f"WITH {UNITS}, {_H}, {_EFF}, {_measures('r')} SELECT scope, {', '.join(f'round(CAST({x} AS DOUBLE), 6) AS {x}' for x in _MEASURES)} FROM r",
     "m01_aggregate_delta": f"WITH {UNITS}, {_H}, {_EFF}, {_measures('a', 'month(o_orderdate) > 6')}, {_measures('b', 'month(o_orderdate) <= 6')} SELECT coalesce(a.scope, b.scope) AS scope, {', '.join(f'round(coalesce(CAST(a.{x} AS DOUBLE), 0) - coalesce(CAST(b.{x} AS DOUBLE), 0), 6) AS delta_{x}' for x in _MEASURES)} FROM a FULL JOIN b ON b.scope = a.scope",
 }

@@ -15,8 +15,11 @@ DEFAULT_EXCLUDES = ("/vendor/", "/node_modules/", "/.git/", "/var/", "/cache/")
 
 
 def scan(spark: SparkSession, root: str, glob: str | None = None, excludes: Sequence[str] = DEFAULT_EXCLUDES) -> DataFrame:
-    """``(path, short_path, language, source_text)`` of all files under ``root``; one listing for all languages."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
+    """``(path, short_path, language, source_text)`` of all files under ``root``; one listing for all languages.
+
+    Files that can't be read, or that vanish in between, are left out.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.text(root).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), F.col("value").alias("source_text"))
@@ -46,3 +49,34 @@ def module_of(files: DataFrame, modules: DataFrame, path: str = "short_path") ->
     exploded = files.select("file_id", "repo", F.explode(folders).alias("root"))
     found = exploded.join(modules, ["repo", "root"]).groupBy("file_id").agg(F.max_by(F.struct("root", "module"), F.length("root")).alias("m"))
     return files.join(found.select("file_id", F.col("m.root").alias("root"), F.col("m.module").alias("module")), "file_id", "left")
+
+
+#: Scans by (session, root, glob), so that a second search of one extension lists nothing again.
+_FOUND: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def find(spark: SparkSession, root: str, extension: str) -> DataFrame:
+    """``scan`` of one extension, remembered until ``forget``."""
+    key = (spark.sparkContext.applicationId, root, f"*.{extension.lstrip('.')}")
+    if key not in _FOUND:
+        _FOUND[key] = scan(spark, root, key[2])
+    return _FOUND[key]
+
+
+def forget() -> None:
+    """Drop the remembered scans, as after a change of files."""
+    _FOUND.clear()
+
+
+def merged(*lists: DataFrame) -> DataFrame:
+    """File lists one below the other, by column name; what a list lacks is null; repeated files stay."""
+    out = lists[0]
+    for other in lists[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A CSV file with a header and quoted fields that may hold line ends; columns by ``schema``, else all strings."""
+    reader = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
+    return (reader.schema(schema) if schema else reader).csv(path)

@@ -57,6 +57,20 @@ def read_forest(path: str) -> dict:
     return json.loads(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
 
 
+def train_forest(rows: DataFrame, words: str, numbers: list[str], label: str, bins: int = 4096, trees: int = 20, seed: int = 7):
+    """A fitted pipeline: hashing TF-IDF of ``words`` and ``numbers`` into a random forest; ``transform`` adds ``guess``."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import IDF, HashingTF, IndexToString, StringIndexer, VectorAssembler
+
+    index = StringIndexer(inputCol=label, outputCol="__label", handleInvalid="skip").fit(rows)
+    stages = [
+        index, HashingTF(inputCol=words, outputCol="__tf", numFeatures=bins), IDF(inputCol="__tf", outputCol="__idf"), VectorAssembler(inputCols=["__idf", *numbers], outputCol="__features"),
+        RandomForestClassifier(featuresCol="__features", labelCol="__label", predictionCol="__guess", numTrees=trees, maxDepth=8, seed=seed), IndexToString(inputCol="__guess", outputCol="guess", labels=index.labels),
+    ]
+    return Pipeline(stages=stages).fit(rows)
+
+
 def predict(features: DataFrame, forest: dict, key: str, columns: list[str], top: int = 3, least: float = 0.01) -> DataFrame:
     """``(key, predictions)``: the ``top`` classes by mean leaf distribution with at least ``least`` probability."""
     if len(json.dumps(forest)) > MODEL_BYTES:
