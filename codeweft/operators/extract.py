@@ -216,7 +216,8 @@ def _brace_units(language: str) -> LangAdapter:
             if fresh and t not in "{}" and brackets == 0:
                 lines.add(line)
             fresh = False
-            if c == "{" and brackets == 0:
+            listed = bool(header) and header[0] in ("import", "use")  # names in braces open no block
+            if c == "{" and brackets == 0 and not listed:
                 kind, made = _block(header, unit, owner, line, language, namespace)
                 stack.append((kind, unit, owner, depth))
                 if made is not None:
@@ -244,12 +245,10 @@ def _brace_units(language: str) -> LangAdapter:
                 namespace = _statement(header, out, owner, namespace)
                 header, fresh = [], True
             else:
-                if c in "([":
+                if c in "([" or c == "{" and listed:
                     brackets += 1
-                elif c in ")]":
+                elif c in ")]" or c == "}" and listed:
                     brackets = max(0, brackets - 1)
-                elif c in "{}" or c == ";":
-                    pass
                 header.append(t)
                 _token(t, previous, unit, text, m.end())
             line += t.count("\n")

@@ -84,7 +84,7 @@ def pruned(files: DataFrame, keep: Sequence[str]) -> DataFrame:
 def html_pages(summary: DataFrame, title: str = "Code report") -> DataFrame:
     """``(page, html)``: one page per row of ``summary(kind, name, ...)`` with its numbers as a table; page names are slugs."""
     numbers = [c for c in summary.columns if c not in ("kind", "name")]
-    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     body = F.concat(*[F.concat(F.lit(f"<tr><th>{n}</th><td>"), safe(n), F.lit("</td></tr>")) for n in numbers])
     html = F.concat(F.lit(f"<!doctype html><title>{title}: "), safe("name"), F.lit("</title><h1>"), safe("name"), F.lit("</h1><table>"), body, F.lit("</table>"))
     page = F.concat_ws("-", slug("kind"), slug(F.replace(F.col("name"), F.lit("#"), F.lit("-sharp"))))

@@ -156,11 +156,11 @@ def test_models(spark, tmp_path):
 def test_reports(spark):
     v = spark.createDataFrame([("r2", "high", "f", 0), ("r1", "odd", "g", 7)], "rule string, severity string, file string, line int")
     got = {r.rule: (r.rule_index, r.level, r.line) for r in reports.sarif_results(v).collect()}
-    assert got == {"r1": (0, "warning", 7), "r2": (1, "error", 1)}
+    assert got == {"r2": (0, "error", 1), "r1": (1, "warning", 7)}  # in the order first seen, by file
     doc = json.loads(reports.sarif_document(reports.sarif_results(v)).first().sarif)
     assert doc["version"] == "2.1.0" and len(doc["runs"][0]["results"]) == 2
     lines = [r.line for r in reports.open_metrics(spark.createDataFrame([("a", 1.0, None)], "p string, x double, y double"), "p", ["x", "y"]).collect()]
-    assert lines == ['code_x{path="a"} 1.0']
+    assert lines[0] == 'x{path="a"} 1' and sorted(lines[1:]) == ["# HELP x x", "# HELP y y", "# TYPE x gauge", "# TYPE y gauge"]
     assert "| a |" in reports.markdown_table([{"a": 1}])
 
 
@@ -176,7 +176,7 @@ def test_levels_take_light_edges_and_lone_communities(spark, tmp_path):
 
     # a heavy way a -> b -> c, closed by one light edge; d is known by an inner edge only
     rows = [("x.a", "x.b")] * 5 + [("x.b", "x.c")] * 5 + [("x.c", "x.a"), ("x.c", "x.e"), ("p.d", "q.d")]
-    spark.createDataFrame(rows, "src string, dst string").write.parquet(str(tmp_path / "edges.parquet"))
+    spark.createDataFrame([("r", a, b, 1) for a, b in rows], "repo string, src string, dst string, weight bigint").write.parquet(str(tmp_path / "edges.parquet"))
     got = {r.community: (r.component, r.level) for r in k13_levels(spark, str(tmp_path)).collect()}
     assert got == {"a": ("a", 0), "b": ("a", 0), "c": ("a", 0), "e": ("e", 1), "d": ("d", 0)}
 
@@ -199,11 +199,14 @@ def test_slice_prealloc_needs_an_append_in_a_bounded_loop(spark):
     assert [(r.file_id, r.n) for r in got] == [(1, 2)]
 
 
-def test_file_dependencies_resolve_by_name_then_last_part(spark):
+def test_file_dependencies_resolve_by_namespace_then_class_name(spark):
     units = spark.createDataFrame([
-        ("f1", "class", "Ledger"), ("f2", "class", "Token"), ("f3", "class", "Ledger"), ("g1", "class", "Other"),
-        ("f2", "dependency", "App\\Model\\Ledger"), ("f2", "dependency", "x.y.Token"), ("f1", "dependency", "Token"), ("f1", "dependency", "x.y.Token"), ("f1", "dependency", "a.Other"),
-    ], "file_id string, kind string, name string")
+        ("f1", "class", "Ledger", None, None, "App.Model.Ledger"), ("f2", "class", "Token", None, None, "Token"), ("f3", "class", "Ledger", None, None, "Other.Ledger"), ("g1", "class", "Other", None, None, "Other"),
+        ("f2", "dependency", "Ledger", "Token", "App\\Model\\Ledger", None), ("f2", "dependency", "Token", None, "x.y.Token", None), ("f1", "dependency", "Token", None, "x.y.Token", None), ("f1", "dependency", "Other", None, "a.Other", None), ("f1", "dependency", "Ledger", None, "Other.Ledger", None),
+    ], "file_id string, kind string, name string, owner string, namespace string, qualified string")
     files = spark.createDataFrame([("f1", "r"), ("f2", "r"), ("f3", "r"), ("g1", "s")], "file_id string, repo string")
-    got = sorted(map(tuple, extract.file_dependencies(units, files).select("file_id", "other", "direction").collect()))
-    assert got == [("f1", "f2", "afferent"), ("f1", "f2", "efferent"), ("f2", "f1", "afferent"), ("f2", "f1", "efferent")]
+    got = sorted(map(tuple, extract.file_dependencies(units, files).where("direction = 'efferent'").select("file_id", "other").collect()))
+    assert got == [("f1", "f2"), ("f1", "f3"), ("f2", "f1")]
+    assert extract.file_dependencies(units, files).where("direction = 'afferent'").count() == 3
+    resolved = {(r.file_id, r.namespace): r.to_class for r in extract.resolve_dependencies(units, files).collect()}
+    assert resolved["f1", "a.Other"] is None and resolved["f2", "App\\Model\\Ledger"] == "Ledger"
