@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeweft.session import spread
+from codeweft.llm.grammar import LEFT, LINE_REDUCTIONS, REDUCTIONS, adjacent
+from codeweft.session import cut_lineage, spread
 
 #: Extension -> grammar.
 GRAMMARS = {"go": "go", "php": "php", "py": "python", "rs": "rust", "ts": "ts", "tsx": "ts", "mts": "ts", "js": "ts", "jsx": "ts", "mjs": "ts", "cjs": "ts", "java": "java", "cs": "cs"}
@@ -19,23 +20,22 @@ GRAMMARS = {"go": "go", "php": "php", "py": "python", "rs": "rust", "ts": "ts",
 #   i name   n number   s string   v PHP variable   ( ) [ ] { } , ; : . ? @ # themselves   = assignment
 #   b binary operator   m sign that may be unary or binary   ! prefix operator   < > themselves   p ++ or --
 #   a ->   A =>   d ::   e .. or ...   L line end   Z what no token of the language may be
-#   P keyword before a parenthesis   G if, for, match without one   R return, throw and the like   E else, do, try
-#   C class-like   F function   I import   k package   V let, var, const   M modifier   X infix keyword   N prefix keyword
-#   H text outside PHP tags   ^ start of file   $ its end
-CLASSES = "insv()[]{},;:.?@#=bm!<>paAdeLPGRECFIkVMXNH^$"
+#   Q if   q else-if   E else   W while (Go: for)   D do (Rust: loop)   T try   K catch   Y finally   P other keyword before a parenthesis
+#   G for, match and the like without one   R return, throw and the like   C class-like   F function   I import   k package
+#   j lifetime   V let, var, const   M modifier   X infix keyword   N prefix keyword   H text outside PHP tags   ^ start of file   $ its end
 
 _WORDS = {  # keywords of each grammar by class (fixed values)
-    "java": {"P": "if for while switch catch synchronized", "R": "return throw assert", "E": "else do try finally", "C": "class interface enum", "I": "import", "k": "package",
+    "java": {"P": "for switch synchronized", "Q": "if", "W": "while", "K": "catch", "R": "return throw assert", "E": "else", "D": "do", "T": "try", "Y": "finally", "C": "class interface enum", "I": "import", "k": "package",
              "M": "public private protected static final abstract native transient volatile strictfp default sealed non-sealed record permits", "X": "extends implements throws instanceof", "N": "new case yield"},
-    "cs": {"P": "if for foreach while switch lock fixed", "R": "return throw", "E": "else do try finally catch unsafe checked unchecked", "C": "class interface enum struct", "I": "using namespace",
-           "M": "public private protected internal static sealed abstract virtual override readonly partial async extern volatile const event ref out in params this operator implicit explicit record unmanaged global required file scoped get set init add remove when where", "X": "is as", "N": "new await typeof sizeof nameof case goto yield default stackalloc delegate"},
-    "php": {"P": "if elseif while for foreach switch catch declare isset empty array list unset exit die", "R": "return throw echo print include include_once require require_once yield global goto break continue", "E": "else do try finally", "C": "class interface trait enum", "F": "function fn", "I": "use namespace", "V": "const",
+    "cs": {"P": "for foreach switch lock fixed", "Q": "if", "W": "while", "K": "catch", "R": "return throw", "E": "else", "D": "do", "T": "try", "Y": "finally", "C": "class interface enum struct", "I": "using namespace",
+           "M": "public private protected internal static sealed abstract virtual override readonly partial async extern volatile const event ref out in params this operator implicit explicit record unmanaged global required file scoped get set init add remove when where unsafe checked unchecked", "X": "is as", "N": "new await typeof sizeof nameof case goto yield default stackalloc delegate"},
+    "php": {"P": "for foreach switch declare isset empty array list unset exit die", "Q": "if", "q": "elseif", "W": "while", "K": "catch", "R": "return throw echo print include include_once require require_once yield global goto break continue", "E": "else", "D": "do", "T": "try", "Y": "finally", "C": "class interface trait enum", "F": "function fn", "I": "use namespace", "V": "const",
             "M": "public private protected static final abstract readonly var", "X": "extends implements instanceof as insteadof and or xor", "N": "new clone case default match"},
-    "ts": {"P": "if while switch catch with", "R": "return throw", "E": "else do try finally", "C": "class interface enum", "F": "function", "I": "import", "V": "let const var",
-           "M": "export default public private protected static readonly abstract declare async get set override type namespace module accessor asserts infer keyof unique break continue debugger", "X": "extends implements instanceof in of as is satisfies from", "N": "new await typeof void delete case yield for"},
-    "go": {"G": "if for switch select", "R": "return go defer break continue goto fallthrough", "E": "else", "C": "struct interface", "F": "func", "I": "import", "k": "package", "V": "var const type", "X": "range chan map case default"},
-    "rust": {"G": "if for while match loop", "R": "return break continue", "E": "else", "C": "struct enum trait union", "F": "fn", "I": "use mod crate_", "V": "let const static type", "M": "pub unsafe extern async mut ref move impl dyn where default", "X": "in as", "N": "box await_"},
-    "python": {"G": "if elif while for with except match_ case_", "R": "return raise assert del global nonlocal pass break continue yield print_", "E": "else try finally", "C": "class", "F": "def", "I": "import from", "M": "async", "X": "in is and or as", "N": "not lambda await"},
+    "ts": {"P": "switch with for", "Q": "if", "W": "while", "K": "catch", "R": "return throw", "E": "else", "D": "do", "T": "try", "Y": "finally", "C": "class interface enum", "F": "function", "I": "import", "V": "let const var",
+           "M": "export default public private protected static readonly abstract declare async get set override type namespace module accessor asserts infer keyof unique break continue debugger", "X": "extends implements instanceof in of as is satisfies from", "N": "new await typeof void delete case yield"},
+    "go": {"Q": "if", "W": "for", "G": "switch select", "R": "return go defer break continue goto fallthrough", "E": "else", "C": "struct interface", "F": "func", "I": "import", "k": "package", "V": "var const type", "X": "range chan map case default"},
+    "rust": {"Q": "if", "W": "while", "G": "for match", "D": "loop", "R": "return break continue", "E": "else", "C": "struct enum trait union", "F": "fn", "I": "use mod crate_", "V": "let const static type", "M": "pub unsafe extern async mut ref move impl dyn where default", "X": "in as", "N": "box await_"},
+    "python": {"Q": "if", "q": "elif", "W": "while", "G": "for with match_ case_", "K": "except", "T": "try", "Y": "finally", "R": "return raise assert del global nonlocal pass break continue print_", "E": "else", "C": "class", "F": "def", "I": "import from", "M": "async", "X": "in is and or as", "N": "not lambda await yield"},
 }
 _STRING = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
 _NUMBER = r"\.?\d(?:[eEpP][+-]?[\w.]|\.(?=\d|[^.\w]|$)|\w|_)*"
@@ -49,7 +49,7 @@ _TOKENS = {
     "php": rf'\?>[\s\S]*?(?:<\?php\b|<\?=|$(?![\s\S]))|{_C_COMMENT}|#(?!\[)[^\n]*|<<<[ \t]*["\']?\w+["\']?\n(?:[^\n]*\n)*?[ \t]*\w+(?=[;,)\n])(?<=[A-Z])|"(?:\\[\s\S]|[^"\\])*"|\'(?:\\[\s\S]|[^\'\\])*\'|\$+[^\W\d]\w*|\\?[^\W\d]\w*(?:\\[^\W\d]\w*)*\\?|{_NUMBER}|{_OPERATORS}|\n|\S',
     "ts": rf'\A#![^\n]*|{_C_COMMENT}|`(?:\\[\s\S]|\$\{{(?:[^{{}}`]|`[^`]*`|\{{[^{{}}]*\}})*\}}|[^`\\])*`|{_STRING}|(?:(?<=[=(,:!&|?{{}};\[\n])|(?<=[=(,:!&|?{{}};\[] ))/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*|[#@]?[$\w]*[^\W\d][$\w]*|\$+|{_NUMBER}|{_OPERATORS}|\n|\S',
     "go": rf'{_C_COMMENT}|`[^`]*`|{_STRING}|{_NAME}|{_NUMBER}|{_OPERATORS}|\n|\S',
-    "rust": rf'{_C_COMMENT}|b?r"[^"]*"|b?r#"[\s\S]*?"#|b?r##"[\s\S]*?"##|b?"(?:\\[\s\S]|[^"\\])*"|b?\'(?:\\(?:u\{{[^}}]*\}}|x..|.)|[^\'\\\n])\'|\'[^\W\d]\w*|r#\w+|{_NAME}|{_NUMBER[3:]}|{_OPERATORS}|\n|\S',
+    "rust": rf'{_C_COMMENT}|b?r"[^"]*"|b?r#"[\s\S]*?"#|b?r##"[\s\S]*?"##|b?"(?:\\[\s\S]|[^"\\])*"|b?\'(?:\\(?:u\{{[^}}]*\}}|x..|.)|[^\'\\\n])\'|\'[^\W\d]\w*|r#\w+|\$?{_NAME}|{_NUMBER[3:]}|{_OPERATORS}|\n|\S',
     "python": rf'(?<=\n)[ \t]+(?=[^\s#])|\A[ \t]+(?=[^\s#])|#[^\n]*|(?i:[rbuf]{{0,2}})(?:"""(?:\\[\s\S]|[^\\])*?"""|\'\'\'(?:\\[\s\S]|[^\\])*?\'\'\')|(?i:[rbuf]{{0,2}})(?:"(?:\\[\s\S]|[^"\\\n])*"|\'(?:\\[\s\S]|[^\'\\\n])*\')|{_NAME}|{_NUMBER}|->|\*\*=?|//=?|:=|<<=?|>>=?|[-+*/%&|^@=!<>]=|\.\.\.|\\\n|\n|\S',
 }
 _CONFLICT = r"(?m:^(?:<{7}|={7}|>{7}|\|{7})(?=[ \r\n]|$)[^\n]*)"
@@ -100,7 +100,7 @@ def _class_of(token: str, grammar: str) -> str:
     if len(token) > 6 and token[:7] in ("<<<<<<<", "=======", ">>>>>>>", "|||||||"):
         return "Z"
     if c == "'" and grammar == "rust" and not token.endswith("'"):
-        return ""  # a lifetime says nothing on what may stand beside it
+        return "j"
     if c in "\"'`" or token[-1] in "\"'`" and len(token) > 1:
         return "s" if len(token) > 1 else "Z"
     if c == "<" and token.startswith("<<<"):
@@ -113,8 +113,12 @@ def _class_of(token: str, grammar: str) -> str:
         return ""
     if c == "$" and grammar == "php":
         return "v" if len(token) > 1 else "Z"
+    if c == "$" and grammar == "rust":  # of macros
+        return "i" if len(token) > 1 else ""
     if c.isdigit() or c == "." and len(token) > 1 and token[1].isdigit():
         return "n"
+    if c == "@" and grammar == "ts":
+        return "@"
     if c.isalpha() or c in "_$@#\\" and len(token) > 1 or c == "_" or c == "$" and grammar in ("ts", "java"):
         return "i"
     return "Z"
@@ -126,7 +130,7 @@ _CONTEXTUAL = {
     "cs": [(re.compile(r"\bfrom\s+(?:\w+\s+)?\w+\s+in\b"), dict.fromkeys("from where orderby select group by into join on equals let ascending descending".split(), "X"))],
 }
 #: Keywords that are names after a point: all in TypeScript and PHP, none in Go and Python.
-_MEMBER_CODE = {g: re.compile(r"([.ad])[PGRECFIkVMXN](?!\()") for g in ("ts", "php")} | {"java": re.compile(r"(\.)[CMN]"), "cs": re.compile(r"(\.)[M]"), "rust": re.compile(r"([.d])[NMI]")}
+_MEMBER_CODE = {g: re.compile(r"([.ad])[PGRECFIkVMXNQqWDTKY]") for g in ("ts", "php")} | {"java": re.compile(r"(\.)[CMN]"), "cs": re.compile(r"(\.)[M]"), "rust": re.compile(r"([.d])[NMI]")}
 
 
 def lex(text: str, grammar: str) -> tuple[str, list[str]]:
@@ -165,153 +169,79 @@ def lex(text: str, grammar: str) -> tuple[str, list[str]]:
     return lead + codes, tokens
 
 
-def _rules(grammar: str) -> set[tuple[str, str]]:
-    """Pairs of neighbouring classes that the grammar allows: all but those its productions rule out."""
-    no: set[tuple[str, str]] = set()
-    lines = grammar in ("go", "ts", "python")  # where line ends mean something, they stand between statements
-
-    def ban(left: str, right: str, but: str = "") -> None:
-        no.update((a, b) for a in left for b in right if b not in but)
-
-    c_like = grammar in ("java", "cs", "php")
-    # an operator needs an operand on its right, an assignment a value
-    ban("b=", "b=)],;:?}$" + ("" if grammar == "go" else "X") + ("L" if grammar == "python" else ""))
-    ban("=", "E" + ("" if grammar == "ts" else "C"), "")
-    ban("m", ")]b=" + ("$" if grammar != "python" else "$"), "" if grammar not in ("go", "rust", "python", "ts") else ")]" if grammar != "rust" else ")]}")
-    ban("!", ")]}b,;:$" if grammar not in ("rust", "ts", "cs") else "$")
-    # an opening bracket starts a list or an expression
-    ban("([", "b=" + ("" if grammar == "ts" else ",") + ("$"), "")
-    ban("(", "]}")
-    ban("[", ")}")
-    # after a number or string no operand may follow
-    if grammar not in ("python",):
-        ban("n", "ins(vCFVMNPGRE#@" + ("{" if c_like or grammar == "ts" else ""), "")
-        ban("s", "ns" + ("ivCFVMNPGRE#@{" if grammar != "ts" else "ivC") , "" if grammar not in ("rust", "go") else "{" if grammar == "go" else "{FMiV")
-    else:
-        ban("n", "insCFIRE({G", "G")
-        ban("s", "inCFIR({E", "")
-        no -= {("n", "E"), ("s", "E")}
-    ban("i)]", "n" + ("s" if grammar not in ("ts",) else ""), "" if grammar not in ("java", "cs", "php") else "ns" if False else "")
-    if grammar in ("java", "cs", "php", "ts"):
-        no -= {(")", "n"), (")", "s")}  # casts, and single statements after a condition
-    if grammar == "go":
-        no -= {("]", "n"), ("]", "s"), ("i", "s")}
-    # a comma or separator
-    ban(",", "b=;" + ("," if grammar not in ("ts", "php") else "") + "$")
-    ban(";", "b=,]" + ("." if not lines else ""))
-    ban("{", "b=" + (")],"))
-    if grammar == "ts":
-        no -= {("{", ",")}
-    # a member follows a point
-    if grammar != "php":
-        ban(".", "s)]},;b=:?$" + "v", "")
-    ban("d", "n)]},;b=:?$s")
-    # keywords
-    if grammar in ("java", "cs", "php", "ts"):
-        no.update(("P", b) for b in CLASSES if b not in "(" + ("L" if lines else ""))
-        if grammar == "php":
-            no -= {("P", b) for b in "iv[;,)]sb?a:}=dH{"}  # array as a type, exit without brackets
-        if grammar == "ts":
-            no -= {("P", "N"), ("P", ":")}
-    if grammar in ("go", "rust", "python"):
-        ban("G", ")]}b=" + (",;" if grammar != "go" else ",") + "$")
-    ban("E", ")],b=.?$ns")
-    if grammar in ("go", "rust"):
-        no.update(("E", b) for b in CLASSES if b not in "{G")
-    if grammar == "python":
-        no.update(("E", b) for b in CLASSES if b not in ":insv([{m!NK")
-    ban("R", ")]b=,:." if grammar != "go" else ")]b=,", "" if grammar != "php" else "),:" if False else "")
-    if grammar == "rust":
-        no -= {("R", ","), ("R", ")"), ("R", "]")}
-    if grammar == "php":
-        no -= {("R", ")"), ("R", ",")}
-    if grammar in ("java", "cs"):
-        no.update(("C", b) for b in CLASSES if b != "i" and not (grammar == "cs" and b in ",>{M;"))
-    if grammar == "php":
-        no.update(("C", b) for b in CLASSES if b not in "i{(X")
-    if grammar == "rust":
-        no.update(("C", b) for b in CLASSES if b not in "i")
-    if grammar == "python":
-        no.update(("C", b) for b in CLASSES if b != "i")
-        no.update(("F", b) for b in CLASSES if b != "i")
-    if grammar == "go":
-        no.update(("F", b) for b in CLASSES if b not in "i(")
-        no.update(("I", b) for b in CLASSES if b not in "s(i.")
-        no.update(("k", b) for b in CLASSES if b != "i")
-        no.update(("C", b) for b in CLASSES if b != "{")
-        no.update(("^", b) for b in CLASSES if b not in "kL$")
-        no.update((a, "k") for a in CLASSES if a not in "^L;")
-        no.update(("V", b) for b in CLASSES if b not in "i(")
-    if grammar == "rust":
-        no.update(("F", b) for b in CLASSES if b not in "i(<")
-        no.update(("I", b) for b in CLASSES if b not in "id{m")
-        no.update(("V", b) for b in CLASSES if b not in "iM([m{nsV!<&N")
-        ban("V", "ns")
-        no.update(("^", b) for b in CLASSES if b not in "#IMFCVi$G")
-        ban("i", "iF")
-        no.update((a, "#") for a in CLASSES if a not in "^;{}],([#H")
-    if grammar == "java":
-        no.update(("I", b) for b in CLASSES if b not in "iM")
-        no.update(("k", b) for b in CLASSES if b != "i")
-        no.update(("^", b) for b in CLASSES if b not in "kIMC@;$i")
-        ban(")", "v")
-        ban("i", "@")
-    if grammar == "cs":
-        no.update(("I", b) for b in CLASSES if b not in "iM(V")
-        no.update(("^", b) for b in CLASSES if b not in "IMC[iPGRVN{;$E#(")
-        ban("i", "d")
-        no.discard(("i", "d"))
-    if grammar == "ts":
-        no.update(("I", b) for b in CLASSES if b not in "s{mi(.ML")
-        no.update(("V", b) for b in CLASSES if b not in "i[{LCMX")
-        no.update(("F", b) for b in CLASSES if b not in "i(mLM<X")
-        ban("^", "b=),].?:;" , ";")
-        ban("i", "i")
-        no.update({("^", "<"), ("L", "#")})
-    if grammar == "php":
-        no.update(("^", b) for b in CLASSES if b != "H")
-        ban("v", "vin{" , "")
-        no -= {("v", "{")}
-        ban("i", "i")
-        no.update({("I", b) for b in CLASSES if b not in "iF(V{"})
-        no.update({("F", b) for b in CLASSES if b not in "i(mE"})
-    if grammar == "python":
-        ban("i", "i{")
-        ban("^L", "b=),]}:.X<>", "}])" )
-        no.update({("I", b) for b in CLASSES if b not in "i.e(m"} - {("I", "I"), ("I", "e")})
-        no.update({(";", ";"), ("^", ";"), ("L", ";")})
-        no.update((a, ";") for a in ":,")
-        ban("v#H?", CLASSES)
-    # forms of one grammar that the general bans are too strict for
-    no -= {
-        "go": {("V", ")")}, "ts": {("P", "{")}, "cs": {("P", "{"), ("=", "X")}, "php": {("P", "m"), ("P", "e")}, "python": {("E", "n"), ("E", "s"), (",", "b"), ("b", ","), ("R", ")"), ("b", ")")},
-        "rust": {(x, "b") for x in "=(,b"} | {("b", "{"), ("b", "b")}, "java": set(),
-    }[grammar]
-    # the end of a file ends a statement
-    if grammar in ("java", "cs"):
-        no.update((a, "$") for a in CLASSES if a not in ";}^" + ("]" if grammar == "cs" else ""))
-    elif grammar == "rust":
-        no.update((a, "$") for a in CLASSES if a not in ";})]^")
-    elif grammar == "php":
-        no.update((a, "$") for a in CLASSES if a not in ";}H:")
-    else:
-        ban("bm=,.:(<[{PGVCFIkMXEN!da", "$", "")
-    if grammar == "ts":
-        no -= {("M", "$"), (":", "$")}
-    return {(a, b) for a in CLASSES for b in CLASSES if (a, b) not in no}
-
-
-#: Productions that no statement of a grammar has, over classes without line ends (PHP, Java, C#, Rust) or with them.
+#: What no statement of a grammar looks like, over classes where calls are c, other groups g and the brackets of control headers are
+#: gone (Java, C#, PHP, Rust), or over plain classes: three names in a row, a return or an import that nothing ends, an operand
+#: behind a call or another operand where a semicolon is missing, a header without its colon.
 _BAD_STATEMENTS = {
-    # three names in a row; a return that no semicolon ends; a qualified name after two names
-    "java": r"iii|^R[^;{}]*\}$|[^P)=,(]P\([^;]*\)\}$|^I[^;]*[{}]",
-    "cs": r"iii|^R[^;{}]*\}$|iid|^I[^;{(]*\}",
-    "php": r"^R[^;{}]*\}$",
-    "rust": r"^I[^;{]*\}$",
+    "java": r"iii|^R[^;{}]*\}$|c[insRVQWTDGPCF]|=[insc.bmg!]*[insc][insPQWTDRKM]|^I[^;]*[{}]|^I.[^;]*[IkCM]|^k[^;]*[IkC]",
+    "cs": r"iii|^R[^;{}]*\}$|iid|c[insRQWTDGCF]|=[insc.bmg!]*[insc][insQWTDR]|^I[^;{cg]*\}|^I[^;{]*[IC]",
+    "php": r"^R[^;{}]*\}$|c[insvRQWTDGCFN]|=[insvc.bmg!a]*[insvc][nsvM]|^I[^;{]*[IC]",
+    "rust": r"^I[^;{]*\}$|c[insVRW]",
     "ts": r"^I[^s(=.{]*$|^C[^{;]*;",
-    "go": r"iii|^I[^(s]*$|^I[^(]*;",
-    "python": r"^[GEFC][^:]*$|^(?![GEFCM])[^:\[({N]*:$|^F(?!i\()|^Mi",
+    "go": r"iii|^I[^(s]*$|^I[^(]*;|^W[^{};]*;[^{};]*\{",
+    "python": r"^[GEFCQqWTKY][^:]*$|^(?![GEFCMQqWTKY@])[^:\[({N]*:$|^F(?!i\()|^Mi|^[^I].*m$|^[GEFCQqWTKY][^\[]*::",
 }
+#: Grammars in which every statement of a block must have an end.
+_STRICT = frozenset(("java", "cs", "php"))
+_LEFT_OVER = re.compile(r"[^;BQqEWDTKYU]+")
+_CONTROL = re.compile(r"([PQWKGqT])\([^()]*\)")
+_CALL = re.compile(r"(?<=[icC>\]sN])\([^()]*\)")
+_GROUP = re.compile(r"\([^()]*\)")
+_INDEX = re.compile(r"(?<=[icg>s])\[[^\[\]()]*\]")
+_LIST = re.compile(r"\[[^\[\]()]*\]")
+_INNER = re.compile(r"([^;{}B]*)\{([^{}]*)\}")
+#: A control keyword whose body comes next, and a header such as that of a for at the start of a statement.
+_HEADED = re.compile(r"[QEWDTKYGU][^=]*$|[aA]$")
+_HEADER = re.compile(r"(?<=[;{}BEWPQD])P")
+_CASE = re.compile(r"(?<=[;{}B])(?:N[^;{}]*?|M):")
+_LABEL = re.compile(r"(?<=[;{}B])i:(?=[QWDPG{])")
+
+
+def _flat(stream: str, grammar: str) -> str:
+    """The classes with brackets taken out from within: calls are c, other groups g; a try with resources is U."""
+    size = -1
+    while size != len(stream) and ("(" in stream or "[" in stream):
+        size = len(stream)
+        stream = _CONTROL.sub(lambda m: "U" if m.group(1) == "T" else m.group(1), stream)
+        stream = _GROUP.sub("g", _CALL.sub("c", stream))
+        stream = _LIST.sub("g", _INDEX.sub("", stream))
+    if grammar == "java":  # annotations
+        stream = re.sub(r"@i(?:\.i)*c?", "", stream)
+    elif grammar == "rust":  # guards of arms, and let with else
+        stream = re.sub(r"Q(?=[^{};A]*A)", "s", re.sub(r"#!?g", "", stream))
+        stream = re.sub(r"(V[^;{}QEWG]*)E", r"\1s", stream).replace("D", "s")
+    return stream
+
+
+def _contents(flat: str, grammar: str) -> set[str]:
+    """What is left of each block when its inner blocks are taken out, marked with what may be left in the end.
+
+    Braces that hold values (of an assignment, an initialiser, arms) are part of their statement and no block.
+    """
+    strict = grammar in _STRICT
+    end = ";" if grammar == "ts" else ""  # the last statement of a block needs none
+    if strict or grammar == "ts":
+        flat = _HEADER.sub("W", _LABEL.sub("", _CASE.sub("", flat)))
+    found: set[str] = set()
+
+    def reduce(m: re.Match) -> str:
+        header, content = m.group(1), m.group(2)
+        plain = ";" not in content and "B" not in content and _HEADED.search(header) is None
+        if plain and (header[-1:] in ("=", ",", "g", "?", "b", "m", "]", "") or "N" in header or "=" in header or "A" in content) or not strict and header[-1:] in (":", "=", ",", "?"):
+            if header or not strict or grammar != "php":
+                if content and (header or content.strip("s,") != ""):
+                    return header + "s"
+        if content:
+            found.add(("strict|" if strict and "C" not in header else "loose|") + _LEFT_OVER.sub("s", content) + end)
+        return header + "B"
+
+    size = -1
+    while size != len(flat):
+        size = len(flat)
+        flat = _INNER.sub(reduce, flat)
+    if "{" not in flat and "}" not in flat:
+        found.add("loose|" + _LEFT_OVER.sub("s", flat.strip("^$H")) + end)
+    return found
 
 
 #: Lines whose brackets are reduced together before they become rows.
@@ -330,8 +260,9 @@ def _reduced(brackets: str) -> str:
 def rows_of(text: str, grammar: str) -> list[tuple[str, str, str, int]]:
     """``(kind, a, b, place)`` rows of one file.
 
-    p: its distinct token pairs, two characters each; s: its distinct statements, one a line; b: brackets that
-    a chunk of lines leaves open; i: indentation of a Python line and whether it opens a block; e: an error.
+    p: its distinct token pairs, two characters each, and l those that a line end of TypeScript parts; s: its distinct statements,
+    one a line; c: its distinct contents of blocks; b: brackets that a chunk of lines leaves open; i: indentation of a Python
+    line and whether it opens a block; e: an error.
     """
     codes, tokens = lex(text, grammar)
     plain = codes.replace("\x01", "")
@@ -345,23 +276,51 @@ def rows_of(text: str, grammar: str) -> list[tuple[str, str, str, int]]:
         rest = _reduced("".join(lines[n : n + CHUNK_LINES]))
         if rest:
             out.append(("b", rest, "", n))
-    if grammar in ("go", "ts", "python"):
-        stream = _significant(plain, grammar)
-    else:
-        stream = plain.replace("L", "")
-    framed = "^" + stream.strip("L") + "$"
-    out.append(("p", "".join(a + b for a, b in set(zip(framed, framed[1:]))), "", 0))
     if grammar == "python":
+        stream = _significant(plain, grammar).strip("L")
+        framed = "^" + stream + ("L" if stream else "") + "$"
         statements = {x for x in stream.split("L") if x}
-        out += _indents(tokens)
+        rows, contents = _indents(tokens)
+        out += rows
     else:
-        parts = set(re.findall(r"[^;{}L]*[;{}L]" if grammar in ("go", "ts") else r"[^;{}]*[;{}]", stream))
+        if grammar == "go":  # a line end behind an operand, a closing bracket or a jump is a semicolon
+            stream = re.sub(r"(?<=[insvpR)\]}])L+", ";", plain + "L").replace("L", "")
+        elif grammar == "ts":
+            stream = re.sub("L+", "L", plain).strip("L")
+        else:
+            stream = plain.replace("L", "")
+        framed = "^" + stream + "$"
+        if grammar in ("go", "ts"):
+            parts = set(re.findall(r"[^;{}L]*[;{}L]", stream.replace("L", "L") + "L"))
+            if grammar == "go":
+                parts |= set(re.findall(r"W[^{};]*;[^{}]*\{", _flat(stream, grammar)))
+                parts = {x for x in parts if not re.match(r"W[^{};]*;[^{};]*;[^{};]*\{", x)}
+            flat = _flat(re.sub(r"(?<=[insvcgpM)\]R}])L(?![.?:bm=<>{,)A])", ";", stream).replace("L", ""), grammar)
+            if grammar == "go":  # clauses of headers are no statements
+                flat = re.sub(r"[QWG][^{}]*\{", lambda m: m.group(0).replace(";", ""), flat)
+        else:
+            flat = _flat(stream, grammar)
+            parts = set(re.findall(r"[^;{}]*[;{}]", flat))
         statements = {x.rstrip("L") for x in parts if len(x) > 1}
+        contents = set() if grammar == "php" and _ALTERNATIVE.search(text) else _contents(flat, grammar)
+    if grammar == "ts":
+        parted = {framed[m.start() - 1] + framed[m.end()] for m in re.finditer("L", framed)}
+        out.append(("l", "".join(parted), "", 0))
+        pairs = {a + b for a, b in zip(framed, framed[1:]) if a != "L" and b != "L"}
+    else:
+        pairs = {a + b for a, b in zip(framed, framed[1:])}
+    out.append(("p", "".join(pairs), "", 0))
     if statements:
         out.append(("s", "\n".join(statements), "", 0))
+    if contents:
+        out.append(("c", "\n".join(contents), "", 0))
     return out
 
 
+#: PHP's control structures without braces, whose blocks are not taken apart.
+_ALTERNATIVE = re.compile(r"\bend(?:if|while|for|foreach|switch)\b")
+
+
 def _significant(codes: str, grammar: str) -> str:
     """Runs of line ends made one, and for Python those inside brackets left out."""
     out, depth = [], 0
@@ -379,11 +338,18 @@ def _significant(codes: str, grammar: str) -> str:
     return re.sub("L+", "L", "".join(out))
 
 
-def _indents(tokens: list[str]) -> list[tuple[str, str, str, int]]:
-    """Logical lines of Python at which the indentation changes or must: width, and whether the line opens a block."""
+#: First words of Python's compound statements.
+_HEADS = {"if": "Q", "elif": "q", "else": "E", "while": "W", "for": "G", "with": "G", "try": "T", "except": "K", "finally": "Y", "async": "G"}
+
+
+def _indents(tokens: list[str]) -> tuple[list[tuple[str, str, str, int]], set[str]]:
+    """Logical lines of Python at which the indentation changes or must: width, and whether the line opens a block; and the distinct
+    sequences of first words of the lines of each block."""
     out, depth, stack = [], 0, [0]
-    width, last, start, n = 0, "", True, 0
+    width, last, start, n, head = 0, "", True, 0, "s"
     previous = False
+    blocks: list[str] = [""]
+    contents: set[str] = set()
 
     def close() -> bool:
         opens = last == ":"
@@ -391,11 +357,16 @@ def _indents(tokens: list[str]) -> list[tuple[str, str, str, int]]:
             out.append(("i", str(width), "1" if opens else "0", n))
         if width > stack[-1]:
             stack.append(width)
+            blocks.append("")
         while width < stack[-1]:
             stack.pop()
+            contents.add("lines|" + blocks.pop())
         if width != stack[-1]:
             out.append(("e", "dedent", "", n))
             stack.append(width)
+            blocks.append("")
+        if head != "s" or blocks[-1][-1:] != "s":
+            blocks[-1] += head
         return opens
 
     for t in tokens:
@@ -411,6 +382,8 @@ def _indents(tokens: list[str]) -> list[tuple[str, str, str, int]]:
         elif t[0] == "#" or t == "\\\n":
             continue
         else:
+            if start:
+                head = _HEADS.get(t, "s")
             start, last = False, t
             if len(t) == 1:
                 if t in "([{":
@@ -421,22 +394,56 @@ def _indents(tokens: list[str]) -> list[tuple[str, str, str, int]]:
         close()
         n += 1
     out.append(("i", "0", "0", n))
-    return out
+    return out, contents | {"lines|" + b for b in blocks}
 
 
 def permitted_pairs(spark: SparkSession) -> DataFrame:
-    """``(grammar, kind, a, ok)`` with the pair in ``a``, of all grammars: at most 7 * 45 * 45 rows."""
-    rows = [(g, "p", a + b, True) for g in _TOKENS for a, b in sorted(_rules(g))]
+    """``(grammar, kind, a, ok)`` with the pair in ``a``, of all grammars: at most 8 * 60 * 60 rows.
+
+    The pairs are derived from each grammar's productions.  A line end of TypeScript may stand for a semicolon (kind l).
+    """
+    rows = []
+    for g in _TOKENS:
+        pairs = adjacent(g)
+        rows += [(g, "p", a + b, True) for a, b in sorted(pairs)]
+        if g == "ts":
+            before, after = {a for a, b in pairs if b == ";"} | {"^", ";"}, {b for a, b in pairs if a == ";"} | {"$"}
+            rows += [(g, "l", a + b, True) for a, b in sorted(pairs | {(a, b) for a in before for b in after})]
     return spark.createDataFrame(rows, "grammar string, kind string, a string, ok boolean")
 
 
+def reduced(content, rules: list[tuple[str, str]], rounds: int = 40):
+    """A content reduced by statement productions, ``rounds`` times all of them; what has become short stays as it is."""
+    def step(x, _):
+        for pattern, short in rules:
+            x = F.regexp_replace(x, pattern, short)
+        return x
+
+    return F.aggregate(F.sequence(F.lit(1), F.least(F.length(content) + 1, F.lit(rounds))), content, step)
+
+
+def bad_contents(rows: DataFrame) -> DataFrame:
+    """``(grammar, a)`` of the distinct contents ``rows(grammar, a)`` that the statement productions do not reduce to what may be left."""
+    c = rows.select("grammar", "a").distinct().withColumn("mode", F.split("a", r"\|")[0]).withColumn("content", F.split("a", r"\|")[1])
+    lines = F.col("mode") == "lines"
+    left = F.when(lines, reduced(F.col("content"), LINE_REDUCTIONS)).otherwise(reduced(F.col("content"), REDUCTIONS))
+    c = c.withColumn("left", left)
+    ok = F.lit(False)
+    for mode, pattern in LEFT.items():
+        ok = ok | ((F.col("mode") == mode) & F.col("left").rlike(f"^{pattern}$"))
+    return c.where(~ok).select("grammar", "a")
+
+
 def broken_files(files: DataFrame) -> DataFrame:
     """``(file_id, problem)``: files whose text is not valid in the language of its extension, one row each.
 
-    The scan emits the distinct token pairs and statements of each file, the brackets that chunks of lines
-    leave open and the indentation of Python lines.  Pairs outside the permitted ones and statements that
-    no production allows are found in the same stage; what remains for the shuffle by file are those and
-    the brackets, whose nesting windows check: at every depth openings and closings alternate and agree.
+    1. The scan lexes each file and emits its distinct pairs of neighbouring tokens, its distinct statements, the distinct
+       contents of its blocks, the brackets that chunks of lines leave open and the indentation of Python lines.
+    2. Pairs are anti-joined against those that the grammar's productions allow (``grammar.adjacent``).
+    3. Contents of blocks, each distinct one once for all files, are reduced by the statement productions (``else`` behind ``if``, ``catch``
+       behind ``try``, a body behind each header, an end to each statement); those that leave something over are joined back.
+    4. Windows over a file check the nesting of brackets, where openings and closings alternate and agree at every depth, and
+       the indentation.
 
     Null and empty texts and unknown extensions are no cases; ``errors`` plays no part.  file_id null is left out.
     """
@@ -458,35 +465,39 @@ def broken_files(files: DataFrame) -> DataFrame:
                 types = [pa.string()] * 5 + [pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=["file_id", "grammar", "kind", "a", "b", "place"])
 
-    rows = spread(texts).mapInArrow(scan, "file_id string, grammar string, kind string, a string, b string, place bigint")
-    pairs = F.transform(F.sequence(F.lit(0), (F.length("a") / 2).cast("int") - 1), lambda i: F.substring(F.col("a"), i * 2 + 1, F.lit(2)))
-    pieces = F.when(F.col("kind") == "p", pairs).when(F.col("kind") == "s", F.split("a", "\n")).when(F.col("kind") == "b", F.split("a", "")).otherwise(F.array("a"))
-    rows = rows.select("file_id", "grammar", "kind", "b", "place", F.posexplode(pieces).alias("nth", "a")).where(F.col("a") != "")
-    permitted = F.broadcast(permitted_pairs(spark))
-    marked = rows.join(permitted, ["grammar", "kind", "a"], "left")
+    rows = cut_lineage(spread(texts).mapInArrow(scan, "file_id string, grammar string, kind string, a string, b string, place bigint"))
+    two = F.transform(F.sequence(F.lit(0), (F.length("a") / 2).cast("int") - 1), lambda i: F.substring(F.col("a"), i * 2 + 1, F.lit(2)))
+    pieces = F.when(F.col("kind").isin("p", "l") & (F.length("a") > 0), two).when(F.col("kind").isin("s", "c"), F.split("a", "\n")).when(F.col("kind") == "b", F.split("a", "")).otherwise(F.array("a"))
+    each = rows.select("file_id", "grammar", "kind", "b", "place", F.posexplode(pieces).alias("nth", "a")).where(F.col("a") != "")
+    pairs = each.where(F.col("kind").isin("p", "l")).join(F.broadcast(permitted_pairs(spark)), ["grammar", "kind", "a"], "left_anti")
     bad_statement = F.lit(False)
     for grammar, pattern in _BAD_STATEMENTS.items():
         bad_statement = F.when(F.col("grammar") == grammar, F.col("a").rlike(pattern)).otherwise(bad_statement)
-    kept = marked.where(F.col("ok").isNull() & ((F.col("kind") != "s") | bad_statement))
-    events = kept.select("file_id", "kind", "a", "b", "place", "nth", F.col("a").alias("sign"))
-    is_open = F.col("sign").isin("(", "[", "{")
-    delta = F.when(F.col("kind") == "b", F.when(is_open, 1).otherwise(-1)).otherwise(0)
+    statements = each.where((F.col("kind") == "s") & bad_statement)
+    contents = each.where("kind = 'c'")
+    blocks = contents.join(bad_contents(contents), ["grammar", "a"], "left_semi")
+    found = pairs.select("file_id", F.lit("token pair").alias("problem"))
+    for df, name in ((statements, "statement"), (blocks, "block"), (each.where("kind = 'e'"), "no token")):
+        found = found.unionByName(df.select("file_id", F.lit(name).alias("problem")))
+    events = each.where("kind in ('b', 'i')").select("file_id", "kind", "a", "b", "place", "nth")
+    is_open = F.col("a").isin("(", "[", "{")
+    bracket = F.col("kind") == "b"
+    delta = F.when(bracket, F.when(is_open, 1).otherwise(-1)).otherwise(0)
     in_order = Window.partitionBy("file_id", "kind").orderBy("place", "nth")
     depth = F.sum(delta).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
     level = F.when(is_open, F.col("depth")).otherwise(F.col("depth") + 1)
-    walked = events.withColumn("depth", depth).withColumn("level", F.when(F.col("kind") == "b", level).otherwise(0))
+    walked = events.withColumn("depth", depth).withColumn("level", F.when(bracket, level).otherwise(0))
     # line before in the indentation rows
     walked = walked.withColumn("before_opens", F.lag("b").over(in_order) == "1").withColumn("before_width", F.lag(F.col("a").try_cast("int")).over(in_order))
     at_level = Window.partitionBy("file_id", "kind", "level").orderBy("place", "nth")
-    previous, following = F.lag("sign").over(at_level), F.lead("sign").over(at_level)
-    closes = F.when(F.col("sign") == "(", ")").when(F.col("sign") == "[", "]").otherwise("}")
-    nested = walked.withColumn("previous", previous).withColumn("following", following)
+    closes = F.when(F.col("a") == "(", ")").when(F.col("a") == "[", "]").otherwise("}")
+    nested = walked.withColumn("previous", F.lag("a").over(at_level)).withColumn("following", F.lead("a").over(at_level))
+    width = F.col("a").try_cast("int")
     wrong = (
-        F.when(F.col("kind").isin("p", "s"), F.lit("token pair or statement"))
-        .when(F.col("kind") == "e", F.lit("no token"))
-        .when((F.col("kind") == "b") & is_open & (F.col("following").isNull() | (F.col("following") != closes)), F.lit("bracket"))
-        .when((F.col("kind") == "b") & ~is_open & (F.col("previous").isNull() | ~F.col("previous").isin("(", "[", "{")), F.lit("bracket"))
-        .when((F.col("kind") == "i") & F.col("before_opens") & (F.col("a").try_cast("int") <= F.col("before_width")), F.lit("indentation"))
-        .when((F.col("kind") == "i") & ~F.coalesce(F.col("before_opens"), F.lit(False)) & (F.col("a").try_cast("int") > F.coalesce(F.col("before_width"), F.lit(0))), F.lit("indentation"))
+        F.when(bracket & is_open & (F.col("following").isNull() | (F.col("following") != closes)), F.lit("bracket"))
+        .when(bracket & ~is_open & (F.col("previous").isNull() | ~F.col("previous").isin("(", "[", "{")), F.lit("bracket"))
+        .when(~bracket & F.col("before_opens") & (width <= F.col("before_width")), F.lit("indentation"))
+        .when(~bracket & ~F.coalesce(F.col("before_opens"), F.lit(False)) & (width > F.coalesce(F.col("before_width"), F.lit(0))), F.lit("indentation"))
     )
-    return nested.withColumn("problem", wrong).where(F.col("problem").isNotNull()).groupBy("file_id").agg(F.min("problem").alias("problem"))
+    found = found.unionByName(nested.select("file_id", wrong.alias("problem")).where(F.col("problem").isNotNull()))
+    return found.groupBy("file_id").agg(F.min("problem").alias("problem"))
