@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweft.session import cut_lineage
+
 #: Merge functions of the states a tree can carry.
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -23,8 +25,8 @@ def tree_aggregate(
     """One row per key of ``df`` without any task that receives all partials of a hot key.
 
     Input rows are cut into chunks of at most ``chunk_rows`` consecutive rows of a partition.
-    Round 0 combines each chunk on its own; every later round merges ``fan_in`` neighbouring
-    chunk states of a key, so ``ceil(log_fan_in(rows / chunk_rows))`` rounds leave one state per
+    Round 0 combines each chunk on its own (its rows lie in one partition, so they are combined before the
+    exchange); every later round merges ``fan_in`` chunk states of a key, so ``ceil(log_fan_in(rows / chunk_rows))`` rounds leave one state per
     key and no reducer reads more than ``fan_in`` states of any key in a round.
 
     ``measures`` maps an output name to ``(merge, expression)`` with merge ``sum``, ``min`` or
@@ -97,3 +99,26 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight:
     if right.limit(most + 1).count() <= most:
         return left.join(F.broadcast(right), list(keys), how)
     return hot_cold_join(left, right, keys, weight, rows, how=how)
+
+
+def running_totals(df: DataFrame, order: Sequence[Column], amount: Column, within: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """``df`` with ``__ahead``, the sum of ``amount`` over all rows before it in the total order, and ``__all``, the sum over all.
+
+    Rows are range-partitioned by (``within``, ``order``) and written to the checkpoint folder once; the sums
+    of the partitions (one row per partition and group) give each partition its offset, and a window inside the
+    partition does the rest, so no task sorts the whole.  Sums start anew for each value of ``within``.
+    With ``amount`` 1, ``__ahead`` is the 0-based position.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in within]
+    ranged = cut_lineage(df.withColumn("__amount", amount).repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy("__part", *within).agg(F.sum("__amount").alias("__sum"))
+    # one row per partition and group: at most partitions * groups rows, of which the groups are the caller's few
+    group = Window.partitionBy(*within)
+    before = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__part", *within, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"), F.sum("__sum").over(group).alias("__all"))
+    inside = Window.partitionBy("__part", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("__local", F.coalesce(F.sum("__amount").over(inside), F.lit(0)))
+    joined = local.join(F.broadcast(offsets), ["__part", *within])
+    return joined.withColumn("__ahead", F.col("__offset") + F.col("__local")).drop("__part", "__amount", "__local", "__offset")

@@ -193,4 +193,6 @@ SQL = {
         SELECT start, max(depth) AS depth, count(*) AS n_reached FROM f GROUP BY start""",
     "k19_coupling_lookup": f"WITH {_G} SELECT src AS package, dst AS other, 'depends_on' AS direction, n FROM g WHERE contains(lower(src), 'ledger') UNION ALL SELECT dst, src, 'depended_by', n FROM g WHERE contains(lower(dst), 'ledger')",
     "n05_get_dependencies": f"""WITH {_G}, st AS (SELECT DISTINCT src AS s FROM g WHERE contains(lower(src), 'ledger')), r AS (SELECT s, s AS node FROM st UNION SELECT s, dst FROM g JOIN st ON src = s) SELECT s AS start, src, dst, n FROM g JOIN r ON r.node = g.src UNION SELECT s, src, dst, n FROM g JOIN st ON st.s = g.dst""",
+    "k18_lcom4": """WITH RECURSIVE t AS (SELECT DISTINCT o_custkey AS class_id, o_orderkey AS m, l_suppkey AS a FROM orders JOIN lineitem ON o_orderkey = l_orderkey), e AS (SELECT DISTINCT x.class_id, x.m, y.m AS n FROM t x JOIN t y ON y.class_id = x.class_id AND y.a = x.a),
+        r AS (SELECT class_id, m, n FROM e UNION SELECT r.class_id, r.m, e.n FROM r JOIN e ON e.class_id = r.class_id AND e.m = r.n) SELECT class_id, count(DISTINCT root) AS lcom4 FROM (SELECT class_id, m, min(n) AS root FROM r GROUP BY 1, 2) GROUP BY 1""",
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -20,6 +22,7 @@ def get_session(app: str = "codeweft", cores: str = "*", shuffle_partitions: int
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("CODEWEFT_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -44,7 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         sc.setCheckpointDir(shared)
     elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(Path(tempfile.mkdtemp(prefix="codeweft-checkpoint-")).as_uri())
+        folder = tempfile.mkdtemp(prefix="codeweft-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(Path(folder).as_uri())
     else:
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
 
