@@ -96,4 +96,13 @@ SQL = {
     "p7_pairs": _P7 + """
         SELECT repo, file_a, file_b, n_ab, n_a, n_b, n, CAST(n_ab AS DOUBLE) * n / (CAST(n_a AS DOUBLE) * n_b) AS lift,
                CASE WHEN n_ab < n_a THEN (1.0 - CAST(n_b AS DOUBLE) / n) / (1.0 - CAST(n_ab AS DOUBLE) / n_a) END AS conviction FROM s""",
+    "p4_found": """
+        WITH RECURSIVE a AS (SELECT sample_id AS id, regexp_replace(regexp_replace(regexp_replace(trim(file_path), '\\\\', '/', 'g'), '/+', '/', 'g'), '^/builds/', '') AS p,
+                  regexp_replace(regexp_replace(regexp_replace(trim(class_name), '\\\\|::|/', '.', 'g'), '\\.+', '.', 'g'), '^\\.|\\.$', '', 'g') AS c, lower(trim(programming_language)) AS l FROM class_samples WHERE sample_id IS NOT NULL),
+             b AS (SELECT id, nullif(regexp_replace(regexp_replace(p, '(^|/)(?:\\./)+', '\\1', 'g'), '^/', ''), '') AS p, c,
+                  CASE l WHEN 'golang' THEN 'go' WHEN 'typescript' THEN 'ts' WHEN 'javascript' THEN 'js' WHEN 'csharp' THEN 'c#' WHEN 'cs' THEN 'c#' WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' ELSE l END AS l FROM a),
+             k AS (SELECT id, 'f|' || p AS e FROM b WHERE p IS NOT NULL UNION SELECT id, 'c|' || l || '|' || c FROM b WHERE contains(c, '.') AND l <> ''),
+             g AS (SELECT DISTINCT x.id, y.id AS other FROM k x JOIN k y ON y.e = x.e),
+             r AS (SELECT id, other FROM g UNION SELECT r.id, g.other FROM r JOIN g ON g.id = r.other)
+        SELECT id AS sample_id, min(other) AS group_id FROM r GROUP BY id HAVING count(*) > 1""",
 }

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import running_totals
-from codeweft.operators.skew import hot_cold_join
+from codeweft.operators.skew import hot_cold_join, running_totals
 from codeweft.session import cut_lineage
 
 #: Scores of the metrics table: direction 1 = higher is worse, -1 = lower is worse; and weight.
