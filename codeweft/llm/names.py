@@ -42,6 +42,8 @@ ROLE_MAILBOX = frozenset("dev info support noreply no-reply admin root build bui
 LEGAL = frozenset("inc incorporated ltd limited llc gmbh ag ab oy as sa s.a. sarl bv nv plc co corp corporation company kg srl spa the and & pty aktiebolag osakeyhtio gesellschaft mit mbh beschrankter haftung aktiengesellschaft sociedad societe anonyme anonima aktieselskab besloten vennootschap naamloze".split())
 KINDS = {"labs": "laboratories", "laboratory": "laboratories", "lab": "laboratories", "intl": "international", "int'l": "international", "eng": "engineering", "engg": "engineering", "fdn": "foundation", "fnd": "foundation", "found": "foundation", "ind": "industries", "inds": "industries", "sys": "systems", "system": "systems", "sw": "software", "soft": "software", "cons": "consulting", "consult": "consulting", "tech": "technologies", "technology": "technologies", "univ": "university", "assoc": "association", "grp": "group", "solns": "solutions", "svcs": "services", "mfg": "manufacturing"}
 KIND_WORDS = frozenset(KINDS.values()) | frozenset(("holdings", "partners", "studio", "studios", "institute", "networks", "research"))
+#: Names in scripts without blanks: two to five signs.
+_UNSPACED = re.compile("[\u3400-\u9fff\uac00-\ud7af]{2,5}")
 _TITLES = re.compile(r"^(?:dr|prof|mr|mrs|ms|miss|ing|sir|dipl|mx)\.?\s+", re.I)
 
 
@@ -129,6 +131,10 @@ def parse_author(author: str | None, email: str | None) -> dict:
             out["keys"] = [("gi", f"{a}|{b}"), ("if", f"{b}|{a}")]
         return out
     token = tokens[0] if tokens else ""
+    token = unicodedata.normalize("NFC", token)
+    if _UNSPACED.fullmatch(token):  # family name first, without a blank
+        out.update(kind="person", given=token[1:], family=token[0], form=f"P|{token[1:]}|{token[0]}")
+        return out
     joined = re.sub(r"[^\w]|_", "", token)
     keys = [("j", joined), ("h", token)]
     if len(joined) == 2 and not dotted:
@@ -140,7 +146,9 @@ def parse_author(author: str | None, email: str | None) -> dict:
     return out
 
 
-#: Log likelihoods of the channels: how often a spelling of a person comes about so.
+#: Log likelihoods of the channels: how often a spelling of a person comes about so.  Those of short forms and typos are the prior of
+#: what ``channel_likelihoods`` finds in the data, worth PRIOR_FORMS spellings.
+PRIOR_FORMS = 200
 LIKELIHOOD = {"exact": 0.0, "short": math.log(0.01), "typo": math.log(0.01), "mailbox": math.log(0.2), "name": math.log(0.05), "handle": math.log(0.5), "owner": math.log(0.01)}
 #: Blocks with more forms than this are dealt out over tasks.
 HOT_BLOCK = 1000
@@ -152,21 +160,55 @@ def _deletions(word: str) -> set[str]:
     return {word[:i] + word[i + 1:] for i in range(len(word))} | {word} if len(word) >= 4 else {word}
 
 
-def _block_keys(kind: str, given: str | None, family: str | None, form: str, handles: list[str]) -> list[tuple[str, str, float]]:
+def channel_of(form: str, other: str) -> str | None:
+    """How a form differs from another of the same person: None where it does not, else typo, short or name."""
+    if form == other or form[:2] != other[:2]:
+        return None if form == other else "name"
+    if form[:2] == "O|":
+        return "typo" if _close(form[2:], other[2:]) else "name"
+    (ga, fa), (gb, fb) = form[2:].split("|"), other[2:].split("|")
+    if (ga, fa) == (fb, gb):
+        return None
+    if ga != gb and (gb in FORMAL.get(ga, ()) or ga in FORMAL.get(gb, ()) or set(FORMAL.get(ga, ())) & set(FORMAL.get(gb, ()))):
+        return "short"
+    return "typo" if (ga == gb or _close(ga, gb)) and (fa == fb or _close(fa, fb)) else "name"
+
+
+def channel_likelihoods(forms: DataFrame, mailboxes: DataFrame) -> dict[str, float]:
+    """``LIKELIHOOD`` with the rates of short forms and typos among spellings that a personal mailbox confirms.
+
+    Every form of a mailbox is compared with the mailbox's most frequent form (not with each other), and what the
+    comparisons say is counted; three numbers come to the driver.
+    """
+    known = mailboxes.join(forms.select("form", "freq"), "form")
+    first = known.groupBy("mailbox").agg(F.max(F.struct("freq", "form")).getField("form").alias("best"), F.count(F.lit(1)).alias("n_forms")).where("n_forms > 1")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"channel": [channel_of(f, g) or "exact" for f, g in zip(b["form"], b["best"])]})
+
+    pairs = hot_cold_join(known.select("mailbox", "form"), first, ["mailbox"], "n_forms", max(known.count(), 1)).select("form", "best")
+    counts = {r["channel"]: r["n"] for r in pairs.mapInPandas(judge, "channel string").groupBy("channel").agg(F.count(F.lit(1)).alias("n")).collect()}
+    whole = counts.get("exact", 0) + counts.get("short", 0) + counts.get("typo", 0)
+    rate = lambda c: math.log((counts.get(c, 0) + PRIOR_FORMS * math.exp(LIKELIHOOD[c])) / (whole + PRIOR_FORMS))
+    return {**LIKELIHOOD, "short": rate("short"), "typo": rate("typo")}
+
+
+def _block_keys(kind: str, given: str | None, family: str | None, form: str, handles: list[str], likelihood: dict[str, float] = LIKELIHOOD) -> list[tuple[str, str, float]]:
     """``(key, role, log likelihood)`` of a form; role i enters the index, q only asks, b does both."""
     out = []
     if kind == "org":
         root, _, rest = form[2:].partition(" ")
-        out += [(f"o|{d}|{rest}", "b", LIKELIHOOD["typo"]) for d in _deletions(root)]
+        out += [(f"o|{d}|{rest}", "b", likelihood["typo"]) for d in _deletions(root)]
         return out
-    out.append(("x|" + "|".join(sorted((given, family))), "b", LIKELIHOOD["exact"]))
-    names = [(given, "b", 0.0)] + [(g, "q", LIKELIHOOD["short"]) for g in FORMAL.get(given, ())]
+    out.append(("x|" + "|".join(sorted((given, family))), "b", likelihood["exact"]))
+    names = [(given, "b", 0.0)] + [(g, "q", likelihood["short"]) for g in FORMAL.get(given, ())]
     for g, role, cost in names:
         if g != given:
             out.append(("x|" + "|".join(sorted((g, family))), role, cost))
-        out += [(f"d|{g}|{d}", role, cost + LIKELIHOOD["typo"]) for d in _deletions(family)]
-        out += [(f"e|{d}|{family}", role, cost + LIKELIHOOD["typo"]) for d in _deletions(g)]
-    out += [(f"hf|{h}|{family}", "b", LIKELIHOOD["handle"]) for h in handles]
+        out += [(f"d|{g}|{d}", role, cost + likelihood["typo"]) for d in _deletions(family)]
+        out += [(f"e|{d}|{family}", role, cost + likelihood["typo"]) for d in _deletions(g)]
+    out += [(f"hf|{h}|{family}", "b", likelihood["handle"]) for h in handles]
     return out
 
 
@@ -228,7 +270,8 @@ def link_authors(authors: DataFrame, commits: DataFrame | None = None, rounds: i
 
     1. Parse: full names and organisations give forms; what is left are fragments (initials, handles,
        single names) and generic accounts.
-    2. Frequency prior: commits of the spelling plus its rows.  Forms ranked by (surname stands in an own
+    2. Channel: rates of typos and short forms among spellings that a personal mailbox confirms (``channel_likelihoods``).
+       Frequency prior: commits of the spelling plus its rows.  Forms ranked by (surname stands in an own
        address, given name is a known full name, frequency) are ordered; in its blocks of like spellings, handles and personal
        mailboxes a form is compared with every other form, and of those that pass ``same_name`` it is attached to that of maximum
        posterior (prior + typo, short-form or address likelihood).  Attachments lead up in rank, but for short forms, so they form
@@ -243,9 +286,12 @@ def link_authors(authors: DataFrame, commits: DataFrame | None = None, rounds: i
     spark = authors.sparkSession
     rows = authors.where(F.col("identity_id").isNotNull()).select("identity_id", "author", "email")
     if commits is not None:
-        pair = lambda: F.xxhash64(F.coalesce("author", F.lit("\u0001")), F.coalesce("email", F.lit("\u0001")))
-        seen = commits.groupBy(pair().alias("spelling")).agg(F.count(F.lit(1)).alias("n_commits"))
-        rows = rows.withColumn("spelling", pair()).join(seen, "spelling", "left").drop("spelling")
+        # nulls as strings that no name holds; a spelling that many rows share is looked up by broadcast
+        spelled = lambda df: df.withColumn("__a", F.coalesce("author", F.lit("\u0001"))).withColumn("__e", F.coalesce("email", F.lit("\u0001")))
+        seen = spelled(commits).groupBy("__a", "__e").agg(F.count(F.lit(1)).alias("n_commits"))
+        rows = cut_lineage(spelled(rows))
+        uses = rows.groupBy("__a", "__e").agg(F.count(F.lit(1)).alias("n_rows")).join(seen, ["__a", "__e"])
+        rows = hot_cold_join(rows, uses, ["__a", "__e"], "n_rows", rows.count(), how="left").drop("__a", "__e", "n_rows")
     else:
         rows = rows.withColumn("n_commits", F.lit(0))
     schema = "identity_id bigint, freq bigint, kind string, given string, family string, form string, mailbox string, handle string, personal boolean, keys array<struct<k:string,v:string>>"
@@ -291,12 +337,14 @@ def link_authors(authors: DataFrame, commits: DataFrame | None = None, rounds: i
 
 def _canonical_forms(forms: DataFrame, handles: DataFrame, mailboxes: DataFrame, rounds: int) -> DataFrame:
     """``(form, freq, root)``: attachment of each form to its maximum posterior, followed to the root."""
+    forms = cut_lineage(forms)
+    likelihood = channel_likelihoods(forms, mailboxes)
+
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(form, int(freq), 2 * int(own) + (given in _SHORT), box, k, role, cost) for form, freq, own, box, kind, given, family in zip(b["form"], b["freq"], b["own_mail"], b["role_mailbox"], b["kind"], b["given"], b["family"]) for k, role, cost in _block_keys(kind, given, family, form, [])]
+            out = [(form, int(freq), 2 * int(own) + (given in _SHORT), box, k, role, cost) for form, freq, own, box, kind, given, family in zip(b["form"], b["freq"], b["own_mail"], b["role_mailbox"], b["kind"], b["given"], b["family"]) for k, role, cost in _block_keys(kind, given, family, form, [], likelihood)]
             yield pd.DataFrame(out, columns=["form", "freq", "own_mail", "role_mailbox", "key", "role", "cost"])
 
-    forms = cut_lineage(forms)
     keyed = forms.mapInPandas(keys, "form string, freq bigint, own_mail int, role_mailbox string, key string, role string, cost double")
     full_name = F.coalesce(F.col("given").isin(list(_SHORT)), F.lit(False)).cast("int")
     by_handle = handles.join(forms.select("form", "freq", "own_mail", "role_mailbox", "given"), "form").select(

@@ -576,3 +576,18 @@ def test_p5_recall_and_precision_on_planted_breaks(spark):
     found = {r.file_id for r in syntax.broken_files(df).collect()}
     assert not found - broken, sorted(found - broken)[:5]
     assert len(broken) > 200 and len(found & broken) >= 0.95 * len(broken), (len(broken), sorted(broken - found))
+
+
+def test_p1_names_without_blanks():
+    for name in ("王小明", "김철수"):
+        parsed = names.parse_author(name, "x@y.example")
+        assert (parsed["kind"], parsed["family"], parsed["given"]) == ("person", name[0], name[1:])
+
+
+def test_p1_channel_rates_come_from_confirmed_spellings(spark):
+    forms = [("P|eleanor|pelvol", 50), ("P|elenaor|pelvol", 1), ("P|ellie|pelvol", 1), ("P|robert|zulan", 9), ("P|bob|zulan", 2), ("P|other|name", 1)]
+    mails = [(f, "a@x") for f, _ in forms[:3]] + [(f, "b@x") for f, _ in forms[3:]]
+    got = names.channel_likelihoods(spark.createDataFrame(forms, "form string, freq bigint"), spark.createDataFrame(mails, "form string, mailbox string"))
+    # two exact, two short, one typo beside the prior of 200 spellings
+    assert math.exp(got["short"]) == pytest.approx((2 + 2) / 205) and math.exp(got["typo"]) == pytest.approx((1 + 2) / 205) and got["mailbox"] == names.LIKELIHOOD["mailbox"]
+    assert [names.channel_of("P|a|b", x) for x in ("P|a|b", "P|b|a", "P|aa|b", "O|x y")] == [None, None, "typo", "name"]
