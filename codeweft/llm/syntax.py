@@ -468,18 +468,16 @@ def broken_files(files: DataFrame) -> DataFrame:
     rows = cut_lineage(spread(texts).mapInArrow(scan, "file_id string, grammar string, kind string, a string, b string, place bigint"))
     two = F.transform(F.sequence(F.lit(0), (F.length("a") / 2).cast("int") - 1), lambda i: F.substring(F.col("a"), i * 2 + 1, F.lit(2)))
     pieces = F.when(F.col("kind").isin("p", "l") & (F.length("a") > 0), two).when(F.col("kind").isin("s", "c"), F.split("a", "\n")).when(F.col("kind") == "b", F.split("a", "")).otherwise(F.array("a"))
-    each = rows.select("file_id", "grammar", "kind", "b", "place", F.posexplode(pieces).alias("nth", "a")).where(F.col("a") != "")
-    pairs = each.where(F.col("kind").isin("p", "l")).join(F.broadcast(permitted_pairs(spark)), ["grammar", "kind", "a"], "left_anti")
+    split = lambda df: df.select("file_id", "grammar", "kind", "b", "place", F.posexplode(pieces).alias("nth", "a")).where(F.col("a") != "")
+    # pairs, statements, errors, brackets and indentation in one pass; a pair that finds no permitted one is wrong
+    marked = split(rows.where("kind <> 'c'")).join(F.broadcast(permitted_pairs(spark)), ["grammar", "kind", "a"], "left")
     bad_statement = F.lit(False)
     for grammar, pattern in _BAD_STATEMENTS.items():
         bad_statement = F.when(F.col("grammar") == grammar, F.col("a").rlike(pattern)).otherwise(bad_statement)
-    statements = each.where((F.col("kind") == "s") & bad_statement)
-    contents = each.where("kind = 'c'")
-    blocks = contents.join(bad_contents(contents), ["grammar", "a"], "left_semi")
-    found = pairs.select("file_id", F.lit("token pair").alias("problem"))
-    for df, name in ((statements, "statement"), (blocks, "block"), (each.where("kind = 'e'"), "no token")):
-        found = found.unionByName(df.select("file_id", F.lit(name).alias("problem")))
-    events = each.where("kind in ('b', 'i')").select("file_id", "kind", "a", "b", "place", "nth")
+    kept = marked.where(F.col("ok").isNull() & ((F.col("kind") != "s") | bad_statement))
+    contents = split(rows.where("kind = 'c'")).select("file_id", "grammar", "a")
+    blocks = contents.join(bad_contents(contents), ["grammar", "a"], "left_semi").select("file_id", F.lit("block").alias("problem"))
+    events = kept.select("file_id", "kind", "a", "b", "place", "nth")
     is_open = F.col("a").isin("(", "[", "{")
     bracket = F.col("kind") == "b"
     delta = F.when(bracket, F.when(is_open, 1).otherwise(-1)).otherwise(0)
@@ -494,10 +492,11 @@ def broken_files(files: DataFrame) -> DataFrame:
     nested = walked.withColumn("previous", F.lag("a").over(at_level)).withColumn("following", F.lead("a").over(at_level))
     width = F.col("a").try_cast("int")
     wrong = (
-        F.when(bracket & is_open & (F.col("following").isNull() | (F.col("following") != closes)), F.lit("bracket"))
+        F.when(F.col("kind").isin("p", "l"), F.lit("token pair")).when(F.col("kind") == "s", F.lit("statement")).when(F.col("kind") == "e", F.lit("no token"))
+        .when(bracket & is_open & (F.col("following").isNull() | (F.col("following") != closes)), F.lit("bracket"))
         .when(bracket & ~is_open & (F.col("previous").isNull() | ~F.col("previous").isin("(", "[", "{")), F.lit("bracket"))
-        .when(~bracket & F.col("before_opens") & (width <= F.col("before_width")), F.lit("indentation"))
-        .when(~bracket & ~F.coalesce(F.col("before_opens"), F.lit(False)) & (width > F.coalesce(F.col("before_width"), F.lit(0))), F.lit("indentation"))
+        .when((F.col("kind") == "i") & F.col("before_opens") & (width <= F.col("before_width")), F.lit("indentation"))
+        .when((F.col("kind") == "i") & ~F.coalesce(F.col("before_opens"), F.lit(False)) & (width > F.coalesce(F.col("before_width"), F.lit(0))), F.lit("indentation"))
     )
-    found = found.unionByName(nested.select("file_id", wrong.alias("problem")).where(F.col("problem").isNotNull()))
+    found = nested.select("file_id", wrong.alias("problem")).where(F.col("problem").isNotNull()).unionByName(blocks)
     return found.groupBy("file_id").agg(F.min("problem").alias("problem"))
