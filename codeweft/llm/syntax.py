@@ -133,6 +133,11 @@ _CONTEXTUAL = {
 _MEMBER_CODE = {g: re.compile(r"([.ad])[PGRECFIkVMXNQqWDTKY]") for g in ("ts", "php")} | {"java": re.compile(r"(\.)[CMN]"), "cs": re.compile(r"(\.)[M]"), "rust": re.compile(r"([.d])[NMI]")}
 
 
+#: Classes of the tokens that a process has seen, by grammar; a table that has grown beyond KNOWN_TOKENS starts anew.
+_KNOWN: dict[str, dict[str, str]] = {g: {} for g in _TOKENS}
+KNOWN_TOKENS = 200_000
+
+
 def lex(text: str, grammar: str) -> tuple[str, list[str]]:
     """Classes of the tokens of ``text`` as a string, line ends kept as L, and the tokens themselves."""
     pattern, table = _lexer(grammar, "<<<<<<<" in text or "=======" in text or ">>>>>>>" in text)
@@ -146,24 +151,27 @@ def lex(text: str, grammar: str) -> tuple[str, list[str]]:
             return "H", []
         text, lead = text[at.end():], "H"
     tokens = pattern.findall(text)
+    known = _KNOWN[grammar]
+    if len(known) > KNOWN_TOKENS:
+        known.clear()
     for found, words in _CONTEXTUAL.get(grammar, ()):
         if found.search(text):
             table = table | words
-    known = table.get
-    memo: dict[str, str] = {}
-    out = []
-    for t in tokens:
-        c = known(t)
+            known = {}
+    new = set(tokens).difference(known)
+    for t in new:  # every distinct token once
+        c = table.get(t)
         if c is None:
-            c = memo.get(t)
-            if c is None:
-                c = memo[t] = _class_of(t, grammar)
-                if c == "" and "\n" in t and t != "\\\n":
-                    c = memo[t] = "L" * t.count("\n")
-                elif c == "s" and "\n" in t and grammar != "python":
-                    c = memo[t] = "s" + "\x01" * t.count("\n")  # lines inside a string still count
-        out.append(c)
-    codes = "".join(out)
+            c = _class_of(t, grammar)
+            if c == "" and "\n" in t and t != "\\\n":
+                c = "L" * t.count("\n")
+            elif c == "s" and "\n" in t and grammar != "python":
+                c = "s" + "\x01" * t.count("\n")  # lines inside a string still count
+        known[t] = c
+    codes = "".join(map(known.__getitem__, tokens))
+    for t in new:
+        if len(t) > 100:  # long texts are not kept
+            del known[t]
     if grammar in _MEMBER_CODE:
         codes = _MEMBER_CODE[grammar].sub(r"\1i", codes)
     return lead + codes, tokens
@@ -306,9 +314,9 @@ def rows_of(text: str, grammar: str) -> list[tuple[str, str, str, int]]:
     if grammar == "ts":
         parted = {framed[m.start() - 1] + framed[m.end()] for m in re.finditer("L", framed)}
         out.append(("l", "".join(parted), "", 0))
-        pairs = {a + b for a, b in zip(framed, framed[1:]) if a != "L" and b != "L"}
+        pairs = {a + b for a, b in set(zip(framed, framed[1:])) if a != "L" and b != "L"}
     else:
-        pairs = {a + b for a, b in zip(framed, framed[1:])}
+        pairs = {a + b for a, b in set(zip(framed, framed[1:]))}
     out.append(("p", "".join(pairs), "", 0))
     if statements:
         out.append(("s", "\n".join(statements), "", 0))
