@@ -432,7 +432,8 @@ def reduced(content, rules: list[tuple[str, str]], rounds: int = 40):
 
 def bad_contents(rows: DataFrame) -> DataFrame:
     """``(grammar, a)`` of the distinct contents ``rows(grammar, a)`` that the statement productions do not reduce to what may be left."""
-    c = rows.select("grammar", "a").distinct().withColumn("mode", F.split("a", r"\|")[0]).withColumn("content", F.split("a", r"\|")[1])
+    # judged as a value of the group, not as its key: a filter on the key would be moved below and judge every row
+    c = rows.groupBy("grammar", "a").agg(F.first("a").alias("text")).withColumn("mode", F.substring_index("text", "|", 1)).withColumn("content", F.substring_index("text", "|", -1))
     lines = F.col("mode") == "lines"
     left = F.when(lines, reduced(F.col("content"), LINE_REDUCTIONS)).otherwise(reduced(F.col("content"), REDUCTIONS))
     c = c.withColumn("left", left)
