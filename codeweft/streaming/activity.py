@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ def run_to_end(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if shared:  # the cluster's shared folder; Spark's own temporary one only in a local session
-        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/streams/{name}")
+        # a place of its own for each run: one that is used again would go on where another run stopped
+        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}")
     writer.start().awaitTermination()
     return df.sparkSession.table(name)
