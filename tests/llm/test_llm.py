@@ -403,7 +403,7 @@ def test_llm_sql(spark, data):
     if not os.path.isdir(data):
         pytest.skip("no test tables here")
     con = duckdb.connect()
-    for t in ("metrics", "commit_log"):
+    for t in ("metrics", "commit_log", "class_samples"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     queries = {n: q for p in PLANS for n, q in p.QUERIES.items()}
     sql = {n: q for p in PLANS for n, q in p.SQL.items()}
