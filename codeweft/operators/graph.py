@@ -320,8 +320,11 @@ def bandwidth_order(pdf: pd.DataFrame) -> list[str]:
 
 
 def lcom4(touches: DataFrame) -> DataFrame:
-    """``(class_id, lcom4)``: connected groups of methods that share an attribute, from ``touches(class_id, method, attribute)``."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    """``(class_id, lcom4)``: connected groups of methods that share an attribute, from ``touches(class_id, method, attribute)``.
+
+    The touches of a class come as one row (a class has as many as its text names), so a batch works on many classes.
+    """
+    def groups(methods, attributes) -> int:
         parent: dict = {}
 
         def find(x):
@@ -330,13 +333,17 @@ def lcom4(touches: DataFrame) -> DataFrame:
                 x = parent[x]
             return x
 
-        for m, a in zip(pdf["method"], pdf["attribute"]):
-            if pd.isna(a):
+        for m, a in zip(methods, attributes):
+            if a is None or pd.isna(a):
                 find(("m", m))
             else:
                 parent[find(("m", m))] = find(("a", a))
-        groups = {find(x) for x in list(parent) if x[0] == "m"}
-        return pd.DataFrame({"class_id": [pdf["class_id"].iloc[0]], "lcom4": [len(groups)]})
+        return len({find(x) for x in list(parent) if x[0] == "m"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"class_id": b["class_id"], "lcom4": [groups(m, a) for m, a in zip(b["methods"], b["attributes"])]})
 
     kind = dict(touches.dtypes)["class_id"]
-    return touches.groupBy("class_id").applyInPandas(run, f"class_id {kind}, lcom4 bigint")
+    pairs = touches.groupBy("class_id").agg(F.collect_list(F.struct("method", "attribute")).alias("t"))
+    return pairs.select("class_id", F.col("t.method").alias("methods"), F.col("t.attribute").alias("attributes")).mapInPandas(run, f"class_id {kind}, lcom4 bigint")
