@@ -197,8 +197,8 @@ def _brace_units(language: str) -> LangAdapter:
         lines: set[int] = set()
         namespace = ""
         line, brackets, fresh, previous, skip = 1, 0, True, "", 0
-        for m in _TOKEN.finditer(text):
-            t = m.group(0)
+        tokens = _TOKEN.findall(text)
+        for t, following in zip(tokens, [*tokens[1:], ""]):
             c = t[0]
             if t == "\n":
                 line += 1
@@ -210,7 +210,7 @@ def _brace_units(language: str) -> LangAdapter:
             if skip or c == "/" and t[:2] in ("//", "/*"):
                 line += t.count("\n")
                 continue
-            if c == "#" and hashes and text[m.start() + 1 : m.start() + 2] != "[":
+            if c == "#" and hashes and following != "[":
                 skip = 1
                 continue
             if fresh and t not in "{}" and brackets == 0:
@@ -250,8 +250,9 @@ def _brace_units(language: str) -> LangAdapter:
                 elif c in ")]" or c == "}" and listed:
                     brackets = max(0, brackets - 1)
                 header.append(t)
-                _token(t, previous, unit, text, m.end())
-            line += t.count("\n")
+                _token(t, previous, unit, following == "(")
+            if "\n" in t:
+                line += t.count("\n")
             previous = t
         for u in [unit, *[x[1] for x in stack]]:
             u["stop_line"] = max(u["stop_line"], line)
@@ -261,37 +262,37 @@ def _brace_units(language: str) -> LangAdapter:
     return adapt
 
 
-def _token(t: str, previous: str, u: dict, text: str, end: int) -> None:
+#: How a token counts, by its text: a decision's column, "" for nothing, o operator, n literal, w name, e else.
+_ACTIONS: dict[str, str] = {**dict.fromkeys(_LOOPS, "n_loop"), **dict.fromkeys(_SWITCHES, "n_switch"), "if": "if", "elseif": "n_elseif", "else": "n_else", "case": "n_case", **dict.fromkeys("(){}[];,.#@", "")}
+_ACTIONS.update({k: "" for k in _KEYWORDS if k not in _ACTIONS})
+
+
+def _token(t: str, previous: str, u: dict, called: bool) -> None:
     """Count one token on its unit: decisions, operators and operands."""
+    action = _ACTIONS.get(t)
+    if action == "":
+        return
     c = t[0]
-    if c.isalpha() or c in "_$@":
-        if t == "if":
-            u["n_elseif" if previous == "else" else "n_if"] += 1
-            u["n_else"] -= previous == "else"
-        elif t == "elseif":
-            u["n_elseif"] += 1
-        elif t == "else":
-            u["n_else"] += 1
-        elif t in _LOOPS:
-            u["n_loop"] += 1
-        elif t in _SWITCHES:
-            u["n_switch"] += 1
-        elif t == "case":
-            u["n_case"] += 1
-        elif t not in _KEYWORDS:
-            short = _SELF.sub("", "".join(t.split()))
-            called = text[end : end + 1] == "("
-            if short != "".join(t.split()):
+    if action is None:
+        if c.isalpha() or c in "_$@":
+            whole = "".join(t.split()) if " " in t or "\n" in t or "\t" in t else t
+            short = _SELF.sub("", whole) if c in "$tsbp" else whole
+            if short is not whole and short != whole:
                 u["calls" if called else "attributes"].append(re.split(r"\.|->|::", short)[0])
             if called:
                 u["operators"].append("()")
             u["operands"].append(short)
-    elif c.isdigit() or c in "\"'`":
-        u["operands"].append(t)
-    elif c not in "(){}[];,.#@":
-        u["operators"].append(t)
-        if t == "=>" and u["n_switch"]:
-            u["n_case"] += 1
+        elif c.isdigit() or c in "\"'`":
+            u["operands"].append(t)
+        else:
+            u["operators"].append(t)
+            if t == "=>" and u["n_switch"]:
+                u["n_case"] += 1
+    elif action == "if":
+        u["n_elseif" if previous == "else" else "n_if"] += 1
+        u["n_else"] -= previous == "else"
+    else:
+        u[action] += 1
 
 
 _NAMES = re.compile(r"[A-Za-z_][\w\\.:]*")
