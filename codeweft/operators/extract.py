@@ -263,7 +263,7 @@ def _brace_units(language: str) -> LangAdapter:
 
 
 #: How a token counts, by its text: a decision's column, "" for nothing, o operator, n literal, w name, e else.
-_ACTIONS: dict[str, str] = {**dict.fromkeys(_LOOPS, "n_loop"), **dict.fromkeys(_SWITCHES, "n_switch"), "if": "if", "elseif": "n_elseif", "else": "n_else", "case": "n_case", **dict.fromkeys("(){}[];,.#@", "")}
+_ACTIONS: dict[str, str] = {**dict.fromkeys(_LOOPS, "n_loop"), **dict.fromkeys(_SWITCHES, "n_switch"), "if": "if", "elseif": "n_elseif", "else": "n_else", "case": "n_case", **dict.fromkeys([*"(){}[];,.#@", "..", "...", "..="], "")}
 _ACTIONS.update({k: "" for k in _KEYWORDS if k not in _ACTIONS})
 
 
