@@ -1,4 +1,4 @@
-"""Per-key results when a few keys hold most rows (tree aggregation, hot/cold lookups)."""
+"""Per-key results when a few keys hold most rows (tree aggregation, hot/cold lookups, pairs by cells)."""
 
 from __future__ import annotations
 
@@ -101,6 +101,39 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight:
     return hot_cold_join(left, right, keys, weight, rows, how=how)
 
 
+#: Rows of one key that a side brings into a cell of ``cell_join``; a cell gives about the square of it at most.
+CELL_ROWS = 2048
+
+#: Rows that a task of ``cell_join`` gives on average, a few full cells.
+TASK_ROWS = 8_000_000
+
+
+def cell_join(left: DataFrame, right: DataFrame, key: str, cell_rows: int = CELL_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Inner join on ``key``, of which both sides may hold many rows, so that the rows of a key are far more than those of the sides.
+
+    The rows of a key are cut into chunks of about ``cell_rows`` on either side, and each pair of chunks meets in an exchange cell
+    of its own.  A row is sent once for each chunk of the other side: a full cell sends ``2 * cell_rows`` rows and gives
+    their square, no task holds all pairs of a hot key, and the pairs themselves are not shuffled.  Chunks go by the hash
+    of the row, so equal rows share one.  Both sides are read twice and should be tables or checkpoints.  Keys that have more than one chunk on a side
+    are broadcast, at most one a ``cell_rows`` rows of the sides by construction.
+    """
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+
+    both = cut_lineage(sizes(left, "__lefts").join(sizes(right, "__rights"), key))
+    pairs = both.agg(F.sum(F.col("__lefts") * F.col("__rights"))).first()[0] or 0
+    n = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / task_rows))
+    chunks = [F.ceil(F.col(c) / cell_rows).alias(f"{c}_n") for c in ("__lefts", "__rights")]
+    hot = F.broadcast(both.where((F.col("__lefts") > cell_rows) | (F.col("__rights") > cell_rows)).select(key, *chunks))
+
+    def side(df: DataFrame, own: str, other: str) -> DataFrame:
+        marked = df.join(hot, key, "left").withColumn(own, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.coalesce(f"{own}_n", F.lit(1))))
+        dealt = marked.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(f"{other}_n", F.lit(1)) - 1)))
+        return dealt.drop("__lefts_n", "__rights_n").repartition(n, key, "__lefts", "__rights")
+
+    return side(left, "__lefts", "__rights").join(side(right, "__rights", "__lefts"), [key, "__lefts", "__rights"]).drop("__lefts", "__rights")
+
+
 def running_totals(df: DataFrame, order: Sequence[Column], amount: Column, within: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """``df`` with ``__ahead``, the sum of ``amount`` over all rows before it in the total order, and ``__all``, the sum over all.
 

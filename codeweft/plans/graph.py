@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import metrics as M
 from codeweft.operators import graph as G
+from codeweft.operators.skew import cell_join
 from codeweft.plans.adapters import reduced_sql
 from codeweft.session import cut_lineage, load
 
@@ -122,10 +123,11 @@ def k16_subgraph(spark, sf, name: str = "core", depth: int = 2):
 def n05_get_dependencies(spark, sf, name: str = "ledger", depth: int = 2):
     """Edges of the packages within ``depth`` steps of every package whose name holds ``name``, and edges to it (N-05)."""
     g = cut_lineage(_graph(spark, sf))
-    starts = g.select(F.col("src").alias("start")).where(F.lower("start").contains(name.lower())).distinct()
-    near = G.reach(g, starts, depth - 1).select("start", F.col("node").alias("src")).distinct()
-    out = g.join(near, "src").select("start", "src", "dst", "n")
-    return out.unionByName(g.join(starts, g["dst"] == starts["start"], "inner").select("start", "src", "dst", "n")).distinct()
+    starts = cut_lineage(g.select(F.col("src").alias("start")).where(F.lower("start").contains(name.lower())).distinct())
+    near = cut_lineage(G.reach(g, starts, depth - 1).select("start", F.col("node").alias("src")))
+    # both parts hold a row once and no row is in both, as the whole, starts times the edges of their hubs, is too much to be made distinct
+    back = g.join(starts, F.col("dst") == F.col("start")).join(near, ["start", "src"], "left_anti")
+    return cell_join(g, near, "src").select("start", "src", "dst", "n").unionByName(back.select("start", "src", "dst", "n"))
 
 
 def k17_bounded_depth(spark, sf):

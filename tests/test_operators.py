@@ -2,7 +2,9 @@
 
 import gzip
 import json
+import re
 import struct
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 from codeweft.operators import extract, graph, lint, review
 from codeweft.operators.activity import author_touches, bus_factor, top_committers
 from codeweft.operators.rollups import rollup
-from codeweft.operators.skew import heavy_keys, hot_cold_join, tree_aggregate
+from codeweft.operators.skew import cell_join, heavy_keys, hot_cold_join, tree_aggregate
+from codeweft.plans.graph import n05_get_dependencies
 from codeweft.sinks import reports
 from codeweft.sources import files as S
 from codeweft.sources import models
@@ -50,6 +53,30 @@ def test_hot_cold_join(spark, how):
     assert got == want
 
 
+def test_cell_join_equals_join(spark):
+    left = spark.createDataFrame([("h", i) for i in range(40)] + [("h", 7), ("l", 1), ("l", 2), ("x", 3), (None, 4)], "k string, v int")
+    right = spark.createDataFrame([("h", str(i)) for i in range(25)] + [("l", "a"), ("y", "b"), (None, "c")] + [("l", None)] * 9, "k string, w string")
+    for task_rows in (20, 1_000_000):
+        got = cell_join(left, right, "k", cell_rows=4, task_rows=task_rows)
+        assert got.columns == ["k", "v", "w"]
+        assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k").select("k", "v", "w").collect()))
+    most = max(got.groupBy(F.spark_partition_id()).count().collect(), key=lambda r: r["count"])["count"]
+    assert most < 41 * 25  # the hot key's pairs lie in more than one task
+    assert cell_join(left.limit(0), right, "k").count() == 0
+
+
+def test_get_dependencies_of_a_hub_without_a_shuffle_of_the_result(spark, tmp_path):
+    starts, hub = [f"a.ledger{i}" for i in range(60)], [("hub", f"p{i}") for i in range(400)]
+    edges = [(s, "hub") for s in starts] + hub + hub[:5] + [("hub", starts[0]), ("p1", starts[1]), (starts[2], starts[3]), (starts[3], starts[2]), (starts[4], starts[4]), (None, starts[5]), (starts[5], None)]
+    spark.createDataFrame([("r", s, d, 1) for s, d in edges], "repo string, src string, dst string, weight bigint").write.parquet(f"{tmp_path}/edges.parquet")
+    n = Counter((s, d) for s, d in edges if s and d and s != d)
+    want = {(s, a, b, k) for (a, b), k in n.items() for s in starts if a == s or (s, a) in n or b == s}
+    got = n05_get_dependencies(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and not re.search("Exchange|Aggregate", plan[: plan.index("Join")])
+
+
 def test_bus_factor_golden(spark):
     def factor(*authors):
         t = author_touches(spark.createDataFrame([(a,) for a in authors], "author string"))
